@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The phrases that introduce or follow a JSON object.
 INTRO_PATTERNS = (
@@ -36,7 +37,7 @@ def _between_braces(c: Column) -> Column:
     return F.when(found, c.substr(start, last - start + 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _first_balanced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The text from the first opening brace to the one that balances it."""
 
