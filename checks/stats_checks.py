@@ -1 +1,303 @@
-"""Checks."""
+"""Checks of distribution, correlation and series statistics."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from datagauge.operators import distribution, quantiles, series
+from datagauge.params import DEFAULT_PERCENTILES
+
+from .registry import DAILY, check, derived, rounded, table, union_all
+
+LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def stats_sql(source: str, column: str) -> str:
+    x = f"CAST({column} AS DOUBLE)"
+    return f"""SELECT '{column}' AS attribute, round(avg(x), 4) AS mean, round(median(x), 4) AS median,
+  round(stddev_pop(x), 4) AS std, round(var_pop(x), 2) AS variance,
+  round(avg(power((x - m) / sd, 3)), 4) AS skewness, round(kurtosis_pop(x), 4) AS kurtosis,
+  round(max(x) - min(x), 4) AS range, round(stddev_pop(x) / avg(x), 4) AS coefficient_of_variation,
+  (SELECT {x} FROM {source} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode
+FROM (SELECT {x} AS x FROM {source}), (SELECT avg({x}) AS m, stddev_pop({x}) AS sd FROM {source})"""
+
+
+STATS = (
+    ("lineitem", "l_quantity"), ("lineitem", "l_extendedprice"), ("lineitem", "l_discount"), ("events", "value"),
+    ("orders", "o_totalprice"), ("documents", "n_chars"),
+)
+
+
+@check("distribution_stats", union_all([stats_sql(*s) for s in STATS]))
+def distribution_stats(spark, sf_dir):
+    parts = []
+    for source in dict.fromkeys(s for s, _ in STATS):
+        columns = {c: F.col(c).cast("double") for s, c in STATS if s == source}
+        parts.append(distribution.distribution_stats(table(spark, sf_dir, source), columns))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return rounded(result, {"variance": 2})
+
+
+def percentiles_sql(source: str, column: str) -> str:
+    return union_all(
+        [
+            f"SELECT '{column}' AS attribute, '{p}th' AS percentile, round(quantile_cont(CAST({column} AS DOUBLE), {p / 100}), 4) AS value "
+            f"FROM {source}"
+            for p in DEFAULT_PERCENTILES
+        ]
+    )
+
+
+@check("percentiles", union_all([percentiles_sql("lineitem", c) for c in LINE_NUMBERS]))
+def percentiles(spark, sf_dir):
+    columns = {c: F.col(c) for c in LINE_NUMBERS}
+    return distribution.percentile_table(table(spark, sf_dir, "lineitem"), columns)
+
+
+@check(
+    "percentiles_bracket",
+    union_all([percentiles_sql("lineitem", c) for c in LINE_NUMBERS] + [percentiles_sql("events", "value")]),
+)
+def percentiles_bracket(spark, sf_dir):
+    line = distribution.percentile_table(
+        table(spark, sf_dir, "lineitem"), {c: F.col(c) for c in LINE_NUMBERS}, method="bracket"
+    )
+    probabilities = [p / 100 for p in DEFAULT_PERCENTILES]
+    found = quantiles.bracket_quantiles(table(spark, sf_dir, "events"), {"value": F.col("value")}, probabilities, 200)
+    rows = [("value", f"{p}th", v) for p, v in zip(DEFAULT_PERCENTILES, found["value"])]
+    events = spark.createDataFrame(rows, "attribute string, percentile string, value double")
+    return line.unionByName(events.withColumn("value", F.round("value", 4)))
+
+
+def _length_sql(source: str, column: str) -> str:
+    from .profile_checks import outlier_cte
+
+    stats = stats_sql(f"(SELECT length({column}) AS {column} FROM {source})", column)
+    named = ", ".join(f"round(quantile_cont(length({column}), {p / 100}), 4) AS p{p}" for p in DEFAULT_PERCENTILES)
+    return f"""SELECT a.*, b.*, c.* FROM ({stats}) a,
+  (WITH {outlier_cte(f"(SELECT length({column}) AS n FROM {source})", "n")}
+   SELECT count_if(z) AS z_score_count, count_if(i) AS iqr_count, count_if(mz) AS modified_z_count,
+     count_if(z OR i OR mz) AS outlier_count, round(max(lo), 4) AS lower_bound, round(max(hi), 4) AS upper_bound FROM flags) b,
+  (SELECT count_if(length({column}) = 0) AS empty_strings, count_if(length({column}) = 1) AS single_char_strings, {named}
+   FROM {source}) c"""
+
+
+@check("string_length_analysis", union_all([_length_sql("documents", "text"), _length_sql("pages", "url")]))
+def string_length_analysis(spark, sf_dir):
+    parts = [
+        distribution.string_length_analysis(table(spark, sf_dir, t), c) for t, c in (("documents", "text"), ("pages", "url"))
+    ]
+    return rounded(parts[0].unionByName(parts[1]), {"variance": 2})
+
+
+def pair_sql(source: str, a: str, b: str) -> str:
+    return f"""SELECT '{a}' AS attribute1, '{b}' AS attribute2,
+  round(covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})), 6) AS correlation FROM {source}"""
+
+
+@check("correlation", union_all([pair_sql("lineitem", a, b) for a, b in combinations(LINE_NUMBERS, 2)]))
+def correlation(spark, sf_dir):
+    return rounded(distribution.correlation_pairs(table(spark, sf_dir, "lineitem"), LINE_NUMBERS), {"correlation": 6})
+
+
+# Twelve columns, so that the cross-product form runs.
+WIDE = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *LINE_NUMBERS,
+)
+WIDE_EXTRA = {"charge": "l_extendedprice * (1 + l_tax)", "net": "l_extendedprice * (1 - l_discount)", "unit": "l_extendedprice / l_quantity"}
+
+
+@check(
+    "correlation_wide",
+    union_all(
+        [
+            pair_sql(f"(SELECT *, {', '.join(f'{e} AS {n}' for n, e in WIDE_EXTRA.items())} FROM lineitem)", a, b)
+            for a, b in combinations((*WIDE, *WIDE_EXTRA), 2)
+        ]
+    ),
+)
+def correlation_wide(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").withColumns({n: F.expr(e) for n, e in WIDE_EXTRA.items()})
+    return rounded(distribution.correlation_pairs(df, (*WIDE, *WIDE_EXTRA)), {"correlation": 6})
+
+
+@check(
+    "high_correlations",
+    f"""SELECT *, CASE WHEN abs(correlation) > 0.8 THEN 'strong' ELSE 'moderate' END AS strength FROM (
+{union_all([pair_sql("(SELECT *, l_extendedprice * (1 - l_discount) AS net FROM lineitem)", a, b)
+            for a, b in combinations((*LINE_NUMBERS, "net"), 2)])}) WHERE abs(correlation) > 0.7""",
+)
+def high_correlations(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").withColumn("net", F.expr("l_extendedprice * (1 - l_discount)"))
+    pairs = distribution.correlation_pairs(df, (*LINE_NUMBERS, "net"))
+    return rounded(distribution.high_correlations(pairs), {"correlation": 6})
+
+
+# --- distribution type ----------------------------------------------------------------------------------------------
+
+
+def ks_sql(source: str, column: str) -> str:
+    return f"""SELECT '{column}' AS attribute, CAST(max(total) AS BIGINT) AS n,
+  round(max(greatest(upto * 1.0 / total - e, e - (upto - n) * 1.0 / total)), 6) AS d_exponential,
+  round(max(greatest(upto * 1.0 / total - u, u - (upto - n) * 1.0 / total)), 6) AS d_uniform
+FROM (SELECT x, n, sum(n) OVER (ORDER BY x) AS upto, sum(n) OVER () AS total,
+        CASE WHEN x > 0 THEN 1 - exp(-x) ELSE 0 END AS e, least(greatest(x, 0), 1) AS u
+      FROM (SELECT {column} AS x, count(*) AS n FROM {source} GROUP BY 1))"""
+
+
+SHARES = "(SELECT l_discount * 10 AS share FROM lineitem)"
+
+
+@check("kolmogorov_distances", union_all([ks_sql("events", "value"), ks_sql("lineitem", "l_tax"), ks_sql(SHARES, "share")]))
+def kolmogorov_distances(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").withColumn("share", F.expr("l_discount * 10"))
+    inputs = (("value", table(spark, sf_dir, "events")), ("l_tax", line), ("share", line))
+    parts = [
+        distribution.kolmogorov_distances(df, c).select(F.lit(c).alias("attribute"), "n", "d_exponential", "d_uniform")
+        for c, df in inputs
+    ]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), {"d_exponential": 6, "d_uniform": 6})
+
+
+def normal_sql(source: str, column: str) -> str:
+    return f"""SELECT '{column}' AS attribute, n, round(exp(-(zs * zs + zk * zk) / 2), 4) AS p_normal FROM (
+  SELECT *, (1 - 2 / (9 * a) - sign(den) * power((1 - 2 / a) / abs(den), 1.0 / 3)) / sqrt(2 / (9 * a)) AS zk FROM (
+    SELECT *, 1 + xk * sqrt(2 / (a - 4)) AS den, ln(y / al + sqrt(y / al * y / al + 1)) / sqrt(0.5 * ln(w2)) AS zs FROM (
+      SELECT *, 6 + 8 / rb * (2 / rb + sqrt(1 + 4 / (rb * rb))) AS a, sqrt(2 / (w2 - 1)) AS al FROM (
+        SELECT *, -1 + sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3)
+                     / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) AS w2,
+          g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y,
+          (g2 + 3 - 3 * (n - 1) / (n + 1))
+            / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS xk,
+          6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS rb
+        FROM (SELECT CAST(count(*) AS DOUBLE) AS n, avg(power((x - m) / sd, 3)) AS g1, kurtosis_pop(x) AS g2
+              FROM (SELECT CAST({column} AS DOUBLE) AS x FROM {source}),
+                   (SELECT avg({column}) AS m, stddev_pop({column}) AS sd FROM {source}))))))"""
+
+
+DAILY_COUNTS = "(SELECT CAST(ts AS date) AS d, CAST(count(*) AS DOUBLE) AS daily FROM events GROUP BY 1)"
+
+
+@check("normality", union_all([normal_sql("events", "value"), normal_sql(DAILY_COUNTS, "daily")]))
+def normality(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    daily = events.groupBy(F.to_date("ts").alias("d")).agg(F.count("*").cast("double").alias("daily"))
+    parts = [
+        distribution.distribution_type(df, c).select(F.lit(c).alias("attribute"), F.col("n").cast("double").alias("n"), "p_normal")
+        for df, c in ((events, "value"), (daily, "daily"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@check("distribution_type")
+def distribution_type(spark, sf_dir):
+    line, events = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "events")
+    daily = events.groupBy(F.to_date("ts").alias("d")).agg(F.count("*").cast("double").alias("daily"))
+    parts = [
+        distribution.distribution_type(df, c).select(F.lit(c).alias("attribute"), "*")
+        for df, c in ((events, "value"), (line, "l_extendedprice"), (line, "l_discount"), (daily, "daily"))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+# --- series ------------------------------------------------------------------------------------------------------------
+
+EVENT_SERIES = "(SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, value AS x FROM events)"
+DAY_SERIES = f"(SELECT row_number() OVER (ORDER BY d) - 1 AS idx, CAST(n AS DOUBLE) AS x FROM ({DAILY}))"
+
+
+def _events(spark, sf_dir):
+    return series.ordered_series(table(spark, sf_dir, "events"), "value", ["ts", "event_id"])
+
+
+def _days(spark, sf_dir):
+    return series.ordered_series(derived(spark, sf_dir, DAILY), "n", ["d"])
+
+
+def trend_sql(name: str, source: str) -> str:
+    return f"""SELECT '{name}' AS series, n, round(slope, 6) AS slope, round(r2, 4) AS r_squared,
+  CASE WHEN slope > 0 THEN 'increasing' WHEN slope < 0 THEN 'decreasing' ELSE 'stable' END AS direction
+FROM (SELECT count(*) AS n, regr_slope(x, idx) AS slope, regr_r2(x, idx) AS r2 FROM {source})"""
+
+
+@check("trend", union_all([trend_sql("events", EVENT_SERIES), trend_sql("days", DAY_SERIES)]))
+def trend(spark, sf_dir):
+    parts = [
+        series.linear_trend(s).select(F.lit(n).alias("series"), "n", "slope", "r_squared", "direction")
+        for n, s in (("events", _events(spark, sf_dir)), ("days", _days(spark, sf_dir)))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@check("trend_p_value")
+def trend_p_value(spark, sf_dir):
+    return series.linear_trend(_events(spark, sf_dir)).select("n", "slope", "p_value")
+
+
+def autocorrelation_sql(source: str) -> str:
+    return union_all(
+        [
+            f"SELECT {k} AS lag, round(corr(a.x, b.x), 4) AS autocorrelation FROM {source} a JOIN {source} b "
+            f"ON a.idx = b.idx + {k} HAVING count(*) > 0"
+            for k in (7, 30, 365)
+        ]
+    )
+
+
+@check("autocorrelation", autocorrelation_sql(EVENT_SERIES))
+def autocorrelation(spark, sf_dir):
+    return series.autocorrelation(_events(spark, sf_dir))
+
+
+@check("autocorrelation_days", autocorrelation_sql(DAY_SERIES))
+def autocorrelation_days(spark, sf_dir):
+    return series.autocorrelation(_days(spark, sf_dir))
+
+
+def volatility_sql(source: str) -> str:
+    return f"""SELECT round(stddev_pop(step), 4) AS volatility
+FROM (SELECT x - lag(x) OVER (ORDER BY idx) AS step FROM {source})"""
+
+
+@check("volatility", volatility_sql(EVENT_SERIES))
+def volatility(spark, sf_dir):
+    return series.volatility(_events(spark, sf_dir))
+
+
+def change_sql(source: str) -> str:
+    return f"""WITH s AS (SELECT * FROM {source}),
+  t AS (SELECT count(*) AS n, greatest(5, count(*) // 10) AS w, var_pop(x) AS v FROM s),
+  p AS (SELECT idx, sum(x - m) OVER (ORDER BY idx) - (x - m) AS s1,
+          sum((x - m) * (x - m)) OVER (ORDER BY idx) - (x - m) * (x - m) AS s2
+        FROM s, (SELECT avg(x) AS m FROM s))
+SELECT idx, round(lv, 4) AS left_var, round(rv, 4) AS right_var FROM (
+  SELECT a.idx, (a.s2 - l.s2) / w - power((a.s1 - l.s1) / w, 2) AS lv,
+    (r.s2 - a.s2) / w - power((r.s1 - a.s1) / w, 2) AS rv, v, n
+  FROM p a, t, p l, p r WHERE l.idx = a.idx - w AND r.idx = a.idx + w)
+WHERE n >= 20 AND abs(lv - rv) > v * 0.5"""
+
+
+@check("change_points", change_sql(EVENT_SERIES))
+def change_points(spark, sf_dir):
+    found = series.change_points(table(spark, sf_dir, "events"), "value", ["ts", "event_id"])
+    return rounded(found, {"left_var": 4, "right_var": 4})
+
+
+@check("change_points_days", change_sql(DAY_SERIES))
+def change_points_days(spark, sf_dir):
+    found = series.change_points(derived(spark, sf_dir, DAILY), "n", ["d"])
+    return rounded(found, {"left_var": 4, "right_var": 4})
+
+
+@check(
+    "change_points_prices",
+    change_sql("(SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_suppkey) - 1 AS idx, l_extendedprice AS x FROM lineitem)"),
+)
+def change_points_prices(spark, sf_dir):
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey"]
+    df = table(spark, sf_dir, "lineitem").withColumn("price", F.col("l_extendedprice"))
+    return rounded(series.change_points(df, "price", order), {"left_var": 4, "right_var": 4})
