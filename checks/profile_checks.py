@@ -394,9 +394,7 @@ def scored_sql(names: tuple[str, ...]) -> str:
 FROM ({scored_sql(tuple(COLUMNS))})""",
 )
 def profile_flags_scores(spark, sf_dir):
-    from datagauge.plans.dataset import profile_tables
-
-    df = profile_tables(tables(spark, sf_dir, *COLUMNS))
+    df = profile.profile_all(tables(spark, sf_dir, *COLUMNS))
     return df.select(
         "table_name", "attribute", "data_type", F.array_join("anomaly_flags", ",").alias("anomaly_flags"), "quality_score"
     )

@@ -73,3 +73,18 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """``part / whole * 100``, rounded; 0 where the whole is 0."""
     return F.coalesce(F.round(ratio(part, whole) * 100, digits), F.lit(0.0))
+
+
+def sql_name(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_string(text: str) -> str:
+    """A string literal as SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_double(value: float) -> str:
+    """A double literal as SQL text."""
+    return f"CAST('{value!r}' AS DOUBLE)"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import sql_string
+
 # Digit characters outside the decimal digits: superscripts, subscripts, circled and dingbat digits.
 _OTHER_DIGITS = (
     r"\x{B2}\x{B3}\x{B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247C}"
@@ -22,14 +24,24 @@ CLASS_STEPS: tuple[tuple[str, str], ...] = (
 CHAR_CLASSES = tuple(name for name, _ in CLASS_STEPS) + ("special_chars",)
 
 
-def strip_class(c: Column, step: int) -> Column:
-    """The string without the characters of one class; each step works on what the step before left."""
-    return F.when(c == "", c).otherwise(F.regexp_replace(c, CLASS_STEPS[step][1], ""))
+def strip_sql(text: str, regex: str) -> str:
+    """SQL of a string without the characters a pattern matches; an empty string is left alone."""
+    return f"IF({text} = '', '', regexp_replace({text}, {sql_string(regex)}, ''))"
+
+
+def _anchored(pattern: str) -> str:
+    return f"(?dU)^(?:{pattern})"
 
 
 def matches(c: Column, pattern: str) -> Column:
-    r"""Pattern test at the start of the string, with Unicode ``\d`` and ``\s``, and ``\n`` as the only line end ``$`` may precede."""
-    return c.rlike(f"(?dU)^(?:{pattern})")
+    r"""Pattern test at the start of the string, with Unicode ``\d`` and ``\s``, and ``\n`` as the only line end ``$``
+    may precede."""
+    return c.rlike(_anchored(pattern))
+
+
+def matches_sql(text: str, pattern: str) -> str:
+    """The same test as SQL text."""
+    return f"rlike({text}, {sql_string(_anchored(pattern))})"
 
 
 def strip(c: Column) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from datagauge.functions import columns as C
 from datagauge.params import DEFAULTS, Thresholds
 
 from .quantiles import column_quantiles, resolve_method
@@ -50,43 +51,44 @@ def outlier_bounds(
     return bounds
 
 
-def outlier_tests(c: Column, b: OutlierBounds, limits: Thresholds = DEFAULTS) -> dict[str, Column]:
-    """The three tests as boolean columns; false for null, for under 3 values and for a zero spread."""
-    never = F.lit(False)
+def outlier_tests(x: str, b: OutlierBounds, limits: Thresholds = DEFAULTS) -> dict[str, str]:
+    """The three tests on a double column as SQL text; false for null, for under 3 values and for a zero spread."""
+    num = C.sql_double
+    tests = {"z_score": "false", "iqr": "false", "modified_z_score": "false"}
     if b.count < 3:
-        return {"z_score": never, "iqr": never, "modified_z_score": never}
-    z = F.abs((c - F.lit(b.mean)) / F.lit(b.std)) > limits.z_score if b.std else never
-    iqr = (c < F.lit(b.lower)) | (c > F.lit(b.upper))
-    scaled = F.abs(F.lit(limits.modified_z_scale) * (c - F.lit(b.median)) / F.lit(b.mad)) if b.mad else None
-    modified = scaled > limits.modified_z_score if b.mad else never
-    return {
-        "z_score": F.coalesce(z, never),
-        "iqr": F.coalesce(iqr, never),
-        "modified_z_score": F.coalesce(modified, never),
-    }
+        return tests
+    if b.std:
+        tests["z_score"] = f"abs(({x} - {num(b.mean)}) / {num(b.std)}) > {num(limits.z_score)}"
+    tests["iqr"] = f"{x} < {num(b.lower)} OR {x} > {num(b.upper)}"
+    if b.mad:
+        scaled = f"abs({num(limits.modified_z_scale)} * ({x} - {num(b.median)}) / {num(b.mad)})"
+        tests["modified_z_score"] = f"{scaled} > {num(limits.modified_z_score)}"
+    return {name: f"coalesce({test}, false)" for name, test in tests.items()}
+
+
+def count_flagged(
+    df: DataFrame, columns: dict[str, Column], bounds: dict[str, OutlierBounds], limits: Thresholds = DEFAULTS
+) -> DataFrame:
+    """Per column: how many values each test flags, how many any test flags, and the interquartile bounds."""
+    structs = []
+    for k, b in bounds.items():
+        t = outlier_tests(C.sql_name(k), b, limits)
+        low, high = (f"round({C.sql_double(v)}, 4)" if v is not None else "CAST(NULL AS DOUBLE)" for v in (b.lower, b.upper))
+        structs.append(
+            f"named_struct('attribute', {C.sql_string(k)}, 'z_score_count', count_if({t['z_score']}), "
+            f"'iqr_count', count_if({t['iqr']}), 'modified_z_count', count_if({t['modified_z_score']}), "
+            f"'outlier_count', count_if({t['z_score']} OR {t['iqr']} OR {t['modified_z_score']}), "
+            f"'lower_bound', {low}, 'upper_bound', {high})"
+        )
+    values = df.select(*[columns[k].cast("double").alias(k) for k in bounds])
+    return values.agg(F.expr(f"array({', '.join(structs)}) AS counts")).selectExpr("inline(counts)")
 
 
 def outlier_counts(
     df: DataFrame, columns: dict[str, Column], limits: Thresholds = DEFAULTS, method: str = "auto"
 ) -> DataFrame:
-    """Per column: how many values each test flags, how many any test flags, and the interquartile bounds."""
-    bounds = outlier_bounds(df, columns, limits, method)
-    aggregates = []
-    for k, c in columns.items():
-        t = outlier_tests(c, bounds[k], limits)
-        aggregates.append(
-            F.struct(
-                F.lit(k).alias("attribute"),
-                F.count_if(t["z_score"]).alias("z_score_count"),
-                F.count_if(t["iqr"]).alias("iqr_count"),
-                F.count_if(t["modified_z_score"]).alias("modified_z_count"),
-                F.count_if(t["z_score"] | t["iqr"] | t["modified_z_score"]).alias("outlier_count"),
-                F.round(F.lit(bounds[k].lower).cast("double"), 4).alias("lower_bound"),
-                F.round(F.lit(bounds[k].upper).cast("double"), 4).alias("upper_bound"),
-            ).alias(k)
-        )
-    names = [F.col(f"`{k}`") for k in columns]
-    return df.agg(*aggregates).select(F.inline(F.array(*names)))
+    """Outlier counts per column, with the passes that find the bounds."""
+    return count_flagged(df, columns, outlier_bounds(df, columns, limits, method), limits)
 
 
 def outlier_rows(
@@ -95,8 +97,6 @@ def outlier_rows(
     """The rows that any test flags, with one boolean per test. The bounds are literals, so the scan can prune."""
     c = F.col(column).cast("double")
     bounds = outlier_bounds(df, {column: c}, limits, method)[column]
-    tests = outlier_tests(c, bounds, limits)
-    flagged = df
-    for name, test in tests.items():
-        flagged = flagged.withColumn(f"is_{name}", test)
+    tests = outlier_tests(f"CAST({C.sql_name(column)} AS DOUBLE)", bounds, limits)
+    flagged = df.selectExpr("*", *[f"{test} AS is_{name}" for name, test in tests.items()])
     return flagged.where(F.col("is_z_score") | F.col("is_iqr") | F.col("is_modified_z_score"))

@@ -8,62 +8,55 @@ back as literals.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datagauge.functions import columns as C
-from datagauge.functions.dates import parse_date
+from datagauge.functions.dates import date_of
 from datagauge.functions.numbers import is_number, spelled_number, to_number, value_tag
-from datagauge.functions.text import CHAR_CLASSES, CLASS_STEPS, matches, strip_class
+from datagauge.functions.text import CHAR_CLASSES, CLASS_STEPS, matches, matches_sql, strip_sql
 from datagauge.params import DEFAULTS, LENGTH_PERCENTILES, NUMERIC_PERCENTILES, PATTERNS, Thresholds
 
 from .frequency import distinct_counts
-from .outliers import outlier_bounds, outlier_tests
+from .outliers import count_flagged, outlier_bounds
 from .quantiles import column_quantiles, resolve_method
 
 # Columns that share one aggregate; more would not compile to one method any more.
 STRINGS_PER_SCAN = 2
 OTHERS_PER_SCAN = 8
 
-_COUNTS = ("total_count", "present_count", "tag_integer", "tag_float", "tag_string")
-_NUMBERS = ("min_value", "max_value", "mean", "std")
-_LENGTHS = ("min_length", "max_length", "avg_length", "std_length")
-_BOOLEANS = ("true_count", "false_count")
-_NESTED = ("empty_arrays", "unique_keys", "avg_keys_per_object")
-_EXTRA = ("future_date_count", "invalid_email_count")
-_SHARED_LONG = set(_COUNTS) | set(_BOOLEANS) | set(_EXTRA) | {"min_length", "max_length", "empty_arrays", "unique_keys"}
-
-
-def _metric_struct(name: str, kind: str, metrics: dict[str, Column]) -> Column:
-    """All columns share one struct type; a metric that does not apply is a typed null."""
-    fields = [F.lit(name).alias("attribute"), F.lit(kind).alias("family")]
-    for metric in (*_COUNTS, *_NUMBERS, *_LENGTHS, *_BOOLEANS, *_NESTED, *_EXTRA):
-        c = metrics.get(metric, F.lit(None))
-        fields.append(c.cast("bigint" if metric in _SHARED_LONG else "double").alias(metric))
-    for cls in CHAR_CLASSES:
-        fields.append(metrics.get("chars_" + cls, F.lit(None)).cast("bigint").alias("chars_" + cls))
-    for metric in ("min_date", "max_date"):
-        fields.append(metrics.get(metric, F.lit(None)).cast("string").alias(metric))
-    return F.struct(*fields)
-
-
-def _numeric_metrics(x: Column) -> dict[str, Column]:
-    return {
-        "min_value": F.min(x),
-        "max_value": F.max(x),
-        "mean": F.avg(x),
-        "std": F.stddev_pop(x),
-    }
+# Metric columns of the wide aggregate; the struct of every column has them all, in this order.
+_LONGS = (
+    "total_count", "present_count", "tag_integer", "tag_float", "tag_string", "min_length", "max_length",
+    "true_count", "false_count", "empty_arrays", "future_date_count", "invalid_email_count",
+    *("chars_" + c for c in CHAR_CLASSES),
+)
+_DOUBLES = ("min_value", "max_value", "mean", "std", "avg_length", "std_length", "avg_keys_per_object")
+_TEXTS = ("min_date", "max_date")
+
+
+def _metric_struct(name: str, kind: str, metrics: dict[str, str]) -> Column:
+    """All columns share one struct type; a metric that does not apply is a typed null. Built as SQL text, since a
+    wide table has thousands of these expressions."""
+    typed = [(m, "BIGINT") for m in _LONGS] + [(m, "DOUBLE") for m in _DOUBLES] + [(m, "STRING") for m in _TEXTS]
+    fields = [f"'attribute', {C.sql_string(name)}", f"'family', '{kind}'"]
+    fields += [f"'{m}', CAST({metrics.get(m, 'NULL')} AS {t})" for m, t in typed]
+    return F.expr(f"named_struct({', '.join(fields)})").alias(f"{name}#metrics")
 
 
-def _length_metrics(n: Column) -> dict[str, Column]:
+def _numeric_metrics(x: str) -> dict[str, str]:
+    return {"min_value": f"min({x})", "max_value": f"max({x})", "mean": f"avg({x})", "std": f"stddev_pop({x})"}
+
+
+def _length_metrics(n: str) -> dict[str, str]:
     return {
-        "min_length": F.min(n),
-        "max_length": F.max(n),
-        "avg_length": F.avg(n),
-        "std_length": F.stddev_pop(n),
+        "min_length": f"min({n})",
+        "max_length": f"max({n})",
+        "avg_length": f"avg({n})",
+        "std_length": f"stddev_pop({n})",
     }
 
 
@@ -82,13 +75,16 @@ def pattern_counts(df: DataFrame, patterns: dict[str, str] = PATTERNS, columns:
     for batch in [names[i : i + STRINGS_PER_SCAN] for i in range(0, len(names), STRINGS_PER_SCAN)]:
         tried = []
         for n in batch:
-            value = C.present(df, n).cast("string")
-            each = [
-                F.when(matches(value, regex), F.struct(F.lit(n).alias("attribute"), F.lit(p).alias("pattern")))
+            value = f"CAST({C.sql_name(n)} AS STRING)"
+            each = ", ".join(
+                f"IF({matches_sql(value, regex)}, named_struct('attribute', {C.sql_string(n)}, "
+                f"'pattern', {C.sql_string(p)}), NULL)"
                 for p, regex in patterns.items()
-            ]
-            tried.append(F.when(matches(value, joint), F.array_compact(F.array(*each))))
-        parts.append(df.select(F.inline(F.flatten(F.array_compact(F.array(*tried))))))
+            )
+            # The empty string is a null, whatever a pattern says about it.
+            test = f"{value} <> '' AND {matches_sql(value, joint)}"
+            tried.append(f"IF({test}, array_compact(array({each})), NULL)")
+        parts.append(df.selectExpr(f"inline(flatten(array_compact(array({', '.join(tried)}))))"))
     found = reduce(DataFrame.unionByName, parts)
     return found.groupBy("attribute", "pattern").agg(F.count("*").alias("matches"))
 
@@ -104,41 +100,56 @@ def _with_number_tags(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return tested.select("*", *found)
 
 
-def _column_metrics(df: DataFrame, name: str, kind: str, as_of_date: str | None) -> dict[str, Column]:
-    c = C.col(name)
-    value = C.present(df, name)
-    metrics = {"total_count": F.count(F.lit(1)), "present_count": F.count(value)}
+def _column_metrics(df: DataFrame, name: str, kind: str) -> dict[str, str]:
+    """SQL of the metrics of one column; ``name#...`` are the helper columns of ``_with_helpers``."""
+
+    def helper(suffix: str) -> str:
+        return C.sql_name(f"{name}#{suffix}")
+
+    c = C.sql_name(name)
+    metrics = {"total_count": "count(1)", "present_count": f"count({c})"}
     if kind == "string":
-        tag = C.col(f"{name}#tag")
-        metrics |= {
-            "tag_integer": F.count_if(tag == "integer"),
-            "tag_float": F.count_if(tag == "float"),
-            "tag_string": F.count_if(tag == "string"),
-            **_length_metrics(F.length(value)),
-            **_numeric_metrics(C.col(f"{name}#number")),
-        }
-        for cls in CHAR_CLASSES:
-            metrics["chars_" + cls] = F.sum(C.col(f"{name}#{cls}"))
-        if "email" in name.lower():
-            metrics["invalid_email_count"] = F.count_if(~matches(value, PATTERNS["email"]))
-        if as_of_date and any(part in name.lower() for part in ("date", "time")):
-            metrics["future_date_count"] = F.count_if(parse_date(value) > F.lit(as_of_date).cast("date"))
+        value, tag = f"nullif({c}, '')", helper("tag")
+        metrics["present_count"] = f"count({value})"
+        metrics |= {f"tag_{t}": f"count_if({tag} = '{t}')" for t in ("integer", "float", "string")}
+        metrics |= _length_metrics(f"length({value})") | _numeric_metrics(helper("number"))
+        metrics |= {"chars_" + cls: f"sum({helper(cls)})" for cls in CHAR_CLASSES}
     elif kind in ("integer", "float"):
-        metrics |= _numeric_metrics(c.cast("double"))
+        metrics |= _numeric_metrics(f"CAST({c} AS DOUBLE)")
     elif kind == "boolean":
-        metrics |= {"true_count": F.count_if(c), "false_count": F.count_if(~c)}
+        metrics |= {"true_count": f"count_if({c})", "false_count": f"count_if(NOT {c})"}
     elif kind == "datetime":
-        metrics |= {"min_date": F.min(c), "max_date": F.max(c)}
-        if as_of_date:
-            metrics["future_date_count"] = F.count_if(c.cast("date") > F.lit(as_of_date).cast("date"))
+        metrics |= {"min_date": f"min({c})", "max_date": f"max({c})"}
     elif kind == "array":
-        size = F.when(c.isNotNull(), F.size(c))
-        metrics |= _length_metrics(size) | {"empty_arrays": F.count_if(size == 0)}
+        size = f"IF({c} IS NULL, NULL, size({c}))"
+        metrics |= _length_metrics(size) | {"empty_arrays": f"count_if({size} = 0)"}
     elif kind == "object":
-        metrics["avg_keys_per_object"] = F.avg(_key_count(df, name))
+        metrics["avg_keys_per_object"] = f"avg({helper('keys')})"
+    if f"{name}#future" in df.columns:
+        metrics["future_date_count"] = f"count_if({helper('future')})"
+    if f"{name}#bad_email" in df.columns:
+        metrics["invalid_email_count"] = f"count_if({helper('bad_email')})"
     return metrics
 
 
+def _with_helpers(df: DataFrame, kinds: dict[str, str], as_of_date: str | None) -> DataFrame:
+    """Adds per string column its tag, number and character counts; key counts; future and e-mail tests."""
+    strings = [n for n, k in kinds.items() if k == "string"]
+    extra = []
+    for n, kind in kinds.items():
+        if kind == "object":
+            extra.append(_key_count(df, n).alias(f"{n}#keys"))
+        if as_of_date and (kind == "datetime" or (kind == "string" and _names_a_date(n))):
+            extra.append((date_of(df, n) > F.lit(as_of_date).cast("date")).alias(f"{n}#future"))
+        if kind == "string" and "email" in n.lower():
+            extra.append((~matches(C.present(df, n), PATTERNS["email"])).alias(f"{n}#bad_email"))
+    return _with_char_classes(_with_number_tags(df.select("*", *extra), strings), strings)
+
+
+def _names_a_date(name: str) -> bool:
+    return any(part in name.lower() for part in ("date", "time"))
+
+
 def _key_count(df: DataFrame, name: str) -> Column:
     """Keys per object: entries of a map; fields of a struct that are not null."""
     c = C.col(name)
@@ -151,17 +162,17 @@ def _key_count(df: DataFrame, name: str) -> Column:
 
 def _with_char_classes(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Adds a count column per class; each strip runs on what the previous one left, so later ones are cheap."""
-    left = {n: C.present(df, n) for n in names}
+    if not names:
+        return df
     result = df
-    for step, (cls, _) in enumerate(CLASS_STEPS):
-        rest = {n: strip_class(left[n], step).alias(f"{n}#rest{step}") for n in names}
-        result = result.select("*", *rest.values())
-        counted = [
-            (F.length(left[n]) - F.length(C.col(f"{n}#rest{step}"))).alias(f"{n}#{cls}") for n in names
-        ]
-        result = result.select("*", *counted)
-        left = {n: C.col(f"{n}#rest{step}") for n in names}
-    return result.select("*", *[F.length(left[n]).alias(f"{n}#special_chars") for n in names])
+    left = {n: f"nullif({C.sql_name(n)}, '')" for n in names}
+    for step, (cls, regex) in enumerate(CLASS_STEPS):
+        rest = {n: C.sql_name(f"{n}#rest{step}") for n in names}
+        result = result.selectExpr("*", *[f"{strip_sql(left[n], regex)} AS {rest[n]}" for n in names])
+        counts = [f"length({left[n]}) - length({rest[n]}) AS {C.sql_name(f'{n}#{cls}')}" for n in names]
+        result = result.selectExpr("*", *counts)
+        left = rest
+    return result.selectExpr("*", *[f"length({left[n]}) AS {C.sql_name(f'{n}#special_chars')}" for n in names])
 
 
 def _batches(kinds: dict[str, str]) -> list[list[str]]:
@@ -177,26 +188,21 @@ def column_metrics(df: DataFrame, as_of_date: str | None = None) -> DataFrame:
     kinds = C.families(df)
     parts = []
     for batch in _batches(kinds):
-        strings = [n for n in batch if kinds[n] == "string"]
-        source = _with_char_classes(_with_number_tags(df.select(*[C.col(n) for n in batch]), strings), strings)
-        structs = [
-            _metric_struct(n, kinds[n], _column_metrics(df, n, kinds[n], as_of_date)).alias(f"{n}#metrics")
-            for n in batch
-        ]
-        aggregated = source.agg(*structs)
-        parts.append(aggregated.select(F.inline(F.array(*[C.col(f"{n}#metrics") for n in batch]))))
+        own = {n: kinds[n] for n in batch}
+        source = _with_helpers(df.select(*[C.col(n) for n in batch]), own, as_of_date)
+        structs = [_metric_struct(n, k, _column_metrics(source, n, k)) for n, k in own.items()]
+        listed = ", ".join(C.sql_name(f"{n}#metrics") for n in batch)
+        parts.append(source.agg(*structs).selectExpr(f"inline(array({listed}))"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _voted_type() -> Column:
-    """Typed columns keep their family; strings go by majority of their tags (ties: integer, float, string)."""
-    i, f, s = (F.coalesce(F.col("tag_" + t), F.lit(0)) for t in ("integer", "float", "string"))
-    voted = F.when((i >= f) & (i >= s), "integer").when(f >= s, "float").otherwise("string")
-    return (
-        F.when(F.col("present_count") == 0, "unknown")
-        .when(F.col("family") == "string", voted)
-        .otherwise(F.col("family"))
-    )
+# Typed columns keep their family; strings go by majority of their tags (ties: integer, float, string).
+_VOTED_TYPE = """
+CASE WHEN present_count = 0 THEN 'unknown'
+     WHEN family <> 'string' THEN family
+     WHEN tag_integer >= tag_float AND tag_integer >= tag_string THEN 'integer'
+     WHEN tag_float >= tag_string THEN 'float'
+     ELSE 'string' END"""
 
 
 def _literal_rows(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -229,11 +235,7 @@ def _quantile_frame(df: DataFrame, kinds: dict[str, str], limits: Thresholds, me
     counts = {}
     if numbers:
         bounds = outlier_bounds(df, numbers, limits, method, {n: first_pass[n] for n in numbers})
-        picks = []
-        for n, c in numbers.items():
-            t = outlier_tests(c, bounds[n], limits)
-            picks.append(F.count_if(t["z_score"] | t["iqr"] | t["modified_z_score"]).alias(n))
-        counts = df.agg(*picks).first().asDict()
+        counts = {r.attribute: r.outlier_count for r in count_flagged(df, numbers, bounds, limits).collect()}
     result = []
     for n in kinds:
         q = found.get(("n", n)) or [None] * len(wanted)
@@ -257,104 +259,136 @@ def profile(
     quantile_method: str = "auto",
 ) -> DataFrame:
     """The full profile of a table: counts, type, per-type metrics, patterns, flags and score per attribute."""
+    raw = raw_profile(df, table_name, patterns, limits, as_of_date, approximate_distinct, quantile_method)
+    return finish_profile(raw, patterns, limits)
+
+
+def profile_all(
+    tables: dict[str, DataFrame], patterns: dict[str, str] = PATTERNS, limits: Thresholds = DEFAULTS, **options
+) -> DataFrame:
+    """The profiles of several tables in one frame. Their passes run side by side, each a job of its own."""
+    with ThreadPoolExecutor(max_workers=min(8, len(tables))) as pool:
+        raws = list(pool.map(lambda item: raw_profile(item[1], item[0], patterns, limits, **options), tables.items()))
+    return finish_profile(reduce(DataFrame.unionByName, raws), patterns, limits)
+
+
+def metadata_all(tables: dict[str, DataFrame], as_of_date: str | None = None) -> DataFrame:
+    """The light profile the relationship and business checks read: types, nulls, ranges and invalid counts.
+
+    One aggregate per table, without distinct counts, quantiles and patterns.
+    """
+    parts = [column_metrics(df, as_of_date).withColumn("table_name", F.lit(name)) for name, df in tables.items()]
+    number = "data_type IN ('integer', 'float')"
+    return (
+        reduce(DataFrame.unionByName, parts)
+        .withColumn("data_type", F.expr(_VOTED_TYPE))
+        .selectExpr(
+            "table_name",
+            "attribute",
+            "data_type",
+            "total_count",
+            "coalesce(round(try_divide(total_count - present_count, total_count) * 100, 2), 0D) AS null_percentage",
+            f"IF({number}, min_value, NULL) AS min_value",
+            f"IF({number}, max_value, NULL) AS max_value",
+            "future_date_count",
+            "invalid_email_count",
+        )
+    )
+
+
+def raw_profile(
+    df: DataFrame,
+    table_name: str,
+    patterns: dict[str, str] = PATTERNS,
+    limits: Thresholds = DEFAULTS,
+    as_of_date: str | None = None,
+    approximate_distinct: bool = False,
+    quantile_method: str = "auto",
+) -> DataFrame:
+    """Metrics per attribute before types, shares, flags and scores are derived from them."""
     kinds = C.families(df)
     base = column_metrics(df, as_of_date)
-    if "object" in kinds.values():
+    objects = [n for n, k in kinds.items() if k == "object"]
+    if objects:
         keys = reduce(
             DataFrame.unionByName,
-            [
-                object_keys(df, n).agg(F.count("*").alias("n_keys")).select(F.lit(n).alias("attribute"), "n_keys")
-                for n, k in kinds.items()
-                if k == "object"
-            ],
+            [object_keys(df, n).agg(F.lit(n).alias("attribute"), F.count("*").alias("unique_keys")) for n in objects],
         )
-        base = (
-            base.join(F.broadcast(keys), "attribute", "left")
-            .withColumn("unique_keys", F.coalesce("unique_keys", "n_keys"))
-            .drop("n_keys")
-        )
-    distinct = distinct_counts(df, approximate=approximate_distinct)
-    quantiles = _quantile_frame(df, kinds, limits, quantile_method)
-    matched = (
-        pattern_counts(df, patterns)
-        .groupBy("attribute")
-        .agg(*[F.sum(F.when(F.col("pattern") == p, F.col("matches"))).alias("match_" + p) for p in patterns])
+    else:
+        keys = _literal_rows(df.sparkSession, [], "attribute string, unique_keys bigint")
+    matched = pattern_counts(df, patterns).groupBy("attribute").agg(
+        *[F.expr(f"sum(IF(pattern = {C.sql_string(p)}, matches, 0)) AS {C.sql_name('match_' + p)}") for p in patterns]
     )
     # Every side holds one row per column of the table.
-    joined = base
-    for side in (distinct, quantiles, matched):
+    sides = (
+        distinct_counts(df, approximate=approximate_distinct),
+        _quantile_frame(df, kinds, limits, quantile_method),
+        matched,
+        keys,
+    )
+    joined = base.withColumn("table_name", F.lit(table_name))
+    for side in sides:
         joined = joined.join(F.broadcast(side), "attribute", "left")
-    joined = joined.fillna(0, ["match_" + p for p in patterns])
-    return with_scores(with_flags(_present(joined, table_name, list(patterns)), limits))
+    return joined
 
 
-def _present(joined: DataFrame, table_name: str, patterns: Sequence[str]) -> DataFrame:
-    typed = joined.withColumn("data_type", _voted_type())
-    is_text = F.col("data_type") == "string"
-    is_number_type = F.col("data_type").isin("integer", "float")
-    has_length = F.col("data_type").isin("string", "array")
-    unique = F.coalesce(F.col("unique_count"), F.lit(0))
-    chars = reduce(lambda a, b: a + b, [F.col("chars_" + c) for c in CHAR_CLASSES])
-    shares = [
-        (F.col("match_" + p), F.coalesce(C.percent(F.col("match_" + p), F.col("present_count")), F.lit(0.0)))
-        for p in patterns
-    ]
-    most = F.greatest(*[m for m, _ in shares]) if len(shares) > 1 else shares[0][0]
-    dominant = F.lit(None).cast("string")
-    for p, (matched, _) in reversed(list(zip(patterns, shares))):
-        dominant = F.when(matched == most, p).otherwise(dominant)
-    null_count = F.col("total_count") - F.col("present_count")
+def finish_profile(raw: DataFrame, patterns: dict[str, str] = PATTERNS, limits: Thresholds = DEFAULTS) -> DataFrame:
+    """Types, shares, flags and scores from raw profile rows of one or more tables."""
+    return with_scores(with_flags(_present(raw, list(patterns)), limits))
+
+
+def _present(joined: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    match = {p: f"coalesce({C.sql_name('match_' + p)}, 0)" for p in patterns}
 
-    def keep(condition: Column, name: str, digits: int | None = None) -> Column:
-        c = F.col(name) if digits is None else F.round(F.col(name), digits)
-        return F.when(condition, c).alias(name)
+    def pct(part: str, whole: str) -> str:
+        return f"coalesce(round(try_divide({part}, {whole}) * 100, 2), 0D)"
 
-    return typed.select(
-        F.lit(table_name).alias("table_name"),
+    most = f"greatest({', '.join([*match.values(), '0'])})"
+    dominant = " ".join(f"WHEN {m} = {most} THEN {C.sql_string(p)}" for p, m in match.items())
+    chars = " + ".join("chars_" + c for c in CHAR_CLASSES)
+    number, text = "data_type IN ('integer', 'float')", "data_type = 'string'"
+    sized = "data_type IN ('string', 'array')"
+    shares = {p: pct(m, "present_count") for p, m in match.items()}
+    columns = [
+        "table_name",
         "attribute",
         "data_type",
         "total_count",
         "present_count",
-        null_count.alias("null_count"),
-        C.percent(null_count, F.col("total_count")).alias("null_percentage"),
-        unique.alias("unique_count"),
-        F.coalesce(F.round(C.ratio(unique, F.col("present_count")), 3), F.lit(0.0)).alias("unique_ratio"),
-        keep(is_number_type, "min_value"),
-        keep(is_number_type, "max_value"),
-        *[keep(is_number_type, n, 4) for n in ("mean", "median", "std")],
-        F.when(is_number_type, F.round(F.col("std") * F.col("std"), 4)).alias("variance"),
-        *[keep(is_number_type, f"p{p}", 4) for p in NUMERIC_PERCENTILES],
-        keep(is_number_type, "outlier_count"),
-        keep(has_length, "min_length"),
-        keep(has_length, "max_length"),
-        keep(has_length, "avg_length", 2),
-        keep(has_length, "median_length", 2),
-        keep(is_text, "std_length", 2),
-        *[
-            F.when(is_text, F.col(f"length_p{p}").cast("bigint")).alias(f"length_p{p}")
-            for p in LENGTH_PERCENTILES
-        ],
-        *[
-            F.when(is_text, C.percent(F.col("chars_" + c), chars)).alias(f"{c}_pct")
-            for c in CHAR_CLASSES
-        ],
+        "total_count - present_count AS null_count",
+        f"{pct('(total_count - present_count)', 'total_count')} AS null_percentage",
+        "coalesce(unique_count, 0L) AS unique_count",
+        "coalesce(round(try_divide(unique_count, present_count), 3), 0D) AS unique_ratio",
+        *[f"IF({number}, {m}, NULL) AS {m}" for m in ("min_value", "max_value")],
+        *[f"IF({number}, round({m}, 4), NULL) AS {m}" for m in ("mean", "median", "std")],
+        f"IF({number}, round(std * std, 4), NULL) AS variance",
+        *[f"IF({number}, round(p{p}, 4), NULL) AS p{p}" for p in NUMERIC_PERCENTILES],
+        f"IF({number}, outlier_count, NULL) AS outlier_count",
+        *[f"IF({sized}, {m}, NULL) AS {m}" for m in ("min_length", "max_length")],
+        *[f"IF({sized}, round({m}, 2), NULL) AS {m}" for m in ("avg_length", "median_length")],
+        f"IF({text}, round(std_length, 2), NULL) AS std_length",
+        *[f"IF({text}, CAST(length_p{p} AS BIGINT), NULL) AS length_p{p}" for p in LENGTH_PERCENTILES],
+        *[f"IF({text}, {pct('chars_' + c, f'({chars})')}, NULL) AS {c}_pct" for c in CHAR_CLASSES],
         "true_count",
         "false_count",
-        C.percent(F.col("true_count"), F.col("present_count")).alias("true_percentage"),
-        C.percent(F.col("false_count"), F.col("present_count")).alias("false_percentage"),
+        "round(try_divide(true_count, present_count) * 100, 2) AS true_percentage",
+        "round(try_divide(false_count, present_count) * 100, 2) AS false_percentage",
         "empty_arrays",
         "unique_keys",
-        F.round("avg_keys_per_object", 2).alias("avg_keys_per_object"),
-        F.when(F.col("data_type") == "object", F.lit(1.0)).alias("key_consistency"),
+        "round(avg_keys_per_object, 2) AS avg_keys_per_object",
+        "IF(data_type = 'object', 1D, NULL) AS key_consistency",
         "min_date",
         "max_date",
         "future_date_count",
         "invalid_email_count",
-        *[F.col("match_" + p).alias(f"{p}_matches") for p in patterns],
-        *[share.alias(f"{p}_pct") for p, (_, share) in zip(patterns, shares)],
-        F.when(F.col("present_count") > 0, dominant).alias("dominant_pattern"),
-        F.greatest(*[s for _, s in shares], F.lit(0.0)).alias("best_pattern_pct"),
-    )
+        *[f"{m} AS {C.sql_name(p + '_matches')}" for p, m in match.items()],
+        *[f"{share} AS {C.sql_name(p + '_pct')}" for p, share in shares.items()],
+        f"IF(present_count > 0, CASE {dominant} END, NULL) AS dominant_pattern"
+        if patterns
+        else "CAST(NULL AS STRING) AS dominant_pattern",
+        f"greatest({', '.join([*shares.values(), '0D', '0D'])}) AS best_pattern_pct",
+    ]
+    return joined.withColumn("data_type", F.expr(_VOTED_TYPE)).selectExpr(*columns)
 
 
 def with_flags(frame: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from datagauge.operators import tables as tables_ops
 from datagauge.operators.issues import corrected_scores, issue_counts
-from datagauge.operators.profile import profile
+from datagauge.operators.profile import profile_all
 from datagauge.operators.rules import DEFAULT_RULES, RuleSet, record_issues
 from datagauge.params import DEFAULTS, Thresholds
 from datagauge.session import cut_lineage
@@ -23,11 +23,6 @@ def table_positions(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(list(zip(names, range(len(names)))), "table_name string, position int")
 
 
-def profile_tables(tables: dict[str, DataFrame], **options) -> DataFrame:
-    """Profile rows of all tables in one frame."""
-    return tables_ops.union_profiles([profile(df, name, **options) for name, df in tables.items()])
-
-
 @dataclass
 class Assessment:
     """Frames of a dataset run; each holds a few rows per column or table."""
@@ -50,7 +45,7 @@ def assess(
 
     The profile rows are checkpointed, since all that follows reads them.
     """
-    profiles = cut_lineage(profile_tables(tables, limits=limits, as_of_date=as_of_date))
+    profiles = cut_lineage(profile_all(tables, limits=limits, as_of_date=as_of_date))
     scores = tables_ops.table_scores(profiles)
     originals = {r.table_name: r for r in scores.collect()}
     corrected = {}
