@@ -1,10 +1,13 @@
-"""Record rules: every rule is a column expression that gives an issue or null, so one scan checks them all."""
+"""Record rules: one scan checks them all.
+
+Every alternative of a rule has a code. A row's rules give an array of fired codes, which is exploded; what a code
+stands for is looked up in literal arrays, and message texts are put together for fired codes only.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +18,6 @@ from datagauge.functions.numbers import to_number
 from datagauge.functions.text import matches, strip
 from datagauge.params import PATTERNS
 
-ISSUE_TYPE = "struct<rule:string,kind:string,category:string,severity:string,field:string,message:string>"
-
-
 @dataclass(frozen=True)
 class FieldNames:
     """The field names the rules look for, in the order they are tried."""
@@ -151,33 +151,30 @@ def purchase_dates(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> Column:
 # --- rules ----------------------------------------------------------------------------------------------------------
 
 
-class _Checks:
-    """Collects the issue expressions of one frame."""
+class Checks:
+    """Collects the rules of one frame: conditions that yield codes, and what each code stands for."""
 
-    def __init__(self, df: DataFrame, as_of: str, rules: RuleSet, row_index: Column | None):
+    def __init__(self, df: DataFrame, as_of: str, rules: RuleSet):
         self.df, self.rules = df, rules
         self.today = F.lit(as_of).cast("date")
-        self.user = F.col("_record_id")
+        self.meanings: list[tuple[str, str, str, str, str]] = []
+        self.messages: list[Column] = []
         self.single: list[Column] = []
-        self.repeated: list[Column] = []
+        self.per_purchase: list = []
 
-    def issue(self, rule: str, kind: str, category: str, severity: str, name: str, *tail) -> Column:
-        words = [F.lit(kind + ": User "), self.user]
+    def issue(self, rule: str, kind: str, category: str, severity: str, name: str, *tail) -> int:
+        """Registers an issue and gives its code; ``tail`` is the message after the user, as texts and columns."""
+        words = [F.lit(kind + ": User "), F.col("_record_id")]
         words += [F.lit(t) if isinstance(t, str) else t.cast("string") for t in tail]
-        return F.struct(
-            F.lit(rule).alias("rule"),
-            F.lit(kind).alias("kind"),
-            F.lit(category).alias("category"),
-            F.lit(severity).alias("severity"),
-            F.lit(name).alias("field"),
-            F.concat(*[F.coalesce(w, F.lit("None")) for w in words]).alias("message"),
-        )
+        self.meanings.append((rule, kind, category, severity, name))
+        self.messages.append(F.concat(*[F.coalesce(w, F.lit("None")) for w in words]))
+        return len(self.messages) - 1
 
-    def add(self, *cases: tuple[Column, Column]) -> None:
+    def add(self, *cases: tuple[Column, int]) -> None:
         """One rule with alternatives; the first condition that holds gives the issue."""
-        chain = F.when(*cases[0])
-        for condition, issue in cases[1:]:
-            chain = chain.when(condition, issue)
+        chain = F.when(cases[0][0], F.lit(cases[0][1]))
+        for condition, code in cases[1:]:
+            chain = chain.when(condition, F.lit(code))
         self.single.append(chain)
 
     def number(self, name: str) -> Column:
@@ -189,7 +186,7 @@ class _Checks:
         return _as_text(self.df, name)
 
 
-def _temporal(k: _Checks) -> None:
+def _temporal(k: Checks) -> None:
     signup, day = F.col("_signup"), F.col("_signup_day")
     years = F.date_diff(k.today, day) / 365.25
     k.add((day > k.today, k.issue("V02", "CRITICAL", "future_dates", "CRITICAL", "signup_date", " has future signup date: ", signup)))
@@ -199,18 +196,16 @@ def _temporal(k: _Checks) -> None:
                 F.format_string("%.1f", years), " years ago: ", signup),
     ))
 
-    def of_purchase(text: Column) -> Column:
-        bought = parse_date(text)
+    if _existing(k.df, k.rules.fields.purchases):
+        text = F.col("_item")
         future = k.issue("V04", "CRITICAL", "future_dates", "CRITICAL", "purchase_date", " has future purchase date: ", text)
         early = k.issue("V05", "LOGICAL ERROR", "impossible_sequences", "HIGH", "purchase_date",
                         " purchased (", text, ") before signup (", signup, ")")
-        return F.array(F.when(bought > k.today, future), F.when(bought < day, early))
-
-    if _existing(k.df, k.rules.fields.purchases):
-        k.repeated.append(F.flatten(F.transform(F.col("_purchases"), of_purchase)))
+        k.per_purchase.append((future, lambda bought: bought > k.today))
+        k.per_purchase.append((early, lambda bought: bought < day))
 
 
-def _cross_field(k: _Checks) -> None:
+def _cross_field(k: Checks) -> None:
     name, email, age = F.col("_name"), F.col("_email"), F.col("_age")
     local = F.lower(F.split_part(email, F.lit("@"), F.lit(1)))
     lowered = F.lower(name)
@@ -232,13 +227,13 @@ def _cross_field(k: _Checks) -> None:
     )
 
 
-def _email(k: _Checks) -> None:
+def _email(k: Checks) -> None:
     email = F.col("_email")
     bad = (email != "") & ~matches(email, PATTERNS["email"])
     k.add((bad, k.issue("V08", "EMAIL FORMAT ERROR", "email_format_issues", "HIGH", "email", " has invalid email format: '", email, "'")))
 
 
-def _age_and_salary(k: _Checks) -> None:
+def _age_and_salary(k: Checks) -> None:
     age = F.col("_age")
     k.add(
         (age < 0, k.issue("V09", "IMPOSSIBLE VALUE", "business_logic_issues", "CRITICAL", "age", " has negative age: ", age)),
@@ -258,7 +253,7 @@ def _age_and_salary(k: _Checks) -> None:
     )
 
 
-def _name(k: _Checks) -> None:
+def _name(k: Checks) -> None:
     name = F.col("_name")
     lowered, size = F.lower(name), F.length(name)
     proper = matches(name, r"^[a-zA-Z\s\-'\.]+$") & ~lowered.isin(*k.rules.invalid_names) & name.rlike("[a-zA-Z]")
@@ -270,7 +265,7 @@ def _name(k: _Checks) -> None:
     )
 
 
-def _dates(k: _Checks) -> None:
+def _dates(k: Checks) -> None:
     for n in _existing(k.df, k.rules.fields.dates):
         raw, typed = k.text(n), C.families(k.df)[n] == "datetime"
         text, day = strip(raw), date_of(k.df, n)
@@ -296,7 +291,7 @@ def _dates(k: _Checks) -> None:
             k.add((a > b, k.issue("V16", "IMPOSSIBLE SEQUENCE", "impossible_sequences", "HIGH", start, f" has {start} (", a, f") after {end} (", b, ")")))
 
 
-def _business_email(k: _Checks) -> None:
+def _business_email(k: Checks) -> None:
     email = F.col("_email")
     domain = F.split_part(F.lower(email), F.lit("@"), F.lit(2))
     throwaway = domain.isin(*k.rules.test_domains) | domain.rlike("|".join(k.rules.disposable_parts))
@@ -309,7 +304,7 @@ def _business_email(k: _Checks) -> None:
     k.add(*cases)
 
 
-def _typed_fields(k: _Checks) -> None:
+def _typed_fields(k: Checks) -> None:
     names = k.rules.fields
     for n in _existing(k.df, names.required):
         empty = C.col(n).isNull() | (strip(k.text(n)) == "")
@@ -354,7 +349,7 @@ def _typed_fields(k: _Checks) -> None:
             k.add(((value != "") & ~value.isin(*allowed), k.issue("V25", "INVALID CATEGORY", "business_logic_issues", "MEDIUM", n, f" has invalid {n}: '", value, expected)))
 
 
-def _statistical(k: _Checks) -> None:
+def _statistical(k: Checks) -> None:
     for n, (low, high) in k.rules.statistical_bounds.items():
         if n in k.df.columns:
             x = k.number(n)
@@ -365,29 +360,18 @@ def _statistical(k: _Checks) -> None:
 GROUPS = (_temporal, _cross_field, _email, _age_and_salary, _name, _dates, _business_email, _typed_fields, _statistical)
 
 
-def with_issues(
-    df: DataFrame, as_of_date: str, rules: RuleSet = DEFAULT_RULES, row_index: Column | None = None
-) -> DataFrame:
-    """Adds ``_record_id`` and the array ``_issues`` of everything the rules find in a row."""
-    prepared = df.select(
-        "*",
-        record_id(df, rules, row_index).alias("_record_id"),
-        record_name(df, rules).alias("_name"),
-        record_email(df, rules).alias("_email"),
-        record_age(df, rules).alias("_age"),
-        signup_date(df, rules).alias("_signup"),
-        purchase_dates(df, rules).alias("_purchases"),
-    ).withColumn("_signup_day", parse_date(F.col("_signup")))
-    checks = _Checks(df, as_of_date, rules, row_index)
-    for group in GROUPS:
-        group(checks)
-    extra = [rule(df) for rule in rules.extra]
-    found = F.array(*[c.cast(ISSUE_TYPE) for c in checks.single + extra])
-    if checks.repeated:
-        empty = F.array().cast(f"array<{ISSUE_TYPE}>")
-        found = F.concat(found, *[F.coalesce(c.cast(f"array<{ISSUE_TYPE}>"), empty) for c in checks.repeated])
-    helpers = ("_name", "_email", "_age", "_signup", "_purchases", "_signup_day")
-    return prepared.withColumn("_issues", F.array_compact(found)).drop(*helpers)
+def _fired(checks: Checks) -> Column:
+    """Array of ``(code, item)``; the item is the purchase date a repeated rule fired on."""
+    codes = F.array_compact(F.array(*checks.single))
+    plain = F.transform(codes, lambda c: F.struct(c.alias("code"), F.lit(None).cast("string").alias("item")))
+    if not checks.per_purchase:
+        return plain
+
+    def of_purchase(text: Column) -> Column:
+        hits = [F.when(test(parse_date(text)), F.lit(code)) for code, test in checks.per_purchase]
+        return F.transform(F.array_compact(F.array(*hits)), lambda c: F.struct(c.alias("code"), text.alias("item")))
+
+    return F.concat(plain, F.flatten(F.transform(F.col("_purchases"), of_purchase)))
 
 
 def record_issues(
@@ -400,10 +384,37 @@ def record_issues(
     """``(record_id, rule, kind, category, severity, field, message)``, one row per issue.
 
     ``structured``: the rule states category and severity. ``keyword``: both are read off the message, by
-    ``datagauge.operators.issues``.
+    ``datagauge.operators.issues``. ``rules.extra`` holds further groups: functions that add to the ``Checks``.
     """
-    flagged = with_issues(df, as_of_date, rules, row_index)
-    issues = flagged.select(F.col("_record_id").alias("record_id"), F.inline("_issues"))
+    prepared = df.select(
+        "*",
+        record_id(df, rules, row_index).alias("_record_id"),
+        record_name(df, rules).alias("_name"),
+        record_email(df, rules).alias("_email"),
+        record_age(df, rules).alias("_age"),
+        signup_date(df, rules).alias("_signup"),
+        purchase_dates(df, rules).alias("_purchases"),
+    ).withColumn("_signup_day", parse_date(F.col("_signup")))
+    checks = Checks(df, as_of_date, rules)
+    for group in (*GROUPS, *rules.extra):
+        group(checks)
+    # The outer form keeps the optimizer from testing every rule a second time to find rows without issues.
+    hits = prepared.withColumn("_hit", F.explode_outer(_fired(checks))).where("_hit is not null")
+    hits = hits.select("*", F.col("_hit.code").alias("_code"), F.col("_hit.item").alias("_item"))
+
+    def meaning(position: int) -> Column:
+        return F.get(F.array(*[F.lit(m[position]) for m in checks.meanings]), F.col("_code"))
+
+    message = F.lit(None).cast("string")
+    if checks.messages:
+        message = F.when(F.col("_code") == 0, checks.messages[0])
+        for code, text in enumerate(checks.messages[1:], 1):
+            message = message.when(F.col("_code") == code, text)
+    issues = hits.select(
+        F.col("_record_id").alias("record_id"),
+        *[meaning(n).alias(c) for n, c in enumerate(("rule", "kind", "category", "severity", "field"))],
+        message.alias("message"),
+    )
     if mode == "keyword":
         from .issues import by_keyword
 
