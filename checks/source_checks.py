@@ -1 +1,209 @@
-"""Checks."""
+"""Checks of readers, nested tables and JSON inside text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from datagauge.operators.extract_json import extract_json
+from datagauge.session import scratch_path
+from datagauge.sources import files, nested
+
+from .registry import check, table, tables, union_all
+
+
+@check("source_parquet", "SELECT * FROM supplier")
+def source_parquet(spark, sf_dir):
+    return files.read_table(spark, f"{sf_dir}/supplier.parquet")
+
+
+@check("source_csv", "SELECT * FROM customer")
+def source_csv(spark, sf_dir):
+    path = scratch_path(spark, "customer") + ".csv"
+    files.write_csv(table(spark, sf_dir, "customer"), path)
+    return files.read_table(spark, path)
+
+
+@check("source_tsv", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def source_tsv(spark, sf_dir):
+    path = scratch_path(spark, "orders") + ".tsv"
+    df = table(spark, sf_dir, "orders").drop("o_orderdate")
+    df.write.csv(path, header=True, sep="\t")
+    return files.read_table(spark, path)
+
+
+@check("source_json", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def source_json(spark, sf_dir):
+    path = scratch_path(spark, "documents") + ".json"
+    files.write_json(table(spark, sf_dir, "documents"), path)
+    return files.read_table(spark, path, multi_line=False).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+@check(
+    "source_xml",
+    'SELECT p_brand, CAST(p_partkey AS VARCHAR) AS p_partkey, CAST(p_size AS VARCHAR) AS p_size, p_type FROM part',
+)
+def source_xml(spark, sf_dir):
+    path = scratch_path(spark, "part") + ".xml"
+    df = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", "p_type")
+    df.write.format("xml").option("rowTag", "row").save(path)
+    return files.read_table(spark, path)
+
+
+@check(
+    "source_tables",
+    union_all(
+        [f"SELECT '{t}' AS table_name, count(*) AS record_count FROM {t}" for t in ("region", "nation", "part", "events")]
+    ),
+)
+def source_tables(spark, sf_dir):
+    found = files.read_tables(spark, {t: f"{sf_dir}/{t}.parquet" for t in ("region", "nation", "part", "events")})
+    parts = [df.agg(F.lit(t).alias("table_name"), F.count("*").alias("record_count")) for t, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@check("source_inventory")
+def source_inventory(spark, sf_dir):
+    return files.file_inventory(spark, sf_dir)
+
+
+PREVIEWED = {"customer": ("c_custkey", "c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment"),
+             "documents": ("doc_id", "doc_id,text,lang,source,n_chars")}
+
+
+@check(
+    "source_preview",
+    union_all(
+        [
+            f"""SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS record_count, '{columns}' AS columns,
+  row_number() OVER (ORDER BY {key}) - 1 AS position, {key} AS key FROM {t} QUALIFY position < 5"""
+            for t, (key, columns) in PREVIEWED.items()
+        ]
+    ),
+)
+def source_preview(spark, sf_dir):
+    found = files.preview(tables(spark, sf_dir, *PREVIEWED), {t: [key] for t, (key, _) in PREVIEWED.items()})
+    key = F.coalesce(F.get_json_object("record", "$.c_custkey"), F.get_json_object("record", "$.doc_id"))
+    return found.select("table_name", "record_count", "columns", "position", key.cast("bigint").alias("key"))
+
+
+# --- nested tables -------------------------------------------------------------------------------------------------------
+
+
+def _nested(spark, sf_dir):
+    """Documents with their lines, and the words of every line."""
+
+    def line(text):
+        words = F.transform(F.split(text, " "), lambda w: F.struct(w.alias("word")))
+        return F.struct(text.alias("line"), words.alias("words"))
+
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.struct("lang", "source").alias("meta"),
+        F.split("source", "c").alias("marks"),
+        F.transform(F.split("text", "\n"), line).alias("lines"),
+        F.struct("n_chars", F.struct(F.array(F.struct("lang")).alias("codes")).alias("deep")).alias("stats"),
+    )
+
+
+LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"
+WORDS = f"(SELECT doc_id, unnest(string_split(line, ' ')) AS word FROM {LINES})"
+TABLE_SIZES = f"""SELECT 'main_table' AS table_name, count(*) AS records FROM documents UNION ALL
+SELECT 'lines', count(*) FROM {LINES} UNION ALL SELECT 'lines_words', count(*) FROM {WORDS} UNION ALL
+SELECT 'stats_deep_codes', count(*) FROM documents"""
+
+
+@check("nested_tables", TABLE_SIZES)
+def nested_tables(spark, sf_dir):
+    found = nested.extract_tables(_nested(spark, sf_dir))
+    result = None
+    for name, df in found.items():
+        part = df.agg(F.lit(name).alias("table_name"), F.count("*").alias("records"))
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+@check("nested_words", f"SELECT word, count(*) AS n FROM {WORDS} GROUP BY word")
+def nested_words(spark, sf_dir):
+    return nested.extract_tables(_nested(spark, sf_dir))["lines_words"].groupBy("word").agg(F.count("*").alias("n"))
+
+
+@check(
+    "nested_lineage",
+    """SELECT line, ordinal - 1 AS ordinal, count(*) AS n FROM (
+  SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ordinal FROM documents) GROUP BY 1, 2""",
+)
+def nested_lineage(spark, sf_dir):
+    lines = nested.extract_tables(_nested(spark, sf_dir), lineage=True)["lines"]
+    return lines.groupBy("line", F.col("_parent_ordinal").alias("ordinal")).agg(F.count("*").alias("n"))
+
+
+@check("nested_variant_tables", TABLE_SIZES)
+def nested_variant_tables(spark, sf_dir):
+    records = _nested(spark, sf_dir).select(F.parse_json(F.to_json(F.struct("*"))).alias("v"))
+    return nested.extract_variant_tables(records, "v").groupBy("table_name").agg(F.count("*").alias("records"))
+
+
+@check(
+    "nested_report_tables",
+    f"""SELECT 'meta' AS table_name, count(*) AS records FROM documents UNION ALL SELECT 'marks', sum(len(string_split(source, 'c')))::BIGINT FROM documents
+UNION ALL SELECT 'lines', count(*) FROM {LINES} UNION ALL SELECT 'stats_deep_codes', count(*) FROM documents""",
+)
+def nested_report_tables(spark, sf_dir):
+    result = None
+    for name, df in nested.report_tables(_nested(spark, sf_dir)).items():
+        part = df.agg(F.lit(name).alias("table_name"), F.count("*").alias("records"))
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+INVENTORY = """SELECT concat('item_', doc_id, '_', n) AS table_path, r::BIGINT AS records FROM (
+  SELECT doc_id, 'meta' AS n, 1 AS r FROM documents UNION ALL SELECT doc_id, 'marks', len(string_split(source, 'c')) FROM documents
+  UNION ALL SELECT doc_id, 'lines', len(string_split(text, chr(10))) FROM documents UNION ALL SELECT doc_id, 'stats_deep_codes', 1 FROM documents)"""
+
+
+@check("nested_report_inventory", INVENTORY)
+def nested_report_inventory(spark, sf_dir):
+    return nested.report_inventory(_nested(spark, sf_dir), F.col("doc_id"))
+
+
+@check(
+    "nested_hierarchy",
+    f"""SELECT table_path, records, 'item' AS parent, len(string_split(table_path, '_')) - 1 AS level FROM ({INVENTORY})""",
+)
+def nested_hierarchy(spark, sf_dir):
+    return nested.path_hierarchy(nested.report_inventory(_nested(spark, sf_dir), F.col("doc_id")), "table_path")
+
+
+@check(
+    "nested_flat",
+    "SELECT event_id, concat('{\"event_type\":\"', event_type, '\",\"user_id\":', user_id, '}') AS item FROM events",
+)
+def nested_flat(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", F.struct("event_type", "user_id").alias("item"))
+    return files.flat(df)
+
+
+# --- JSON inside text -----------------------------------------------------------------------------------------------------
+
+FORM = "(conv_id + turn) % 6"
+OBJECT = "concat('{\"conv\": ', CAST(conv_id AS VARCHAR(20)), ', \"turn\": ', CAST(turn AS VARCHAR(20)), '}')"
+ANSWERS = f"""SELECT conv_id * 1000 + turn AS id, {FORM} AS form, {OBJECT} AS doc, text FROM conversations"""
+
+
+@check(
+    "extract_json",
+    f"""SELECT id, CASE form WHEN 1 THEN 'json_fence' WHEN 2 THEN 'plain_fence' WHEN 3 THEN 'brace_span'
+  WHEN 4 THEN 'balanced_braces' ELSE 'intro_phrase' END AS method, doc AS json_text FROM ({ANSWERS}) WHERE form > 0""",
+)
+def extract_json_query(spark, sf_dir):
+    answers = spark.sql(ANSWERS.replace("FROM conversations", f"FROM parquet.`{sf_dir}/conversations.parquet`"))
+    fence, form = F.lit("```"), F.col("form")
+    answer = (
+        F.when(form == 1, F.concat("text", F.lit("\n"), fence, F.lit("json\n"), "doc", F.lit("\n"), fence))
+        .when(form == 2, F.concat("text", F.lit("\n"), fence, F.lit("\n"), "doc", F.lit("\n"), fence, F.lit(" done")))
+        .when(form == 3, F.concat("text", F.lit(" "), "doc", F.lit(" "), "text"))
+        .when(form == 4, F.concat("text", F.lit(" "), "doc", F.lit(" and a stray } "), "text"))
+        .when(form == 5, F.concat("text", F.lit(" not {this} but the Result: "), "doc", F.lit(" "), "text"))
+        .otherwise(F.col("text"))
+    )
+    return extract_json(answers.select("id", answer.alias("answer")), "id", "answer")

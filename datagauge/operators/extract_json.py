@@ -25,8 +25,16 @@ def _trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def _valid(c: Column) -> Column:
-    return F.when(F.try_parse_json(c).isNotNull(), c)
+def _is_json(c: Column) -> Column:
+    """Whether a text is one JSON value. The parser stops after the first value, so the text is parsed as the only
+    element of a list and as the only field of an object: no trailing text passes both."""
+    in_list = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return in_list.isNotNull() & in_object.isNotNull()
+
+
+def _hit(method: str, c: Column) -> Column:
+    return F.struct(F.lit(method).alias("method"), c.alias("json_text"))
 
 
 def _between_braces(c: Column) -> Column:
@@ -62,26 +70,30 @@ def extract_json(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """
     text = F.col("text")
     picked = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null")
-    fenced = F.when(text.rlike(_FENCED_JSON), _trimmed(F.regexp_extract(text, _FENCED_JSON, 1)))
-    plain = F.when(text.rlike(_FENCED), _valid(_trimmed(F.regexp_extract(text, _FENCED, 1))))
-    direct = picked.select(
-        "*", fenced.alias("m1"), plain.alias("m2"), _valid(_between_braces(text)).alias("m3")
+    cut = picked.select(
+        "*",
+        F.when(text.rlike(_FENCED_JSON), _trimmed(F.regexp_extract(text, _FENCED_JSON, 1))).alias("c1"),
+        F.when(text.rlike(_FENCED), _trimmed(F.regexp_extract(text, _FENCED, 1))).alias("c2"),
+        _between_braces(text).alias("c3"),
     )
-    open_case = F.coalesce("m1", "m2", "m3").isNull() & text.contains("{")
-    balanced = direct.withColumn("m4", _first_balanced(F.when(open_case, text)))
-    balanced = balanced.withColumn("m4", _valid(F.col("m4")))
-    intro = F.coalesce(
-        *[
-            F.when(text.rlike("(?i)" + p), _valid(_trimmed(F.regexp_extract(text, "(?i)" + p, 1))))
-            for p in INTRO_PATTERNS
-        ]
+    direct = cut.select(
+        "id",
+        "text",
+        F.when(F.col("c1").isNotNull(), _hit("json_fence", F.col("c1")))
+        .when(_is_json(F.col("c2")), _hit("plain_fence", F.col("c2")))
+        .when(_is_json(F.col("c3")), _hit("brace_span", F.col("c3")))
+        .alias("hit"),
     )
-    still_open = open_case & F.col("m4").isNull()
-    done = balanced.withColumn("m5", F.when(still_open, intro))
-    method = F.lit(None).cast("string")
-    names = ("json_fence", "plain_fence", "brace_span", "balanced_braces", "intro_phrase")
-    for n, name in reversed(list(enumerate(names, 1))):
-        method = F.when(F.col(f"m{n}").isNotNull(), name).otherwise(method)
-    return done.select(
-        "id", method.alias("method"), F.coalesce(*[F.col(f"m{n}") for n in range(1, 6)]).alias("json_text")
-    ).where("json_text is not null")
+    undecided = direct.withColumn("open", F.when(F.col("hit").isNull() & text.contains("{"), text))
+    balanced = undecided.withColumn("c4", _first_balanced("open"))
+    introduced = [
+        F.when(F.col("open").rlike("(?i)" + p), _trimmed(F.regexp_extract("open", "(?i)" + p, 1))).alias(f"i{n}")
+        for n, p in enumerate(INTRO_PATTERNS)
+    ]
+    last = F.when(_is_json(F.col("c4")), _hit("balanced_braces", F.col("c4")))
+    for n in range(len(INTRO_PATTERNS)):
+        last = last.when(_is_json(F.col(f"i{n}")), _hit("intro_phrase", F.col(f"i{n}")))
+    result = balanced.select("id", "hit", "c4", *introduced)
+    # The outer form leaves the test for a hit after the expressions, where they are computed once.
+    hits = result.select("id", F.inline_outer(F.array(F.coalesce("hit", last))))
+    return hits.where("json_text is not null")
