@@ -2,7 +2,7 @@
 
 Rows are range-partitioned and sorted by a total order, numbered inside their partition, and the frame is
 checkpointed so that the numbering survives lost executors. Only one count (or sum) per partition is collected; the
-running offsets come back as a small literal map.
+running offsets come back as a broadcast frame with one row per partition.
 """
 
 from __future__ import annotations
@@ -22,50 +22,31 @@ def _ranged(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     return cut_lineage(ordered.withColumn("_mid", F.monotonically_increasing_id()))
 
 
-def _offset(values: dict[int, float], kind: str) -> Column:
-    """Offset of a row's partition, looked up in a literal map with one entry per partition."""
-    pairs = [F.lit(x) for pid, v in values.items() for x in (pid, v)]
-    lookup = F.create_map(*pairs) if pairs else F.create_map(F.lit(0), F.lit(0))
-    return F.element_at(lookup, F.shiftright("_mid", _LOCAL_BITS).cast("int")).cast(kind)
+def _with_offsets(ranged: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    """Adds ``_pid`` and per total the sum over all earlier partitions, as ``name#before``."""
+    placed = ranged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS).cast("int"))
+    sums = placed.groupBy("_pid").agg(*[F.sum(v).alias(n) for n, v in totals.items()]).orderBy("_pid")
+    before, rows = {n: 0 for n in totals}, []
+    for row in sums.collect():
+        rows.append((row["_pid"], *before.values()))
+        before = {n: v + (row[n] or 0) for n, v in before.items()}
+    kinds = {n: "bigint" if sums.schema[n].dataType.typeName() == "long" else "double" for n in totals}
+    schema = "_pid int, " + ", ".join(f"`{n}#before` {k}" for n, k in kinds.items())
+    typed = [(r[0], *[v if k == "bigint" else float(v) for v, k in zip(r[1:], kinds.values())]) for r in rows]
+    return placed.join(F.broadcast(placed.sparkSession.createDataFrame(typed, schema)), "_pid")
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "idx") -> DataFrame:
     """Adds the 0-based position of every row under ``order_by``, which must be a total order."""
-    ranged = _ranged(df, order_by)
     local = F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)
-    sizes = (
-        ranged.groupBy(F.shiftright("_mid", _LOCAL_BITS).cast("int").alias("pid"))
-        .agg(F.count("*").alias("n"))
-        .orderBy("pid")
-        .collect()
-    )
-    offsets, total = {}, 0
-    for row in sizes:
-        offsets[row.pid] = total
-        total += row.n
-    return ranged.withColumn(name, _offset(offsets, "bigint") + local).drop("_mid")
+    placed = _with_offsets(_ranged(df, order_by), {name: F.lit(1).cast("bigint")})
+    return placed.withColumn(name, F.col(f"`{name}#before`") + local).drop("_mid", "_pid", f"{name}#before")
 
 
 def with_running_totals(df: DataFrame, order_by: Sequence[str], totals: dict[str, Column]) -> DataFrame:
     """Adds inclusive running totals over the whole order, one column per entry of ``totals``."""
-    terms = df
-    for name, value in totals.items():
-        terms = terms.withColumn(name, value)
-    ranged = _ranged(terms, order_by)
-    sums = (
-        ranged.groupBy(F.shiftright("_mid", _LOCAL_BITS).cast("int").alias("pid"))
-        .agg(*[F.sum(n).alias(n) for n in totals])
-        .orderBy("pid")
-        .collect()
-    )
-    within = Window.partitionBy(F.shiftright("_mid", _LOCAL_BITS)).orderBy("_mid")
-    within = within.rowsBetween(Window.unboundedPreceding, 0)
-    result = ranged
-    for name in totals:
-        offsets, total = {}, 0
-        for row in sums:
-            offsets[row.pid] = total
-            total += row[name] or 0
-        kind = "bigint" if ranged.schema[name].dataType.typeName() in ("long", "integer") else "double"
-        result = result.withColumn(name, F.sum(name).over(within) + _offset(offsets, kind))
-    return result.drop("_mid")
+    ranged = _ranged(df.withColumns(totals), order_by)
+    placed = _with_offsets(ranged, {n: F.col(n) for n in totals})
+    within = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    running = {n: F.sum(n).over(within) + F.col(f"`{n}#before`") for n in totals}
+    return placed.withColumns(running).drop("_mid", "_pid", *[f"{n}#before" for n in totals])

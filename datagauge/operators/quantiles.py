@@ -65,14 +65,12 @@ def bracket_quantiles(
 ) -> dict[str, list[float] | None]:
     """Exact quantiles from a sketch, one count and one grouped selection; see the module text."""
     typed = df.select(*[c.cast("double").alias(k) for k, c in columns.items()])
-    counts = typed.agg(*[F.count(_col(k)).alias(k) for k in columns]).first().asDict()
-    filled = [k for k in columns if counts[k]]
+    accuracy = accuracy or max(10_000, math.ceil(4 * df.count() / BRACKET_ROWS))
+    brackets, counts = _sketch_brackets(typed, list(columns), probabilities, accuracy)
+    filled = list(brackets)
     if not filled:
         return dict.fromkeys(columns)
-    accuracy = accuracy or max(10_000, math.ceil(4 * max(counts.values()) / BRACKET_ROWS))
     ranks = {k: [_ranks(p, counts[k]) for p in probabilities] for k in filled}
-
-    brackets = _sketch_brackets(typed, filled, counts, probabilities, accuracy)
     below = _counts_around(typed, brackets)
     wide = {}
     for k in filled:
@@ -117,16 +115,21 @@ def _one_row_per_key(typed: DataFrame, keys: Sequence[str], build) -> dict[str,
     return {row.key: row for row in reduce(DataFrame.unionByName, parts).collect()}
 
 
-def _sketch_brackets(typed, keys, counts, probabilities, accuracy) -> dict[str, list[tuple[float, float]]]:
+def _sketch_brackets(typed, keys, probabilities, accuracy) -> tuple[dict[str, list[tuple[float, float]]], dict[str, int]]:
+    """Brackets of the keys that have values, and the number of values of every key."""
     slack = 2.0 / accuracy
     edges = [max(0.0, p - slack) for p in probabilities] + [min(1.0, p + slack) for p in probabilities]
     rows = _one_row_per_key(
-        typed, keys, lambda k: [F.percentile_approx(_col(k), edges, accuracy).alias("edges")]
+        typed,
+        keys,
+        lambda k: [F.percentile_approx(_col(k), edges, accuracy).alias("edges"), F.count(_col(k)).alias("n")],
     )
     half = len(probabilities)
     brackets = {}
     for k in keys:
-        small = counts[k] <= accuracy
+        if not rows[k].n:
+            continue
+        small = rows[k].n <= accuracy
         brackets[k] = [
             (
                 -math.inf if small or edges[i] == 0.0 else rows[k].edges[i],
@@ -134,7 +137,7 @@ def _sketch_brackets(typed, keys, counts, probabilities, accuracy) -> dict[str,
             )
             for i in range(half)
         ]
-    return brackets
+    return brackets, {k: row.n for k, row in rows.items()}
 
 
 def _counts_around(typed: DataFrame, brackets: dict[str, list[tuple[float, float]]]) -> dict[str, Row]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datagauge.functions import columns as C
+from datagauge.session import cut_lineage
 
 # Name parts and type families the checks look for.
 CRITICAL_PARTS = (
@@ -55,13 +56,15 @@ def relationship_confidence(a: Column, b: Column, type_a: Column, type_b: Column
 
 
 def column_pairs(profiles: DataFrame, positions: DataFrame) -> DataFrame:
-    """Column pairs of each table with every later table. A theta join of profile rows, whose number the schema sets."""
+    """Column pairs of each table with every later table. A theta join of profile rows, whose number the schema sets;
+    they are checkpointed, so that the tables behind them are not scanned once per side."""
     placed = profiles.join(F.broadcast(positions), "table_name").select(
         "table_name", "position", "attribute", "data_type", "null_percentage"
     )
+    placed = cut_lineage(placed)
     first = placed.select(*[F.col(c).alias(c + "1") for c in placed.columns])
     second = placed.select(*[F.col(c).alias(c + "2") for c in placed.columns])
-    return first.join(second, F.col("position1") < F.col("position2"))
+    return first.join(F.broadcast(second), F.col("position1") < F.col("position2"))
 
 
 def relationship_candidates(profiles: DataFrame, positions: DataFrame) -> DataFrame:
@@ -120,6 +123,7 @@ def schema_evolution(profiles: DataFrame) -> DataFrame:
 
 def integrity_score(profiles: DataFrame, positions: DataFrame) -> DataFrame:
     """One row: relationships, violations and inconsistencies over all table pairs, and the score from them."""
+    profiles = cut_lineage(profiles)
     counts = (
         relationship_candidates(profiles, positions)
         .select(F.lit("r").alias("kind"))

@@ -29,12 +29,15 @@ def string_labels(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     names = [n for n, k in C.families(df).items() if k == "string"]
     if not names:
         return df.sparkSession.createDataFrame([], "attribute string, label string")
-    pairs = F.array(*[F.struct(F.lit(n).alias("attribute"), C.col(n).alias("value")) for n in names])
-    values = df.select(F.struct(*[C.col(c) for c in order_by]).alias("ord"), F.inline(pairs)).where("value is not null")
-    # The rank filter keeps three rows per column in every task before the shuffle.
-    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy("attribute").orderBy("ord")))
+    # Per column the three first values, found by a bounded heap in every task.
+    parts = []
+    for n in names:
+        order = [C.col(c).alias(f"_ord{i}") for i, c in enumerate(order_by)]
+        first = df.where(C.col(n).isNotNull()).select(*order, C.col(n).alias("value"))
+        first = first.orderBy(*[f"_ord{i}" for i in range(len(order))]).limit(3)
+        parts.append(first.select(F.lit(n).alias("attribute"), "value"))
     v = F.col("value")
-    tests = ranked.where("rank <= 3").groupBy("attribute").agg(
+    tests = reduce(DataFrame.unionByName, parts).groupBy("attribute").agg(
         F.bool_and(v.contains("@")).alias("email"),
         F.bool_and(v.startswith("http")).alias("url"),
         F.bool_and(F.regexp_replace(v, "[- ]", "").rlike(r"^[\p{L}\p{N}]+\z")).alias("alnum"),
