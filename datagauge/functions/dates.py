@@ -50,11 +50,7 @@ def parse_date(c: Column) -> Column:
 
 def is_date_format(c: Column) -> Column:
     """Whether a string has one of the accepted date shapes, whatever date it spells."""
-    s = strip(c)
-    test = matches(s, DATE_FORMATS[0])
-    for pattern in DATE_FORMATS[1:]:
-        test = test | matches(s, pattern)
-    return test
+    return matches(strip(c), "|".join(f"(?:{pattern})" for pattern in DATE_FORMATS))
 
 
 def date_of(df: DataFrame, name: str) -> Column:

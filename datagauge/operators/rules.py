@@ -185,6 +185,10 @@ class Checks:
     def text(self, name: str) -> Column:
         return _as_text(self.df, name)
 
+    def day(self, name: str) -> Column:
+        """The parsed date of a date field."""
+        return C.col(f"_day {name}")
+
 
 def _temporal(k: Checks) -> None:
     signup, day = F.col("_signup"), F.col("_signup_day")
@@ -207,10 +211,7 @@ def _temporal(k: Checks) -> None:
 
 def _cross_field(k: Checks) -> None:
     name, email, age = F.col("_name"), F.col("_email"), F.col("_age")
-    local = F.lower(F.split_part(email, F.lit("@"), F.lit(1)))
-    lowered = F.lower(name)
-    first = F.when(lowered.contains(" "), F.regexp_extract(lowered, r"^\S+", 0)).otherwise(lowered)
-    a, b = F.regexp_replace(first, "[^a-z]", ""), F.regexp_replace(local, "[0-9._-]", "")
+    local, a, b = F.col("_local"), F.col("_plain_name"), F.col("_plain_local")
     prefix = (F.length(a) >= 3) & (F.length(b) >= 3) & (F.contains(b, F.substring(a, 1, 3)) | F.contains(a, F.substring(b, 1, 3)))
     similar = (a == "") | (b == "") | F.contains(b, a) | F.contains(a, b) | prefix
     comparable = email.contains("@") & (F.length(name) > 2) & (F.length(local) > 2)
@@ -229,7 +230,7 @@ def _cross_field(k: Checks) -> None:
 
 def _email(k: Checks) -> None:
     email = F.col("_email")
-    bad = (email != "") & ~matches(email, PATTERNS["email"])
+    bad = (email != "") & ~F.col("_email_ok")
     k.add((bad, k.issue("V08", "EMAIL FORMAT ERROR", "email_format_issues", "HIGH", "email", " has invalid email format: '", email, "'")))
 
 
@@ -268,7 +269,7 @@ def _name(k: Checks) -> None:
 def _dates(k: Checks) -> None:
     for n in _existing(k.df, k.rules.fields.dates):
         raw, typed = k.text(n), C.families(k.df)[n] == "datetime"
-        text, day = strip(raw), date_of(k.df, n)
+        text, day = strip(raw), k.day(n)
         placeholder = F.lit(False) if typed else F.lower(text).isin(*k.rules.placeholder_dates)
         malformed = F.lit(False) if typed else ~is_date_format(text)
         cases = [
@@ -287,7 +288,7 @@ def _dates(k: Checks) -> None:
             )
     for start, end in k.rules.fields.date_pairs:
         if start in k.df.columns and end in k.df.columns:
-            a, b = date_of(k.df, start), date_of(k.df, end)
+            a, b = k.day(start), k.day(end)
             k.add((a > b, k.issue("V16", "IMPOSSIBLE SEQUENCE", "impossible_sequences", "HIGH", start, f" has {start} (", a, f") after {end} (", b, ")")))
 
 
@@ -296,7 +297,7 @@ def _business_email(k: Checks) -> None:
     domain = F.split_part(F.lower(email), F.lit("@"), F.lit(2))
     throwaway = domain.isin(*k.rules.test_domains) | domain.rlike("|".join(k.rules.disposable_parts))
     cases = [
-        ((email != "") & ~matches(email, PATTERNS["email"]), k.issue("V18", "INVALID EMAIL FORMAT", "email_format_issues", "HIGH", "email", " has invalid email: '", email, "'")),
+        ((email != "") & ~F.col("_email_ok"), k.issue("V18", "INVALID EMAIL FORMAT", "email_format_issues", "HIGH", "email", " has invalid email: '", email, "'")),
         ((email != "") & throwaway, k.issue("V18", "BUSINESS RULE VIOLATION", "business_logic_issues", "MEDIUM", "email", " has non-business email format: '", email, "'")),
     ]
     if "email" in k.df.columns:
@@ -360,18 +361,46 @@ def _statistical(k: Checks) -> None:
 GROUPS = (_temporal, _cross_field, _email, _age_and_salary, _name, _dates, _business_email, _typed_fields, _statistical)
 
 
-def _fired(checks: Checks) -> Column:
-    """Array of ``(code, item)``; the item is the purchase date a repeated rule fired on."""
-    codes = F.array_compact(F.array(*checks.single))
-    plain = F.transform(codes, lambda c: F.struct(c.alias("code"), F.lit(None).cast("string").alias("item")))
-    if not checks.per_purchase:
-        return plain
-
-    def of_purchase(text: Column) -> Column:
-        hits = [F.when(test(parse_date(text)), F.lit(code)) for code, test in checks.per_purchase]
-        return F.transform(F.array_compact(F.array(*hits)), lambda c: F.struct(c.alias("code"), text.alias("item")))
+def _hits(prepared: DataFrame, checks: Checks) -> DataFrame:
+    """One row per fired code, with ``_code`` and ``_item``, the purchase date a repeated rule fired on.
 
-    return F.concat(plain, F.flatten(F.transform(F.col("_purchases"), of_purchase)))
+    The codes are exploded as they are and nulls dropped behind the generator: all conditions stay in generated
+    code, which a lambda over the array would leave. The outer form keeps the optimizer from testing every rule a
+    second time to find rows without issues.
+    """
+    codes = prepared.withColumn("_code", F.explode_outer(F.array(*checks.single))).where("_code is not null")
+    hits = codes.withColumn("_item", F.lit(None).cast("string"))
+    if not checks.per_purchase:
+        return hits
+    bought = prepared.withColumn("_item", F.explode("_purchases")).withColumn("_bought", parse_date(F.col("_item")))
+    tests = F.array(*[F.when(test(F.col("_bought")), F.lit(code)) for code, test in checks.per_purchase])
+    repeated = bought.withColumn("_code", F.explode_outer(tests)).where("_code is not null").drop("_bought")
+    return hits.unionByName(repeated)
+
+
+def _prepared(df: DataFrame, rules: RuleSet, row_index: Column | None) -> DataFrame:
+    """Adds what several rules read, so that it is computed once per row: resolved fields, parsed dates, plain names."""
+    names = rules.fields
+    dated = dict.fromkeys([*names.dates, *(n for pair in names.date_pairs for n in pair)])
+    resolved = df.select(
+        "*",
+        record_id(df, rules, row_index).alias("_record_id"),
+        record_name(df, rules).alias("_name"),
+        record_email(df, rules).alias("_email"),
+        record_age(df, rules).alias("_age"),
+        signup_date(df, rules).alias("_signup"),
+        purchase_dates(df, rules).alias("_purchases"),
+        *[date_of(df, n).alias(f"_day {n}") for n in _existing(df, dated)],
+    )
+    lowered = F.lower("_name")
+    first = F.when(lowered.contains(" "), F.regexp_extract(lowered, r"^\S+", 0)).otherwise(lowered)
+    return resolved.select(
+        "*",
+        parse_date(F.col("_signup")).alias("_signup_day"),
+        F.lower(F.split_part("_email", F.lit("@"), F.lit(1))).alias("_local"),
+        F.regexp_replace(first, "[^a-z]", "").alias("_plain_name"),
+        matches(F.col("_email"), PATTERNS["email"]).alias("_email_ok"),
+    ).withColumn("_plain_local", F.regexp_replace("_local", "[0-9._-]", ""))
 
 
 def record_issues(
@@ -386,21 +415,11 @@ def record_issues(
     ``structured``: the rule states category and severity. ``keyword``: both are read off the message, by
     ``datagauge.operators.issues``. ``rules.extra`` holds further groups: functions that add to the ``Checks``.
     """
-    prepared = df.select(
-        "*",
-        record_id(df, rules, row_index).alias("_record_id"),
-        record_name(df, rules).alias("_name"),
-        record_email(df, rules).alias("_email"),
-        record_age(df, rules).alias("_age"),
-        signup_date(df, rules).alias("_signup"),
-        purchase_dates(df, rules).alias("_purchases"),
-    ).withColumn("_signup_day", parse_date(F.col("_signup")))
+    prepared = _prepared(df, rules, row_index)
     checks = Checks(df, as_of_date, rules)
     for group in (*GROUPS, *rules.extra):
         group(checks)
-    # The outer form keeps the optimizer from testing every rule a second time to find rows without issues.
-    hits = prepared.withColumn("_hit", F.explode_outer(_fired(checks))).where("_hit is not null")
-    hits = hits.select("*", F.col("_hit.code").alias("_code"), F.col("_hit.item").alias("_item"))
+    hits = _hits(prepared, checks)
 
     def meaning(position: int) -> Column:
         return F.get(F.array(*[F.lit(m[position]) for m in checks.meanings]), F.col("_code"))
