@@ -124,8 +124,8 @@ def orphan_keys_hot(spark, sf_dir):
 
 def integrity_sql(child: str, key: str, parent: str, parent_key: str) -> str:
     return f"""SELECT '{child}.{key}' AS child, '{parent}.{parent_key}' AS parent, count(*) AS child_rows,
-  count_if(p.k IS NOT NULL) AS matched_rows, count(DISTINCT CASE WHEN p.k IS NULL THEN c.{key} END) AS orphan_keys,
-  round(count_if(p.k IS NOT NULL) * 100.0 / count(*), 4) AS integrity_rate
+  count(*) FILTER (WHERE p.k IS NOT NULL) AS matched_rows, count(DISTINCT CASE WHEN p.k IS NULL THEN c.{key} END) AS orphan_keys,
+  round(count(*) FILTER (WHERE p.k IS NOT NULL) * 100.0 / count(*), 4) AS integrity_rate
 FROM {child} c LEFT JOIN (SELECT DISTINCT {parent_key} AS k FROM {parent}) p ON c.{key} = p.k WHERE c.{key} IS NOT NULL"""
 
 
@@ -147,7 +147,7 @@ def integrity_rate(spark, sf_dir):
 def cardinality_sql(child: str, key: str, parent: str, parent_key: str) -> str:
     return f"""SELECT '{child}.{key}' AS child, '{parent}.{parent_key}' AS parent, count(*) AS parent_keys,
   min(children) AS min_children, max(children) AS max_children, round(avg(children), 4) AS avg_children,
-  count_if(children = 0) AS childless_parents,
+  count(*) FILTER (WHERE children = 0) AS childless_parents,
   CASE WHEN max(children) > 1 AND max(parents) > 1 THEN 'n:m' WHEN max(children) > 1 THEN '1:n'
        WHEN max(parents) > 1 THEN 'n:1' ELSE '1:1' END AS cardinality
 FROM (SELECT p.k, p.parents, coalesce(c.children, 0) AS children
@@ -275,7 +275,7 @@ def rel_type_conflicts(spark, sf_dir):
 
 
 NULL_KEYS = """SELECT 'orders_v' AS table_name, 'customer_id' AS field, t.n AS table2,
-  round(count_if(o_orderkey % 3 = 0) * 100.0 / count(*), 2) AS null_percentage
+  round(count(*) FILTER (WHERE o_orderkey % 3 = 0) * 100.0 / count(*), 2) AS null_percentage
 FROM orders, (VALUES ('labels'), ('documents'), ('people'), ('orders')) t(n) GROUP BY t.n"""
 
 
@@ -331,8 +331,8 @@ def meta_rules_star(spark, sf_dir):
 
 
 def _mixed_rules_sql() -> str:
-    nulls = "round(count_if(o_orderkey % 3 = 0) * 100.0 / count(*), 2)"
-    blanks = "round(count_if(o_orderkey % 5 = 0) * 100.0 / count(*), 2)"
+    nulls = "round(count(*) FILTER (WHERE o_orderkey % 3 = 0) * 100.0 / count(*), 2)"
+    blanks = "round(count(*) FILTER (WHERE o_orderkey % 5 = 0) * 100.0 / count(*), 2)"
     email = "^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$"
     return union_all(
         [

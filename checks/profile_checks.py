@@ -272,9 +272,9 @@ def type_vote_variant(spark, sf_dir):
     "boolean_summary",
     union_all(
         [
-            f"""SELECT '{n}' AS attribute, count_if({e}) AS true_count, count_if(NOT ({e})) AS false_count,
-  round(count_if({e}) * 100.0 / count(*), 2) AS true_percentage,
-  round(count_if(NOT ({e})) * 100.0 / count(*), 2) AS false_percentage FROM labels"""
+            f"""SELECT '{n}' AS attribute, count(*) FILTER (WHERE {e}) AS true_count, count(*) FILTER (WHERE NOT ({e})) AS false_count,
+  round(count(*) FILTER (WHERE {e}) * 100.0 / count(*), 2) AS true_percentage,
+  round(count(*) FILTER (WHERE NOT ({e})) * 100.0 / count(*), 2) AS false_percentage FROM labels"""
             for n, e in (("good", "quality = 1"), ("toxic", "toxic = 1"))
         ]
     ),
@@ -291,7 +291,7 @@ def boolean_summary(spark, sf_dir):
     "array_lengths",
     """SELECT 'embedding' AS attribute, 'array' AS data_type, min(len(embedding)) AS min_length,
   max(len(embedding)) AS max_length, round(avg(len(embedding)), 2) AS avg_length,
-  round(median(len(embedding)), 2) AS median_length, count_if(len(embedding) = 0) AS empty_arrays FROM embeddings""",
+  round(median(len(embedding)), 2) AS median_length, count(*) FILTER (WHERE len(embedding) = 0) AS empty_arrays FROM embeddings""",
 )
 def array_lengths(spark, sf_dir):
     df = profile.profile(table(spark, sf_dir, "embeddings").select("embedding"))
@@ -360,7 +360,7 @@ def facts_sql(source: str, column: str, kind: str, name: str | None = None) -> s
     best = "0"
     if kind == "string":
         shares = [
-            f"count_if(regexp_matches({v}, '{p}')) * 100.0 / nullif(count({v}), 0)" for p in PATTERNS.values()
+            f"count(*) FILTER (WHERE regexp_matches({v}, '{p}')) * 100.0 / nullif(count({v}), 0)" for p in PATTERNS.values()
         ]
         best = f"greatest({', '.join(shares)})"
     return f"""SELECT '{name or source}' AS table_name, '{column}' AS attribute, '{kind}' AS data_type, count(*) AS total,
@@ -425,8 +425,8 @@ OUTLIER_COLUMNS = (("lineitem", "l_extendedprice"), ("lineitem", "l_quantity"),
 
 def _outlier_sql(source: str, column: str) -> str:
     return f"""SELECT * FROM (WITH {outlier_cte(source, column)}
-SELECT '{column}' AS attribute, count_if(z) AS z_score_count, count_if(i) AS iqr_count, count_if(mz) AS modified_z_count,
-  count_if(z OR i OR mz) AS outlier_count, round(max(lo), 4) AS lower_bound, round(max(hi), 4) AS upper_bound FROM flags)"""
+SELECT '{column}' AS attribute, count(*) FILTER (WHERE z) AS z_score_count, count(*) FILTER (WHERE i) AS iqr_count, count(*) FILTER (WHERE mz) AS modified_z_count,
+  count(*) FILTER (WHERE z OR i OR mz) AS outlier_count, round(max(lo), 4) AS lower_bound, round(max(hi), 4) AS upper_bound FROM flags)"""
 
 
 @check("outlier_counts", union_all([_outlier_sql(*pair) for pair in OUTLIER_COLUMNS]))

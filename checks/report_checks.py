@@ -152,13 +152,13 @@ def scorecard_sql(names: tuple[str, ...], mode: str) -> str:
             for c in ALL_COLUMNS[t]
         ]
     )
-    inconsistent = "count_if(contains(flags, 'PATTERN_INCONSISTENCY'))" if mode == "structured" else "0"
+    inconsistent = "count(*) FILTER (WHERE contains(flags, 'PATTERN_INCONSISTENCY'))" if mode == "structured" else "0"
     return f"""SELECT *, (completeness + consistency + accuracy + validity + uniqueness + timeliness) / 6 AS overall_quality FROM (
   SELECT table_name, count(*) AS attributes, sum(total)::BIGINT AS cells, sum(total - present)::BIGINT AS missing_cells, {inconsistent} AS format_issues,
-    sum(n_flags)::BIGINT AS accuracy_issues, 0::BIGINT AS validity_issues, count_if(contains(lower(attribute), 'id') AND total <> u) AS uniqueness_issues,
+    sum(n_flags)::BIGINT AS accuracy_issues, 0::BIGINT AS validity_issues, count(*) FILTER (WHERE contains(lower(attribute), 'id') AND total <> u) AS uniqueness_issues,
     (sum(total) - sum(total - present)) * 100.0 / sum(total) AS completeness, (count(*) - {inconsistent}) * 100.0 / count(*) AS consistency,
     greatest(100 - sum(n_flags) * 5, 0)::DOUBLE AS accuracy, 100.0::DOUBLE AS validity,
-    CASE WHEN count_if(contains(lower(attribute), 'id') AND total <> u) = 0 THEN 100.0 ELSE 90.0 END::DOUBLE AS uniqueness, 95.0::DOUBLE AS timeliness
+    CASE WHEN count(*) FILTER (WHERE contains(lower(attribute), 'id') AND total <> u) = 0 THEN 100.0 ELSE 90.0 END::DOUBLE AS uniqueness, 95.0::DOUBLE AS timeliness
   FROM ({SCORED} FROM ({FLAGGED} FROM ({facts}))) JOIN ({uniq}) USING (table_name, attribute) GROUP BY table_name)"""
 
 

@@ -124,7 +124,7 @@ def issue_categories(spark, sf_dir):
 
 
 def _severity_sql(source: str) -> str:
-    return "SELECT " + ", ".join(f"count_if(severity = '{s}') AS {s.lower()}" for s in I.SEVERITIES) + f" FROM ({source})"
+    return "SELECT " + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}" for s in I.SEVERITIES) + f" FROM ({source})"
 
 
 @check("issue_severities", _severity_sql(ISSUES))
@@ -139,7 +139,7 @@ def issue_severities_keyword(spark, sf_dir):
 
 def _rate(name: str, *categories: str) -> str:
     listed = ", ".join(f"'{c}'" for c in categories)
-    return f"round(greatest(0, (max(n) - count_if(category IN ({listed}))) * 100.0 / max(n)), 6)::DOUBLE AS {name}"
+    return f"round(greatest(0, (max(n) - count(*) FILTER (WHERE category IN ({listed}))) * 100.0 / max(n)), 6)::DOUBLE AS {name}"
 
 
 def _rates_sql(source: str) -> str:
@@ -161,14 +161,14 @@ def validation_rates_keyword(spark, sf_dir):
 
 
 def _count(*categories: str) -> str:
-    return f"count_if(category IN ({', '.join(repr(c) for c in categories)}))"
+    return f"count(*) FILTER (WHERE category IN ({', '.join(repr(c) for c in categories)}))"
 
 
 def _counts_sql(source: str, keyword: bool) -> str:
     def kind(name: str) -> str:
         if keyword:
-            return f"count_if(category = '{BUSINESS}' AND contains(message, '{name}'))"
-        return f"count_if(kind = '{name}')"
+            return f"count(*) FILTER (WHERE category = '{BUSINESS}' AND contains(message, '{name}'))"
+        return f"count(*) FILTER (WHERE kind = '{name}')"
 
     return f"""SELECT {_count('future_dates')} AS critical_issues, {_count('cross_field_issues', 'impossible_sequences')} AS major_issues,
   {_count('age_inconsistencies', 'email_format_issues')} AS minor_issues, {_count(BUSINESS)} AS business_issues,

@@ -80,9 +80,9 @@ def _length_sql(source: str, column: str) -> str:
     named = ", ".join(f"round(quantile_cont(length({column}), {p / 100}), 4) AS p{p}" for p in DEFAULT_PERCENTILES)
     return f"""SELECT a.*, b.*, c.* FROM ({stats}) a,
   (WITH {outlier_cte(f"(SELECT length({column}) AS n FROM {source})", "n")}
-   SELECT count_if(z) AS z_score_count, count_if(i) AS iqr_count, count_if(mz) AS modified_z_count,
-     count_if(z OR i OR mz) AS outlier_count, round(max(lo), 4) AS lower_bound, round(max(hi), 4) AS upper_bound FROM flags) b,
-  (SELECT count_if(length({column}) = 0) AS empty_strings, count_if(length({column}) = 1) AS single_char_strings, {named}
+   SELECT count(*) FILTER (WHERE z) AS z_score_count, count(*) FILTER (WHERE i) AS iqr_count, count(*) FILTER (WHERE mz) AS modified_z_count,
+     count(*) FILTER (WHERE z OR i OR mz) AS outlier_count, round(max(lo), 4) AS lower_bound, round(max(hi), 4) AS upper_bound FROM flags) b,
+  (SELECT count(*) FILTER (WHERE length({column}) = 0) AS empty_strings, count(*) FILTER (WHERE length({column}) = 1) AS single_char_strings, {named}
    FROM {source}) c"""
 
 

@@ -97,8 +97,8 @@ def completeness_sql(source: str, strings: tuple, others: tuple) -> str:
     )
     n = len(strings) + len(others)
     return f"""SELECT round(avg(score), 2) AS avg_completeness, round(min(score), 2) AS min_completeness,
-  round(max(score), 2) AS max_completeness, count_if(score = 100) AS records_100_complete,
-  count_if(score < 50) AS records_below_50_complete FROM (SELECT ({filled}) / {n}.0::DOUBLE * 100 AS score FROM {source})"""
+  round(max(score), 2) AS max_completeness, count(*) FILTER (WHERE score = 100) AS records_100_complete,
+  count(*) FILTER (WHERE score < 50) AS records_below_50_complete FROM (SELECT ({filled}) / {n}.0::DOUBLE * 100 AS score FROM {source})"""
 
 
 @check("completeness_people", completeness_sql(f"({PEOPLE})", PEOPLE_STRINGS, PEOPLE_OTHERS))
@@ -182,8 +182,8 @@ def freshness_strings(spark, sf_dir):
 
 TABLE_SCORES = """SELECT table_name, max(total) AS total_records, count(*) AS total_attributes,
   greatest(0, least(100, round(avg(quality_score) + CASE WHEN count(*) BETWEEN 5 AND 20 THEN 5 WHEN count(*) > 50 THEN -5 ELSE 0 END, 2)))::DOUBLE AS data_quality_score,
-  sum(n_flags)::BIGINT AS total_anomalies, count_if(n_flags > 0) AS affected_attributes,
-  round(count_if(n_flags > 0) * 100.0 / count(*), 2) AS anomaly_rate FROM ({rows}) GROUP BY table_name"""
+  sum(n_flags)::BIGINT AS total_anomalies, count(*) FILTER (WHERE n_flags > 0) AS affected_attributes,
+  round(count(*) FILTER (WHERE n_flags > 0) * 100.0 / count(*), 2) AS anomaly_rate FROM ({rows}) GROUP BY table_name"""
 
 
 def _profiles(spark, sf_dir, names=SMALL_STAR):
@@ -199,7 +199,7 @@ def table_scores(spark, sf_dir):
     "dataset_summary",
     f"""SELECT count(*) AS total_tables, sum(total_records)::BIGINT AS total_records, sum(total_attributes)::BIGINT AS total_attributes,
   round(avg(data_quality_score), 2) AS overall_quality_score, sum(total_anomalies)::BIGINT AS total_anomalies,
-  count_if(total_anomalies > 0) AS affected_tables, 'multi_table' AS dataset_type
+  count(*) FILTER (WHERE total_anomalies > 0) AS affected_tables, 'multi_table' AS dataset_type
 FROM ({TABLE_SCORES.format(rows=scored_sql(SMALL_STAR))})""",
 )
 def dataset_summary(spark, sf_dir):
@@ -254,7 +254,7 @@ def critical_issues(spark, sf_dir):
 @check(
     "issues_nulls",
     """SELECT 'main_table' AS table_name, concat('''customer_id'' has high null rate (',
-  printf('%.1f', round(count_if(o_orderkey % 3 = 0) * 100.0 / count(*), 2)), '%)') AS issue FROM orders HAVING count_if(o_orderkey % 3 = 0) * 100.0 / count(*) > 30
+  printf('%.1f', round(count(*) FILTER (WHERE o_orderkey % 3 = 0) * 100.0 / count(*), 2)), '%)') AS issue FROM orders HAVING count(*) FILTER (WHERE o_orderkey % 3 = 0) * 100.0 / count(*) > 30
 UNION ALL SELECT 'main_table', '''o_orderstatus'' has low uniqueness (0.00)'
 UNION ALL SELECT 'main_table', '''o_orderstatus'' has avg length too short'""",
 )
