@@ -4,19 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
 from .jaccard import jaccard_join
+from .language import label_languages
+from .language import train as train_languages
+from .mixing import mix
+from .quality import quality_scores
+from .sharding import LAW, histogram_shards
+from .substrings import remove_repeats
+from .tokens import read_tokens, token_files
+from .urls import judge_urls
+from .vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held(id_col: Column, folds: int) -> Column:
+    """Remainder of the CRC-32 of the id as text."""
+    return F.crc32(id_col.cast("string").cast("binary")) % folds
+
+
 def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
@@ -27,6 +44,119 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_pareto_mix")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mix(_table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op2_language_spans")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_held(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = train_languages(docs.where(~held_out))
+    said = docs.select("doc_id", held_out.alias("held_out"), label_languages(model, F.col("text"), with_spans=False).alias("said"))
+    return said.select("doc_id", "held_out", F.col("said.lang").alias("lang_pred"), F.col("said.score").alias("score"))
+
+
+@query("op3_token_blocks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    folder, manifest = token_files(_table(spark, sf_dir, "documents"), str(path("byte_bpe_50k.json")))
+    return read_tokens(spark, folder, manifest, with_ids=False)
+
+
+
+
+@query(
+    "op4_alias_urls",
+    r"""
+WITH RECURSIVE raw AS (
+  SELECT page_id, url, html,
+    coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '') AS after
+  FROM pages
+), part AS (
+  SELECT page_id, url, html,
+    translate(regexp_extract(after, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(coalesce(url, ''), '^[^#?]*(\?[^#]*)', 1) AS q
+  FROM raw
+), link AS (
+  SELECT DISTINCT host || path || q AS a, regexp_replace(unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(html, '(?is)(<link\s[^>]*>)', 1), lambda t: regexp_matches(t, '(?is)\srel\s*=\s*["'']?canonical["''\s/>]')),
+      lambda t: regexp_extract(t, '(?is)\shref\s*=\s*["'']?([^\s"''>]*)', 1)),
+    list_transform(list_filter(regexp_extract_all(html, '(?is)(<meta\s[^>]*>)', 1), lambda t: regexp_matches(t, '(?is)\shttp-equiv\s*=\s*["'']?refresh["''\s]')),
+      lambda t: regexp_extract(t, '(?is)url\s*=\s*["'']?([^"'']*)', 1)))), '#.*$', '') AS target
+  FROM part WHERE host <> ''
+), target AS (
+  SELECT a, target, translate(regexp_extract(target, '^[^:/?#]*://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
+    regexp_extract(target, '^[^:/?#]*://[^/?#]*(.*)$', 1) AS rest, regexp_extract(a, '^([^/?]*)', 1) AS own
+  FROM link WHERE target <> ''
+), edge AS (
+  SELECT a, CASE WHEN h <> '' THEN h || rest WHEN target LIKE '/%' THEN own || target END AS b FROM target
+), both_ways AS (
+  SELECT a, b FROM edge WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM edge WHERE b IS NOT NULL AND a <> b
+), reach(a, b) AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
+), node AS (
+  SELECT DISTINCT n, regexp_extract(n, '^([^/?]*)', 1) AS host, regexp_extract(n, '^[^/?]*([^?]*)', 1) AS path
+  FROM (SELECT host || path || q AS n FROM part WHERE host <> '' UNION SELECT a FROM both_ways)
+), said AS (
+  SELECT x.*, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule
+  FROM node x
+), passed AS (
+  SELECT r.a AS n, bool_or(s.rule IN ('org/', 'com/fr/')) AS allowed, bool_or(s.rule IN ('example.org/en/1', 'example.org/es/', 'com/de/')) AS blocked
+  FROM reach r JOIN said s ON s.n = r.b GROUP BY 1
+)
+SELECT p.page_id, p.host, p.path, s.rule,
+  CASE WHEN s.rule IN ('org/', 'com/fr/') THEN 'allow' WHEN s.rule IS NOT NULL THEN 'block'
+       WHEN a.allowed THEN 'allow' WHEN a.blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM part p LEFT JOIN said s ON p.host <> '' AND s.n = p.host || p.path || p.q LEFT JOIN passed a ON a.n = s.n
+""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_pivot_index")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @query("op6_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op7_decontaminate")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_quality_gam")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    learned = labels.where(_held(F.col("doc_id"), 3) != 1)
+    scored, _ = quality_scores(_table(spark, sf_dir, "documents"), learned)
+    held_out = F.coalesce(_held(F.col("id"), 3) == 1, F.lit(False))
+    return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_histogram_sort")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    placed = histogram_shards(docs.withColumn("text_crc32", crc))
+    return placed.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_doubled_windows")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
