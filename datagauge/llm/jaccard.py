@@ -4,8 +4,9 @@
    prefix holds the first n - ceil(0.8 n) + 1 shingles in an order that all documents share, so documents of similarity
    0.8 share a shingle of their prefixes. The order puts shingles of crowded counters last: shingles of all documents
    are counted into a fixed number of counters, and a passage in thousands of documents then leaves the prefixes.
-2. Groups that share a prefix shingle are candidates if sizes and positions allow 0.8. First every group meets one
-   group of each bucket, its pivot, and members of a group meet the group's own; the pairs that verify are linked.
+2. Groups that share a prefix shingle are candidates if sizes and positions allow 0.8. First groups meet one group of a
+   bucket, its pivot, in an eighth of the buckets, and members of a group meet the group's own; pairs that verify are
+   linked. Then, in each bucket, groups outside of its largest component meet a few of those inside.
 3. Buckets whose members are in one component by now are done: no further pair can change anything. In all others,
    every pair of groups of different components is expanded to its members and verified. So each pair of documents is
    either verified or joined by verified links, and a large group of near copies takes a row for each member and bucket
@@ -27,6 +28,8 @@ from .shared import own, quoted, stored
 
 COUNTERS = 1 << 20
 _CHUNK = 1 << 12
+HOSTS = 8
+SKETCH_BITS = 256
 
 
 def _crowded(docs: DataFrame, k: int, counters: int) -> np.ndarray:
@@ -64,7 +67,8 @@ def _crowded(docs: DataFrame, k: int, counters: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, crowd: np.ndarray) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix): size and 128-bit fingerprint of each shingle set, and its prefix in the shared order."""
+    """(doc_id, n, f1, f2, prefix, sketch): size and 128-bit fingerprint of each shingle set, its prefix in the shared
+    order, and the prefix as bits: each shingle turns one of ``SKETCH_BITS`` bits over."""
     shared = docs.sparkSession.sparkContext.broadcast(crowd)  # of fixed size
 
     def build(batches):
@@ -83,13 +87,21 @@ def _sets(docs: DataFrame, k: int, percent: int, crowd: np.ndarray) -> DataFrame
                 keep = np.arange(len(values)) - np.repeat(first[:-1], n) < np.repeat(size, n)
                 ends = np.zeros(len(n) + 1, dtype=np.int32)
                 np.cumsum(np.bincount(docs_of[keep], minlength=len(n)), out=ends[1:])
+                bit = (words.mix(values[keep]) % np.uint64(SKETCH_BITS)).astype(np.int64)
+                turned = np.bincount(docs_of[keep] * SKETCH_BITS + bit, minlength=len(n) * SKETCH_BITS) & 1
+                sketch = np.packbits(turned.astype(np.uint8)).view(np.int64)
+                longs = SKETCH_BITS // 64
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(piece.rows)), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values[keep].view(np.int64)))],
-                    names=["doc_id", "n", "f1", "f2", "prefix"],
+                    [
+                        batch.column(0).take(pa.array(piece.rows)), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(values[keep].view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * longs + 1, longs, dtype=np.int32)), pa.array(sketch)),
+                    ],
+                    names=["doc_id", "n", "f1", "f2", "prefix", "sketch"],
                 )
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(build, f"doc_id {kind}, n long, f1 long, f2 long, prefix array<long>")
+    return docs.mapInArrow(build, f"doc_id {kind}, n long, f1 long, f2 long, prefix array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -138,9 +150,9 @@ def jaccard_join(
     texts = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
     sets = stored(_sets(texts, k, percent, _crowded(texts.select("text"), k, counters)), "jaccard-sets")
     usable = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"), F.first("prefix").alias("prefix")), "jaccard-classes")
+    classes = stored(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "jaccard-classes")
     grouped = Window.partitionBy("n", "prefix")
-    members = stored(classes.select("class_id", "n", "prefix", F.min("class_id").over(grouped).alias("g")), "jaccard-groups")
+    members = stored(classes.select("class_id", "n", "prefix", "sketch", F.min("class_id").over(grouped).alias("g")), "jaccard-groups")
     tokens = members.where("class_id = g").select("g", "n", F.posexplode("prefix").alias("pos", "token"))
     # The pivot of a bucket is drawn by hash, so that a group of near copies meets many different pivots.
     drawn = Window.partitionBy("token").orderBy(F.xxhash64("g", "token"), "g")
@@ -155,26 +167,47 @@ def jaccard_join(
         return sizes & ((100 + percent) * F.least(F.col(a) - F.col(pos_a), F.col(b) - F.col(pos_b)) >= percent * (F.col(a) + F.col(b)))
 
     pairs = buckets.where((F.col("g") != F.col("p_g")) & (F.expr("token & 7") == 0) & possible("n", "p_n", "pos", "p_pos"))
-    pairs = pairs.select(F.col("g").alias("u"), F.col("p_g").alias("v")).distinct()
+    pairs = stored(pairs.select(F.col("g").alias("u"), F.col("p_g").alias("v")).distinct(), "jaccard-pairs")
     inside = members.where("class_id <> g").select(F.col("class_id").alias("u"), F.col("g").alias("v"))
-    links = stored(_verified(stored(pairs.union(inside), "jaccard-pairs"), texts, k, percent), "jaccard-links")
-
-    component = connected_components(links)
-    placed = members.join(component.withColumnRenamed("id", "class_id"), "class_id", "left").select("class_id", "n", "g", F.coalesce("component", "class_id").alias("c"))
-    placed = stored(placed, "jaccard-placed")
-    spread = stored(placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")), "jaccard-spread")
-    open_rows = buckets.select("token", "g", "n").join(spread, "g")
-    open_tokens = open_rows.groupBy("token").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("token")
-    rest = stored(open_rows.join(stored(open_tokens, "jaccard-open"), "token", "left_semi"), "jaccard-rest")
-    other = rest.select("token", *[F.col(c).alias(f"o_{c}") for c in ("g", "n", "low", "high")])
+    links = stored(_verified(pairs.union(inside), texts, k, percent), "jaccard-links")
+
+    def with_components(found: DataFrame) -> DataFrame:
+        component = connected_components(found)
+        placed = members.join(component.withColumnRenamed("id", "class_id"), "class_id", "left")
+        return stored(placed.select("class_id", "n", "g", F.coalesce("component", "class_id").alias("c")), "jaccard-placed")
+
+    def still_open(placed: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows of buckets whose members are not all in one component, with the components of the row's group."""
+        spread = stored(placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")), "jaccard-spread")
+        rows = rows.select("token", "g", "n", "pos").join(spread, "g")
+        tokens = rows.groupBy("token").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("token")
+        return stored(rows.join(stored(tokens, "jaccard-open"), "token", "left_semi"), "jaccard-rest"), spread
+
+    # Second meeting: in every open bucket, the groups outside of its largest component meet some of that component.
+    rest, _ = still_open(with_components(links), buckets)
+    largest = rest.groupBy("token", "low").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("low", F.struct("size", "low")).alias("main"))
+    marked = rest.join(stored(largest, "jaccard-largest"), "token")
+    nth = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("token", "g"), "g"))
+    hosts = marked.where("low = main").withColumn("nth", nth).where(F.col("nth") <= HOSTS)
+    guests = marked.where("low <> main")
+    met = guests.join(hosts.select("token", *[F.col(c).alias(f"p_{c}") for c in ("g", "n", "pos")]), "token").where(possible("n", "p_n", "pos", "p_pos"))
+    again = met.select(F.col("g").alias("u"), F.col("p_g").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
+    links = stored(links.union(_verified(stored(again, "jaccard-again"), texts, k, percent)), "jaccard-links")
+
+    placed = with_components(links)
+    rest, spread = still_open(placed, rest)
+    bits = [F.col("sketch")[i].alias(f"b{i}") for i in range(SKETCH_BITS // 64)]
+    sketched = stored(rest.join(members.where("class_id = g").select("g", *bits), "g"), "jaccard-sketched")
+    other = sketched.select("token", *[F.col(c).alias(f"o_{c}") for c in sketched.columns if c != "token"])
     one_component = (F.col("low") == F.col("high")) & (F.col("o_low") == F.col("o_high")) & (F.col("low") == F.col("o_low"))
-    near = F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent
-    met = rest.join(other, "token").where((F.col("g") < F.col("o_g")) & ~one_component & near)
-    # Of one of the two sets the whole prefix is compared, so the common shingles are those met and at most what follows it.
+    # Bits that differ are shingles that one prefix has alone. Of one of the two sets the whole prefix is compared, so the
+    # common shingles are at most those that the prefixes may share and what follows that prefix.
     after = [F.ceil(F.col(c) * percent / 100) - 1 for c in ("n", "o_n")]
-    most = F.col("met") + F.greatest(*after)
-    group_pairs = met.groupBy("g", "n", "o_g", "o_n").agg(F.count("*").alias("met")).where((100 + percent) * most >= percent * (F.col("n") + F.col("o_n")))
-    group_pairs = group_pairs.select("g", "o_g")
+    differ = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"o_b{i}"))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    shared = F.floor((F.col("n") - after[0] + F.col("o_n") - after[1] - differ) / 2)
+    enough = (100 + percent) * (shared + F.greatest(*after)) >= percent * (F.col("n") + F.col("o_n"))
+    group_pairs = sketched.join(other, "token").where((F.col("g") < F.col("o_g")) & ~one_component & possible("n", "o_n", "pos", "o_pos") & enough)
+    group_pairs = group_pairs.select("g", "o_g").distinct()
     within = spread.where("low <> high").select("g", F.col("g").alias("o_g"))
     left = placed.select("g", F.col("class_id").alias("u"), F.col("c").alias("cu"))
     right = placed.select(F.col("g").alias("o_g"), F.col("class_id").alias("v"), F.col("c").alias("cv"))
