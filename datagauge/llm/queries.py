@@ -158,5 +158,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_doubled_windows")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(_table(spark, sf_dir, "documents"))
+    done = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

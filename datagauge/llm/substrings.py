@@ -84,13 +84,14 @@ def _scan(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(scan, "k1 long, k2 long, f1 long, f2 long, n long, at array<long>, quarter array<long>, half array<long>")
 
 
-def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """(row, s, a, b): the windows whose anchors are in ``ats``, with 128 bits of hash."""
+def _windows(rows: DataFrame, row: str, ats: str, text: str, window: int) -> DataFrame:
+    """(row, s, a, b): the windows whose anchors are in the column ``ats``, with 128 bits of hash."""
+    at_row, at_ats, at_text = (rows.columns.index(c) for c in (row, ats, text))
 
     def build(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            lists = batch.column(1)
-            for piece in words.pieces(batch.column(2)):
+            lists = batch.column(at_ats)
+            for piece in words.pieces(batch.column(at_text)):
                 hashes = piece.hashes(fold=False)
                 starts, anchors = _anchors(piece, hashes, window)
                 mine = lists.slice(piece.rows[0], len(piece.rows))
@@ -100,9 +101,9 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
                 marked[wanted] = True
                 starts = starts[marked[anchors]]
                 doc = piece.doc[starts]
-                row = batch.column(0).take(pa.array(piece.rows[doc]))
+                own_row = batch.column(at_row).take(pa.array(piece.rows[doc]))
                 both = [pa.array(piece.runs_at(hashes, starts, window, second).view(np.int64)) for second in (False, True)]
-                yield pa.RecordBatch.from_arrays([row, pa.array(starts - piece.first[:-1][doc], pa.int64()), *both], names=["row", "s", "a", "b"])
+                yield pa.RecordBatch.from_arrays([own_row, pa.array(starts - piece.first[:-1][doc], pa.int64()), *both], names=["row", "s", "a", "b"])
 
     return rows.mapInArrow(build, "row long, s long, a long, b long")
 
@@ -154,9 +155,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window < 4:
         raise ValueError("a window has at least four words")
     k1, k2, n_words, n_removed, kept, starts, whole, cut = own(docs, "k1", "k2", "n_words", "n_removed", "kept_text", "starts", "whole", "cut")
-    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    row, ats = own(docs, "row", "ats")
+    text = F.col(quoted(text_col)).cast("string")
     # A row is known by 128 bits of hash of its text and id; rows that agree in both are alike.
-    keyed = docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.col(quoted(id_col)), F.crc32(text), F.length(text))})
+    keyed = docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.col(quoted(id_col)), F.crc32(text.cast("binary")), F.length(text))})
     texts = keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), text.alias("text"))
     scanned = stored(_scan(texts, window), "substring-scan")
 
@@ -166,11 +168,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copied = scanned.join(classes.where("copies > 1").select("f1", "f2", "n"), ["f1", "f2", "n"], "left_semi").select("k1", "k2").distinct()
 
     lists = scanned.join(classes.select("row", "f1", "f2", "n", F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2")), ["f1", "f2", "n", "k1", "k2"])
-    anchors = lists.select("row", "k1", "k2", F.explode(F.arrays_zip("at", "quarter", "half")).alias("x")).select("row", "k1", "k2", "x.*")
+    anchors = lists.select("row", F.explode(F.arrays_zip("at", "quarter", "half")).alias("x")).select("row", "x.*")
     level = _repeats(anchors, "quarter").drop("quarter")
-    survivors = stored(_repeats(level, "half").groupBy("row", "k1", "k2").agg(F.collect_set("at").alias("ats")), "substring-survivors")
+    survivors = _repeats(level, "half").groupBy("row").agg(F.collect_set("at").alias("ats"))
+    survivors = survivors.join(classes.select("row", "least"), "row").select("row", F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"), "ats")
+    survivors = stored(survivors, "substring-survivors")
 
-    found = _repeats(_windows(texts.join(survivors, ["k1", "k2"]).select("row", "ats", "text"), window), "a", "b")
+    # Both joins below read the texts with the same columns and keys, so one shuffle of them serves both.
+    wanted = survivors.select(F.col("row").alias(row), F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("ats").alias(ats))
+    found = _repeats(_windows(keyed.join(wanted, [k1, k2]), row, ats, text_col, window), "a", "b")
     covered = found.groupBy("row").agg(F.collect_set("s").alias("starts")).join(survivors.select("row", "k1", "k2"), "row").select("k1", "k2", "starts")
     plan = covered.join(copied.withColumn("whole", F.lit(True)), ["k1", "k2"], "full").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("starts").alias(starts), F.col("whole").alias(whole))
     done = keyed.join(plan, [k1, k2], "left").withColumn(cut, _cut(window)(text, F.col(starts), F.col(whole)))
