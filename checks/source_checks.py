@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datagauge.operators.extract_json import extract_json
@@ -23,11 +26,22 @@ def source_csv(spark, sf_dir):
     return files.read_table(spark, path)
 
 
-@check("source_tsv", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@check("source_tsv", "SELECT * FROM orders")
 def source_tsv(spark, sf_dir):
     path = scratch_path(spark, "orders") + ".tsv"
-    df = table(spark, sf_dir, "orders").drop("o_orderdate")
-    df.write.csv(path, header=True, sep="\t")
+    table(spark, sf_dir, "orders").write.csv(path, header=True, sep="\t")
+    return files.read_table(spark, path)
+
+
+# Texts with line breaks, quotes, separators, blanks, empty strings and nulls.
+QUOTED = """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN concat('he said "', text, '", ok') WHEN 1 THEN concat('  ', text, ' ;') WHEN 2 THEN ''
+  WHEN 3 THEN CAST(NULL AS VARCHAR(1)) WHEN 4 THEN '"' ELSE text END AS text, lang, source, n_chars FROM documents"""
+
+
+@check("source_csv_text", QUOTED)
+def source_csv_text(spark, sf_dir):
+    path = scratch_path(spark, "documents") + ".csv"
+    files.write_csv(spark.sql(QUOTED.replace("FROM documents", f"FROM parquet.`{sf_dir}/documents.parquet`")), path)
     return files.read_table(spark, path)
 
 
@@ -35,7 +49,23 @@ def source_tsv(spark, sf_dir):
 def source_json(spark, sf_dir):
     path = scratch_path(spark, "documents") + ".json"
     files.write_json(table(spark, sf_dir, "documents"), path)
-    return files.read_table(spark, path, multi_line=False).select("doc_id", "text", "lang", "source", "n_chars")
+    return files.read_table(spark, path).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+@check("source_json_lines", "SELECT conv_id, turn, role, text FROM conversations")
+def source_json_lines(spark, sf_dir):
+    path = scratch_path(spark, "conversations") + ".json"
+    files.write_json(table(spark, sf_dir, "conversations"), path)
+    return files.read_table(spark, path).select("conv_id", "turn", "role", "text")
+
+
+@check("source_json_documents", "SELECT item_id, text FROM benchmark")
+def source_json_documents(spark, sf_dir):
+    """Indented documents, one file for each item."""
+    path = scratch_path(spark, "benchmark") + ".json"
+    row = F.to_json(F.struct("item_id", "text"), {"pretty": "true"})
+    table(spark, sf_dir, "benchmark").select(row.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_table(spark, path).select("item_id", "text")
 
 
 @check(
@@ -46,7 +76,18 @@ def source_xml(spark, sf_dir):
     path = scratch_path(spark, "part") + ".xml"
     df = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", "p_type")
     df.write.format("xml").option("rowTag", "row").save(path)
-    return files.read_table(spark, path)
+    return files.read_table(spark, path, row_tag="row")
+
+
+@check(
+    "source_xml_tables",
+    "SELECT r_regionkey::VARCHAR AS r_regionkey, r_name FROM region",
+)
+def source_xml_tables(spark, sf_dir):
+    """No row tag is named: the repeated element becomes a nested table."""
+    path = scratch_path(spark, "region") + ".xml"
+    table(spark, sf_dir, "region").coalesce(1).write.format("xml").option("rowTag", "area").option("rootTag", "world").save(path)
+    return nested.extract_tables(files.read_table(spark, path))["area"].select("r_regionkey", "r_name")
 
 
 @check(
@@ -61,9 +102,20 @@ def source_tables(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@check("source_inventory")
+FILES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+         "pages", "benchmark", "labels", "conversations")
+
+
+@check(
+    "source_inventory",
+    union_all([f"SELECT '{t}.parquet' AS filename, '.parquet' AS extension, true AS is_supported, count(*) AS records FROM {t}" for t in FILES]),
+)
 def source_inventory(spark, sf_dir):
-    return files.file_inventory(spark, sf_dir)
+    """The files of the folder, each read by its extension and counted; sizes are compared in a test."""
+    listed = files.file_inventory(spark, sf_dir, "*.parquet").select("filename", "extension", "is_supported")
+    found = files.read_tables(spark, {f"{t}.parquet": f"{sf_dir}/{t}.parquet" for t in FILES})
+    counts = [df.agg(F.lit(name).alias("filename"), F.count("*").alias("records")) for name, df in found.items()]
+    return listed.join(reduce(DataFrame.unionByName, counts), "filename")
 
 
 PREVIEWED = {"customer": ("c_custkey", "c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment"),

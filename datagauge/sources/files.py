@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from datagauge.functions import columns as C
 
@@ -34,9 +36,27 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     return readers[kind](spark, path, **options)
 
 
-def read_json(spark: SparkSession, path: str, multi_line: bool = True, schema: str | None = None, **options) -> DataFrame:
-    """A JSON document (object or array of objects), or JSON lines with ``multi_line=False``."""
-    reader = spark.read.options(**options).option("multiLine", multi_line)
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    row = spark.read.text(path).where(F.trim("value") != "").first()
+    return row.value if row else None
+
+
+def is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank is a JSON value by itself; lines can be split, documents cannot."""
+    line = _first_line(spark, path)
+    if line is None:
+        return True
+    return bool(spark.range(1).select(F.try_parse_json(F.lit(line)).isNotNull()).first()[0])
+
+
+def read_json(spark: SparkSession, path: str, multi_line: bool | None = None, schema: str | None = None, **options) -> DataFrame:
+    """JSON lines, or whole documents (an object or an array of objects for each file), told apart by the content.
+
+    A malformed record is an error, so that none is lost; pass ``mode="PERMISSIVE"`` with a schema that has a
+    ``_corrupt_record`` column to keep it.
+    """
+    whole = not is_json_lines(spark, path) if multi_line is None else multi_line
+    reader = spark.read.options(**{"mode": "FAILFAST", **options}).option("multiLine", whole)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
@@ -55,14 +75,61 @@ def read_json_variant(spark: SparkSession, path: str) -> DataFrame:
     return records.unionByName(single)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", infer: bool = True, **options) -> DataFrame:
-    """A CSV file with a header; malformed lines are dropped and header names trimmed."""
-    df = spark.read.options(**options).csv(path, header=True, sep=sep, inferSchema=infer, mode="DROPMALFORMED")
-    return df.toDF(*[c.strip() for c in df.columns])
+def _spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted value holds a line break: then some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+CORRUPT = "_corrupt_record"
+
+
+def _csv_with_corrupt(spark: SparkSession, path: str, sep: str, infer: bool, options: dict) -> DataFrame:
+    """The rows with a column that holds the text of a line whose number of values is not the header's."""
+    # With a null value that no text has, an empty value between quotes stays an empty string.
+    common = {"header": True, "sep": sep, "escape": '"', "nullValue": "\0", "multiLine": _spans_lines(spark, path), **options}
+    schema = spark.read.options(**common, inferSchema=infer).csv(path).schema
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return spark.read.options(**common, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True).schema(wide).csv(path)
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str = "row", **options) -> DataFrame:
-    """One row per ``row_tag`` element; leaf values stay strings, attributes are ``@x`` and text is ``#text``."""
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, infer: bool = True, **options) -> DataFrame:
+    """A CSV file with a header; header names are trimmed, an empty value is null and ``""`` an empty string.
+
+    Quotes inside quoted values are doubled, and values may hold line breaks: only then is a file read by one task.
+    Without ``sep`` the header line tells it: the most frequent of comma, semicolon, tab and bar outside of quotes.
+    Lines with another number of values than the header are left out; ``malformed_csv`` returns them.
+    """
+    sep = sep or sniff_separator(spark, path)
+    df = _csv_with_corrupt(spark, path, sep, infer, options)
+    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return good.toDF(*[c.strip() for c in good.columns])
+
+
+def malformed_csv(spark: SparkSession, path: str, sep: str | None = None, **options) -> DataFrame:
+    """``(line)``: the lines that ``read_csv`` leaves out, to be counted or mended."""
+    df = _csv_with_corrupt(spark, path, sep or sniff_separator(spark, path), False, options)
+    # The reader fills the column only when the others are read too.
+    others = F.to_json(F.struct(*[C.col(c) for c in df.columns if c != CORRUPT]))
+    return df.where(F.col(CORRUPT).isNotNull() & (F.length(others) > 0)).select(F.col(CORRUPT).alias("line"))
+
+
+def sniff_separator(spark: SparkSession, path: str) -> str:
+    """The separator of a header line; a comma if it has none."""
+    header = re.sub('"[^"]*"', "", _first_line(spark, path) or "")
+    return max((",", ";", "\t", "|"), key=header.count)
+
+
+def read_xml(spark: SparkSession, path: str, row_tag: str | None = None, **options) -> DataFrame:
+    """One row per ``row_tag`` element; leaf values stay strings, attributes are ``@x`` and text is ``#text``.
+
+    Without a row tag each file is one row, its root element, with repeated elements as lists: ``extract_tables`` makes
+    tables of them. A large file should have its row tag named, which lets it be split.
+    """
+    if row_tag is None:
+        text = F.regexp_replace("value", r"<!--.*?-->", "")
+        first = spark.read.text(path).select(F.regexp_extract(text, r"<([\p{L}_][\p{L}\p{N}_.:-]*)", 1).alias("tag"))
+        row_tag = (first.where("tag <> ''").first() or ("row",))[0]
     return (
         spark.read.format("xml")
         .options(rowTag=row_tag, attributePrefix="@", valueTag="#text", inferSchema=False, **options)
@@ -127,7 +194,8 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    flat(df).write.mode("overwrite").csv(path, header=True, escape='"')
+    """CSV that ``read_csv`` reads back: quotes doubled, spaces kept, null empty and an empty string ``""``."""
+    flat(df).write.mode("overwrite").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path, header=True, escape='"')
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 from datagauge.functions import columns as C
 from datagauge.session import cut_lineage
 
-MAX_REPORT_DEPTH = 5
-
 
 def table_name(path: Sequence[str]) -> str:
     """Name of the table at a path of keys: joined, cleaned of special characters."""
@@ -97,15 +95,15 @@ def _is_scalar(data_type: T.DataType) -> bool:
     return not isinstance(data_type, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
 
 
-def report_paths(schema: T.StructType, max_depth: int = MAX_REPORT_DEPTH) -> list[tuple[str, list[str], str]]:
+def report_paths(schema: T.StructType, max_depth: int | None = None) -> list[tuple[str, list[str], str]]:
     """``(name, path, shape)`` of the tables a report shows: lists of objects, lists of scalars, flat objects.
 
-    A table found is not searched further.
+    A table found is not searched further. Every level of the schema is, unless ``max_depth`` ends it.
     """
     found: list[tuple[str, list[str], str]] = []
 
     def walk(struct: T.StructType, path: list[str], depth: int) -> None:
-        if depth >= max_depth:
+        if max_depth is not None and depth >= max_depth:
             return
         for f in struct.fields:
             here = path + [f.name]
@@ -125,7 +123,7 @@ def report_paths(schema: T.StructType, max_depth: int = MAX_REPORT_DEPTH) -> lis
     return found
 
 
-def report_tables(df: DataFrame, max_depth: int = MAX_REPORT_DEPTH) -> dict[str, DataFrame]:
+def report_tables(df: DataFrame, max_depth: int | None = None) -> dict[str, DataFrame]:
     """The report tables of a document frame; a list of scalars becomes one column named ``0``."""
     tables = {}
     for name, path, shape in report_paths(df.schema, max_depth):
@@ -140,10 +138,10 @@ def report_tables(df: DataFrame, max_depth: int = MAX_REPORT_DEPTH) -> dict[str,
     return tables
 
 
-def report_inventory(df: DataFrame, index: Column, max_depth: int = MAX_REPORT_DEPTH) -> DataFrame:
+def report_inventory(df: DataFrame, index: Column, max_depth: int | None = None) -> DataFrame:
     """``(table_path, records)`` for a list of documents: names carry ``item_`` and the document's position."""
     entries = []
-    for name, path, shape in report_paths(df.schema, max_depth - 1):
+    for name, path, shape in report_paths(df.schema, None if max_depth is None else max_depth - 1):
         cell = C.col(path[0])
         for key in path[1:]:
             cell = cell.getField(key)

@@ -12,19 +12,19 @@ from datagauge.sources import files, nested
 
 from .conftest import by
 
+# A harbour's log: ships with voyages, which have cargo; a crane list without objects; an empty list.
 DOCUMENT = {
-    "id": "root1", "name": "Root", "details": {"version": "1.0", "status": "active"},
-    "users": [
-        {"userId": "u1", "username": "ann", "roles": [{"roleId": "r1"}, {"roleId": "r2"}], "preferences": {"theme": "dark"}},
-        {"userId": "u2", "username": "bob", "roles": [{"roleId": "r3"}]},
+    "harbour": "North", "opened": 1904,
+    "ships": [
+        {"hull": 11, "flag": "NO", "voyages": [{"leg": 1, "cargo": [{"good": "salt", "tons": 4.5}]}, {"leg": 2, "cargo": []}]},
+        {"hull": 12, "voyages": [{"leg": 1, "cargo": [{"good": "rope", "tons": 0.5}, {"good": "tar", "tons": 2.0}]}]},
+        {"hull": 13, "flag": "SE"},
     ],
-    "products": [
-        {"productId": "p1", "specs": [{"specId": "s1"}, {"specId": "s2"}]},
-        {"productId": "p2"},
-    ],
-    "empty_list": [],
+    "cranes": ["A", "B"],
+    "berths": [{"nr": 1}, {"nr": 2, "depth": 9}, {"nr": 3}, {"nr": 4}],
+    "closed": [],
 }
-SIZES = {"main_table": 1, "users": 2, "users_roles": 3, "products": 2, "products_specs": 2}
+SIZES = {"main_table": 1, "ships": 3, "ships_voyages": 3, "ships_voyages_cargo": 3, "berths": 4}
 
 
 def write(folder, name, text):
@@ -38,17 +38,18 @@ def test_typed_nested_tables(spark, tmp_path):
     path = write(tmp_path, "d.json", json.dumps(DOCUMENT, indent=1))
     found = nested.extract_tables(files.read_table(spark, path))
     assert {n: df.count() for n, df in found.items()} == SIZES
-    assert {r.roleId for r in found["users_roles"].collect()} == {"r1", "r2", "r3"}
-    lineage = nested.extract_tables(files.read_table(spark, path), lineage=True)["users_roles"]
-    assert sorted((r.roleId, r._parent_ordinal) for r in lineage.collect()) == [("r1", 0), ("r2", 1), ("r3", 0)]
+    assert {r.good for r in found["ships_voyages_cargo"].collect()} == {"salt", "rope", "tar"}
+    lineage = nested.extract_tables(files.read_table(spark, path), lineage=True)["ships_voyages_cargo"]
+    assert sorted((r.good, r._parent_ordinal) for r in lineage.collect()) == [("rope", 0), ("salt", 0), ("tar", 1)]
 
 
 def test_variant_nested_tables_drop_scalars_of_mixed_lists(spark, tmp_path):
-    mixed = {**DOCUMENT, "mixed_list": [{"item": 1}, "text", {"item": 2}], "grid": [[{"x": 1}], [{"x": 2}, {"x": 3}]], "none": None}
+    notices = ["fog", {"wind": 7}, 12, {"wind": 3, "gusts": True}, None, {"ice": False}]
+    mixed = {**DOCUMENT, "notices": notices, "plan": [[{"x": 1}], [{"x": 2}, {"x": 3}], []], "pilot": None}
     path = write(tmp_path, "m.json", json.dumps(mixed))
     found = nested.extract_variant_tables(files.read_json_variant(spark, path), "v")
     sizes = {r.table_name: r["count"] for r in found.groupBy("table_name").count().collect()}
-    assert sizes == {**SIZES, "mixed_list": 2, "grid": 3}
+    assert sizes == {**SIZES, "notices": 3, "plan": 3}
 
 
 def test_list_root(spark, tmp_path):
@@ -82,7 +83,8 @@ def test_report_paths(spark):
         {"db": {"tables": {"orders": [{"id": 1}]}, "totals": {"n": 1, "m": 2}, "index": ["a", "b"], "deep": {"a": {"b": {"c": {"d": [{"x": 1}]}}}}}}
     )]))
     found = nested.report_tables(df)
-    assert set(found) == {"db_tables_orders", "db_totals", "db_index"}
+    assert set(found) == {"db_tables_orders", "db_totals", "db_index", "db_deep_a_b_c_d"}
+    assert set(nested.report_tables(df, max_depth=3)) == {"db_tables_orders", "db_totals", "db_index"}
     assert [r["0"] for r in found["db_index"].collect()] == ["a", "b"]
     hierarchy = by(nested.path_hierarchy(spark.createDataFrame([("db_index",), ("db",)], "p string"), "p"), "p")
     assert (hierarchy["db_index"]["parent"], hierarchy["db_index"]["level"]) == ("db", 1)
@@ -96,16 +98,50 @@ def test_multi_table_test():
     assert nested.is_multi_table(T.StructType([*one.fields, T.StructField("u", row)]))
 
 
-def test_csv_trims_names_and_drops_bad_lines(spark, tmp_path):
-    path = write(tmp_path, "c.csv", " a , b\n1,x\n2,y,z\n3,\n")
+def test_csv_trims_names_and_counts_bad_lines(spark, tmp_path):
+    path = write(tmp_path, "c.csv", " a , b\n1,x\n2,y,z\n3,\n4\n")
     df = files.read_table(spark, path)
     assert df.columns == ["a", "b"]
     assert [tuple(r) for r in df.orderBy("a").collect()] == [(1, "x"), (3, None)]
+    assert sorted(r.line for r in files.malformed_csv(spark, path).collect()) == ["2,y,z", "4"]
+
+
+def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
+    path = write(tmp_path, "q.csv", 'k,v\n1,"he said ""x"", ok"\n2,"a\nb"\n3,""\n4,\n')
+    assert [tuple(r) for r in files.read_table(spark, path).orderBy("k").collect()] == [(1, 'he said "x", ok'), (2, "a\nb"), (3, ""), (4, None)]
+
+
+@pytest.mark.parametrize("sep", [",", ";", "\t", "|"])
+def test_csv_separator(spark, tmp_path, sep):
+    path = write(tmp_path, "s.csv", sep.join(["a", '"b,;|"', "c"]) + "\n" + sep.join("123") + "\n")
+    assert [tuple(r) for r in files.read_table(spark, path).collect()] == [(1, 2, 3)]
+
+
+def test_csv_round_trip(spark, tmp_path):
+    rows = [(1, ' a "b" '), (2, ""), (3, None), (4, "x,y\nz\r\nw"), (5, '"'), (6, "\\")]
+    files.write_csv(spark.createDataFrame(rows, "k int, v string"), str(tmp_path / "r.csv"))
+    assert [tuple(r) for r in files.read_table(spark, str(tmp_path / "r.csv")).orderBy("k").collect()] == rows
+
+
+def test_json_forms(spark, tmp_path):
+    rows = [{"k": 1, "v": "a\nb"}, {"k": 2, "v": None}, {"k": 3, "v": ""}]
+    lines = write(tmp_path, "lines.json", "\n\n" + "\n".join(json.dumps(r) for r in rows) + "\n")
+    array = write(tmp_path, "array.json", json.dumps(rows, indent=2))
+    flat_array = write(tmp_path, "flat.json", json.dumps(rows))
+    for path in (lines, array, flat_array):
+        assert [(r.k, r.v) for r in files.read_table(spark, path).orderBy("k").collect()] == [(1, "a\nb"), (2, None), (3, "")]
+    one = write(tmp_path, "one.json", json.dumps(rows[0], indent=2))
+    assert files.read_table(spark, one).count() == 1
+    bad = write(tmp_path, "bad.json", '{"k": 1}\n{"k": \n')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|Malformed"):
+        files.read_table(spark, bad).collect()
 
 
 def test_xml_attributes_and_text(spark, tmp_path):
     path = write(tmp_path, "x.xml", '<rows><row id="1"><n>5</n></row><row id="2"><n unit="m">6</n></row></rows>')
-    df = files.read_table(spark, path)
+    df = files.read_table(spark, path, row_tag="row")
+    whole = nested.extract_tables(files.read_table(spark, path))
+    assert {n: t.count() for n, t in whole.items()} == {"main_table": 1, "row": 2}
     rows = [r.asDict(recursive=True) for r in df.orderBy("`@id`").collect()]
     assert [r["@id"] for r in rows] == ["1", "2"]
     assert rows[1]["n"] == {"#text": "6", "@unit": "m"}
