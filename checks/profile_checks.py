@@ -441,7 +441,7 @@ def outlier_counts(spark, sf_dir):
 @check("outlier_counts_bracket", union_all([_outlier_sql(*pair) for pair in OUTLIER_COLUMNS[:2]]))
 def outlier_counts_bracket(spark, sf_dir):
     columns = {c: F.col(c).cast("double") for s, c in OUTLIER_COLUMNS[:2]}
-    return outliers.outlier_counts(table(spark, sf_dir, "lineitem"), columns, method="bracket")
+    return outliers.outlier_counts(table(spark, sf_dir, "lineitem"), columns)
 
 
 def _rows_sql(source: str, key: str, column: str) -> str:

@@ -63,11 +63,10 @@ def percentiles(spark, sf_dir):
     union_all([percentiles_sql("lineitem", c) for c in LINE_NUMBERS] + [percentiles_sql("events", "value")]),
 )
 def percentiles_bracket(spark, sf_dir):
-    line = distribution.percentile_table(
-        table(spark, sf_dir, "lineitem"), {c: F.col(c) for c in LINE_NUMBERS}, method="bracket"
-    )
+    """Sketches so coarse, and brackets so small, that values are sketched again inside of brackets."""
+    line = distribution.percentile_table(table(spark, sf_dir, "lineitem"), {c: F.col(c) for c in LINE_NUMBERS})
     probabilities = [p / 100 for p in DEFAULT_PERCENTILES]
-    found = quantiles.bracket_quantiles(table(spark, sf_dir, "events"), {"value": F.col("value")}, probabilities, 200)
+    found = quantiles.bracket_quantiles(table(spark, sf_dir, "events"), {"value": F.col("value")}, probabilities, 50, 20)
     rows = [("value", f"{p}th", v) for p, v in zip(DEFAULT_PERCENTILES, found["value"])]
     events = spark.createDataFrame(rows, "attribute string, percentile string, value double")
     return line.unionByName(events.withColumn("value", F.round("value", 4)))

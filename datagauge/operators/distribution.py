@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,6 @@ from .quantiles import column_quantiles
 
 SHAPIRO_ROWS = 5000
 MIN_VALUES = 10
-PAIRWISE_COLUMNS = 10
 
 
 def _unpivot(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -67,11 +65,10 @@ def percentile_table(
     df: DataFrame,
     columns: dict[str, Column],
     percentiles: Sequence[float] = DEFAULT_PERCENTILES,
-    method: str = "auto",
     digits: int = 4,
 ) -> DataFrame:
     """``(attribute, percentile, value)`` with percentiles named like ``25th``."""
-    rows = column_quantiles(df, columns, [p / 100 for p in percentiles], method)
+    rows = column_quantiles(df, columns, [p / 100 for p in percentiles])
     flat = [
         (k, f"{p:g}th", r.quantiles[i])
         for k, r in rows.items()
@@ -128,23 +125,13 @@ def _gram_rows(names: list[str], centres: list[float]):
 def correlation_pairs(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """``(attribute1, attribute2, correlation)`` of every pair of numeric columns, each pair over its complete rows.
 
-    Few columns: one aggregate of covariances. Many: per-partition cross products, summed per pair, so the shuffle
-    holds one row per pair and task however long the table is. Null where a column is constant.
+    Cross products are added up per partition and then per pair, so the shuffle holds one row per pair and task however
+    long the table is. Null where a column is constant.
     """
     names = list(names or C.numeric_columns(df))
     if len(names) < 2:
         raise ValueError("at least two numeric columns are needed")
     doubles = df.select(*[C.col(n).cast("double").alias(n) for n in names])
-    if len(names) <= PAIRWISE_COLUMNS:
-        structs = []
-        for a, b in combinations(names, 2):
-            x = F.when(C.col(b).isNotNull(), C.col(a))
-            y = F.when(C.col(a).isNotNull(), C.col(b))
-            value = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-            structs.append(
-                F.struct(F.lit(a).alias("attribute1"), F.lit(b).alias("attribute2"), value.alias("correlation"))
-            )
-        return doubles.agg(F.array(*structs).alias("pairs")).select(F.inline("pairs"))
     centres = doubles.agg(*[F.avg(C.col(n)).alias(n) for n in names]).first()
     partial = doubles.mapInPandas(
         _gram_rows(names, [v or 0.0 for v in centres]),
@@ -213,7 +200,7 @@ def kolmogorov_distances(df: DataFrame, column: str) -> DataFrame:
 def distribution_type(df: DataFrame, column: str) -> DataFrame:
     """One row: p-values of normality and of the two reference distributions, the best one, and Shapiro-Wilk.
 
-    The Shapiro test runs on at most 5000 values, as its approximation demands; larger columns get (0, 1).
+    The Shapiro test is approximated for 3 to 5000 values; its columns are null for larger inputs, ``is_normal`` too.
     """
     x = F.col(column).cast("double")
     moments = df.agg(F.count(x).alias("n"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("excess")).first()
@@ -230,13 +217,14 @@ def distribution_type(df: DataFrame, column: str) -> DataFrame:
         "exponential": kolmogorov_two_sided(d.d_exponential, moments.n),
         "uniform": kolmogorov_two_sided(d.d_uniform, moments.n),
     }
-    statistic, shapiro_p = 0.0, 1.0
+    statistic = shapiro_p = None
     if moments.n <= SHAPIRO_ROWS:
         values = df.select(x.alias("x")).where("x is not null").toPandas()["x"]
         statistic, shapiro_p = shapiro_wilk(values.to_numpy())
     best = max(p, key=p.get)
     row = (
         moments.n, best, round(p[best], 4), round(p["normal"], 4), round(p["exponential"], 4),
-        round(p["uniform"], 4), round(statistic, 4), round(shapiro_p, 4), shapiro_p > 0.05,
+        round(p["uniform"], 4),
+        *((None, None, None) if shapiro_p is None else (round(statistic, 4), round(shapiro_p, 4), shapiro_p > 0.05)),
     )
     return df.sparkSession.createDataFrame([row], schema)

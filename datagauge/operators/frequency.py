@@ -1,8 +1,7 @@
 """Distinct counts, value counts and top values for many columns at once.
 
 Columns are unpivoted to ``(attribute, value)`` and grouped, so one shuffle serves every column of a type family and
-a hot value is folded into one row per task before it is sent. Strings over ``LONG_TEXT`` characters travel as their
-SHA-256 digest.
+a hot value is folded into one row per task before it is sent. Strings are counted by their SHA-256 digest.
 """
 
 from __future__ import annotations
@@ -15,11 +14,9 @@ from pyspark.sql import functions as F
 
 from datagauge.functions.columns import col, families, present, text_form
 
-LONG_TEXT = 64
 
-
-def _short(value: Column) -> Column:
-    return F.when(F.length(value) > LONG_TEXT, F.sha2(value, 256)).otherwise(value)
+def _digest(value: Column) -> Column:
+    return F.unhex(F.sha2(value.cast("binary"), 256))
 
 
 def _unpivot(df: DataFrame, values: dict[str, Column], *carried: Column) -> DataFrame:
@@ -41,7 +38,7 @@ def _by_family(df: DataFrame, columns: Sequence[str]) -> list[dict[str, Column]]
             groups["long"][name] = F.unix_date(col(name)).cast("bigint")
         else:
             value = present(df, name) if kinds[name] == "string" else text_form(df, name)
-            groups["text"][name] = _short(value)
+            groups["text"][name] = _digest(value)
     return [g for g in groups.values() if g]
 
 

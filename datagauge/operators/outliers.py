@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from datagauge.functions import columns as C
 from datagauge.params import DEFAULTS, Thresholds
 
-from .quantiles import column_quantiles, resolve_method
+from .quantiles import column_quantiles
 
 
 @dataclass(frozen=True)
@@ -30,20 +30,18 @@ def outlier_bounds(
     df: DataFrame,
     columns: dict[str, Column],
     limits: Thresholds = DEFAULTS,
-    method: str = "auto",
     first_pass: dict[str, tuple] | None = None,
 ) -> dict[str, OutlierBounds]:
     """Two passes for all columns together: moments and quartiles, then the median absolute deviation.
 
     ``first_pass`` hands in ``(n, mean, std, q1, median, q3)`` per column where a caller has them already.
     """
-    method = resolve_method(df, method)
     if first_pass is None:
-        rows = column_quantiles(df, columns, (0.25, 0.5, 0.75), method, moments=True)
+        rows = column_quantiles(df, columns, (0.25, 0.5, 0.75), moments=True)
         first_pass = {k: (r.n, r.mean, r.std, *(r.quantiles or (None,) * 3)) for k, r in rows.items()}
     filled = {k: v for k, v in first_pass.items() if v[0]}
     deviations = {k: F.abs(columns[k] - F.lit(v[4])) for k, v in filled.items()}
-    second = column_quantiles(df, deviations, (0.5,), method)
+    second = column_quantiles(df, deviations, (0.5,))
     bounds = {k: OutlierBounds(0, None, None, None, None, None, None) for k in columns}
     for k, (n, mean, std, q1, median, q3) in filled.items():
         spread = limits.iqr_multiplier * (q3 - q1)
@@ -85,18 +83,18 @@ def count_flagged(
 
 
 def outlier_counts(
-    df: DataFrame, columns: dict[str, Column], limits: Thresholds = DEFAULTS, method: str = "auto"
+    df: DataFrame, columns: dict[str, Column], limits: Thresholds = DEFAULTS
 ) -> DataFrame:
     """Outlier counts per column, with the passes that find the bounds."""
-    return count_flagged(df, columns, outlier_bounds(df, columns, limits, method), limits)
+    return count_flagged(df, columns, outlier_bounds(df, columns, limits), limits)
 
 
 def outlier_rows(
-    df: DataFrame, column: str, limits: Thresholds = DEFAULTS, method: str = "auto"
+    df: DataFrame, column: str, limits: Thresholds = DEFAULTS
 ) -> DataFrame:
     """The rows that any test flags, with one boolean per test. The bounds are literals, so the scan can prune."""
     c = F.col(column).cast("double")
-    bounds = outlier_bounds(df, {column: c}, limits, method)[column]
+    bounds = outlier_bounds(df, {column: c}, limits)[column]
     tests = outlier_tests(f"CAST({C.sql_name(column)} AS DOUBLE)", bounds, limits)
     flagged = df.selectExpr("*", *[f"{test} AS is_{name}" for name, test in tests.items()])
     return flagged.where(F.col("is_z_score") | F.col("is_iqr") | F.col("is_modified_z_score"))

@@ -22,7 +22,7 @@ from datagauge.params import DEFAULTS, LENGTH_PERCENTILES, NUMERIC_PERCENTILES,
 
 from .frequency import distinct_counts
 from .outliers import count_flagged, outlier_bounds
-from .quantiles import column_quantiles, resolve_method
+from .quantiles import column_quantiles
 
 # Columns that share one aggregate; more would not compile to one method any more.
 STRINGS_PER_SCAN = 2
@@ -209,9 +209,8 @@ def _literal_rows(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _quantile_frame(df: DataFrame, kinds: dict[str, str], limits: Thresholds, method: str) -> DataFrame:
+def _quantile_frame(df: DataFrame, kinds: dict[str, str], limits: Thresholds) -> DataFrame:
     """Medians, percentiles and outlier counts per attribute."""
-    method = resolve_method(df, method)
     numbers, lengths = {}, {}
     for n, k in kinds.items():
         if k in ("integer", "float"):
@@ -223,7 +222,7 @@ def _quantile_frame(df: DataFrame, kinds: dict[str, str], limits: Thresholds, me
             lengths[n] = F.when(C.col(n).isNotNull(), F.size(C.col(n))).cast("double")
     wanted = tuple(p / 100 for p in NUMERIC_PERCENTILES) + (0.5,)
     keyed = {("n", n): c for n, c in numbers.items()} | {("l", n): c for n, c in lengths.items()}
-    rows = column_quantiles(df, {"|".join(k): c for k, c in keyed.items()}, wanted, method, moments=True)
+    rows = column_quantiles(df, {"|".join(k): c for k, c in keyed.items()}, wanted, moments=True)
     found = {k: rows["|".join(k)].quantiles for k in keyed}
     first_pass = {}
     for n in numbers:
@@ -234,7 +233,7 @@ def _quantile_frame(df: DataFrame, kinds: dict[str, str], limits: Thresholds, me
     numbers = {n: c for n, c in numbers.items() if first_pass[n][0]}
     counts = {}
     if numbers:
-        bounds = outlier_bounds(df, numbers, limits, method, {n: first_pass[n] for n in numbers})
+        bounds = outlier_bounds(df, numbers, limits, {n: first_pass[n] for n in numbers})
         counts = {r.attribute: r.outlier_count for r in count_flagged(df, numbers, bounds, limits).collect()}
     result = []
     for n in kinds:
@@ -256,10 +255,9 @@ def profile(
     limits: Thresholds = DEFAULTS,
     as_of_date: str | None = None,
     approximate_distinct: bool = False,
-    quantile_method: str = "auto",
 ) -> DataFrame:
     """The full profile of a table: counts, type, per-type metrics, patterns, flags and score per attribute."""
-    raw = raw_profile(df, table_name, patterns, limits, as_of_date, approximate_distinct, quantile_method)
+    raw = raw_profile(df, table_name, patterns, limits, as_of_date, approximate_distinct)
     return finish_profile(raw, patterns, limits)
 
 
@@ -303,7 +301,6 @@ def raw_profile(
     limits: Thresholds = DEFAULTS,
     as_of_date: str | None = None,
     approximate_distinct: bool = False,
-    quantile_method: str = "auto",
 ) -> DataFrame:
     """Metrics per attribute before types, shares, flags and scores are derived from them."""
     kinds = C.families(df)
@@ -322,7 +319,7 @@ def raw_profile(
     # Every side holds one row per column of the table.
     sides = (
         distinct_counts(df, approximate=approximate_distinct),
-        _quantile_frame(df, kinds, limits, quantile_method),
+        _quantile_frame(df, kinds, limits),
         matched,
         keys,
     )

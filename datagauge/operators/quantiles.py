@@ -1,10 +1,9 @@
-"""Exact quantiles with linear interpolation, at any size.
+"""Exact quantiles with linear interpolation, by one method at any size.
 
-Up to ``BUILTIN_ROWS`` rows the built-in ``percentile`` does it in one pass. That function keeps a map of all
-distinct values of a column in one buffer, so beyond the limit the bracket method takes over: a sketch of fixed
-size bounds every wanted rank from below and above, one scan counts the values under each bracket, and only the
-values inside the brackets are grouped and ranked. The result is exact: brackets that miss their rank are opened to
-the whole range. How much a bracket holds is set by the sketch accuracy, which grows with the row count.
+A sketch of fixed size bounds every wanted rank from below and above, one scan counts the values around each bracket, and
+the values inside the brackets are grouped and ranked. A bracket that still holds many values is sketched again inside,
+which divides its values by thousands; one that misses its rank is opened and sketched anew. The result is exact, and
+the number of scans does not depend on the number of columns.
 """
 
 from __future__ import annotations
@@ -16,81 +15,66 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-BUILTIN_ROWS = 5_000_000
-BRACKET_ROWS = 20_000_000
-COLUMNS_PER_SCAN = 4
-
-
-def resolve_method(df: DataFrame, method: str = "auto") -> str:
-    """``builtin`` or ``bracket``; ``auto`` goes by the row count."""
-    if method != "auto":
-        return method
-    return "builtin" if df.count() <= BUILTIN_ROWS else "bracket"
+ACCURACY = 10_000
+BRACKET_VALUES = 200_000
+COLUMNS_PER_SCAN = 32
 
 
 def column_quantiles(
-    df: DataFrame,
-    columns: dict[str, Column],
-    probabilities: Sequence[float],
-    method: str = "auto",
-    moments: bool = False,
+    df: DataFrame, columns: dict[str, Column], probabilities: Sequence[float], moments: bool = False
 ) -> dict[str, Row]:
     """Per key a driver row ``quantiles`` (null where a column has no value), with ``moments`` also ``n``, ``mean``
-    and population ``std``.
-
-    The built-in form aggregates each column in a scan of its own: the scans are pruned to one column and run side by
-    side, which small inputs with few splits need.
-    """
+    and population ``std``."""
     if not columns:
         return {}
-    extra = {"n": F.count, "mean": F.avg, "std": F.stddev_pop} if moments else {}
-    if resolve_method(df, method) == "builtin":
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        parts = []
-        for key, c in columns.items():
-            x = F.col("x")
-            picks = [F.percentile(x, wanted).alias("quantiles"), *[f(x).alias(n) for n, f in extra.items()]]
-            parts.append(df.select(c.cast("double").alias("x")).agg(F.lit(key).alias("key"), *picks))
-        return {row.key: row for row in reduce(DataFrame.unionByName, parts).collect()}
-    quantiles = bracket_quantiles(df, columns, probabilities)
-    stats = {}
-    if extra:
-        structs = [F.struct(*[f(c).alias(n) for n, f in extra.items()]).alias(k) for k, c in columns.items()]
-        stats = {k: v.asDict() for k, v in df.agg(*structs).first().asDict().items()}
-    return {k: Row(key=k, quantiles=quantiles[k], **stats.get(k, {})) for k in columns}
+    quantiles, stats = _quantiles(df, columns, probabilities, ACCURACY, BRACKET_VALUES)
+    kept = ("n", "mean", "std") if moments else ()
+    return {k: Row(key=k, quantiles=quantiles[k], **{m: stats[k][m] for m in kept}) for k in columns}
 
 
 def bracket_quantiles(
-    df: DataFrame, columns: dict[str, Column], probabilities: Sequence[float], accuracy: int | None = None
+    df: DataFrame,
+    columns: dict[str, Column],
+    probabilities: Sequence[float],
+    accuracy: int = ACCURACY,
+    most: int = BRACKET_VALUES,
 ) -> dict[str, list[float] | None]:
-    """Exact quantiles from a sketch, one count and one grouped selection; see the module text."""
+    """The quantiles alone; ``accuracy`` and the values that a bracket may hold do not change them."""
+    return _quantiles(df, columns, probabilities, accuracy, most)[0]
+
+
+def _quantiles(df, columns, probabilities, accuracy, most) -> tuple[dict[str, list[float] | None], dict[str, Row]]:
     typed = df.select(*[c.cast("double").alias(k) for k, c in columns.items()])
-    accuracy = accuracy or max(10_000, math.ceil(4 * df.count() / BRACKET_ROWS))
-    brackets, counts = _sketch_brackets(typed, list(columns), probabilities, accuracy)
-    filled = list(brackets)
-    if not filled:
-        return dict.fromkeys(columns)
-    ranks = {k: [_ranks(p, counts[k]) for p in probabilities] for k in filled}
+    brackets, stats = _first_brackets(typed, list(columns), probabilities, accuracy)
+    ranks = {k: [_ranks(p, stats[k].n) for p in probabilities] for k in brackets}
     below = _counts_around(typed, brackets)
-    wide = {}
-    for k in filled:
-        for i, (first, last) in enumerate(ranks[k]):
-            if below[k].below[i] > first or below[k].upto[i] <= last:
-                wide[k] = [(-math.inf, math.inf)] * len(probabilities)
-    if wide:
-        brackets |= wide
-        below |= _counts_around(typed, wide)
+    for attempt in range(64):
+        again = {}
+        for k, own in brackets.items():
+            for i, (low, high) in enumerate(own):
+                under, upto = below[k].below[i], below[k].upto[i]
+                first, last = ranks[k][i]
+                if under > first or upto <= last:
+                    again[k, i] = (-math.inf if under > first else low, math.inf if upto <= last else high)
+                elif upto - under > most and low < high:
+                    again[k, i] = (low, high)
+        if not again:
+            break
+        brackets, narrowed = _narrowed(typed, brackets, below, ranks, again, accuracy, stats)
+        if not narrowed:
+            break
+        below = _counts_around(typed, brackets)
 
     picked = _values_at(typed, brackets, ranks, below)
     result: dict[str, list[float] | None] = dict.fromkeys(columns)
-    for k in filled:
+    for k in brackets:
         values = []
         for i, p in enumerate(probabilities):
             low, high = picked[k, i]
-            position = p * (counts[k] - 1)
+            position = p * (stats[k].n - 1)
             values.append(low + (high - low) * (position - math.floor(position)))
         result[k] = values
-    return result
+    return result, stats
 
 
 def _col(key: str) -> Column:
@@ -102,12 +86,12 @@ def _ranks(p: float, n: int) -> tuple[int, int]:
     return math.floor(position), math.ceil(position)
 
 
-def _batched(keys: Sequence[str]) -> list[list[str]]:
+def _batched(keys: Sequence) -> list[list]:
     return [list(keys[at : at + COLUMNS_PER_SCAN]) for at in range(0, len(keys), COLUMNS_PER_SCAN)]
 
 
 def _one_row_per_key(typed: DataFrame, keys: Sequence[str], build) -> dict[str, Row]:
-    """Aggregates the keys batch by batch; the batches are scans of their own that run side by side."""
+    """Aggregates the keys, many in a scan."""
     parts = []
     for batch in _batched(keys):
         structs = [F.struct(F.lit(k).alias("key"), *build(k)).alias(k) for k in batch]
@@ -115,33 +99,59 @@ def _one_row_per_key(typed: DataFrame, keys: Sequence[str], build) -> dict[str,
     return {row.key: row for row in reduce(DataFrame.unionByName, parts).collect()}
 
 
-def _sketch_brackets(typed, keys, probabilities, accuracy) -> tuple[dict[str, list[tuple[float, float]]], dict[str, int]]:
-    """Brackets of the keys that have values, and the number of values of every key."""
+def _edges(probabilities: Sequence[float], accuracy: int) -> list[float]:
     slack = 2.0 / accuracy
-    edges = [max(0.0, p - slack) for p in probabilities] + [min(1.0, p + slack) for p in probabilities]
+    return [max(0.0, p - slack) for p in probabilities] + [min(1.0, p + slack) for p in probabilities]
+
+
+def _first_brackets(typed, keys, probabilities, accuracy) -> tuple[dict[str, list[tuple[float, float]]], dict[str, Row]]:
+    """Brackets of the keys that have values; the number, mean and spread of the values of every key."""
+    edges = _edges(probabilities, accuracy)
     rows = _one_row_per_key(
         typed,
         keys,
-        lambda k: [F.percentile_approx(_col(k), edges, accuracy).alias("edges"), F.count(_col(k)).alias("n")],
+        lambda k: [
+            F.percentile_approx(_col(k), edges, accuracy).alias("edges"), F.count(_col(k)).alias("n"),
+            F.avg(_col(k)).alias("mean"), F.stddev_pop(_col(k)).alias("std"),
+        ],
     )
     half = len(probabilities)
-    brackets = {}
-    for k in keys:
-        if not rows[k].n:
-            continue
-        small = rows[k].n <= accuracy
-        brackets[k] = [
-            (
-                -math.inf if small or edges[i] == 0.0 else rows[k].edges[i],
-                math.inf if small or edges[half + i] == 1.0 else rows[k].edges[half + i],
-            )
-            for i in range(half)
-        ]
-    return brackets, {k: row.n for k, row in rows.items()}
+    found = {k: [(rows[k].edges[i], rows[k].edges[half + i]) for i in range(half)] for k in keys if rows[k].n}
+    return found, rows
+
+
+def _narrowed(typed, brackets, below, ranks, again, accuracy, stats):
+    """Sketches the values inside some brackets; returns all brackets, and whether any of them changed."""
+    wanted: dict[str, list[int]] = {}
+    for k, i in again:
+        wanted.setdefault(k, []).append(i)
+    slots = [(k, i) for k in wanted for i in wanted[k]]
+
+    def build(k: str) -> list[Column]:
+        sketches = []
+        for i in wanted[k]:
+            low, high = again[k, i]
+            under = below[k].below[i] if low == brackets[k][i][0] else 0
+            upto = below[k].upto[i] if high == brackets[k][i][1] else stats[k].n
+            inside = max(1, upto - under)
+            first, last = ranks[k][i]
+            slack = 2.0 / accuracy
+            edges = [max(0.0, (first - under) / inside - slack), min(1.0, (last + 1 - under) / inside + slack)]
+            value = F.when(_col(k).between(F.lit(low), F.lit(high)), _col(k))
+            sketches.append(F.percentile_approx(value, edges, accuracy))
+        return [F.array(*sketches).alias("edges")]
+
+    rows = _one_row_per_key(typed, list(wanted), build)
+    out = {k: list(v) for k, v in brackets.items()}
+    for k, i in slots:
+        out[k][i] = tuple(rows[k].edges[wanted[k].index(i)])
+    return out, any(out[k][i] != brackets[k][i] for k, i in slots)
 
 
 def _counts_around(typed: DataFrame, brackets: dict[str, list[tuple[float, float]]]) -> dict[str, Row]:
     """Per key and bracket: how many values lie under it, and how many up to its upper edge."""
+    if not brackets:
+        return {}
 
     def build(k: str) -> list[Column]:
         return [
@@ -153,10 +163,17 @@ def _counts_around(typed: DataFrame, brackets: dict[str, list[tuple[float, float
 
 
 def _values_at(typed, brackets, ranks, below) -> dict[tuple[str, int], tuple[float, float]]:
-    """The values at both ranks of every bracket. Only values inside a bracket are shuffled, grouped by value."""
+    """The values at both ranks of every bracket. Only values inside a bracket are shuffled, grouped by value.
+
+    A bracket of one value needs no scan; the others hold a bounded number of values.
+    """
     slots = [(k, i) for k in brackets for i in range(len(brackets[k]))]
+    found = {(k, i): brackets[k][i] for k, i in slots if brackets[k][i][0] == brackets[k][i][1]}
+    slots = [s for s in slots if s not in found]
+    if not slots:
+        return found
     parts = []
-    for batch in _batched(list(brackets)):
+    for batch in _batched(list(dict.fromkeys(k for k, _ in slots))):
         inside = [
             F.when(
                 _col(k).between(F.lit(brackets[k][i][0]), F.lit(brackets[k][i][1])),
@@ -190,4 +207,4 @@ def _values_at(typed, brackets, ranks, below) -> dict[tuple[str, int], tuple[flo
         )
         .collect()
     )
-    return {slots[r.slot]: (r.low, r.high) for r in rows}
+    return found | {slots[r.slot]: (r.low, r.high) for r in rows}

@@ -42,8 +42,8 @@ def test_combined_outliers_cover_each_test(spark):
     assert row.outlier_count >= max(row.z_score_count, row.iqr_count, row.modified_z_count) > 0
 
 
-@pytest.mark.parametrize("accuracy", [50, 10_000])
-def test_bracket_quantiles_equal_numpy(spark, accuracy):
+@pytest.mark.parametrize("accuracy, most", [(50, 200_000), (50, 10), (10_000, 200_000), (10_000, 1)])
+def test_bracket_quantiles_equal_numpy(spark, accuracy, most):
     rng = np.random.default_rng(3)
     # A third of the values is one value; the rest is heavy-tailed; some are null.
     values = np.concatenate([np.full(4000, 7.25), rng.lognormal(1, 2, 8000)])
@@ -51,9 +51,9 @@ def test_bracket_quantiles_equal_numpy(spark, accuracy):
     rows = [*values.tolist(), None, None]
     wanted = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
     df = numbers(spark, rows).repartition(5)
-    found = bracket_quantiles(df, x_column(), wanted, accuracy)["x"]
+    found = bracket_quantiles(df, x_column(), wanted, accuracy, most)["x"]
     assert found == pytest.approx([np.quantile(values, p) for p in wanted])
-    assert column_quantiles(df, x_column(), wanted, "builtin")["x"].quantiles == pytest.approx(found)
+    assert column_quantiles(df, x_column(), wanted)["x"].quantiles == pytest.approx(found)
 
 
 def test_bracket_quantiles_of_nothing_and_one(spark):
