@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datagauge.operators import keys, relations
@@ -70,16 +73,30 @@ COMMON = [(t, p, c) for p, (t, cs) in enumerate(
     {"documents": ("doc_id", "text", "lang", "source", "n_chars"), "labels": ("doc_id", "quality", "toxic"),
      "benchmark": ("item_id", "text"), "conversations": ("conv_id", "turn", "role", "text"),
      "embeddings": ("vec_id", "embedding", "label")}.items()) for c in cs]
-_COMMON_VALUES = ", ".join(f"('{t}', {p}, '{c}')" for t, p, c in COMMON)
 
 
 @check(
     "common_attributes",
-    f"""SELECT a.t AS table1, b.t AS table2, a.c AS attribute FROM (VALUES {_COMMON_VALUES}) a(t, p, c)
-JOIN (VALUES {_COMMON_VALUES}) b(t, p, c) ON a.c = b.c AND a.p < b.p""",
+    union_all(
+        [
+            f"""SELECT '{t1}' AS table1, '{t2}' AS table2, '{c}' AS attribute, (SELECT count({c}) FROM {t1}) AS present1, (SELECT count({c}) FROM {t2}) AS present2"""
+            for t1, p1, c in COMMON
+            for t2, p2, other in COMMON
+            if c == other and p1 < p2
+        ]
+    ),
 )
 def common_attributes(spark, sf_dir):
-    return keys.common_attributes(tables(spark, sf_dir, *dict.fromkeys(t for t, _, _ in COMMON)))
+    """Shared columns with the number of values that either table has in them."""
+    named = tables(spark, sf_dir, *dict.fromkeys(t for t, _, _ in COMMON))
+    counted = [
+        df.agg(*[F.count(c).alias(c) for c in df.columns]).select(F.lit(t).alias("t"), F.explode(F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*df.columns))).alias("c", "n"))
+        for t, df in named.items()
+    ]
+    present = reduce(DataFrame.unionByName, counted)
+    first = present.select(F.col("t").alias("table1"), F.col("c").alias("attribute"), F.col("n").alias("present1"))
+    second = present.select(F.col("t").alias("table2"), F.col("c").alias("attribute"), F.col("n").alias("present2"))
+    return keys.common_attributes(named).join(first, ["table1", "attribute"]).join(second, ["table2", "attribute"])
 
 
 @check(

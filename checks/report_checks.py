@@ -27,19 +27,19 @@ LABELLED = {
 }
 
 
-def label_sql(source: str, order: str, column: str) -> str:
+def label_sql(source: str, column: str) -> str:
     return f"""SELECT '{column}' AS attribute, CASE WHEN bool_and(contains({column}, '@')) THEN 'Email format'
   WHEN bool_and(starts_with({column}, 'http')) THEN 'URL format'
   WHEN bool_and(regexp_full_match(regexp_replace({column}, '[- ]', '', 'g'), '[\\p{{L}}\\p{{N}}]+')) THEN 'Alphanumeric'
   ELSE 'Free text' END AS label
-FROM (SELECT {column} FROM {source} WHERE {column} IS NOT NULL ORDER BY {order} LIMIT 3)"""
+FROM {source} WHERE {column} IS NOT NULL HAVING count(*) > 0"""
 
 
-@check("report_string_labels", union_all([label_sql(t, o, c) for t, (o, cs) in LABELLED.items() for c in cs]))
+@check("report_string_labels", union_all([label_sql(t, c) for t, (_, cs) in LABELLED.items() for c in cs]))
 def report_string_labels(spark, sf_dir):
     result = None
-    for name, (order, _) in LABELLED.items():
-        part = reports.string_labels(table(spark, sf_dir, name), [order])
+    for name in LABELLED:
+        part = reports.string_labels(table(spark, sf_dir, name))
         result = part if result is None else result.unionByName(part)
     return result
 
@@ -79,7 +79,7 @@ def report_sql(source: str, name: str, order: str, columns: dict[str, str], mode
     shapes = []
     for c, k in columns.items():
         if k == "string":
-            pattern = f"(SELECT label FROM ({label_sql(source, order, c)}))"
+            pattern = f"(SELECT label FROM ({label_sql(source, c)}))"
             low, high = f"(SELECT min(length(nullif({c}, ''))) FROM {source})", f"(SELECT max(length(nullif({c}, ''))) FROM {source})"
         else:
             low = high = "NULL"
@@ -239,9 +239,9 @@ def report_scorecard_validity(spark, sf_dir):
 
 @check(
     "report_critical_rows",
-    f"""SELECT 'people' AS table_name, CAST(row_number() OVER (ORDER BY n DESC, issue) + 6 AS INTEGER) AS position, concat('Critical Issue: ', issue[1:30], '...') AS "Metric",
-  CASE WHEN severity = 'CRITICAL' THEN 'CRITICAL' ELSE 'HIGH' END AS "Score", concat(n, ' records: ', issue)[1:100] AS "Details", 'Review and resolve' AS "Recommendation"
-FROM (SELECT concat(kind, ' in field ', field) AS issue, severity, count(*) AS n FROM ({ISSUES}) GROUP BY 1, 2) QUALIFY position <= 9""",
+    f"""SELECT 'people' AS table_name, CAST(row_number() OVER (ORDER BY n DESC, issue) + 6 AS INTEGER) AS position, concat('Critical Issue: ', issue) AS "Metric",
+  CASE WHEN severity = 'CRITICAL' THEN 'CRITICAL' ELSE 'HIGH' END AS "Score", concat(n, ' records: ', issue) AS "Details", 'Review and resolve' AS "Recommendation"
+FROM (SELECT concat(kind, ' in field ', field) AS issue, severity, count(*) AS n FROM ({ISSUES}) GROUP BY 1, 2)""",
 )
 def report_critical_rows(spark, sf_dir):
     issues = rules.record_issues(derived(spark, sf_dir, PEOPLE), AS_OF, row_index=F.col("customer_id"))

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# The phrases that introduce or follow a JSON object.
+# The phrases that introduce or follow a JSON object, and the fences.
 INTRO_PATTERNS = (
     r"(?:here is|here's|below is|the json is|json output|analysis result|assessment result):\s*(\{[\s\S]*\})",
     r"(?:json|analysis|assessment|result):\s*(\{[\s\S]*\})",
     r"(\{[\s\S]*\})\s*(?:this is|that is|above is)",
 )
 _FENCED_JSON = r"```json\s*([\s\S]*?)\s*```"
-_BRACES = re.compile("[{}]")
 _FENCED = r"```\s*([\s\S]*?)\s*```"
 
 
@@ -45,28 +39,33 @@ def _between_braces(c: Column) -> Column:
     return F.when(found, c.substr(start, last - start + 1))
 
 
-@F.pandas_udf(T.StringType())
-def _first_balanced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The text from the first opening brace to the one that balances it."""
+def _first_balanced(c: Column) -> Column:
+    """The text from the first opening brace to the one that balances it; null if none does.
+
+    The text is cut behind every brace; a fold over the pieces adds up depth and length until the depth is zero.
+    """
+    start = F.locate("{", c)
+    rest = F.when(start > 0, c.substr(start, F.length(c)))
+    pieces = F.regexp_extract_all(rest, F.lit(r"([^{}]*[{}])"), F.lit(1))
 
-    def cut(text):
-        depth, start = 0, -1 if text is None else text.find("{")
-        if start < 0:
-            return None
-        for brace in _BRACES.finditer(text, start):
-            depth += 1 if brace.group() == "{" else -1
-            if depth == 0:
-                return text[start : brace.end()]
-        return None
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(piece.endswith("{"), 1).otherwise(-1)
+        done = state["done"]
+        return F.struct(
+            F.when(done, state["depth"]).otherwise(depth).alias("depth"),
+            F.when(done, state["length"]).otherwise(state["length"] + F.length(piece)).alias("length"),
+            (done | (depth == 0)).alias("done"),
+        )
 
-    for batch in batches:
-        yield batch.map(cut)
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("done"))
+    end = F.aggregate(pieces, begin, step)
+    return F.when(end["done"], rest.substr(F.lit(1), end["length"]))
 
 
 def extract_json(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(id, method, json_text)`` for every text that holds JSON; method 1 takes a ``json`` fence as it stands.
 
-    Only texts that hold a brace and no method so far has resolved go to the brace matcher.
+    Only texts that hold a brace and no method so far has resolved reach the brace matcher.
     """
     text = F.col("text")
     picked = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null")
@@ -85,7 +84,7 @@ def extract_json(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
         .alias("hit"),
     )
     undecided = direct.withColumn("open", F.when(F.col("hit").isNull() & text.contains("{"), text))
-    balanced = undecided.withColumn("c4", _first_balanced("open"))
+    balanced = undecided.withColumn("c4", _first_balanced(F.col("open")))
     introduced = [
         F.when(F.col("open").rlike("(?i)" + p), _trimmed(F.regexp_extract("open", "(?i)" + p, 1))).alias(f"i{n}")
         for n, p in enumerate(INTRO_PATTERNS)

@@ -239,9 +239,10 @@ def metric_thresholds(df: DataFrame, metrics: dict[str, tuple[Column, float]]) -
 
 
 def violation_table(issues: DataFrame, sample_keys: int = 3) -> DataFrame:
-    """Per rule and field: issues, affected records, and the first few record ids.
+    """Per rule and field: issues, affected records, and the first ``sample_keys`` record ids as examples.
 
-    Ids are folded per rule first; the smallest ones come from a rank filter that keeps a few rows per task.
+    Ids are folded per rule first; the smallest ones come from a rank filter that keeps a few rows per task. The issues
+    themselves hold all ids.
     """
     from pyspark.sql import Window
 

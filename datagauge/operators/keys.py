@@ -129,8 +129,12 @@ def _key_counts(df: DataFrame, key: str) -> DataFrame:
 
 
 def orphan_rows(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Child rows whose key has no parent. Adaptive execution splits the child side of an anti join on a hot key."""
-    keys = parent.select(C.col(parent_key).alias("_parent_key")).distinct()
+    """Child rows whose key has no parent.
+
+    Both sides go to the join straight from their shuffles, so adaptive execution can split the child side on a hot key;
+    an anti join needs no distinct parent keys.
+    """
+    keys = parent.select(C.col(parent_key).alias("_parent_key")).where(F.col("_parent_key").isNotNull())
     known = child.where(C.col(child_key).isNotNull())
     return known.join(keys, C.col(child_key) == F.col("_parent_key"), "left_anti")
 

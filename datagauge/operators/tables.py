@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from datagauge.functions import columns as C
 from datagauge.params import DEFAULTS, Thresholds
@@ -98,14 +97,13 @@ def duplicate_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     )
 
 
-def date_fields(df: DataFrame, order_by: Sequence[str], probe: int = 10) -> list[str]:
-    """Date columns: typed ones, and strings that look like dates by name or value in the first records."""
+def date_fields(df: DataFrame) -> list[str]:
+    """Date columns: typed ones, and strings that look like dates by name or by any value."""
     kinds = C.families(df)
     strings = [n for n, k in kinds.items() if k == "string"]
     found = [n for n, k in kinds.items() if k == "datetime"]
     if strings:
-        head = df.orderBy(*order_by).select(*[C.col(n) for n in strings]).limit(probe)
-        looks = head.agg(
+        looks = df.agg(
             *[
                 F.max(
                     C.col(n).isNotNull() & (F.lit("date" in n.lower()) | F.coalesce(C.col(n).rlike(ISO_START), F.lit(False)))
@@ -113,14 +111,14 @@ def date_fields(df: DataFrame, order_by: Sequence[str], probe: int = 10) -> list
                 for n in strings
             ]
         ).first()
-        found += [n for n in strings if looks[n]]
+        found += [n for n in strings if looks[n]]  # null for an empty table
     return [n for n in df.columns if n in found]
 
 
-def freshness(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+def freshness(df: DataFrame) -> DataFrame:
     """Per date field: earliest and latest value and the days between them, over the whole table."""
     kinds = C.families(df)
-    fields = date_fields(df, order_by)
+    fields = date_fields(df)
     schema = "field string, earliest_date string, latest_date string, date_range_days int"
     if not fields:
         return df.sparkSession.createDataFrame([], schema)
@@ -204,11 +202,12 @@ def attribute_issues(profiles: DataFrame, limits: Thresholds = DEFAULTS) -> Data
     return profiles.select("table_name", F.explode(issues).alias("issue"))
 
 
-def top_issues(profiles: DataFrame, per_table: int = 10, limits: Thresholds = DEFAULTS) -> DataFrame:
-    """The first issues of every table in alphabetical order."""
+def top_issues(profiles: DataFrame, per_table: int | None = None, limits: Thresholds = DEFAULTS) -> DataFrame:
+    """The issues of every table, ranked in alphabetical order; the first ``per_table`` of them if given."""
     ranked = Window.partitionBy("table_name").orderBy("issue")
     issues = attribute_issues(profiles, limits).withColumn("rank", F.row_number().over(ranked))
-    return issues.where(F.col("rank") <= per_table).select("table_name", "rank", "issue")
+    kept = issues if per_table is None else issues.where(F.col("rank") <= per_table)
+    return kept.select("table_name", "rank", "issue")
 
 
 def dataset_summary(profiles: DataFrame) -> DataFrame:
@@ -232,21 +231,13 @@ def global_anomalies(profiles: DataFrame) -> DataFrame:
     )
 
 
-def critical_issues(profiles: DataFrame, positions: DataFrame, limit: int = 10, per_table: int = 10) -> DataFrame:
-    """The first issues of the dataset: tables in their given order, each with its first issues.
+def critical_issues(
+    profiles: DataFrame, positions: DataFrame, limit: int | None = None, per_table: int | None = None
+) -> DataFrame:
+    """The issues of the dataset: tables in their given order, each with its (first) issues; limits are optional.
 
     ``positions`` is ``(table_name, position)``; both frames hold a few rows per table.
     """
     issues = top_issues(profiles, per_table).join(F.broadcast(positions), "table_name")
-    return issues.orderBy("position", "rank").limit(limit).select("table_name", "rank", "issue")
-
-
-def union_profiles(profiles: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), profiles)
-
-
-def nested_fields(schema: T.StructType) -> int:
-    """Number of top-level arrays of objects; more than one makes a multi-table document."""
-    return sum(
-        isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType) for f in schema.fields
-    )
+    ordered = issues.orderBy("position", "rank")
+    return (ordered if limit is None else ordered.limit(limit)).select("table_name", "rank", "issue")

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from datagauge.operators import tables as tables_ops
 from datagauge.operators.issues import corrected_scores, issue_counts
+from datagauge.operators.ordering import with_row_index
 from datagauge.operators.profile import profile_all
 from datagauge.operators.rules import DEFAULT_RULES, RuleSet, record_issues
 from datagauge.params import DEFAULTS, Thresholds
@@ -40,17 +42,22 @@ def assess(
     as_of_date: str,
     rules: RuleSet = DEFAULT_RULES,
     limits: Thresholds = DEFAULTS,
+    order_by: dict[str, Sequence[str]] | None = None,
 ) -> Assessment:
     """Profiles every table, validates every record and scores the result.
 
-    The profile rows are checkpointed, since all that follows reads them.
+    The profile rows are checkpointed, since all that follows reads them. ``order_by`` names a total order for tables
+    whose records have no id: their positions in it stand in the issues, the same in every run.
     """
     profiles = cut_lineage(profile_all(tables, limits=limits, as_of_date=as_of_date))
     scores = tables_ops.table_scores(profiles)
     originals = {r.table_name: r for r in scores.collect()}
     corrected = {}
     for name, df in tables.items():
-        counts = issue_counts(record_issues(df, as_of_date, rules))
+        index = None
+        if order_by and name in order_by:
+            df, index = with_row_index(df, order_by[name], "_row_index"), F.col("_row_index")
+        counts = issue_counts(record_issues(df, as_of_date, rules, index))
         corrected[name] = corrected_scores(counts, originals[name].data_quality_score, originals[name].total_records)
     return Assessment(
         profiles,
@@ -66,7 +73,7 @@ def write_report(
     tables: dict[str, DataFrame], order_by: dict[str, Sequence[str]], out: str, as_of_date: str
 ) -> Assessment:
     """Writes per table the original, the column report and the scorecard as CSV, and the profiles as JSON."""
-    result = assess(tables, as_of_date)
+    result = assess(tables, as_of_date, order_by=order_by)
     for name, df in tables.items():
         folder = f"{out}/{nested.safe_name(name)}"
         own = result.profiles.where(result.profiles.table_name == name)

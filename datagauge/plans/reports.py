@@ -24,24 +24,23 @@ def report_type(data_type: Column) -> Column:
     return F.coalesce(F.try_element_at(names, F.lower(data_type)), F.upper(data_type))
 
 
-def string_labels(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """``(attribute, label)``: the shape of the first three values of every string column."""
+def string_labels(df: DataFrame) -> DataFrame:
+    """``(attribute, label)``: the shape that all values of a string column have; one scan for all columns."""
     names = [n for n, k in C.families(df).items() if k == "string"]
     if not names:
         return df.sparkSession.createDataFrame([], "attribute string, label string")
-    # Per column the three first values, found by a bounded heap in every task.
-    parts = []
-    for n in names:
-        order = [C.col(c).alias(f"_ord{i}") for i, c in enumerate(order_by)]
-        first = df.where(C.col(n).isNotNull()).select(*order, C.col(n).alias("value"))
-        first = first.orderBy(*[f"_ord{i}" for i in range(len(order))]).limit(3)
-        parts.append(first.select(F.lit(n).alias("attribute"), "value"))
-    v = F.col("value")
-    tests = reduce(DataFrame.unionByName, parts).groupBy("attribute").agg(
-        F.bool_and(v.contains("@")).alias("email"),
-        F.bool_and(v.startswith("http")).alias("url"),
-        F.bool_and(F.regexp_replace(v, "[- ]", "").rlike(r"^[\p{L}\p{N}]+\z")).alias("alnum"),
-    )
+
+    def shape(n: str) -> Column:
+        v = C.col(n)
+        return F.struct(
+            F.lit(n).alias("attribute"),
+            F.count(v).alias("n"),
+            F.bool_and(v.contains("@")).alias("email"),
+            F.bool_and(v.startswith("http")).alias("url"),
+            F.bool_and(F.regexp_replace(v, "[- ]", "").rlike(r"^[\p{L}\p{N}]+\z")).alias("alnum"),
+        )
+
+    tests = df.agg(F.array(*[shape(n) for n in names]).alias("shapes")).select(F.inline("shapes")).where("n > 0")
     label = (
         F.when(F.col("email"), "Email format")
         .when(F.col("url"), "URL format")
@@ -91,7 +90,7 @@ def column_report(
     ``keyword`` mode knows only nulls and "Minor issues", ``structured`` names format and outlier issues too.
     """
     sequential = sequential_columns(df, order_by)
-    labels = string_labels(df, order_by)
+    labels = string_labels(df)
     spread = "email" in df.columns and C.families(df)["email"] == "string" and email_domains_differ(df).first().differ
     kind = report_type(F.col("data_type"))
     number = F.when(F.col("attribute").isin(*sequential), "Sequential") if sequential else F.when(F.lit(False), "")
@@ -221,18 +220,20 @@ def scorecard_rows(scores: DataFrame) -> DataFrame:
     return scores.select("table_name", F.inline(F.array(*rows)))
 
 
-def critical_rows(violations: DataFrame, limit: int = 3) -> DataFrame:
-    """Up to three scorecard rows for the worst rules: text cut to 30, details and fix to 100 characters.
+def critical_rows(violations: DataFrame, limit: int | None = None) -> DataFrame:
+    """Scorecard rows of the rules, worst first, with their whole texts; the first ``limit`` of them if given.
 
     ``violations``: ``(table_name, issue, severity, description, fix, n)``; ranked per table by count.
     """
     ranked = Window.partitionBy("table_name").orderBy(F.col("n").desc(), "issue")
-    first = violations.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= limit)
+    first = violations.withColumn("rank", F.row_number().over(ranked))
+    if limit is not None:
+        first = first.where(F.col("rank") <= limit)
     return first.select(
         "table_name",
         (F.col("rank") + 6).alias("position"),
-        F.concat(F.lit("Critical Issue: "), F.substring("issue", 1, 30), F.lit("...")).alias("Metric"),
+        F.concat(F.lit("Critical Issue: "), "issue").alias("Metric"),
         F.when(F.col("severity") == "CRITICAL", "CRITICAL").otherwise("HIGH").alias("Score"),
-        F.substring("description", 1, 100).alias("Details"),
-        F.substring("fix", 1, 100).alias("Recommendation"),
+        F.col("description").alias("Details"),
+        F.col("fix").alias("Recommendation"),
     )

@@ -158,15 +158,15 @@ def test_duplicates_tell_null_from_blank(spark):
     assert tables.duplicate_summary(df).first().total_duplicates == 0
 
 
-def test_freshness_probes_the_first_records(spark):
-    rows = [(i, "2020-01-0%d" % (i % 9 + 1), "later" if i < 10 else "2021-01-01", "none") for i in range(20)]
+def test_freshness_sees_all_records(spark):
+    rows = [(i, "2020-01-0%d" % (i % 9 + 1), None if i < 10 else "2021-01-01", "none") for i in range(20)]
     df = spark.createDataFrame(rows, "i int, seen string, late string, some_date string")
-    found = by(tables.freshness(df, ["i"]), "field")
-    assert set(found) == {"seen"}
+    found = by(tables.freshness(df), "field")
+    assert set(found) == {"seen", "late"}
     assert (found["seen"]["earliest_date"], found["seen"]["latest_date"], found["seen"]["date_range_days"]) == (
         "2020-01-01", "2020-01-09", 8,
     )
-    assert tables.date_fields(df, ["i"]) == ["seen", "some_date"]
+    assert tables.date_fields(df) == ["seen", "late", "some_date"]
 
 
 def test_table_scores_adjust_for_width(spark):
