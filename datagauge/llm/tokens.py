@@ -16,6 +16,7 @@ a byte border. Wider ones are packed as 0 and listed as exceptions. Any block ca
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -31,6 +32,7 @@ from pyspark.sql.window import Window
 
 from datagauge.session import scratch_path
 
+from . import words
 from .shared import quoted, stored, text_bytes
 
 BLOCK = 256
@@ -39,7 +41,7 @@ IDS_PER_FILE = 4 << 20
 PARTITION_BYTES = 16 << 20
 _MAGIC = b"PFOR\x01\x00\x00\x00"
 _HEAD = struct.Struct("<IIIIQ")
-_CHUNK = 1 << 12  # blocks worked on at a time
+_CHUNK = 1 << 10  # blocks worked on at a time
 
 
 def _lengths(values: np.ndarray) -> np.ndarray:
@@ -132,87 +134,111 @@ def unpack(content) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, given, sizes, flat[:n_ids]
 
 
-class _Numbers(dict):
-    """Numbers words in the order they come."""
-
-    def __init__(self):
-        self.words: list[str] = []
-
-    def __missing__(self, word):
-        self[word] = n = len(self.words)
-        self.words.append(word)
-        return n
-
-
 class Encoder:
-    """Ids of texts by a byte-level BPE tokenizer, each distinct word encoded once.
+    """Ids of texts by a byte-level BPE tokenizer; each distinct word is encoded once by a process.
 
     The tokenizer cuts a text into words by itself and encodes them one by one; a space that no other white space
     stands next to always begins a word. So texts may be cut before such spaces. A text with any other space that
-    could share a word goes to the tokenizer as it is.
+    could share a word goes to the tokenizer as it is. Words are known by 128 bits of hash.
     """
 
     _SHARED = re.compile(r"\s (?:\s|\Z)")
-    _MOST = 1 << 18
+    _LOOSE = re.compile(r"\s\s|\s\Z")
+    _MOST = 1 << 20  # words that are remembered
+    _JOINED = 1000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # how the vocabulary writes a space
         self._forget()
 
     def _forget(self) -> None:
-        self.first, self.rest = _Numbers(), _Numbers()
-        self.stores = [[np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)] for _ in range(2)]
+        self.keys, self.checks = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.places = np.zeros(0, dtype=np.int64)  # of the words, in the order of their keys, among all that were learned
+        self.ids, self.ends = [np.zeros(0, dtype=np.uint16)], np.zeros(1, dtype=np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, numbers: _Numbers, store: list[np.ndarray], lead: str) -> None:
-        new = numbers.words[len(store[1]) - 1 :]
-        if new:
-            found = self._encode([lead + w for w in new])
-            store[0] = np.concatenate([store[0], *[np.array(x, dtype=np.uint32) for x in found]])
-            store[1] = np.concatenate([store[1], store[1][-1] + np.cumsum([len(x) for x in found])])
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.rest) + len(self.first) > self._MOST:
+    def _encode_words(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids of each word). Words that begin with a space are encoded many at a time: where the ids of one
+        begin is told by the token that has the space."""
+        ids, sizes = [], []
+        for a in range(0, len(found), self._JOINED):
+            part = found[a : a + self._JOINED]
+            text = "".join(part)
+            if all(w[0] == " " for w in part) and not self._LOOSE.search(text):
+                whole = np.array(self._encode([text])[0], dtype=np.int64)
+                starts = np.flatnonzero(self.spaced[whole])
+                if len(starts) == len(part) and starts[0] == 0:
+                    ids.append(whole)
+                    sizes.append(np.diff(np.append(starts, len(whole))))
+                    continue
+            single = self._encode(part)
+            ids.append(np.array([i for x in single for i in x], dtype=np.int64))
+            sizes.append(np.array([len(x) for x in single], dtype=np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, piece: words.Piece, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+        """Adds words, given by their bytes in the piece and sorted by key."""
+        found = [piece.buf[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+        order = np.array([w[0] != " " for w in found]).argsort(kind="stable")  # words with a space first
+        ids, sizes = self._encode_words([found[i] for i in order])
+        place = np.empty(len(found), dtype=np.int64)
+        place[order] = len(self.ends) - 1 + np.arange(len(found))
+        self.ids.append(ids.astype(np.uint16 if len(self.spaced) <= 1 << 16 else np.uint32))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.checks, self.places = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks), np.insert(self.places, at, place)
+
+    def __call__(self, piece: words.Piece) -> list[np.ndarray]:
+        """The ids of every text of a piece."""
+        if len(self.keys) > self._MOST:
             self._forget()
-        get, parts = self.rest.__getitem__, []
-        for text in texts:
-            if self._SHARED.search(text):
-                parts.append(np.array(self._encode([text])[0], dtype=np.uint32))
-            else:
-                head, *tail = text.split(" ")
-                parts.append((self.first[head], np.fromiter(map(get, tail), dtype=np.int64, count=len(tail))))
-        self._learn(self.first, self.stores[0], "")
-        self._learn(self.rest, self.stores[1], " ")
-        (one, one_at), (all_, all_at) = self.stores
-        out = []
-        for part in parts:
-            if isinstance(part, tuple):
-                head, tail = part
-                size = all_at[tail + 1] - all_at[tail]
-                shift = np.cumsum(size) - size
-                places = np.repeat(all_at[tail] - shift, size) + np.arange(int(size.sum()))
-                part = np.concatenate([one[one_at[head] : one_at[head + 1]], all_[places]])
-            out.append(part)
+        buf, offsets = piece.buf, piece.offsets
+        n = len(offsets) - 1
+        begins = buf == 0x20
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(buf))
+        alone = [d for d in range(n) if self._SHARED.search(piece.text(d).decode())]
+        out: list = [None] * n
+        for d, ids in zip(alone, self._encode([piece.text(d).decode() for d in alone]) if alone else []):
+            out[d] = np.array(ids, dtype=np.uint32)
+        values = words._BYTES[buf]
+        keys, checks = (words._runs(values, starts, ends, base) for base in words._BASES)
+        known, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        # Two words of one key would be told apart by their checks; then the texts are encoded without the memory.
+        unsure = set(np.searchsorted(offsets, starts[checks != checks[first][which]], "right") - 1)
+        at = np.searchsorted(self.keys, known)
+        have = at < len(self.keys)
+        have[have] = self.keys[at[have]] == known[have]
+        unsure |= set(np.searchsorted(offsets, starts[np.isin(which, np.flatnonzero(have)[self.checks[at[have]] != checks[first[have]]])], "right") - 1) if have.any() else set()
+        new = first[~have]
+        if len(new):
+            self._learn(piece, starts[new], ends[new], keys[new], checks[new])
+        place = self.places[np.searchsorted(self.keys, known)][which] if len(known) else np.zeros(0, dtype=np.int64)
+        if len(self.ids) > 1:
+            self.ids = [np.concatenate(self.ids)]
+        sizes = self.ends[place + 1] - self.ends[place]
+        done = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[0][np.repeat(self.ends[place] - done[:-1], sizes) + np.arange(int(done[-1]))].astype(np.uint32)
+        edges = done[np.searchsorted(starts, offsets)]
+        for d in range(n):
+            if out[d] is None:
+                out[d] = flat[edges[d] : edges[d + 1]] if d not in unsure else np.array(self._encode([piece.text(d).decode()])[0], dtype=np.uint32)
         return out
 
 
-def _batches(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Texts of a column, some megabytes at a time, with the place of the first; nulls are empty."""
-    a, held, size = 0, [], 0
-    for i, x in enumerate(column):
-        text = x.as_py() or ""
-        held.append(text)
-        size += len(text)
-        if size >= most:
-            yield a, held
-            a, held, size = i + 1, [], 0
-    if held:
-        yield a, held
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """The encoder of this process, with the words it knows."""
+    return Encoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, ids_per_file: int = IDS_PER_FILE) -> DataFrame:
@@ -230,7 +256,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     ordered = narrow.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]):
-        encode, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         store, folder = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
         held: list[tuple] = []
         size = nth = 0
@@ -252,10 +278,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
         for batch in batches:
             keys = batch.column(0)
-            for a, texts in _batches(batch.column(1)):
-                for i, ids in enumerate(encode(texts)):
+            for piece in words.pieces(batch.column(1)):
+                for row, ids in zip(piece.rows, encode(piece)):
                     ids = np.append(ids, np.uint32(end_id))
-                    held.append((keys[a + i].as_py(), None, ids))
+                    held.append((keys[int(row)].as_py(), None, ids))
                     size += len(ids)
                     if size >= ids_per_file:
                         yield flush()

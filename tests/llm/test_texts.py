@@ -177,8 +177,10 @@ def test_encoder_equals_tokenizer():
         "a\x1c b", "tab\t\tb  \n\n c ", "  b", " " * 9 + "b", "1 234 !? ..", "naïve café", "q" * 3000,
     ]
     encode = Encoder(TOKENIZER)
-    for _ in range(2):
-        assert [x.tolist() for x in encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    expected = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for limit in (1 << 20, 40, 1 << 20):
+        assert [x.tolist() for piece in words.pieces(pa.array(texts), limit) for x in encode(piece)] == expected
+    assert [x.tolist() for piece in words.pieces(pa.array([None, ""])) for x in encode(piece)] == [[], []]
 
 
 def tokens_expected(rows):
