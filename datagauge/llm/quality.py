@@ -86,8 +86,10 @@ def _features(piece: words.Piece) -> np.ndarray:
     np.maximum.at(longest, doc, length)
     letters = _per_doc(((buf | 0x20) >= ord("a")) & ((buf | 0x20) <= ord("z")) | (_BEYOND[buf] == 1), piece.offsets)
     # A line's hash covers its bytes, the end-of-line byte left out.
-    ends = np.union1d(np.flatnonzero(buf == 0x0A), piece.offsets[1:][size > 0])
-    starts = np.union1d(np.flatnonzero(buf == 0x0A) + 1, piece.offsets[:-1][size > 0])
+    at_end, at_start = np.zeros(len(buf) + 1, dtype=bool), np.zeros(len(buf) + 1, dtype=bool)
+    at_end[:-1] = at_start[1:] = buf == 0x0A
+    at_end[piece.offsets[1:][size > 0]] = at_start[piece.offsets[:-1][size > 0]] = True
+    ends, starts = np.flatnonzero(at_end), np.flatnonzero(at_start)
     starts = starts[starts <= (ends[-1] if len(ends) else 0)]
     line_doc = np.searchsorted(piece.offsets, starts, "right") - 1
     full = np.searchsorted(ends, starts)
