@@ -86,7 +86,8 @@ def report_sql(source: str, name: str, order: str, columns: dict[str, str], mode
             pattern = {"integer": "'Numeric'", "float": "'Currency'", "datetime": "'ISO 8601'"}[k]
             if k == "integer":
                 pattern = f"CASE WHEN (SELECT count(*) FROM ({sequential_sql(source, order, c)})) > 0 THEN 'Sequential' ELSE 'Numeric' END"
-        days = f"(SELECT date_diff('day', min({c}), max({c})) FROM {source})" if k == "datetime" else "NULL"
+        ranged = k == "datetime" and mode == "structured"
+        days = f"(SELECT date_diff('day', min({c}), max({c})) FROM {source})" if ranged else "NULL"
         shapes.append(
             f"SELECT '{c}' AS attribute, '{REPORT_TYPES[k]}' AS t, {low} AS lo, {high} AS hi, {pattern} AS pattern, CAST({days} AS BIGINT) AS days, "
             f"(SELECT count(DISTINCT {f'''nullif({c}, '')''' if k == 'string' else c}) FROM {source}) AS uniq"

@@ -114,7 +114,9 @@ def column_report(
         issues = issues.when(F.array_contains(flags, "PATTERN_INCONSISTENCY"), "Format inconsistency")
     issues = issues.when(F.col("null_count") > 0, missing).otherwise("Minor issues")
     days = F.date_diff(F.to_date("max_date"), F.to_date("min_date"))
-    long_range = (kind.isin("DATE", "TIMESTAMP")) & (days > 365)
+    # Taken literally, the range is told of columns reported as DATE alone.
+    dated = kind.isin("DATE", "TIMESTAMP") if mode == "structured" else kind == "DATE"
+    long_range = dated & (days > 365)
     is_spread = (F.col("attribute") == "email") & F.lit(bool(spread))
     # One row per column on both sides.
     return profile.join(F.broadcast(labels), "attribute", "left").select(

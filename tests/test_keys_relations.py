@@ -49,6 +49,27 @@ def family(spark):
     return child, parent
 
 
+def test_orphan_rows_split_a_hot_key(spark, tmp_path):
+    """The final adaptive plan of a child side whose rows nearly all have one key."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    hot = F.when(F.col("id") % 10 == 0, F.col("id") % 5000).otherwise(F.lit(-1))
+    spark.range(60_000).select("id", hot.alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("pad")).repartition(8).write.parquet(str(tmp_path / "c"))
+    spark.range(5000).write.parquet(str(tmp_path / "p"))
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = keys.orphan_rows(spark.read.parquet(str(tmp_path / "c")), "key", spark.read.parquet(str(tmp_path / "p")), "id")
+        assert len(found.collect()) == 54_000
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_orphans_and_integrity(family):
     child, parent = family
     assert [r.parent_id for r in keys.orphan_rows(child, "parent_id", parent, "id").collect()] == [9, 9]
