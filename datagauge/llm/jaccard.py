@@ -30,6 +30,7 @@ COUNTERS = 1 << 20
 _CHUNK = 1 << 12
 HOSTS = 8
 SKETCH_BITS = 256
+_SALTS = (0x51ED2701, 0xA24BAED4)
 
 
 def _crowded(docs: DataFrame, k: int, counters: int) -> np.ndarray:
@@ -66,9 +67,16 @@ def _crowded(docs: DataFrame, k: int, counters: int) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / usual)) + 1).astype(np.uint8)
 
 
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums modulo 2^64 of values[first[i]:first[i + 1]]."""
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values, out=total[1:])
+    return total[first[1:]] - total[first[:-1]]
+
+
 def _sets(docs: DataFrame, k: int, percent: int, crowd: np.ndarray) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix, sketch): size and 128-bit fingerprint of each shingle set, its prefix in the shared
-    order, and the prefix as bits: each shingle turns one of ``SKETCH_BITS`` bits over."""
+    """(doc_id, n, f1, f2, p1, p2, prefix, sketch): size and 128-bit fingerprint of each shingle set, fingerprint of its
+    prefix, the prefix itself in the shared order, and as bits: each shingle turns one of ``SKETCH_BITS`` bits over."""
     shared = docs.sparkSession.sparkContext.broadcast(crowd)  # of fixed size
 
     def build(batches):
@@ -78,8 +86,7 @@ def _sets(docs: DataFrame, k: int, percent: int, crowd: np.ndarray) -> DataFrame
                 values, first = words.shingles(piece, k)
                 n = np.diff(first)
                 docs_of = np.repeat(np.arange(len(n)), n)
-                f1, f2 = (np.add.reduceat(np.append(words.mix(values ^ np.uint64(salt)), np.uint64(0)), first[:-1]) for salt in (0x51ED2701, 0xA24BAED4))
-                f1[n == 0], f2[n == 0] = 0, 0
+                f1, f2 = (_sums(words.mix(values ^ np.uint64(salt)), first) for salt in _SALTS)
                 klass = rank[(values & np.uint64(len(rank) - 1)).astype(np.int64)]
                 size = n - (percent * n + 99) // 100 + 1
                 if klass.any():
@@ -87,21 +94,22 @@ def _sets(docs: DataFrame, k: int, percent: int, crowd: np.ndarray) -> DataFrame
                 keep = np.arange(len(values)) - np.repeat(first[:-1], n) < np.repeat(size, n)
                 ends = np.zeros(len(n) + 1, dtype=np.int32)
                 np.cumsum(np.bincount(docs_of[keep], minlength=len(n)), out=ends[1:])
+                p1, p2 = (_sums(words.mix(values[keep] ^ np.uint64(salt)), ends.astype(np.int64)) for salt in _SALTS)
                 bit = (words.mix(values[keep]) % np.uint64(SKETCH_BITS)).astype(np.int64)
                 turned = np.bincount(docs_of[keep] * SKETCH_BITS + bit, minlength=len(n) * SKETCH_BITS) & 1
                 sketch = np.packbits(turned.astype(np.uint8)).view(np.int64)
                 longs = SKETCH_BITS // 64
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(piece.rows)), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
+                        batch.column(0).take(pa.array(piece.rows)), pa.array(n, pa.int64()), *[pa.array(x.view(np.int64)) for x in (f1, f2, p1, p2)],
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(values[keep].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * longs + 1, longs, dtype=np.int32)), pa.array(sketch)),
                     ],
-                    names=["doc_id", "n", "f1", "f2", "prefix", "sketch"],
+                    names=["doc_id", "n", "f1", "f2", "p1", "p2", "prefix", "sketch"],
                 )
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(build, f"doc_id {kind}, n long, f1 long, f2 long, prefix array<long>, sketch array<long>")
+    return docs.mapInArrow(build, f"doc_id {kind}, n long, f1 long, f2 long, p1 long, p2 long, prefix array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -150,10 +158,12 @@ def jaccard_join(
     texts = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
     sets = stored(_sets(texts, k, percent, _crowded(texts.select("text"), k, counters)), "jaccard-sets")
     usable = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "jaccard-classes")
-    grouped = Window.partitionBy("n", "prefix")
-    members = stored(classes.select("class_id", "n", "prefix", "sketch", F.min("class_id").over(grouped).alias("g")), "jaccard-groups")
-    tokens = members.where("class_id = g").select("g", "n", F.posexplode("prefix").alias("pos", "token"))
+    classes = usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
+    grouped = Window.partitionBy("n", "p1", "p2")
+    members = stored(classes.select("class_id", "n", "f1", "f2", F.min("class_id").over(grouped).alias("g")), "jaccard-members")
+    heads = members.where("class_id = g").select(F.col("g").alias("doc_id"), "n", "f1", "f2", "g")
+    heads = usable.join(heads, ["doc_id", "n", "f1", "f2"]).select("g", "n", "prefix", "sketch")
+    tokens = heads.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
     # The pivot of a bucket is drawn by hash, so that a group of near copies meets many different pivots.
     drawn = Window.partitionBy("token").orderBy(F.xxhash64("g", "token"), "g")
     bucket = tokens.select(
@@ -197,7 +207,7 @@ def jaccard_join(
     placed = with_components(links)
     rest, spread = still_open(placed, rest)
     bits = [F.col("sketch")[i].alias(f"b{i}") for i in range(SKETCH_BITS // 64)]
-    sketched = stored(rest.join(members.where("class_id = g").select("g", *bits), "g"), "jaccard-sketched")
+    sketched = stored(rest.join(heads.select("g", "n", *bits).dropDuplicates(["g", "n"]), ["g", "n"]), "jaccard-sketched")
     other = sketched.select("token", *[F.col(c).alias(f"o_{c}") for c in sketched.columns if c != "token"])
     one_component = (F.col("low") == F.col("high")) & (F.col("o_low") == F.col("o_high")) & (F.col("low") == F.col("o_low"))
     # Bits that differ are shingles that one prefix has alone. Of one of the two sets the whole prefix is compared, so the
@@ -215,7 +225,7 @@ def jaccard_join(
     more = stored(_verified(stored(expanded, "jaccard-expanded"), texts, k, percent), "jaccard-more")
 
     component = connected_components(links.union(more)).withColumnRenamed("id", "class_id")
-    ranked = classes.select("n", "f1", "f2", "class_id").join(component, "class_id", "left")
+    ranked = members.select("n", "f1", "f2", "class_id").join(component, "class_id", "left")
     ranked = stored(ranked.select("n", "f1", "f2", "class_id", F.coalesce("component", "class_id").alias("component_id")), "jaccard-ranked")
     alone = F.when(F.col("n") == 0, F.col("doc_id"))
     return (
