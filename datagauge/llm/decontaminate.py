@@ -223,7 +223,7 @@ def _scan(texts: DataFrame, index: Index, k: int, threshold: float, schema: str,
             rows, found = [], []
             for piece in words.pieces(batch.column(1)):
                 hashes = piece.hashes(fold=True)
-                by_kind, hit = {}, np.zeros(len(piece.rows), dtype=bool)
+                hit = np.zeros(len(piece.rows), dtype=bool)
                 for kind in (*short, k):
                     at = piece.run_starts(kind)
                     values = _marked(piece.runs_at(hashes, at, kind), kind, k)

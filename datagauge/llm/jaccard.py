@@ -8,9 +8,10 @@
    bucket, its pivot, in an eighth of the buckets, and members of a group meet the group's own; pairs that verify are
    linked. Then, in each bucket, groups outside of its largest component meet a few of those inside.
 3. Buckets whose members are in one component by now are done: no further pair can change anything. In all others,
-   every pair of groups of different components is expanded to its members and verified. So each pair of documents is
-   either verified or joined by verified links, and a large group of near copies takes a row for each member and bucket
-   in place of all pairs.
+   every pair of groups of different components is compared by bit sketches of the prefixes, which bound what two sets
+   can share, and the pairs left are expanded to members and verified. So each pair of documents is ruled out, verified
+   or joined by verified links, and a large group of near copies takes a row for each member and bucket in place of all
+   pairs.
 """
 
 from __future__ import annotations

@@ -118,7 +118,7 @@ def near_vectors(
     linked directly, as far as the index finds them, component_id is the smallest id reachable, kept says whether it is
     the vector's own. Equal vectors always link. Vectors that are null or zero, or hold null or non-finite numbers, and
     those of null label link with nothing and are kept. A null id has no links, a null component and is kept; rows that
-    repeat an id are vectors of their own with one component. An empty table gives an empty one. Without a label
+    repeat an id share its component and links. An empty table gives an empty one. Without a label
     column all vectors are compared.
     """
     label = F.lit(0) if label_col is None else F.col(quoted(label_col))
