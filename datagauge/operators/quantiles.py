@@ -44,6 +44,13 @@ def bracket_quantiles(
 
 
 def _quantiles(df, columns, probabilities, accuracy, most) -> tuple[dict[str, list[float] | None], dict[str, Row]]:
+    # Plain names inside, whatever the keys hold.
+    plain = {f"q{i}": k for i, k in enumerate(columns)}
+    found, stats = _plain_quantiles(df, {q: columns[k] for q, k in plain.items()}, probabilities, accuracy, most)
+    return {k: found[q] for q, k in plain.items()}, {k: stats[q] for q, k in plain.items()}
+
+
+def _plain_quantiles(df, columns, probabilities, accuracy, most):
     typed = df.select(*[c.cast("double").alias(k) for k, c in columns.items()])
     brackets, stats = _first_brackets(typed, list(columns), probabilities, accuracy)
     ranks = {k: [_ranks(p, stats[k].n) for p in probabilities] for k in brackets}
