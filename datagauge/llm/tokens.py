@@ -139,7 +139,8 @@ class Encoder:
 
     The tokenizer cuts a text into words by itself and encodes them one by one; a space that no other white space
     stands next to always begins a word. So texts may be cut before such spaces. A text with any other space that
-    could share a word goes to the tokenizer as it is. Words are known by 128 bits of hash.
+    could share a word, or with the content of an added token, which the tokenizer matches before it cuts, goes to the
+    tokenizer as it is. Words are known by 128 bits of hash.
     """
 
     _SHARED = re.compile(r"\s (?:\s|\Z)")
@@ -151,7 +152,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # how the vocabulary writes a space
@@ -162,6 +163,9 @@ class Encoder:
         self.places = np.zeros(0, dtype=np.int64)  # of the words, in the order of their keys, among all that were learned
         self.ids, self.ends = [np.zeros(0, dtype=np.uint16)], np.zeros(1, dtype=np.int64)
 
+    def _alone(self, text: str) -> bool:
+        return bool(self._SHARED.search(text)) or any(content in text for content in self.added)
+
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -206,7 +210,7 @@ class Encoder:
         begins[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(buf))
-        alone = [d for d in range(n) if self._SHARED.search(piece.text(d).decode())]
+        alone = [d for d in range(n) if self._alone(piece.text(d).decode())]
         out: list = [None] * n
         for d, ids in zip(alone, self._encode([piece.text(d).decode() for d in alone]) if alone else []):
             out[d] = np.array(ids, dtype=np.uint32)
