@@ -247,8 +247,11 @@ def _scan(texts: DataFrame, index: Index, k: int, threshold: float, schema: str,
     return texts.mapInArrow(scan, schema)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that hold no item, with all their columns. Documents of null id stay only if no document of null id leaks."""
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that hold no item, with all their columns. Each row is judged by its own text, which the leaks are
+    joined by as SHA-256; ids, null or repeated, play no part."""
     (gone,) = own(docs, "gone")
-    leaks = find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(leaks, docs[quoted(id_col)].eqNullSafe(leaks[gone]), "left_anti")
+    digest = F.sha2(docs[quoted(text_col)].cast("string").cast("binary"), 256)
+    texts = docs.select(digest.alias(gone), F.col(quoted(text_col)).alias(own(docs, "text")[0]))
+    leaks = find_leaks(texts, benchmark, gone, texts.columns[1], **options).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(leaks, digest == leaks[gone], "left_anti")
