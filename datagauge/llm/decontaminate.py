@@ -6,8 +6,9 @@ fingerprints within ``radius`` bits agree within ``radius // 4`` bits in some bl
 of the items' blocks finds every item within the radius. Found pairs are verified by sum(w * min) / sum(w * max).
 
 Only windows whose shingles of the benchmark weigh at least the threshold's share of the window are fingerprinted:
-others cannot reach it. The items are a bounded table: they go to all tasks in slices of ``ITEMS_PER_SLICE``, one scan of
-the documents for each slice, whatever the benchmark's size.
+others cannot reach it. Equal item texts count as often as they occur, but are searched once. Distinct texts go to all
+tasks in slices of about ``ITEMS_PER_SLICE``, one scan of the documents for each slice. Frequencies are counted once over
+all items and are the same in every slice; those of shingles that two or more items have, 16 bytes each, are broadcast.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import own, quoted
+from .shared import own, quoted, stored
 
 RADIUS = 19
 ITEMS_PER_SLICE = 1000
@@ -66,6 +67,7 @@ class Index:
     weights: np.ndarray
     heaviest: float
     radius: int
+    common: tuple[np.ndarray, np.ndarray] | None = None  # shingles of several items of any slice, sorted, and their weights
     tables: dict[int, list] = field(default_factory=dict)
 
     def weigh(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +75,12 @@ class Index:
         at = np.searchsorted(self.shingles, values)
         at[at == len(self.shingles)] = 0
         known = self.shingles[at] == values
-        return np.where(known, self.weights[at], self.heaviest), known
+        weight = np.where(known, self.weights[at], self.heaviest)
+        if self.common is not None and len(self.common[0]):
+            at = np.searchsorted(self.common[0], values)
+            at[at == len(self.common[0])] = 0
+            weight = np.where(self.common[0][at] == values, self.common[1][at], weight)
+        return weight, known
 
     def prepare(self) -> None:
         """Fingerprints and block tables, built by the process that needs them."""
@@ -105,8 +112,27 @@ class Index:
         return left[near], mine[right[near]]
 
 
-def build_index(items: list[tuple], k: int, radius: int, heaviest_of: int) -> Index:
-    """The index of (id, text) items; items without words are left out. ``heaviest_of`` is the number of all items."""
+def _frequencies(items: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that two or more items have, sorted, and how many have them, from (text, copies) of distinct texts."""
+
+    def count(batches):
+        for batch in batches:
+            copies = np.asarray(batch.column(1))
+            for piece in words.pieces(batch.column(0)):
+                hashes = piece.hashes(fold=True)
+                for d in np.flatnonzero(piece.n_words):
+                    values = np.unique(_shingle_at(piece, hashes, d, min(k, int(piece.n_words[d]))))
+                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.full(len(values), copies[piece.rows[d]]))], names=["shingle", "n"])
+
+    counted = items.select("text", "copies").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    shingles, n = (counted.column(c).to_numpy() for c in ("shingle", "n"))
+    order = np.argsort(shingles.view(np.uint64))
+    return shingles.view(np.uint64)[order], n[order]
+
+
+def build_index(items: list[tuple], k: int, radius: int, heaviest_of: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> Index:
+    """The index of (id, text) items; items without words are left out. ``heaviest_of`` is the number of all items.
+    ``common`` tells the frequencies of shingles that several items have; without it they are counted in these items."""
     texts = pa.array([t for _, t in items], pa.string())
     ids, bags, sizes = [], [], []
     for piece in words.pieces(texts):
@@ -118,6 +144,10 @@ def build_index(items: list[tuple], k: int, radius: int, heaviest_of: int) -> In
                 bags.append(np.unique(_shingle_at(piece, hashes, d, min(k, n)), return_counts=True))
                 sizes.append(n)
     shingles, frequency = np.unique(np.concatenate([b[0] for b in bags]), return_counts=True) if bags else (np.zeros(1, np.uint64), np.ones(1))
+    if common is not None:
+        frequency = np.ones(len(shingles))
+        _, here, there = np.intersect1d(shingles, common[0], assume_unique=True, return_indices=True)
+        frequency[here] = common[1][there]
     weights = np.log1p(heaviest_of / frequency)
     return Index(ids, bags, np.array(sizes, dtype=np.int64), shingles, weights, float(np.log1p(heaviest_of)), radius)
 
@@ -193,27 +223,32 @@ def find_leaks(
     hold nothing. Ids are passed on as they are, null or repeated; every row of the documents is searched. Empty tables
     give an empty one. Other columns are ignored.
     """
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string"))
-    items = benchmark.select(F.col(quoted(item_id)).alias("id"), F.col(quoted(item_text)).cast("string").alias("text"))
+    items = benchmark.select(F.col(quoted(item_id)).alias("item_id"), F.col(quoted(item_text)).cast("string").alias("text"))
+    items = items.withColumn("item", F.sha2(F.col("text").cast("binary"), 256))
     n_items = items.count()
-    slices = max(1, -(-n_items // ITEMS_PER_SLICE))
-    schema = f"doc_id {kind}, item_id {item_kind}, start long, n_words long, similarity double"
+    distinct = stored(items.where("item IS NOT NULL").groupBy("item").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "items")
+    slices = max(1, -(-distinct.count() // ITEMS_PER_SLICE))
+    common = _frequencies(distinct, k)
+    shared = docs.sparkSession.sparkContext.broadcast((common[0], np.log1p(n_items / common[1])))
+    schema = f"doc_id {kind}, item string, start long, n_words long, similarity double"
     out = docs.sparkSession.createDataFrame([], schema)
     for nth in range(slices):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(slices)) == nth).collect() if n_items else []
-        index = build_index([(r["id"], r["text"]) for r in part], k, radius, n_items)
+        part = distinct.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == nth).select("item", "text").collect()
+        index = build_index([(r["item"], r["text"]) for r in part], k, radius, n_items, common)
         if index.ids:
-            out = out.union(_scan(texts, index, k, threshold, schema, item_kind))
-    return out
+            out = out.union(_scan(texts, index, shared, k, threshold, schema))
+    return out.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "start", "n_words", "similarity")
 
 
-def _scan(texts: DataFrame, index: Index, k: int, threshold: float, schema: str, item_kind: str) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(index)  # at most ITEMS_PER_SLICE items
+def _scan(texts: DataFrame, index: Index, common, k: int, threshold: float, schema: str) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(index)  # about ITEMS_PER_SLICE items
     short = sorted({int(s) for s in index.sizes if s < k})
 
     def scan(batches):
         own_index = shared.value
+        own_index.common = common.value
         if not own_index.tables:
             own_index.prepare()
         # A bit for each residue of the items' shingles keeps most lookups away from the sorted list.
@@ -238,10 +273,9 @@ def _scan(texts: DataFrame, index: Index, k: int, threshold: float, schema: str,
                         found.append(leak)
             if rows:
                 item, start, size, said = zip(*found)
-                kind = pa.int64() if item_kind == "bigint" else None
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), pa.array(item, kind), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(said, pa.float64())],
-                    names=["doc_id", "item_id", "start", "n_words", "similarity"],
+                    [batch.column(0).take(pa.array(rows)), pa.array(item, pa.string()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(said, pa.float64())],
+                    names=["doc_id", "item", "start", "n_words", "similarity"],
                 )
 
     return texts.mapInArrow(scan, schema)

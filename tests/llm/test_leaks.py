@@ -1,8 +1,14 @@
 """Leaks by row, over many items, and of templated items."""
 
-from datagauge.llm.decontaminate import decontaminated
+import collections
 
-from .conftest import prose
+import numpy as np
+import pytest
+
+from datagauge.llm import decontaminate
+from datagauge.llm.decontaminate import decontaminated, find_leaks
+
+from .conftest import prose, words_of
 
 
 def test_clean_rows_of_leaking_ids_stay(spark):
@@ -14,3 +20,28 @@ def test_clean_rows_of_leaking_ids_stay(spark):
     assert kept.columns == docs.columns
     assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("text IS NULL OR NOT contains(text, '%s')" % item).collect()))
     assert kept.count() == 4
+
+
+def similarity(a, b, frequency, n_items, k=5):
+    x, y = (collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for w in (words_of(a), words_of(b)))
+    weight = {s: np.log1p(n_items / max(1, frequency[s])) for s in x | y}
+    return sum(w * min(x[s], y[s]) for s, w in weight.items()) / sum(w * max(x[s], y[s]) for s, w in weight.items())
+
+
+@pytest.mark.parametrize("per_slice", [1000, 40])
+def test_slices_do_not_change_results(spark, monkeypatch, per_slice):
+    """Templated items, one text repeated: similarities are by frequencies over all items, however they are sliced."""
+    template = prose(77, 24)
+    items = [(i, " ".join(template + prose(1000 + i, 10))) for i in range(200)] + [(200 + i, " ".join(template + prose(1000, 10))) for i in range(60)] + [(300, None)]
+    rows = [(i, " ".join(prose(5000 + i, 20)) + " " + items[i][1]) for i in range(10)]
+    rows += [(20 + i, items[i][1].rsplit(" ", 1)[0] + " changed") for i in range(10)]
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_SLICE", per_slice)
+    got = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    frequency = collections.Counter(s for _, t in items if t for w in [words_of(t)] for s in {tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    texts, of_items = dict(rows), dict(items)
+    assert {(i, i) for i in range(10)} | {(0, 200 + i) for i in range(60)} <= {(r["doc_id"], r["item_id"]) for r in got}
+    for r in got:
+        window = " ".join(words_of(texts[r["doc_id"]])[r["start"] : r["start"] + r["n_words"]])
+        assert abs(r["similarity"] - similarity(window, of_items[r["item_id"]], frequency, len(items))) < 1e-9
+    expected = {(20 + i, i) for i in range(10) if similarity(rows[10 + i][1], items[i][1], frequency, len(items)) >= 0.8}
+    assert expected and expected <= {(r["doc_id"], r["item_id"]) for r in got}
