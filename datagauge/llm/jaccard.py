@@ -237,10 +237,26 @@ def jaccard_join(
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without near copies: the one of the smallest id of each component stays, with all its columns.
+    """The documents without near copies, with all their columns: exactly one row of each component of texts stays, the
+    one of the smallest id, null ids last.
 
-    Rows of null id stay. Of rows that repeat an id and a text, all stay or all go.
+    Rows are told apart by a 64-bit hash of id and text, so null ids link like others, and the texts of a repeated id are
+    documents of their own. Of rows alike in id and text one stays, which one is open. Rows without words all stay.
     """
-    (gone,) = own(docs, "gone")
-    found = jaccard_join(docs, id_col, text_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(found, docs[quoted(id_col)] == found[gone], "left_anti")
+    (key,) = own(docs, "key")
+    ident, text = F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string")
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Rows without words link with nothing and have no key.
+    keyed = docs.withColumn(key, F.when(worded, F.xxhash64(ident.isNull(), ident, text)))
+    repeated = stored(keyed.where(F.col(quoted(key)).isNotNull()).groupBy(key).count().where("count > 1").select(key), "near-repeated")
+    if repeated.take(1):
+        columns = [F.col(quoted(c)) for c in keyed.columns]
+        rest = keyed.join(repeated, key, "left_anti").select(*columns)
+        once = keyed.join(repeated, key, "left_semi").select(*columns).dropDuplicates([key])
+        keyed = stored(rest.union(once), "near-rows")
+    linked = keyed.where(F.col(quoted(key)).isNotNull())
+    found = jaccard_join(linked, key, text_col, **options).select("doc_id", "component_id")
+    placed = stored(found.join(linked.select(F.col(quoted(key)).alias("doc_id"), ident.alias("id")), "doc_id"), "near-placed")
+    best = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id"))["doc_id"].alias("stays"))
+    gone = placed.join(best, "component_id").where("doc_id <> stays").select(F.col("doc_id").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])
