@@ -9,6 +9,7 @@ alike. A path through the words that pays ``penalty`` for each change of languag
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ PENALTY = 8.0
 _BATCH_WORDS = 4 << 20
 _LEAST_USE = 0.005  # share of a language's words below which a script counts as foreign to it
 
-# First code points of script ranges, and their scripts (0 is no letter).
+# First code points of script ranges, and their scripts (0 is no letter, or one of a further script).
 _RANGES = (
     (0x0000, 0), (0x0041, 1), (0x005B, 0), (0x0061, 1), (0x007B, 0), (0x00AA, 1), (0x00AB, 0), (0x00BA, 1), (0x00BB, 0),
     (0x00C0, 1), (0x00D7, 0), (0x00D8, 1), (0x00F7, 0), (0x00F8, 1), (0x0300, 0), (0x0370, 2), (0x0400, 3), (0x0530, 4),
@@ -32,9 +33,27 @@ _RANGES = (
     (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 12), (0x3100, 0), (0x3400, 13), (0xA000, 0), (0xAC00, 11),
     (0xD7B0, 0), (0xF900, 13), (0xFB00, 0), (0x20000, 13), (0x30000, 0),
 )
-_SCRIPTS = 14
-_FROM = np.array([r[0] for r in _RANGES])
-_SCRIPT = np.array([r[1] for r in _RANGES], dtype=np.int8)
+_NAMED = {
+    "LATIN": 1, "FULLWIDTH": 1, "GREEK": 2, "CYRILLIC": 3, "ARMENIAN": 4, "HEBREW": 5, "ARABIC": 6, "DEVANAGARI": 7, "BENGALI": 8,
+    "THAI": 9, "GEORGIAN": 10, "HANGUL": 11, "HIRAGANA": 12, "KATAKANA": 12, "HALFWIDTH": 12, "CJK": 13,
+}
+_LAST_LETTER = 0x32400  # no letters from here on
+
+
+def _all_ranges() -> tuple[np.ndarray, np.ndarray, int]:
+    """First code points of ranges, their scripts, and the number of scripts. Letters that ``_RANGES`` leaves out have the
+    script that begins their Unicode name: one of those above, or a further number."""
+    named, script = dict(_NAMED), np.zeros(_LAST_LETTER + 1, dtype=np.uint8)
+    for (a, kind), (b, _) in zip(_RANGES, (*_RANGES[1:], (_LAST_LETTER, 0))):
+        script[a:b] = kind
+    for point in np.flatnonzero(script[:-1] == 0).tolist():
+        if unicodedata.category(chr(point))[0] == "L":
+            script[point] = named.setdefault(unicodedata.name(chr(point), "").split(" ")[0], min(max(named.values()) + 1, 255))
+    edges = np.append(0, np.flatnonzero(np.diff(script)) + 1)
+    return edges, script[edges], max(named.values()) + 1
+
+
+_FROM, _SCRIPT, _SCRIPTS = _all_ranges()
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _FOLD[0x09:0x0E] = 0x20
@@ -56,9 +75,9 @@ def _trigrams(piece: words.Piece) -> tuple[np.ndarray, np.ndarray]:
 def _scripts(piece: words.Piece) -> np.ndarray:
     """Script of each word: that of its first letter, 0 without one."""
     buf = piece.buf
-    script = np.zeros(len(buf), dtype=np.int8)
+    script = np.zeros(len(buf), dtype=np.uint8)
     ascii_ = buf < 0x80
-    script[ascii_] = (((buf[ascii_] | 0x20) >= ord("a")) & ((buf[ascii_] | 0x20) <= ord("z"))).astype(np.int8)
+    script[ascii_] = (((buf[ascii_] | 0x20) >= ord("a")) & ((buf[ascii_] | 0x20) <= ord("z"))).astype(np.uint8)
     lead = np.flatnonzero(buf >= 0xC0)
     if len(lead):
         padded = np.concatenate([buf, np.zeros(3, dtype=np.uint8)]).astype(np.int64)
@@ -69,7 +88,7 @@ def _scripts(piece: words.Piece) -> np.ndarray:
     letters = np.flatnonzero(script)
     nth = np.searchsorted(letters, piece.start)
     has = nth < np.searchsorted(letters, piece.end)
-    out = np.zeros(len(piece.start), dtype=np.int8)
+    out = np.zeros(len(piece.start), dtype=np.uint8)
     out[has] = script[letters[nth[has]]]
     return out
 
