@@ -97,7 +97,7 @@ def _features(piece: words.Piece) -> np.ndarray:
     starts, line_doc, stops = starts[keep], line_doc[keep], ends[full[keep]]
     keep = stops > starts
     starts, line_doc, stops = starts[keep], line_doc[keep], stops[keep]
-    line_hash = words._runs(words._BYTES[buf], starts, stops, words._BASES[1]) if len(starts) else np.zeros(0, np.uint64)
+    line_hash = words.hash_words(buf, starts, stops, 1)
     lines = np.bincount(line_doc, minlength=n_docs).astype(np.float64)
     line_distinct, _ = _distinct(line_hash, line_doc, n_docs)
     first = buf[piece.start] if len(doc) else np.zeros(0, dtype=np.uint8)

@@ -1,12 +1,14 @@
 """Words of Arrow text batches as numpy arrays: boundaries, hashes, hashes of runs of words.
 
-A word is a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage return, which is
+Words are hashed eight bytes at a time, each step a bijection that mixes all bits, so no family of texts is known to
+collide; runs of words are polynomials over those hashes. A word is a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage return, which is
 ``[^\\x20\\x09-\\x0D]+`` on the text, since UTF-8 uses those bytes for nothing else. Batches are cut into pieces of a few
 megabytes of whole texts, so that memory follows the longest text and not the batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,9 +19,12 @@ PIECE_BYTES = 2 << 20
 _SLICE_WORDS = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLDED = _BYTES.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
+_SEEDS = _rng.integers(1, 1 << 63, 2, dtype=np.uint64)
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[ord("A") : ord("Z") + 1] += 32
+# Of eight bytes, those that belong to a word of which so many are left.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_LONG = 256
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 # Two odd bases with their inverses modulo 2^64; hashes of the two are independent.
@@ -62,6 +67,23 @@ def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -
     return mix((total[ends] - total[starts]) * _power(_inverse(base), len(values) + 1)[starts])
 
 
+def hash_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each buf[start:end], one for either seed. Words over 256 bytes are digested one by one."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + _SEEDS[seed])
+    eight = np.ndarray(len(buf) + 1, np.dtype("<u8"), np.concatenate([buf, np.zeros(8, dtype=np.uint8)]).data, strides=(1,))
+    for i in np.flatnonzero(size > _LONG):
+        digest = hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, key=_SEEDS[seed].tobytes()).digest()
+        out[i] = np.frombuffer(digest, dtype="<u8")[0]
+    rows, done = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+    while len(rows):
+        part = eight[start[rows] + done] & _MASKS[np.minimum(size[rows] - done, 8)]
+        out[rows] = mix(out[rows] ^ part)
+        done += 8
+        rows = rows[size[rows] > done]
+    return out
+
+
 @dataclass
 class Piece:
     """Some whole texts of a batch. Word i of the piece is buf[start[i]:end[i]]; text d has words first[d]:first[d + 1]."""
@@ -84,10 +106,11 @@ class Piece:
 
     def hashes(self, fold: bool) -> np.ndarray:
         """A 64-bit hash of each word; with fold, A-Z count as a-z."""
-        table, out = _FOLDED if fold else _BYTES, np.empty(len(self.start), dtype=np.uint64)
+        out = np.empty(len(self.start), dtype=np.uint64)
         for a in range(0, len(out), _SLICE_WORDS):
             s, e = self.start[a : a + _SLICE_WORDS], self.end[a : a + _SLICE_WORDS]
-            out[a : a + _SLICE_WORDS] = _runs(table[self.buf[s[0] : e[-1]]], s - s[0], e - s[0], _BASES[0])
+            part = self.buf[s[0] : e[-1]]
+            out[a : a + _SLICE_WORDS] = hash_words(_FOLDED[part] if fold else part, s - s[0], e - s[0])
         return out
 
     def runs_at(self, hashes: np.ndarray, at: np.ndarray, length: int, second: bool = False) -> np.ndarray:
