@@ -11,6 +11,7 @@ from .decontaminate import find_leaks
 from .jaccard import jaccard_join
 from .language import label_languages
 from .language import train as train_languages
+from .manifest import fold, merkle_manifest, row_digest, siblings_text
 from .mixing import mix
 from .quality import quality_scores
 from .sharding import LAW, histogram_shards
@@ -22,6 +23,16 @@ from .vectors import near_vectors
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# Table of the CRC-32 of one byte, as a list; the checksum of a list of bytes folds over it.
+_CRC_TABLE = "SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i::UBIGINT], range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))"
+
+
+def _crc32_sql(text: str) -> str:
+    """SQL of the CRC-32 of an expression's UTF-8 bytes; ``t`` of the table above must be in scope."""
+    hexed = f"hex(encode({text}))"
+    return f"xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(strlen({text})), lambda b: ('0x' || substr({hexed}, 2 * b + 1, 2))::UBIGINT)), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::INT])), 4294967295)"
+
+
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
@@ -195,3 +206,59 @@ FROM w LEFT JOIN kept USING (doc_id)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+_LEAF_SQL = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in _FIELDS) + ")"
+
+
+@query(
+    "op11_merkle_manifest",
+    rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}), doc AS (
+  SELECT *, {_crc32_sql("doc_id::VARCHAR")} % 3 = 0 AS hit FROM documents, crc
+), leaf AS (
+  SELECT doc_id, lang, {_LEAF_SQL} AS h FROM doc
+), changed AS (
+  SELECT doc_id, {_LEAF_SQL} AS h FROM (SELECT * REPLACE (CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS text) FROM doc)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaf
+), node(lang, level, i, n, h) AS (
+  SELECT lang, 0, i, n, h FROM placed
+  UNION ALL
+  SELECT lang, any_value(level) + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY lang, i // 8
+), subroot AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1
+), upper(level, i, n, h) AS (
+  SELECT 0, i, n, h FROM subroot
+  UNION ALL
+  SELECT any_value(level) + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY i // 8
+), run AS (
+  SELECT false AS up, lang, level, i // 8 AS r, string_agg(h, '' ORDER BY i) AS s FROM node WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT true, NULL, level, i // 8, string_agg(h, '' ORDER BY i) FROM upper WHERE n > 1 GROUP BY ALL
+), walk(doc_id, lang, up, level, i, n, proof, cur) AS (
+  SELECT p.doc_id, p.lang, p.n = 1, 0, CASE WHEN p.n = 1 THEN s.i ELSE p.i END, CASE WHEN p.n = 1 THEN s.n ELSE p.n END, '', c.h
+  FROM placed p JOIN changed c USING (doc_id) JOIN subroot s ON s.lang IS NOT DISTINCT FROM p.lang
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.up OR w.n <= 8, CASE WHEN NOT w.up AND w.n <= 8 THEN 0 ELSE w.level + 1 END,
+    CASE WHEN NOT w.up AND w.n <= 8 THEN s.i ELSE w.i // 8 END, CASE WHEN NOT w.up AND w.n <= 8 THEN s.n ELSE (w.n + 7) // 8 END,
+    w.proof || substr(r.s, 1, (w.i % 8 * 64)::BIGINT) || substr(r.s, (w.i % 8 * 64 + 65)::BIGINT),
+    sha256(substr(r.s, 1, (w.i % 8 * 64)::BIGINT) || w.cur || substr(r.s, (w.i % 8 * 64 + 65)::BIGINT))
+  FROM walk w JOIN run r ON r.up = w.up AND (w.up OR r.lang IS NOT DISTINCT FROM w.lang) AND r.level = w.level AND r.r = w.i // 8
+  JOIN subroot s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n > 1
+), done AS (
+  SELECT doc_id, proof, cur FROM walk WHERE up AND n = 1
+)
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, u.h AS root, sha256(d.proof) AS proof_sha256, d.cur AS folded_root, d.cur = u.h AS verified
+FROM leaf l JOIN done d USING (doc_id) JOIN subroot s ON s.lang IS NOT DISTINCT FROM l.lang JOIN upper u ON u.n = 1
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = F.when(F.coalesce(_held(F.col("doc_id"), 3) == 0, F.lit(False)), F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    changed = row_digest(*[text if c == "text" else F.col(c) for c in _FIELDS])
+    found = merkle_manifest(docs, _FIELDS, keep={"changed": changed})
+    out = found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings_text(F.col("path")).cast("binary"), 256).alias("proof_sha256"), fold(F.col("changed"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
