@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .counts import count_tokens
 from .decontaminate import find_leaks
 from .jaccard import jaccard_join
 from .language import label_languages
@@ -262,3 +263,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle_manifest(docs, _FIELDS, keep={"changed": changed})
     out = found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings_text(F.col("path")).cast("binary"), 256).alias("proof_sha256"), fold(F.col("changed"), F.col("path")).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    found = count_tokens(_table(spark, sf_dir, "documents"), str(path("word_bpe_49k.json")))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
