@@ -16,6 +16,7 @@ from .manifest import fold, merkle_manifest, row_digest, siblings_text
 from .mixing import mix
 from .quality import quality_scores
 from .sharding import LAW, histogram_shards
+from .spelling import spelling_variants, word_counts
 from .substrings import remove_repeats
 from .tokens import read_tokens, token_files
 from .urls import judge_urls
@@ -265,6 +266,39 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query(
+    "op12_permuterm_variants",
+    rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}), run AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), hashed AS (
+  SELECT run, {_crc32_sql("(doc_id::VARCHAR || ':' || run)")} AS h FROM run, crc WHERE length(run) >= 6
+), counted AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed
+  ) WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5
+), less AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM counted)
+), pair AS (
+  SELECT a.word AS u, b.word AS v FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word, d FROM less WHERE d IN (SELECT word FROM counted)
+  UNION SELECT d, word FROM less WHERE d IN (SELECT word FROM counted)
+), near AS (
+  SELECT u, v, n, row_number() OVER (PARTITION BY u ORDER BY n DESC, v) AS nth, count(*) OVER (PARTITION BY u) AS n_near FROM pair JOIN counted ON word = v
+), formed AS (
+  SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN x.n >= 5 * c.n THEN v END AS form, CASE WHEN x.n >= 5 * c.n THEN x.n END AS form_n
+  FROM counted c LEFT JOIN near x ON x.u = c.word AND nth = 1
+), chain(word, at) AS (
+  SELECT word, word FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c USING (word) JOIN formed g ON g.word = c.at WHERE g.form IS NULL
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(_table(spark, sf_dir, "documents")))
+
+
 @query("op13_token_counts")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
