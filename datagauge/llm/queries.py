@@ -288,11 +288,11 @@ WITH RECURSIVE crc AS ({_CRC_TABLE}), run AS (
 ), formed AS (
   SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN x.n >= 5 * c.n THEN v END AS form, CASE WHEN x.n >= 5 * c.n THEN x.n END AS form_n
   FROM counted c LEFT JOIN near x ON x.u = c.word AND nth = 1
-), chain(word, at) AS (
-  SELECT word, word FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL
+), chain(word, here) AS (
+  SELECT word, word FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.here WHERE f.form IS NOT NULL
 )
-SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
-FROM formed f JOIN chain c USING (word) JOIN formed g ON g.word = c.at WHERE g.form IS NULL
+SELECT f.word, f.form, c.here AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c USING (word) JOIN formed g ON g.word = c.here WHERE g.form IS NULL
 """,
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
