@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from datagauge.operators import frequency, outliers, profile
+from datagauge.operators import frequency, grouped, outliers, profile, records
 from datagauge.params import PATTERNS, UUID_PATTERN
 
 from .registry import MIXED, ORDERS_WITH_NULLS, check, derived, rounded, table, tables, union_all
@@ -345,6 +345,60 @@ def object_profile(spark, sf_dir):
     return profile.profile(df).select(*columns)
 
 
+# --- records without a schema ------------------------------------------------------------------------------------------
+
+# Events as JSON records: some keys are missing from some records, blank, or of another type.
+RECORDS = """
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS amount, CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type END AS kind,
+       event_type, event_id % 5 AS n, event_id % 3 = 0 AS late, user_id FROM events"""
+
+
+def event_records(spark, sf_dir):
+    """``(event_type, event_id, record)``; a null field leaves its key out."""
+    df = derived(spark, sf_dir, RECORDS)
+    own = ["event_id", "amount", "kind"]
+    listed = F.when(F.col("n") > 0, F.slice(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)), 1, F.col("n").cast("int"))).alias("items")
+    held = F.when(F.col("n") > 1, F.create_map(F.concat(F.lit("k"), F.col("n")), F.col("user_id"))).alias("held")
+    early = F.to_json(F.struct(*own, listed, held, F.col("late"), F.col("event_id").alias("code")))
+    late = F.to_json(F.struct(*own, listed, held, F.col("late"), F.lit("n/a").alias("code")))
+    return df.select("event_type", "event_id", F.parse_json(F.when(F.col("late"), late).otherwise(early)).alias("record"))
+
+
+@check("profile_variant", union_all([numeric_sql(f"({RECORDS})", c, k) for c, k in (("event_id", "integer"), ("amount", "float"))]))
+def profile_variant(spark, sf_dir):
+    df = records.profile_variant(event_records(spark, sf_dir), "record", order_by="event_id")
+    return df.where(F.col("attribute").isin("event_id", "amount")).select(*NUMERIC)
+
+
+@check("profile_variant_strings", f"{string_sql(f'({RECORDS})', 'kind')}")
+def profile_variant_strings(spark, sf_dir):
+    return records.profile_variant(event_records(spark, sf_dir), "record").where("attribute = 'kind'").select(*STRING_COLUMNS)
+
+
+@check("profile_variant_charset", charset_sql(f"(SELECT * FROM ({RECORDS}) WHERE kind <> '')", "kind"))
+def profile_variant_charset(spark, sf_dir):
+    return records.profile_variant(event_records(spark, sf_dir), "record").where("attribute = 'kind'").select(*CHARSET)
+
+
+@check(
+    "profile_variant_mixed",
+    f"""SELECT event_type AS table_name, 'code' AS attribute, 'integer' AS data_type, count(*) AS total_count, count(*) AS present_count,
+  count(*) FILTER (WHERE NOT late) + 1 AS unique_count, min(event_id) FILTER (WHERE NOT late)::DOUBLE AS min_value,
+  round(avg(event_id) FILTER (WHERE NOT late), 4) AS mean, NULL::BIGINT AS max_length, NULL::BIGINT AS true_count, NULL::BIGINT AS unique_keys
+FROM ({RECORDS}) GROUP BY 1
+UNION ALL
+SELECT event_type, 'items', 'array', count(*), count(*) FILTER (WHERE n > 0), count(DISTINCT n) FILTER (WHERE n > 0), NULL, NULL, max(n), NULL, NULL FROM ({RECORDS}) GROUP BY 1
+UNION ALL
+SELECT event_type, 'late', 'boolean', count(*), count(*), 2, NULL, NULL, NULL, count(*) FILTER (WHERE late), NULL FROM ({RECORDS}) GROUP BY 1
+UNION ALL
+SELECT event_type, 'held', 'object', count(*), count(*) FILTER (WHERE n > 1), count(DISTINCT (n, user_id)) FILTER (WHERE n > 1), NULL, NULL, NULL, NULL, 3 FROM ({RECORDS}) GROUP BY 1""",
+)
+def profile_variant_mixed(spark, sf_dir):
+    df = records.profile_variant(event_records(spark, sf_dir), "record", table_name="event_type", order_by="event_id")
+    columns = ("table_name", "attribute", "data_type", "total_count", "present_count", "unique_count", "min_value", "mean", "max_length", "true_count", "unique_keys")
+    return df.where(F.col("attribute").isin("code", "items", "late", "held")).select(*columns)
+
+
 # --- flags, scores, nulls ----------------------------------------------------------------------------------------------
 
 
@@ -466,6 +520,66 @@ def outlier_rows_documents(spark, sf_dir):
     return outliers.outlier_rows(df, "n_chars")
 
 
+def _grouped_cte(source: str, keys: str, column: str) -> str:
+    """Common table expressions that end in ``flags``: the rows of a table with the tests inside their group."""
+    on = " AND ".join(f"{{0}}.{k.strip()} IS NOT DISTINCT FROM {{1}}.{k.strip()}" for k in keys.split(","))
+    return f"""
+  s AS (SELECT {keys}, count({column}) AS n, avg({column}) AS m, stddev_pop({column}) AS sd, quantile_cont({column}, 0.25) AS q1,
+               quantile_cont({column}, 0.5) AS med, quantile_cont({column}, 0.75) AS q3 FROM {source} GROUP BY {keys}),
+  a AS (SELECT {", ".join("s." + k.strip() for k in keys.split(","))}, median(abs({column} - med)) AS mad FROM {source} t JOIN s ON {on.format("t", "s")} GROUP BY ALL),
+  flags AS (
+    SELECT t.*, s.n, n >= 3 AND sd > 0 AND abs({column} - m) / nullif(sd, 0) > 3 AS z,
+           n >= 3 AND ({column} < q1 - 1.5 * (q3 - q1) OR {column} > q3 + 1.5 * (q3 - q1)) AS i,
+           n >= 3 AND mad > 0 AND abs(0.6745 * ({column} - med) / nullif(mad, 0)) > 3.5 AS mz,
+           q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi
+    FROM {source} t JOIN s ON {on.format("t", "s")} JOIN a ON {on.format("t", "a")})"""
+
+
+GROUPED = (("lineitem", "l_suppkey", ("l_extendedprice", "l_quantity")), ("events", "event_type", ("value",)), ("events", "user_id", ("value",)))
+
+
+def _group_counts_sql(source: str, key: str, column: str) -> str:
+    return f"""SELECT * FROM (WITH {_grouped_cte(source, key, column)}
+SELECT {key}::VARCHAR AS grp, '{column}' AS attribute, max(n) AS total, count(*) FILTER (WHERE z) AS z_score_count, count(*) FILTER (WHERE i) AS iqr_count,
+  count(*) FILTER (WHERE mz) AS modified_z_count, count(*) FILTER (WHERE z OR i OR mz) AS outlier_count FROM flags WHERE {column} IS NOT NULL GROUP BY {key})"""
+
+
+@check("outliers_by_group", union_all([_group_counts_sql(t, k, c) for t, k, cs in GROUPED for c in cs]))
+def outliers_by_group(spark, sf_dir):
+    parts = []
+    for source, key, columns in GROUPED:
+        found = grouped.outlier_counts_by_group(table(spark, sf_dir, source), [key], {c: F.col(c) for c in columns})
+        parts.append(found.withColumn("grp", F.col(key).cast("string")).drop(key, "lower_bound", "upper_bound"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@check(
+    "outlier_rows_by_group",
+    f"""WITH {_grouped_cte("events", "event_type, user_id", "value")}
+SELECT event_id, event_type, user_id, value, z AS is_z_score, i AS is_iqr, mz AS is_modified_z_score FROM flags WHERE z OR i OR mz""",
+)
+def outlier_rows_by_group(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")
+    return grouped.outlier_rows_by_group(df, ["event_type", "user_id"], "value")
+
+
+@check(
+    "quantiles_by_group",
+    union_all(
+        [
+            f"SELECT {k} AS grp, '{c}' AS attribute, count({c}) AS total, quantile_cont({c}::DOUBLE, 0.1) AS p10, "
+            f"quantile_cont({c}::DOUBLE, 0.5) AS p50, quantile_cont({c}::DOUBLE, 0.99) AS p99 FROM {t} GROUP BY {k}"
+            for t, k, c in (("lineitem", "l_returnflag", "l_extendedprice"), ("lineitem", "l_returnflag", "l_quantity"), ("documents", "lang", "n_chars"))
+        ]
+    ),
+)
+def quantiles_by_group(spark, sf_dir):
+    items = grouped.group_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], {c: F.col(c) for c in ("l_extendedprice", "l_quantity")}, (0.1, 0.5, 0.99))
+    docs = grouped.group_quantiles(table(spark, sf_dir, "documents"), ["lang"], {"n_chars": F.col("n_chars")}, (0.1, 0.5, 0.99))
+    both = items.withColumnRenamed("l_returnflag", "grp").unionByName(docs.withColumnRenamed("lang", "grp"))
+    return both.select("grp", "attribute", "total", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("p10", "p50", "p99"))])
+
+
 # --- plain profile ------------------------------------------------------------------------------------------------------
 
 

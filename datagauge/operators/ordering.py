@@ -50,3 +50,33 @@ def with_running_totals(df: DataFrame, order_by: Sequence[str], totals: dict[str
     within = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
     running = {n: F.sum(n).over(within) + F.col(f"`{n}#before`") for n in totals}
     return placed.withColumns(running).drop("_mid", "_pid", *[f"{n}#before" for n in totals])
+
+
+def with_group_totals(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], totals: dict[str, Column]) -> DataFrame:
+    """Adds inclusive running totals inside every key, under an order that is total within a key.
+
+    Rows are range-partitioned by key and order, so a hot key lies in as many tasks as its rows fill. Of the keys of a
+    partition only the first can begin in an earlier one; what it brings along is one row for each partition.
+    """
+    ranged = _ranged(df.withColumns(totals), [*keys, *order_by])
+    placed = ranged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS).cast("int"))
+    per_key = placed.groupBy("_pid", *keys).agg(F.min("_mid").alias("_mid"), *[F.sum(n).alias(n) for n in totals])
+    key = F.struct(*keys)
+    ends = per_key.groupBy("_pid").agg(
+        F.min_by(key, "_mid").alias("first"), F.max_by(key, "_mid").alias("last"), F.count("*").alias("keys"), F.max_by(F.struct(*totals), "_mid").alias("sums")
+    )
+    carried, key_before, sums_before = [], None, None
+    for row in sorted(ends.collect(), key=lambda r: r["_pid"]):
+        goes_on = key_before is not None and all(a == b or (a != a and b != b) for a, b in zip(row["first"], key_before))
+        brought = sums_before if goes_on else tuple(0 for _ in totals)
+        carried.append((row["_pid"], *brought))
+        own = tuple(v or 0 for v in row["sums"])
+        key_before, sums_before = row["last"], tuple(a + b for a, b in zip(own, brought)) if row["keys"] == 1 else own
+    kinds = ["bigint" if per_key.schema[n].dataType.typeName() == "long" else "double" for n in totals]
+    schema = "_pid int, " + ", ".join(f"`{n}#before` {k}" for n, k in zip(totals, kinds))
+    typed = [(r[0], *[v if k == "bigint" else float(v) for v, k in zip(r[1:], kinds)]) for r in carried]
+    placed = placed.join(F.broadcast(placed.sparkSession.createDataFrame(typed, schema)), "_pid")
+    within = Window.partitionBy("_pid", *keys).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    in_first = F.first("_mid").over(within).bitwiseAND((1 << _LOCAL_BITS) - 1) == 0
+    running = {n: F.sum(n).over(within) + F.when(in_first, F.col(f"`{n}#before`")).otherwise(F.lit(0)) for n in totals}
+    return placed.withColumns(running).drop("_mid", "_pid", *[f"{n}#before" for n in totals])
