@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from datagauge.operators import distribution, quantiles, series
+from datagauge.operators import distribution, keyed_series, quantiles, series
 from datagauge.params import DEFAULT_PERCENTILES
 
 from .registry import DAILY, check, derived, rounded, table, union_all
@@ -300,3 +300,83 @@ def change_points_prices(spark, sf_dir):
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey"]
     df = table(spark, sf_dir, "lineitem").withColumn("price", F.col("l_extendedprice"))
     return rounded(series.change_points(df, "price", order), {"left_var": 4, "right_var": 4})
+
+
+# --- a series for each key ------------------------------------------------------------------------------------------
+
+KEYS = ("event_type", "user_id")
+
+
+def keyed_sql(key: str) -> str:
+    return f"(SELECT {key}::VARCHAR AS key, '{key}' AS of, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) - 1 AS idx, value AS x FROM events)"
+
+
+def _keyed(spark, sf_dir, key: str):
+    return keyed_series.keyed_series(table(spark, sf_dir, "events"), [key], "value", ["ts", "event_id"])
+
+
+def _both(parts: dict):
+    """The results of both keys under one pair of columns."""
+    named = [df.select(F.col(key).cast("string").alias("key"), F.lit(key).alias("of"), *[c for c in df.columns if c != key]) for key, df in parts.items()]
+    return named[0].unionByName(named[1])
+
+
+@check(
+    "trend_by_key",
+    union_all(
+        [
+            f"""SELECT key, of, n, CASE WHEN n >= 10 THEN round(slope, 6) END AS slope, CASE WHEN n >= 10 THEN round(coalesce(r2, 0), 4) END AS r_squared,
+  CASE WHEN n < 10 THEN NULL WHEN slope > 0 THEN 'increasing' WHEN slope < 0 THEN 'decreasing' ELSE 'stable' END AS direction
+FROM (SELECT key, of, count(*) AS n, regr_slope(x, idx) AS slope, regr_r2(x, idx) AS r2 FROM {keyed_sql(k)} GROUP BY key, of)"""
+            for k in KEYS
+        ]
+    ),
+)
+def trend_by_key(spark, sf_dir):
+    return _both({k: keyed_series.trend_by_key(_keyed(spark, sf_dir, k), [k]).drop("p_value", "message") for k in KEYS})
+
+
+@check(
+    "autocorrelation_by_key",
+    union_all(
+        [
+            f"""SELECT a.key, a.of, {lag} AS lag, coalesce(round(CASE WHEN stddev_pop(a.x) > 0 AND stddev_pop(b.x) > 0 THEN corr(a.x, b.x) END, 4), 0) AS autocorrelation
+FROM {keyed_sql(k)} a JOIN {keyed_sql(k)} b ON a.key = b.key AND a.idx = b.idx + {lag} GROUP BY a.key, a.of"""
+            for k in KEYS
+            for lag in (1, 7, 30)
+        ]
+    ),
+)
+def autocorrelation_by_key(spark, sf_dir):
+    return _both({k: keyed_series.autocorrelation_by_key(_keyed(spark, sf_dir, k), [k], (1, 7, 30)) for k in KEYS})
+
+
+@check(
+    "volatility_by_key",
+    union_all(
+        [
+            f"""SELECT key, of, round(stddev_pop(step), 4) AS volatility
+FROM (SELECT key, of, x - lag(x) OVER (PARTITION BY key ORDER BY idx) AS step FROM {keyed_sql(k)}) GROUP BY key, of"""
+            for k in KEYS
+        ]
+    ),
+)
+def volatility_by_key(spark, sf_dir):
+    return _both({k: keyed_series.volatility_by_key(_keyed(spark, sf_dir, k), [k]) for k in KEYS})
+
+
+def keyed_change_sql(key: str) -> str:
+    return f"""SELECT * FROM (WITH s AS (SELECT * FROM {keyed_sql(key)}),
+  t AS (SELECT key, count(*) AS n, greatest(5, count(*) // 10) AS w, var_pop(x) AS v, avg(x) AS m FROM s GROUP BY key HAVING count(*) >= 20),
+  p AS (SELECT key, of, idx, w, v, sum(x - m) OVER k - (x - m) AS s1, sum((x - m) * (x - m)) OVER k - (x - m) * (x - m) AS s2
+        FROM s JOIN t USING (key) WINDOW k AS (PARTITION BY key ORDER BY idx))
+SELECT key, of, idx, round(lv, 6) AS left_var, round(rv, 6) AS right_var FROM (
+  SELECT a.key, a.of, a.idx, a.v, (a.s2 - l.s2) / a.w - power((a.s1 - l.s1) / a.w, 2) AS lv, (r.s2 - a.s2) / a.w - power((r.s1 - a.s1) / a.w, 2) AS rv
+  FROM p a JOIN p l ON l.key = a.key AND l.idx = a.idx - a.w JOIN p r ON r.key = a.key AND r.idx = a.idx + a.w)
+WHERE abs(lv - rv) > v * 0.5)"""
+
+
+@check("change_points_by_key", union_all([keyed_change_sql(k) for k in KEYS]))
+def change_points_by_key(spark, sf_dir):
+    found = {k: keyed_series.change_points_by_key(table(spark, sf_dir, "events"), [k], "value", ["ts", "event_id"]) for k in KEYS}
+    return rounded(_both(found), {"left_var": 6, "right_var": 6})

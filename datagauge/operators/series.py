@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from datagauge.functions.columns import col
 from datagauge.functions.tails import student_two_sided
 from datagauge.params import AUTOCORRELATION_LAGS
 
@@ -30,17 +31,23 @@ def ordered_series(df: DataFrame, value: str, order_by: Sequence[str]) -> DataFr
 
 def with_lags(series: DataFrame, lags: Sequence[int], chunk: int = CHUNK) -> DataFrame:
     """Adds ``lag_k`` columns. The last rows of a chunk are sent to the next chunk too, as its left margin."""
+    return lag_values(series, lags, chunk, ())
+
+
+def lag_values(series: DataFrame, lags: Sequence[int], chunk: int, keys: Sequence[str]) -> DataFrame:
+    """The same inside every key of a series that has one for each."""
     margin = max(lags)
     chunk = max(chunk, 2 * margin)
     home = F.floor(F.col("idx") / chunk)
     in_margin = (F.col("idx") % chunk) >= chunk - margin
     spread = series.select(
+        *[col(k) for k in keys],
         "idx",
         "x",
         home.alias("home"),
         F.explode(F.when(in_margin, F.array(home, home + 1)).otherwise(F.array(home))).alias("chunk"),
     )
-    run = Window.partitionBy("chunk").orderBy("idx")
+    run = Window.partitionBy(*[col(k) for k in keys], "chunk").orderBy("idx")
     lagged = spread.select("*", *[F.lag("x", k).over(run).alias(f"lag_{k}") for k in lags])
     return lagged.where(F.col("chunk") == F.col("home")).drop("chunk", "home")
 
