@@ -17,6 +17,7 @@ a byte border. Wider ones are packed as 0 and listed as exceptions. Any block ca
 from __future__ import annotations
 
 import functools
+import os
 import re
 import struct
 import zlib
@@ -39,6 +40,7 @@ BLOCK = 256
 PERCENTILE = 90
 IDS_PER_FILE = 4 << 20
 PARTITION_BYTES = 16 << 20
+PIECE_BYTES = 1 << 20
 _MAGIC = b"PFOR\x01\x00\x00\x00"
 _HEAD = struct.Struct("<IIIIQ")
 _CHUNK = 1 << 10  # blocks worked on at a time
@@ -135,7 +137,7 @@ def unpack(content) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE tokenizer; each distinct word is encoded once by a process.
+    """Ids of texts by a byte-level BPE tokenizer; a process encodes a word once as long as it remembers it.
 
     The tokenizer cuts a text into words by itself and encodes them one by one; a space that no other white space
     stands next to always begins a word. So texts may be cut before such spaces. A text with any other space that
@@ -151,6 +153,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # A task has one core; threads of its own would each keep memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
@@ -214,8 +218,7 @@ class Encoder:
         out: list = [None] * n
         for d, ids in zip(alone, self._encode([piece.text(d).decode() for d in alone]) if alone else []):
             out[d] = np.array(ids, dtype=np.uint32)
-        values = words._BYTES[buf]
-        keys, checks = (words._runs(values, starts, ends, base) for base in words._BASES)
+        keys, checks = (words.hash_words(buf, starts, ends, seed) for seed in (0, 1))
         known, first, which = np.unique(keys, return_index=True, return_inverse=True)
         # Two words of one key would be told apart by their checks; then the texts are encoded without the memory.
         unsure = set(np.searchsorted(offsets, starts[checks != checks[first][which]], "right") - 1)
@@ -239,6 +242,10 @@ class Encoder:
         return out
 
 
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
 @functools.cache
 def encoder(path: str) -> Encoder:
     """The encoder of this process, with the words it knows."""
@@ -261,7 +268,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
     def write(batches: Iterator[pa.RecordBatch]):
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
-        store, folder = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        store, folder = _store(path)
         held: list[tuple] = []
         size = nth = 0
 
@@ -282,7 +289,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
         for batch in batches:
             keys = batch.column(0)
-            for piece in words.pieces(batch.column(1)):
+            for piece in words.pieces(batch.column(1), PIECE_BYTES):
                 for row, ids in zip(piece.rows, encode(piece)):
                     ids = np.append(ids, np.uint32(end_id))
                     held.append((keys[int(row)].as_py(), None, ids))
@@ -298,14 +305,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
 
 def read_tokens(spark: SparkSession, path: str, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document in the files that the manifest lists."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(path) if manifest.take(1) else spark.createDataFrame([], "path string, content binary")
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(manifest.select("file", "start"), "file")
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document in the files that the manifest lists.
+
+    Each file is read whole by one task, straight from the store, one at a time."""
+    listed = manifest.select("file", "start")
+    listed = listed.repartition(max(1, listed.count()), "file")
 
     def read(batches: Iterator[pa.RecordBatch]):
+        store, folder = _store(path)
         for batch in batches:
-            for content, start in zip(batch.column(0), batch.column(1)):
-                doc_ids, given, sizes, ids = unpack(content.as_buffer())
+            for file, start in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with store.open_input_stream(f"{folder}/{file}") as stream:
+                    doc_ids, given, sizes, ids = unpack(stream.read())
                 ends = np.cumsum(sizes, dtype=np.int64)
                 raw = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
                 sums = [zlib.crc32(raw[4 * (e - int(n)) : 4 * e]) for e, n in zip(ends.tolist(), sizes)]
@@ -317,7 +328,7 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame, with_ids: b
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return named.select("content", "start").mapInArrow(read, kind)
+    return listed.mapInArrow(read, kind)
 
 
 def token_files(docs: DataFrame, tokenizer: str, **options) -> tuple[str, DataFrame]:
