@@ -1,4 +1,8 @@
-"""JSON found inside text: fenced blocks, brace spans, balanced objects and introduced objects, tried in that order."""
+"""JSON found inside text: fenced blocks, brace spans, balanced objects and introduced objects, tried in that order.
+
+Every step is linear in the text: patterns are tried on texts cut at the first or the last brace, where the first try
+decides, and white space is trimmed outside of them.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +15,13 @@ INTRO_PATTERNS = (
     r"(?:json|analysis|assessment|result):\s*(\{[\s\S]*\})",
     r"(\{[\s\S]*\})\s*(?:this is|that is|above is)",
 )
-_FENCED_JSON = r"```json\s*([\s\S]*?)\s*```"
-_FENCED = r"```\s*([\s\S]*?)\s*```"
+_FENCED_JSON = r"```json([\s\S]*?)```"
+_FENCED = r"```([\s\S]*?)```"
 
 
 def _trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    # The end of a run of white space is sought from its start alone.
+    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def _is_json(c: Column) -> Column:
@@ -31,22 +36,12 @@ def _hit(method: str, c: Column) -> Column:
     return F.struct(F.lit(method).alias("method"), c.alias("json_text"))
 
 
-def _between_braces(c: Column) -> Column:
-    """From the first opening to the last closing brace; null unless both stand in that order."""
-    start = F.locate("{", c)
-    last = F.length(c) - F.locate("}", F.reverse(c)) + 1
-    found = (start > 0) & (F.locate("}", c) > 0) & (last > start)
-    return F.when(found, c.substr(start, last - start + 1))
-
-
-def _first_balanced(c: Column) -> Column:
-    """The text from the first opening brace to the one that balances it; null if none does.
+def _balanced_length(span: Column) -> Column:
+    """Length of the first balanced object of a text from an opening to a closing brace; null if nothing balances.
 
     The text is cut behind every brace; a fold over the pieces adds up depth and length until the depth is zero.
     """
-    start = F.locate("{", c)
-    rest = F.when(start > 0, c.substr(start, F.length(c)))
-    pieces = F.regexp_extract_all(rest, F.lit(r"([^{}]*[{}])"), F.lit(1))
+    pieces = F.regexp_extract_all(span, F.lit(r"([^{}]*[{}])"), F.lit(1))
 
     def step(state: Column, piece: Column) -> Column:
         depth = state["depth"] + F.when(piece.endswith("{"), 1).otherwise(-1)
@@ -58,8 +53,19 @@ def _first_balanced(c: Column) -> Column:
         )
 
     begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("done"))
-    end = F.aggregate(pieces, begin, step)
-    return F.when(end["done"], rest.substr(F.lit(1), end["length"]))
+    return F.aggregate(pieces, begin, step, lambda end: F.when(end["done"], end["length"]))
+
+
+def _introduced(text: Column, first: Column, last: Column, nth: int) -> Column:
+    """The object that an intro phrase stands before or behind, untrimmed; empty if there is none.
+
+    Up to the last closing brace, the first phrase before an opening brace fits. A phrase behind fits an object from
+    the first opening brace or none.
+    """
+    pattern = INTRO_PATTERNS[nth]
+    if pattern.startswith("(?:"):
+        return F.regexp_extract(text.substr(F.lit(1), last), "(?i)" + pattern, 1)
+    return F.regexp_extract(text.substr(first, F.length(text)), "(?i)^" + pattern, 1)
 
 
 def extract_json(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -69,30 +75,33 @@ def extract_json(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """
     text = F.col("text")
     picked = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null")
-    cut = picked.select(
+    closed = F.locate("}", F.reverse(text))
+    braced = picked.select("*", F.locate("{", text).alias("first"), F.when(closed > 0, F.length(text) - closed + 1).otherwise(0).alias("last"))
+    first, last = F.col("first"), F.col("last")
+    cut = braced.select(
         "*",
         F.when(text.rlike(_FENCED_JSON), _trimmed(F.regexp_extract(text, _FENCED_JSON, 1))).alias("c1"),
         F.when(text.rlike(_FENCED), _trimmed(F.regexp_extract(text, _FENCED, 1))).alias("c2"),
-        _between_braces(text).alias("c3"),
+        # From the first opening to the last closing brace.
+        F.when((first > 0) & (last > first), text.substr(first, last - first + 1)).alias("c3"),
     )
     direct = cut.select(
-        "id",
-        "text",
+        "*",
         F.when(F.col("c1").isNotNull(), _hit("json_fence", F.col("c1")))
         .when(_is_json(F.col("c2")), _hit("plain_fence", F.col("c2")))
         .when(_is_json(F.col("c3")), _hit("brace_span", F.col("c3")))
         .alias("hit"),
     )
-    undecided = direct.withColumn("open", F.when(F.col("hit").isNull() & text.contains("{"), text))
-    balanced = undecided.withColumn("c4", _first_balanced(F.col("open")))
-    introduced = [
-        F.when(F.col("open").rlike("(?i)" + p), _trimmed(F.regexp_extract("open", "(?i)" + p, 1))).alias(f"i{n}")
-        for n, p in enumerate(INTRO_PATTERNS)
-    ]
-    last = F.when(_is_json(F.col("c4")), _hit("balanced_braces", F.col("c4")))
+    # What is left has a span of braces that is no JSON.
+    is_open = F.col("hit").isNull() & F.col("c3").isNotNull()
+    opened = direct.select("id", "hit", "c3", "first", "last", F.when(is_open, text).alias("text"), F.when(is_open, F.col("c3")).alias("span"))
+    measured = opened.select(
+        "*", _balanced_length(F.col("span")).alias("length"), *[F.nullif(_introduced(text, first, last, n), F.lit("")).alias(f"i{n}") for n in range(len(INTRO_PATTERNS))]
+    )
+    found = measured.select("id", "hit", F.col("span").substr(F.lit(1), F.col("length")).alias("c4"), *[_trimmed(F.col(f"i{n}")).alias(f"i{n}") for n in range(len(INTRO_PATTERNS))])
+    later = F.when(_is_json(F.col("c4")), _hit("balanced_braces", F.col("c4")))
     for n in range(len(INTRO_PATTERNS)):
-        last = last.when(_is_json(F.col(f"i{n}")), _hit("intro_phrase", F.col(f"i{n}")))
-    result = balanced.select("id", "hit", "c4", *introduced)
+        later = later.when(_is_json(F.col(f"i{n}")), _hit("intro_phrase", F.col(f"i{n}")))
     # The outer form leaves the test for a hit after the expressions, where they are computed once.
-    hits = result.select("id", F.inline_outer(F.array(F.coalesce("hit", last))))
+    hits = found.select("id", F.inline_outer(F.array(F.coalesce("hit", later))))
     return hits.where("json_text is not null")

@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +180,12 @@ def test_preview(spark):
         ('{bad} here is: {"a": 1}', "intro_phrase", '{"a": 1}'),
         ('no json at all', None, None),
         ('} {', None, None),
+        ('{bad} {"a": 1} this is it', None, None),
+        ('} x {"a": 1} } json: {"b": [1]}', "balanced_braces", '{"a": 1}'),
+        ('```json{"a": 1}```', "json_fence", '{"a": 1}'),
+        ('{ {"a": 1} ', None, None),
+        ('Result: {x} Result: {"a": 1}', None, None),
+        ('{no} analysis:\n{"a": 1}\n', "intro_phrase", '{"a": 1}'),
     ],
 )
 def test_json_in_text(spark, text, method, found):
@@ -187,6 +194,22 @@ def test_json_in_text(spark, text, method, found):
     assert rows == ([(method, found)] if method else [])
 
 
+def test_json_in_long_texts(spark):
+    """A megabyte on which searches that start anew at every place would not end."""
+    size = 1 << 20
+    plain, blank = "word and more. " * (size // 15), " " * size
+    texts = {
+        "braces": "{" * size, "closing": "}{" * (size // 2), "tail": '{bad} {"a": 1} ' + plain, "no end": "result: { " * (size // 10),
+        "phrases": "x } " + "result: {" * (size // 9), "behind": "{x " * (size // 3) + "} this was", "fence": "```json" + blank, "fences": "```" + blank + "x" + blank,
+        "blank": '```json\n{"a": ' + blank + "1}" + blank + "```", "found": plain + 'not {this} but the result: {"a": 1} ' + plain, "nested": "x } " + "{[" * (size // 4),
+    }
+    start = time.monotonic()
+    df = spark.createDataFrame(list(texts.items()), "id string, t string").repartition(8)
+    found = {r.id: (r.method, r.json_text) for r in extract_json(df, "id", "t").collect()}
+    assert time.monotonic() - start < 60
+    assert found == {"closing": ("balanced_braces", "{}"), "blank": ("json_fence", '{"a": ' + blank + "1}"), "found": ("intro_phrase", '{"a": 1}')}
+
+
 def test_scorecard_of_a_clean_table(spark):
     df = spark.createDataFrame([("A-1", "2020")], "order_id string, note string")
     card = reports.scorecard(profile(df, "orders"))
