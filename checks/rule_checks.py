@@ -388,3 +388,72 @@ def number_sniffing(spark, sf_dir):
 def rules_orders(spark, sf_dir):
     found = rules.record_issues(derived(spark, sf_dir, ORDERS_WITH_NULLS), AS_OF, row_index=F.col("o_orderkey"))
     return found.groupBy("rule", "field").agg(F.count("*").alias("n"))
+
+
+# --- rules that look at other rows --------------------------------------------------------------------------------------
+
+# Orders whose ids repeat now and then, with totals of parts and of lines, some of them off.
+INVOICES = """
+SELECT CASE WHEN o_orderkey % 10 = 1 THEN o_orderkey - 1 WHEN o_orderkey % 33 = 5 THEN NULL ELSE o_orderkey END AS invoice_id, o_orderkey,
+       CAST(floor(o_totalprice) AS BIGINT) AS subtotal, CAST(o_orderkey % 90 AS BIGINT) AS tax,
+       CASE WHEN o_orderkey % 4 = 0 THEN CAST(NULL AS BIGINT) ELSE 5 END AS shipping, CAST(o_orderkey % 3 AS BIGINT) AS discount,
+       CAST(floor(o_totalprice) AS BIGINT) + o_orderkey % 90 + CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 5 END - o_orderkey % 3
+         + CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 0 END AS total,
+       CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 1 END AS pieces_known
+FROM orders
+"""
+PIECES = "SELECT l_orderkey, sum(l_quantity) AS pieces FROM lineitem GROUP BY l_orderkey"
+
+
+def _invoices_sql() -> str:
+    who = "coalesce(o_orderkey::VARCHAR, '') AS record_id"
+    fixed = "'business_logic_issues' AS category, 'CRITICAL' AS severity"
+    return f"""WITH inv AS (SELECT i.*, CASE WHEN pieces_known = 1 THEN coalesce(pieces, 0) ELSE coalesce(pieces, 0) + 3 END AS n_pieces, coalesce(pieces, 0) AS pieces
+    FROM ({INVOICES}) i LEFT JOIN ({PIECES}) p ON p.l_orderkey = i.o_orderkey),
+  copies AS (SELECT invoice_id, count(*) AS n FROM inv WHERE invoice_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+SELECT concat('Record_', o_orderkey) AS record_id, 'V28' AS rule, 'DUPLICATE ID' AS kind, {fixed}, 'invoice_id' AS field, invoice_id::VARCHAR AS actual, 'a value of its own' AS expected
+FROM inv JOIN copies USING (invoice_id)
+UNION ALL
+SELECT concat('Record_', o_orderkey), 'V27', 'CALCULATION ERROR', {fixed}, 'total', total::VARCHAR, (subtotal + tax + coalesce(shipping, 0) - discount)::DOUBLE::VARCHAR
+FROM inv WHERE abs(total - (subtotal + tax + coalesce(shipping, 0) - discount)) > 0.01
+UNION ALL
+SELECT concat('Record_', o_orderkey), 'V27', 'CALCULATION ERROR', {fixed}, 'n_pieces', n_pieces::DOUBLE::VARCHAR, pieces::DOUBLE::VARCHAR FROM inv WHERE pieces_known = 0"""
+
+
+def _invoice_issues(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    pieces = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").cast("double").alias("pieces"))
+    off = F.when(F.col("pieces_known") == 1, 0.0).otherwise(3.0)
+    invoices = derived(spark, sf_dir, INVOICES).join(pieces, "o_orderkey", "left").withColumn("n_pieces", F.coalesce("pieces", F.lit(0.0)) + off).drop("pieces", "pieces_known")
+    declared = rules.RuleSet(
+        unique=("invoice_id",),
+        sums=(rules.ComponentSum("total", ("subtotal", "tax", "shipping"), ("discount",)), rules.LineSum("n_pieces", "o_orderkey", lines, "l_orderkey", F.col("l_quantity"))),
+    )
+    return rules.record_issues(invoices, AS_OF, declared, row_index=F.col("o_orderkey"), values=True).where("rule IN ('V27', 'V28')")
+
+
+@check("rules_table_wide", _invoices_sql())
+def rules_table_wide(spark, sf_dir):
+    return _invoice_issues(spark, sf_dir).drop("message")
+
+
+@check(
+    "score_table_wide",
+    f"""SELECT 0::BIGINT AS critical_issues, 0::BIGINT AS major_issues, 0::BIGINT AS minor_issues, count(*) AS business_issues, 0::BIGINT AS impossible_values,
+  0::BIGINT AS unrealistic_values, 0::BIGINT AS missing_required, 0::BIGINT AS format_issues FROM ({_invoices_sql()})""",
+)
+def score_table_wide(spark, sf_dir):
+    return I.issue_counts(_invoice_issues(spark, sf_dir))
+
+
+@check(
+    "violation_details",
+    f"""SELECT 'invoices' AS table_name, rule, kind, severity, field, count(*) AS violation_count, count(DISTINCT record_id) AS affected_records,
+  array_to_string(list(record_id ORDER BY record_id, actual, expected)[1:3], ',') AS sample_records,
+  array_to_string(list(actual ORDER BY record_id, actual, expected)[1:3], ',') AS current_values,
+  array_to_string(list(expected ORDER BY record_id, actual, expected)[1:3], ',') AS expected_values
+FROM ({_invoices_sql()}) GROUP BY ALL""",
+)
+def violation_details(spark, sf_dir):
+    found = I.violation_details(_invoice_issues(spark, sf_dir), "invoices")
+    return found.withColumns({c: F.array_join(c, ",") for c in ("sample_records", "current_values", "expected_values")})

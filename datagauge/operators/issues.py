@@ -258,3 +258,20 @@ def violation_table(issues: DataFrame, sample_keys: int = 3) -> DataFrame:
         .agg(F.array_join(F.array_sort(F.collect_list("record_id")), ",").alias("sample_records"))
     )
     return totals.join(first, ["rule", "field"])
+
+
+def violation_details(issues: DataFrame, table_name: str, sample_keys: int = 3) -> DataFrame:
+    """Per rule and field of a table: issues, affected records, and of the first ``sample_keys`` issues by record the
+    ids, current values and expected values. ``issues`` come from ``record_issues`` with ``values``.
+
+    The filter on the rank keeps a few issues per rule in every task before they are shuffled.
+    """
+    from pyspark.sql import Window
+
+    keys = ("rule", "kind", "severity", "field")
+    totals = issues.groupBy(*keys, "record_id").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum("n").alias("violation_count"), F.count("*").alias("affected_records"))
+    order = ("record_id", "actual", "expected")
+    ranked = issues.select(*keys, *order).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    sample = ranked.where(F.col("rank") <= sample_keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", *order))).alias("first"))
+    listed = [F.col(f"first.{c}").alias(name) for c, name in (("record_id", "sample_records"), ("actual", "current_values"), ("expected", "expected_values"))]
+    return totals.join(sample, list(keys)).select(F.lit(table_name).alias("table_name"), *keys, "violation_count", "affected_records", *listed)

@@ -53,6 +53,28 @@ class FieldNames:
     formatted_ids: tuple = ("employee_id", "customer_id", "account_id", "order_id")
 
 
+@dataclass(frozen=True)
+class ComponentSum:
+    """A total that must equal the signed sum of other fields of its record; a missing part is zero."""
+
+    total: str
+    added: tuple[str, ...]
+    subtracted: tuple[str, ...] = ()
+    tolerance: float = 0.01
+
+
+@dataclass(frozen=True)
+class LineSum:
+    """A total that must equal the sum over the lines of its record; a record without lines has a sum of zero."""
+
+    total: str
+    key: str
+    lines: DataFrame
+    line_key: str
+    amount: Column
+    tolerance: float = 0.01
+
+
 @dataclass(frozen=True)
 class RuleSet:
     """Fixed values of the rules, plus further rules: functions of a frame that give issue columns."""
@@ -80,6 +102,9 @@ class RuleSet:
         }
     )
     extra: tuple = ()
+    # What only the table's owner knows: the fields that identify a record, and the totals.
+    unique: tuple[str, ...] = ()
+    sums: tuple[ComponentSum | LineSum, ...] = ()
 
 
 DEFAULT_RULES = RuleSet()
@@ -159,15 +184,20 @@ class Checks:
         self.today = F.lit(as_of).cast("date")
         self.meanings: list[tuple[str, str, str, str, str]] = []
         self.messages: list[Column] = []
+        self.values: list[tuple[Column, Column]] = []
         self.single: list[Column] = []
         self.per_purchase: list = []
 
-    def issue(self, rule: str, kind: str, category: str, severity: str, name: str, *tail) -> int:
-        """Registers an issue and gives its code; ``tail`` is the message after the user, as texts and columns."""
+    def issue(self, rule: str, kind: str, category: str, severity: str, name: str, *tail, expected: Column | str | None = None) -> int:
+        """Registers an issue and gives its code; ``tail`` is the message after the user, as texts and columns.
+        ``expected`` is what the field should hold, where the rule knows it."""
         words = [F.lit(kind + ": User "), F.col("_record_id")]
         words += [F.lit(t) if isinstance(t, str) else t.cast("string") for t in tail]
         self.meanings.append((rule, kind, category, severity, name))
         self.messages.append(F.concat(*[F.coalesce(w, F.lit("None")) for w in words]))
+        resolved = {"purchase_date": "_item", "signup_date": "_signup", "name": "_name", "email": "_email", "age": "_age"}
+        actual = self.text(name) if name in self.df.columns else F.col(resolved[name]).cast("string") if name in resolved else F.lit(None).cast("string")
+        self.values.append((actual, (F.lit(expected) if expected is None or isinstance(expected, str) else expected).cast("string")))
         return len(self.messages) - 1
 
     def add(self, *cases: tuple[Column, int]) -> None:
@@ -347,7 +377,7 @@ def _typed_fields(k: Checks) -> None:
         if n in k.df.columns:
             value = strip(k.text(n))
             expected = f"' (expected: {', '.join(allowed)})"
-            k.add(((value != "") & ~value.isin(*allowed), k.issue("V25", "INVALID CATEGORY", "business_logic_issues", "MEDIUM", n, f" has invalid {n}: '", value, expected)))
+            k.add(((value != "") & ~value.isin(*allowed), k.issue("V25", "INVALID CATEGORY", "business_logic_issues", "MEDIUM", n, f" has invalid {n}: '", value, expected, expected=", ".join(allowed))))
 
 
 def _statistical(k: Checks) -> None:
@@ -355,10 +385,23 @@ def _statistical(k: Checks) -> None:
         if n in k.df.columns:
             x = k.number(n)
             word = "out-of-range" if n == "performance_rating" else "unusual"
-            k.add(((x > high) | (x < low), k.issue("V26", "STATISTICAL ANOMALY", "statistical_anomalies", "MEDIUM", n, f" has {word} {n}: ", x)))
+            k.add(((x > high) | (x < low), k.issue("V26", "STATISTICAL ANOMALY", "statistical_anomalies", "MEDIUM", n, f" has {word} {n}: ", x, expected=f"{low} to {high}")))
 
 
-GROUPS = (_temporal, _cross_field, _email, _age_and_salary, _name, _dates, _business_email, _typed_fields, _statistical)
+def _table_wide(k: Checks) -> None:
+    """Rules that look at other rows: ids that repeat, and totals, which may be made of lines elsewhere."""
+    for i, n in enumerate(_existing(k.df, k.rules.unique)):
+        copies = F.col(f"_copies {i}")
+        k.add((copies > 1, k.issue("V28", "DUPLICATE ID", "business_logic_issues", "CRITICAL", n, f" has {n} '", k.text(n), "' that ", copies, " records share", expected="a value of its own")))
+    for i, rule in enumerate(k.rules.sums):
+        if rule.total in k.df.columns:
+            actual, expected = k.number(rule.total), F.col(f"_expected {i}")
+            made_of = "the sum of its lines" if isinstance(rule, LineSum) else " + ".join(rule.added) + "".join(f" - {c}" for c in rule.subtracted)
+            off = F.abs(actual - expected) > rule.tolerance
+            k.add((off, k.issue("V27", "CALCULATION ERROR", "business_logic_issues", "CRITICAL", rule.total, f" has {rule.total} ", actual, f", not {made_of}: ", expected, expected=expected)))
+
+
+GROUPS = (_temporal, _cross_field, _email, _age_and_salary, _name, _dates, _business_email, _typed_fields, _statistical, _table_wide)
 
 
 def _fired(checks: Checks) -> Column:
@@ -400,19 +443,43 @@ def _prepared(df: DataFrame, rules: RuleSet, row_index: Column | None) -> DataFr
     ).withColumn("_plain_local", F.regexp_replace("_local", "[0-9._-]", ""))
 
 
+def _with_table_facts(resolved: DataFrame, df: DataFrame, rules: RuleSet) -> DataFrame:
+    """Adds how many records share an id, and what a total should be.
+
+    Ids and lines are folded to one row for each key before they meet the records, and only ids that repeat do; a
+    null or empty id is no id. A key that many records share is split by the join.
+    """
+    for i, n in enumerate(_existing(df, rules.unique)):
+        repeated = df.select(C.present(df, n).alias(f"_id {i}")).where(C.col(f"_id {i}").isNotNull()).groupBy(C.col(f"_id {i}")).agg(F.count("*").alias(f"_copies {i}"))
+        resolved = resolved.join(repeated.where(F.col(f"_copies {i}") > 1), C.col(n) == F.col(f"_id {i}"), "left")
+    for i, rule in enumerate(rules.sums):
+        if rule.total not in df.columns:
+            continue
+        if isinstance(rule, LineSum):
+            sums = rule.lines.groupBy(C.col(rule.line_key).alias(f"_key {i}")).agg(F.sum(rule.amount).cast("double").alias(f"_sum {i}"))
+            resolved = resolved.join(sums, C.col(rule.key) == F.col(f"_key {i}"), "left").withColumn(f"_expected {i}", F.coalesce(F.col(f"_sum {i}"), F.lit(0.0)))
+        else:
+            parts = [(c, 1.0) for c in rule.added] + [(c, -1.0) for c in rule.subtracted]
+            number = {c: to_number(C.col(c)) if C.families(df)[c] == "string" else C.col(c).cast("double") for c, _ in parts}
+            resolved = resolved.withColumn(f"_expected {i}", sum((F.coalesce(number[c], F.lit(0.0)) * sign for c, sign in parts), F.lit(0.0)))
+    return resolved
+
+
 def record_issues(
     df: DataFrame,
     as_of_date: str,
     rules: RuleSet = DEFAULT_RULES,
     row_index: Column | None = None,
     mode: str = "structured",
+    values: bool = False,
 ) -> DataFrame:
-    """``(record_id, rule, kind, category, severity, field, message)``, one row per issue.
+    """``(record_id, rule, kind, category, severity, field, message)``, one row per issue; with ``values`` also
+    ``(actual, expected)`` as text: what the field holds, and what it should hold where the rule knows it.
 
     ``structured``: the rule states category and severity. ``keyword``: both are read off the message, by
     ``datagauge.operators.issues``. ``rules.extra`` holds further groups: functions that add to the ``Checks``.
     """
-    prepared = _prepared(df, rules, row_index)
+    prepared = _with_table_facts(_prepared(df, rules, row_index), df, rules)
     checks = Checks(df, as_of_date, rules)
     for group in (*GROUPS, *rules.extra):
         group(checks)
@@ -423,6 +490,13 @@ def record_issues(
     def meaning(position: int) -> Column:
         return F.get(F.array(*[F.lit(m[position]) for m in checks.meanings]), F.col("_code"))
 
+    def text_of(position: int) -> Column:
+        known = [(code, pair[position]) for code, pair in enumerate(checks.values)]
+        out = F.when(F.col("_code") == known[0][0], known[0][1])
+        for code, value in known[1:]:
+            out = out.when(F.col("_code") == code, value)
+        return out
+
     message = F.lit(None).cast("string")
     if checks.messages:
         message = F.when(F.col("_code") == 0, checks.messages[0])
@@ -432,6 +506,7 @@ def record_issues(
         F.col("_record_id").alias("record_id"),
         *[meaning(n).alias(c) for n, c in enumerate(("rule", "kind", "category", "severity", "field"))],
         message.alias("message"),
+        *([text_of(0).alias("actual"), text_of(1).alias("expected")] if values else []),
     )
     if mode == "keyword":
         from .issues import by_keyword

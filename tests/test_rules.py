@@ -1,4 +1,5 @@
 import datetime
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +207,28 @@ def test_violation_table_folds_records(spark):
     df = spark.createDataFrame([("V09", "age", str(i % 5)) for i in range(20)], "rule string, field string, record_id string")
     row = by(I.violation_table(df, 3), "rule")["V09"]
     assert (row["violation_count"], row["affected_records"], row["sample_records"]) == (20, 5, "0,1,2")
+
+
+def test_ids_and_sums_over_the_table(spark):
+    """Null and empty ids are none, a hot id flags each of its rows, missing parts and lines count as zero."""
+    rows = [("hot", 3.0, 1.0, 2.0, 0.0)] * 500 + [("a", 5.0, 2.0, 2.0, 9.0), ("b", None, 1.0, 1.0, 4.0), (None, 1.0, None, 1.0, 0.0), (None, 1.0, 1.0, None, 0.0), ("", 2.0, 1.0, 1.0, 0.0), ("", 2.0, 1.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "ref string, total double, x double, y double, n_lines double")
+    lines = spark.createDataFrame([("a", 4.0), ("a", 5.0), ("b", 3.0), ("other", 7.0), (None, 1.0)], "of string, n double")
+    declared = rules.RuleSet(unique=("ref", "absent"), sums=(rules.ComponentSum("total", ("x", "y")), rules.LineSum("n_lines", "ref", lines, "of", F.col("n")), rules.ComponentSum("absent", ("x",))))
+    found = rules.record_issues(df, "2024-12-31", declared, values=True).where("rule IN ('V27', 'V28')").collect()
+    kinds = Counter((r["rule"], r["field"], r["actual"], r["expected"]) for r in found)
+    assert kinds == {("V28", "ref", "hot", "a value of its own"): 500, ("V27", "total", "5.0", "4.0"): 1, ("V27", "n_lines", "4.0", "3.0"): 1}
+    assert {r["category"] for r in found} == {"business_logic_issues"} and {r["severity"] for r in found} == {"CRITICAL"}
+    assert rules.record_issues(df, "2024-12-31").where("rule IN ('V27', 'V28')").count() == 0
+    assert I.issue_counts(rules.record_issues(df, "2024-12-31", declared).where("rule IN ('V27', 'V28')")).first()["business_issues"] == 502
+    detail = {(r["rule"], r["field"]): r for r in I.violation_details(rules.record_issues(df, "2024-12-31", declared, row_index=F.lit(7), values=True), "t", 2).collect()}
+    hot = detail["V28", "ref"]
+    assert hot["violation_count"] == 500 and hot["affected_records"] == 1 and hot["current_values"] == ["hot", "hot"] and len(hot["sample_records"]) == 2
+    assert detail["V27", "total"]["expected_values"] == ["4.0"]
+
+
+def test_values_of_issues(spark):
+    df = spark.createDataFrame([("1", 200, "Sales?", "2030-01-01")], "id string, age int, department string, signup_date string")
+    found = {(r["rule"], r["field"]): (r["actual"], r["expected"]) for r in rules.record_issues(df, "2024-12-31", values=True).collect()}
+    assert found["V26", "age"] == ("200", "16 to 100") and found["V25", "department"][0] == "Sales?" and found["V25", "department"][1].startswith("HR, Finance")
+    assert found["V02", "signup_date"] == ("2030-01-01", None)
