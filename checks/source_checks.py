@@ -218,6 +218,50 @@ def nested_report_inventory(spark, sf_dir):
     return nested.report_inventory(_nested(spark, sf_dir), F.col("doc_id"))
 
 
+# Documents without a schema: lists of objects, of scalars and mixed ones, lists in lists, empty ones, nulls.
+FREE = """
+SELECT doc_id, concat('{"meta": {"lang": "', lang, '", "n": ', doc_id, ', "none": null}, "marks": [', marks, '], "mixed": [7, {"deep": {"codes": [', codes,
+  '], "flat": {"x": 1}}}, {"flat": 1}, [', codes, '], null], "lists": [[', marks, '], [{"a": {"b": [1, 2]}, "c": [[3]]}]], "holes": [null, 1], "empty": {}, "stats": {"rows": [{"a": 1}, {"b": [',
+  codes, ']}], "size": ', n_chars, '}}') AS j
+FROM (SELECT doc_id, lang, n_chars, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '1' WHEN 2 THEN '1, 2.5' ELSE '1, true, "x"' END AS marks,
+        CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '5' ELSE '5, 6' END AS codes FROM documents)"""
+
+FREE_TABLES = """
+  SELECT doc_id AS id, 'meta' AS table_path, 'record' AS shape, 1 AS records FROM documents
+  UNION ALL SELECT doc_id, 'marks', 'values', doc_id % 4 FROM documents WHERE doc_id % 4 > 0
+  UNION ALL SELECT doc_id, 'mixed_1_deep_codes', 'values', doc_id % 3 FROM documents WHERE doc_id % 3 > 0
+  UNION ALL SELECT doc_id, 'mixed_1_deep_flat', 'record', 1 FROM documents
+  UNION ALL SELECT doc_id, 'stats_rows', 'records', 2 FROM documents"""
+FREE_LISTS = """
+  UNION ALL SELECT doc_id, 'mixed_3', 'values', doc_id % 3 FROM documents WHERE doc_id % 3 > 0
+  UNION ALL SELECT doc_id, 'lists_0', 'values', doc_id % 4 FROM documents WHERE doc_id % 4 > 0
+  UNION ALL SELECT doc_id, 'lists_1', 'records', 1 FROM documents"""
+
+
+def _free(spark, sf_dir):
+    text = spark.sql(FREE.replace("FROM documents", f"FROM parquet.`{sf_dir}/documents.parquet`"))
+    return text.select("doc_id", F.parse_json("j").alias("v"))
+
+
+@check("nested_report_variant", f"SELECT id, table_path, shape, records::BIGINT AS records FROM ({FREE_TABLES})")
+def nested_report_variant(spark, sf_dir):
+    return nested.report_variant_inventory(_free(spark, sf_dir), "v", "doc_id")
+
+
+@check("nested_report_variant_lists", f"SELECT id, table_path, shape, records::BIGINT AS records FROM ({FREE_TABLES}{FREE_LISTS})")
+def nested_report_variant_lists(spark, sf_dir):
+    return nested.report_variant_inventory(_free(spark, sf_dir), "v", "doc_id", nested_lists=True)
+
+
+@check(
+    "nested_report_variant_rows",
+    """SELECT doc_id AS id, p AS position, CASE p WHEN 0 THEN '5' ELSE '6' END AS record FROM documents, range(0, 2) r(p) WHERE p < doc_id % 3""",
+)
+def nested_report_variant_rows(spark, sf_dir):
+    rows = nested.report_variant(_free(spark, sf_dir), "v", "doc_id").where("table_path = 'mixed_1_deep_codes'")
+    return rows.select("id", "position", F.to_json("record").alias("record"))
+
+
 @check(
     "nested_hierarchy",
     f"""SELECT table_path, records, 'item' AS parent, len(string_split(table_path, '_')) - 1 AS level FROM ({INVENTORY})""",

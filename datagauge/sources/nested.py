@@ -158,6 +158,98 @@ def report_inventory(df: DataFrame, index: Column, max_depth: int | None = None)
     return df.select(F.inline(F.array_compact(F.array(*entries))))
 
 
+def _kind(v: Column) -> Column:
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _is_container(v: Column) -> Column:
+    return _kind(v).isin("OBJECT", "ARRAY")
+
+
+def _shape(v: Column) -> Column:
+    """``records``, ``values`` or ``record`` of a variant that a report shows as a table, else null.
+
+    A list with elements is a table if all are objects, or all are scalars other than null; an object with keys if all
+    its values are scalars or null.
+    """
+    items, fields = F.try_variant_get(v, "$", "array<variant>"), F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
+    listed = (_kind(v) == "ARRAY") & (F.size(items) > 0)
+    held = (_kind(v) == "OBJECT") & (F.size(fields) > 0)
+    return (
+        F.when(listed & F.forall(items, lambda x: _kind(x) == "OBJECT"), "records")
+        .when(listed & F.forall(items, lambda x: ~_kind(x).isin("OBJECT", "ARRAY", "VOID")), "values")
+        .when(held & F.forall(fields, lambda x: ~_is_container(x)), "record")
+    )
+
+
+def report_variant(df: DataFrame, column: str, id_column: str, max_depth: int | None = None, nested_lists: bool = False) -> DataFrame:
+    """``(id, table_path, shape, position, record)``: the rows of the report tables of schema-free documents.
+
+    A path joins keys by underscores. Lists of objects (``records``), lists of scalars (``values``) and objects of
+    scalars (``record``) are tables and are not searched further; other objects are. The objects in any other list
+    are searched under the list's path and their position, those of a root list under ``item_`` and it; there an object
+    of scalars alone is no table, and lists inside lists are searched, in the same way, only with ``nested_lists``.
+    ``position`` counts from 0. Every level of depth is checkpointed, as it feeds both the result and the next level.
+    """
+    spark = df.sparkSession
+
+    def joined(path: Column, part: Column) -> Column:
+        return F.when(path == "", part).otherwise(F.concat(path, F.lit("_"), part))
+
+    def elements(lists: DataFrame) -> DataFrame:
+        return lists.select("id", "path", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("i", "v"))
+
+    root = df.select(C.col(id_column).alias("id"), F.lit("").alias("path"), C.col(column).alias("v"))
+    first = elements(root.where(_kind(F.col("v")) == "ARRAY")).where(_kind(F.col("v")) == "OBJECT")
+    level = root.where(_kind(F.col("v")) == "OBJECT").withColumn("depth", F.lit(0)).unionByName(first.select("id", F.concat(F.lit("item_"), "i").alias("path"), "v", F.lit(1).alias("depth")))
+    found = None
+    while True:
+        if max_depth is not None:
+            level = level.where(F.col("depth") < max_depth)
+        fields = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).where(_is_container(F.col("value")))
+        own = fields.select("id", joined(F.col("path"), F.col("key")).alias("path"), F.col("value").alias("v"), (F.col("depth") + 1).alias("depth"))
+        level = cut_lineage(own.withColumn("shape", _shape(F.col("v"))))
+        if level.isEmpty():
+            break
+        tables = level.where("shape IS NOT NULL").select("id", F.col("path").alias("table_path"), "shape", "v")
+        found = tables if found is None else found.unionByName(tables)
+        rest = level.where("shape IS NULL")
+        lists = rest.where(_kind(F.col("v")) == "ARRAY")
+        inside = lists.select("id", "path", "depth", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("i", "v"))
+        inside = inside.select("id", F.concat("path", F.lit("_"), "i").alias("path"), "v", "depth")
+        level = rest.where(_kind(F.col("v")) == "OBJECT").select("id", "path", "v", "depth")
+        level = level.unionByName(inside.where((_kind(F.col("v")) == "OBJECT") & _shape(F.col("v")).isNull()))
+        if nested_lists:
+            # A list in a list has no key of its own: it is looked at as the only field of an object.
+            held = inside.where(_kind(F.col("v")) == "ARRAY")
+            found, level = _with_nested_lists(found, level, held)
+    schema = "id string, table_path string, shape string, position int, record variant"
+    if found is None:
+        return spark.createDataFrame([], schema).withColumn("id", F.col("id").cast(df.schema[id_column].dataType))
+    single = found.where("shape = 'record'").select("id", "table_path", "shape", F.lit(0).alias("position"), F.col("v").alias("record"))
+    many = found.where("shape <> 'record'").select("id", "table_path", "shape", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("position", "record"))
+    return single.unionByName(many)
+
+
+def _with_nested_lists(found: DataFrame, level: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Adds the tables that lists inside lists are, and the objects inside other ones, to any depth of lists."""
+    while True:
+        lists = cut_lineage(lists.withColumn("shape", _shape(F.col("v"))))
+        if lists.isEmpty():
+            return found, level
+        found = found.unionByName(lists.where("shape IS NOT NULL").select("id", F.col("path").alias("table_path"), "shape", "v"))
+        inside = lists.where("shape IS NULL").select("id", "path", "depth", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("i", "v"))
+        inside = inside.select("id", F.concat("path", F.lit("_"), "i").alias("path"), "v", "depth")
+        level = level.unionByName(inside.where((_kind(F.col("v")) == "OBJECT") & _shape(F.col("v")).isNull()))
+        lists = inside.where(_kind(F.col("v")) == "ARRAY")
+
+
+def report_variant_inventory(df: DataFrame, column: str, id_column: str, max_depth: int | None = None, nested_lists: bool = False) -> DataFrame:
+    """``(id, table_path, shape, records)`` of the report tables of schema-free documents."""
+    rows = report_variant(df, column, id_column, max_depth, nested_lists)
+    return rows.groupBy("id", "table_path", "shape").agg(F.count("*").alias("records"))
+
+
 def path_hierarchy(names: DataFrame, column: str) -> DataFrame:
     """Adds the parent (first part of the path; null at the root) and the level of a table path."""
     parts = F.split(F.col(column), "_")
