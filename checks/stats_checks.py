@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from datagauge.operators import distribution, keyed_series, quantiles, series
+from datagauge.operators import distribution, keyed_series, quantiles, series, state
 from datagauge.params import DEFAULT_PERCENTILES
 
 from .registry import DAILY, check, derived, rounded, table, union_all
@@ -380,3 +380,44 @@ WHERE abs(lv - rv) > v * 0.5)"""
 def change_points_by_key(spark, sf_dir):
     found = {k: keyed_series.change_points_by_key(table(spark, sf_dir, "events"), [k], "value", ["ts", "event_id"]) for k in KEYS}
     return rounded(_both(found), {"left_var": 6, "right_var": 6})
+
+
+# --- stored states --------------------------------------------------------------------------------------------------
+
+STATE_COLUMNS = (("l_quantity", "lineitem"), ("l_extendedprice", "lineitem"), ("l_partkey", "lineitem"), ("l_returnflag", "lineitem"))
+
+
+def _state_sql(column: str, source: str) -> str:
+    x = f"length({column})" if column == "l_returnflag" else f"{column}::DOUBLE"
+    return f"""SELECT '{column}' AS attribute, count(*) AS total_count, count({column}) AS present_count, min({x})::DOUBLE AS min_value, max({x})::DOUBLE AS max_value,
+  round(avg({x}), 4) AS mean, round(stddev_pop({x}), 4) AS std, true AS distinct_within, true AS quantiles_within FROM {source}"""
+
+
+@check("profile_state", union_all([_state_sql(*pair) for pair in STATE_COLUMNS]))
+def profile_state(spark, sf_dir):
+    """States of each month of shipping, merged; the estimates stay inside their bounds of the exact values."""
+    names = [c for c, _ in STATE_COLUMNS]
+    df = table(spark, sf_dir, "lineitem")
+    months = state.profile_state(df.withColumn("month", F.trunc("l_shipdate", "month")), names, by=["month"])
+    merged = state.state_profile(state.merge_states(months))
+    numbers = {n: F.length(n).cast("double") if n == "l_returnflag" else F.col(n).cast("double") for n in names}
+    estimates = merged.select("attribute", "p5", "p50", "p95", "unique_estimate")
+    # Shares of the values below and up to each estimate, and the exact distinct counts, from the table itself.
+    pairs = F.array(*[F.struct(F.lit(n).alias("attribute"), x.alias("x"), F.col(n).cast("string").alias("text")) for n, x in numbers.items()])
+    stream = df.select(F.inline(pairs)).join(F.broadcast(estimates), "attribute")
+    shares = [(F.avg((F.col("x") < F.col(p)).cast("int")) - 0.02 <= q) & (F.avg((F.col("x") <= F.col(p)).cast("int")) + 0.02 >= q) for p, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))]
+    off = F.abs(F.first("unique_estimate") - F.count_distinct("text")) / F.count_distinct("text")
+    tested = stream.groupBy("attribute").agg((shares[0] & shares[1] & shares[2]).alias("quantiles_within"), (off <= 0.05).alias("distinct_within"))
+    exact = rounded(merged.select("attribute", "total_count", "present_count", "min_value", "max_value", "mean", "std"), {"mean": 4, "std": 4})
+    return exact.join(tested, "attribute")
+
+
+@check(
+    "profile_state_top",
+    """SELECT 'event_type' AS attribute, item, count FROM (SELECT event_type AS item, count(*) AS count FROM events GROUP BY 1)
+UNION ALL SELECT 'day', item, count FROM (SELECT user_id % 10 AS day, count(*) AS count FROM events GROUP BY 1), LATERAL (SELECT day::VARCHAR AS item)""",
+)
+def profile_state_top(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 10).cast("string").alias("day"), (F.col("event_id") % 2).alias("half"))
+    merged = state.merge_states(state.profile_state(df, by=["half"], top=["event_type", "day"]))
+    return state.state_profile(merged, k=100).select("attribute", F.inline("top_values"))
