@@ -12,6 +12,9 @@
    can share, and the pairs left are expanded to members and verified. So each pair of documents is ruled out, verified
    or joined by verified links, and a large group of near copies takes a row for each member and bucket in place of all
    pairs.
+
+Before texts are moved to verify pairs, a bit sketch of the whole sets bounds their difference from below, which rules out
+nearly all pairs that are not similar; and only the texts of pairs left are shuffled, found by a bitmap of fixed size.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ COUNTERS = 1 << 20
 _CHUNK = 1 << 12
 HOSTS = 8
 SKETCH_BITS = 256
+MAP_BITS = 1 << 23
 _SALTS = (0x51ED2701, 0xA24BAED4)
+_LEAST_BITS = 256
 
 
 def _crowded(docs: DataFrame, k: int, counters: int) -> np.ndarray:
@@ -75,9 +80,22 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def _whole_sketches(values: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """Of each set values[first[i]:first[i + 1]], bits that its members turn over, one each: at least as many bits as
+    members, a power of two."""
+    n = np.diff(first)
+    size = np.maximum(_LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    bit = np.repeat(begin[:-1], n) + (words.mix(values) & np.repeat(size - 1, n).astype(np.uint64)).astype(np.int64)
+    turned = (np.bincount(bit, minlength=int(begin[-1])) & 1).astype(np.uint8)
+    longs = np.packbits(turned, bitorder="little").view("<i8")
+    return pa.ListArray.from_arrays(pa.array((begin // 64).astype(np.int32)), pa.array(longs))
+
+
 def _sets(docs: DataFrame, k: int, percent: int, crowd: np.ndarray) -> DataFrame:
-    """(doc_id, n, f1, f2, p1, p2, prefix, sketch): size and 128-bit fingerprint of each shingle set, fingerprint of its
-    prefix, the prefix itself in the shared order, and as bits: each shingle turns one of ``SKETCH_BITS`` bits over."""
+    """(doc_id, n, f1, f2, p1, p2, prefix, sketch, bits): size and 128-bit fingerprint of each shingle set, fingerprint
+    of its prefix, the prefix itself in the shared order, and sketches of the prefix and the set: each shingle turns one
+    bit over."""
     shared = docs.sparkSession.sparkContext.broadcast(crowd)  # of fixed size
 
     def build(batches):
@@ -92,6 +110,7 @@ def _sets(docs: DataFrame, k: int, percent: int, crowd: np.ndarray) -> DataFrame
                 size = n - (percent * n + 99) // 100 + 1
                 if klass.any():
                     values = values[np.lexsort((values, klass, docs_of))]
+                whole = _whole_sketches(values, first)
                 keep = np.arange(len(values)) - np.repeat(first[:-1], n) < np.repeat(size, n)
                 ends = np.zeros(len(n) + 1, dtype=np.int32)
                 np.cumsum(np.bincount(docs_of[keep], minlength=len(n)), out=ends[1:])
@@ -104,17 +123,48 @@ def _sets(docs: DataFrame, k: int, percent: int, crowd: np.ndarray) -> DataFrame
                     [
                         batch.column(0).take(pa.array(piece.rows)), pa.array(n, pa.int64()), *[pa.array(x.view(np.int64)) for x in (f1, f2, p1, p2)],
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(values[keep].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * longs + 1, longs, dtype=np.int32)), pa.array(sketch)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * longs + 1, longs, dtype=np.int32)), pa.array(sketch)), whole,
                     ],
-                    names=["doc_id", "n", "f1", "f2", "p1", "p2", "prefix", "sketch"],
+                    names=["doc_id", "n", "f1", "f2", "p1", "p2", "prefix", "sketch", "bits"],
                 )
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(build, f"doc_id {kind}, n long, f1 long, f2 long, p1 long, p2 long, prefix array<long>, sketch array<long>")
+    return docs.mapInArrow(build, f"doc_id {kind}, n long, f1 long, f2 long, p1 long, p2 long, prefix array<long>, sketch array<long>, bits array<long>")
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) but for those whose sets must differ in too many members.
+
+    Bits that differ are at most as many as members that one set has alone. Of two sketches the longer one is folded to
+    the length of the other first; sets that may be similar have lengths that differ by a factor of two at most.
+    """
+    both = pairs.join(sketches.select(F.col("class_id").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu")), "u")
+    both = both.join(sketches.select(F.col("class_id").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv")), "v")
+    both = both.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+    swap = F.size("bu") > F.size("bv")
+    both = both.select("u", "v", "nu", "nv", F.when(swap, F.col("bv")).otherwise(F.col("bu")).alias("a"), F.when(swap, F.col("bu")).otherwise(F.col("bv")).alias("b"))
+    differ = F.expr(
+        "aggregate(sequence(0, size(a) - 1), 0, (n, i) -> n + bit_count(a[i] ^ b[i] ^ IF(size(b) > size(a), b[IF(size(b) > size(a), i + size(a), i)], 0L)))"
+    )
+    return both.where((100 + percent) * differ <= (100 - percent) * (F.col("nu") + F.col("nv"))).select("u", "v").distinct()
+
+
+def _of_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts of the pairs, and a few more: ids are looked up in a bitmap of ``MAP_BITS`` bits, whatever their number.
+
+    The bitmap is a table of at most MAP_BITS / 64 rows, which is broadcast, so that other texts need not be shuffled.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).select(slot.alias("slot"))
+    bitmap = ids.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("mask"))
+    marked = texts.select("*", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("slot")).join(F.broadcast(bitmap), F.shiftright("slot", 6) == F.col("word"))
+    return marked.where("(mask & shiftleft(1L, CAST(slot & 63 AS INT))) <> 0").select("doc_id", "text")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose shingle sets have the similarity; computed from the whole texts."""
+    pairs = stored(_alike(pairs, sketches, percent), "jaccard-alike")
+    texts = _of_pairs(texts, pairs)
     left = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
     both = left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v").select("u", "v", "tu", "tv")
 
@@ -162,8 +212,10 @@ def jaccard_join(
     classes = usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
     grouped = Window.partitionBy("n", "p1", "p2")
     members = stored(classes.select("class_id", "n", "f1", "f2", F.min("class_id").over(grouped).alias("g")), "jaccard-members")
-    heads = members.where("class_id = g").select(F.col("g").alias("doc_id"), "n", "f1", "f2", "g")
-    heads = usable.join(heads, ["doc_id", "n", "f1", "f2"]).select("g", "n", "prefix", "sketch")
+    first_rows = members.select(F.col("class_id").alias("doc_id"), "n", "f1", "f2", "g")
+    classes = stored(usable.join(first_rows, ["doc_id", "n", "f1", "f2"]).dropDuplicates(["doc_id", "n", "f1", "f2"]).select(F.col("doc_id").alias("class_id"), "g", "n", "prefix", "sketch", "bits"), "jaccard-classes")
+    heads = classes.where("class_id = g").select("g", "n", "prefix", "sketch")
+    sketches = classes.select("class_id", "n", "bits")
     tokens = heads.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
     # The pivot of a bucket is drawn by hash, so that a group of near copies meets many different pivots.
     drawn = Window.partitionBy("token").orderBy(F.xxhash64("g", "token"), "g")
@@ -180,7 +232,7 @@ def jaccard_join(
     pairs = buckets.where((F.col("g") != F.col("p_g")) & (F.expr("token & 7") == 0) & possible("n", "p_n", "pos", "p_pos"))
     pairs = stored(pairs.select(F.col("g").alias("u"), F.col("p_g").alias("v")).distinct(), "jaccard-pairs")
     inside = members.where("class_id <> g").select(F.col("class_id").alias("u"), F.col("g").alias("v"))
-    links = stored(_verified(pairs.union(inside), texts, k, percent), "jaccard-links")
+    links = stored(_verified(pairs.union(inside), sketches, texts, k, percent), "jaccard-links")
 
     def with_components(found: DataFrame) -> DataFrame:
         component = connected_components(found)
@@ -203,7 +255,7 @@ def jaccard_join(
     guests = marked.where("low <> main")
     met = guests.join(hosts.select("token", *[F.col(c).alias(f"p_{c}") for c in ("g", "n", "pos")]), "token").where(possible("n", "p_n", "pos", "p_pos"))
     again = met.select(F.col("g").alias("u"), F.col("p_g").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    links = stored(links.union(_verified(stored(again, "jaccard-again"), texts, k, percent)), "jaccard-links")
+    links = stored(links.union(_verified(again, sketches, texts, k, percent)), "jaccard-links")
 
     placed = with_components(links)
     rest, spread = still_open(placed, rest)
@@ -223,7 +275,7 @@ def jaccard_join(
     left = placed.select("g", F.col("class_id").alias("u"), F.col("c").alias("cu"))
     right = placed.select(F.col("g").alias("o_g"), F.col("class_id").alias("v"), F.col("c").alias("cv"))
     expanded = group_pairs.union(within).join(left, "g").join(right, "o_g").where("cu <> cv AND (g <> o_g OR u < v)").select("u", "v")
-    more = stored(_verified(stored(expanded, "jaccard-expanded"), texts, k, percent), "jaccard-more")
+    more = stored(_verified(expanded, sketches, texts, k, percent), "jaccard-more")
 
     component = connected_components(links.union(more)).withColumnRenamed("id", "class_id")
     ranked = members.select("n", "f1", "f2", "class_id").join(component, "class_id", "left")
