@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from datagauge.functions.tails import normal_quantile_sql
 from datagauge.operators import distribution, keyed_series, quantiles, series, state
 from datagauge.params import DEFAULT_PERCENTILES
 
@@ -192,7 +193,49 @@ def normality(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@check("distribution_type")
+def _tail_sql(d: str) -> str:
+    """Tail of the Kolmogorov statistic for over 400 values, or a distance whose tail is none."""
+    x = f"(sqrt(n) * {d} + 1 / (6 * sqrt(n)) + (sqrt(n) * {d} - 1) / (4 * n))"
+    series = f"2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * {x} * {x})))"
+    return f"CASE WHEN {d} >= 1 THEN 0 WHEN n * {d} * {d} > 18 THEN least(1, 2 * exp(-2 * n * {d} * {d})) WHEN {x} < 0.3 THEN 1 ELSE least(1, greatest(0, {series})) END"
+
+
+def _poly(x: str, *coefficients: float) -> str:
+    return " + ".join(f"({c}) * power({x}, {len(coefficients) - 1 - i})" for i, c in enumerate(coefficients))
+
+
+def shapiro_sql(source: str, column: str) -> str:
+    """W and its tail for 12 to 5000 values by Royston's approximation; the normal tail by Abramowitz and Stegun 7.1.26."""
+    weights = "CASE i WHEN 1 THEN -a1 WHEN 2 THEN -a2 WHEN n - 1 THEN a2 WHEN n THEN a1 ELSE m / sqrt(phi) END"
+    erf = "1 / (1 + 0.3275911 * abs(z) / sqrt(2.0))"
+    return f"""SELECT w, CASE WHEN z > 0 THEN q / 2 ELSE 1 - q / 2 END AS p FROM (
+  SELECT w, z, exp(-z * z / 2) * ({erf}) * ({_poly(f"({erf})", 1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592)}) AS q FROM (
+    SELECT w, (ln(1 - w) - ({_poly("ln(n)", 0.0038915, -0.083751, -0.31082, -1.5861)})) / exp({_poly("ln(n)", 0.0030302, -0.082676, -0.4803)}) AS z FROM (
+      SELECT n, power(sum(x * {weights}), 2) / sum((x - mean) * (x - mean)) AS w FROM (
+        SELECT *, (ss - 2 * mn * mn - 2 * mo * mo) / (1 - 2 * a1 * a1 - 2 * a2 * a2) AS phi FROM (
+          SELECT *, {_poly("(1 / sqrt(n))", -2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0)} + mn / sqrt(ss) AS a1,
+            {_poly("(1 / sqrt(n))", -3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0)} + mo / sqrt(ss) AS a2 FROM (
+            SELECT *, sum(m * m) OVER () AS ss, max(CASE WHEN i = n THEN m END) OVER () AS mn, max(CASE WHEN i = n - 1 THEN m END) OVER () AS mo FROM (
+              SELECT *, {normal_quantile_sql("u")} AS m FROM (
+                SELECT *, (i - 0.375) / (n + 0.25) AS u FROM (
+                  SELECT {column}::DOUBLE AS x, row_number() OVER (ORDER BY {column}) AS i, count(*) OVER ()::DOUBLE AS n, avg({column}::DOUBLE) OVER () AS mean FROM {source} WHERE {column} IS NOT NULL)
+                WHERE n <= 5000)))))
+      GROUP BY n)))"""
+
+
+def distribution_sql(source: str, column: str) -> str:
+    shapiro = f"({shapiro_sql(source, column)})"
+    return f"""SELECT '{column}' AS attribute, n::BIGINT AS n, CASE WHEN p_normal >= p_exp AND p_normal >= p_uni THEN 'normal' WHEN p_exp >= p_uni THEN 'exponential' ELSE 'uniform' END AS likely_distribution,
+  round(greatest(p_normal, p_exp, p_uni), 4) AS confidence, round(p_normal, 4) AS p_normal, round(p_exp, 4) AS p_exponential, round(p_uni, 4) AS p_uniform,
+  round((SELECT max(w) FROM {shapiro}), 4) AS shapiro_statistic, round((SELECT max(p) FROM {shapiro}), 4) AS shapiro_p, (SELECT max(p) FROM {shapiro}) > 0.05 AS is_normal
+FROM (SELECT a.n, p_normal, {_tail_sql("d_exponential")} AS p_exp, {_tail_sql("d_uniform")} AS p_uni
+      FROM (SELECT n, d_exponential, d_uniform FROM ({ks_sql(source, column)})) a, (SELECT p_normal FROM ({normal_sql(source, column)})))"""
+
+
+@check(
+    "distribution_type",
+    union_all([distribution_sql("events", "value"), distribution_sql("lineitem", "l_extendedprice"), distribution_sql("lineitem", "l_discount"), distribution_sql(DAILY_COUNTS, "daily")]),
+)
 def distribution_type(spark, sf_dir):
     line, events = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "events")
     daily = events.groupBy(F.to_date("ts").alias("d")).agg(F.count("*").cast("double").alias("daily"))
@@ -232,7 +275,20 @@ def trend(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@check("trend_p_value")
+def student_sql(t: str, v: str) -> str:
+    """Two-sided tail of Student's t by Simpson's rule over the density, 2000 steps."""
+    step = f"({t} / 2000)"
+    density = f"power(1 + power({step} * k, 2) / {v}, -({v} + 1) / 2)"
+    weights = "CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range(2001), lambda k: {weights} * {density})) * {step} / 3"
+    return f"greatest(0, 1 - 2 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt({v} * pi()) * {area})"
+
+
+@check(
+    "trend_p_value",
+    f"""SELECT n, round(slope, 6) AS slope, round({student_sql("t", "(n - 2)::DOUBLE")}, 6) AS p_value
+FROM (SELECT n, slope, sqrt(r2 * (n - 2) / (1 - r2)) AS t FROM (SELECT count(*) AS n, regr_slope(x, idx) AS slope, regr_r2(x, idx) AS r2 FROM {EVENT_SERIES}))""",
+)
 def trend_p_value(spark, sf_dir):
     return series.linear_trend(_events(spark, sf_dir)).select("n", "slope", "p_value")
 
@@ -326,6 +382,7 @@ def _both(parts: dict):
     union_all(
         [
             f"""SELECT key, of, n, CASE WHEN n >= 10 THEN round(slope, 6) END AS slope, CASE WHEN n >= 10 THEN round(coalesce(r2, 0), 4) END AS r_squared,
+  CASE WHEN n >= 10 THEN round({student_sql("sqrt(r2 * (n - 2) / (1 - r2))", "(n - 2)::DOUBLE")}, 6) END AS p_value,
   CASE WHEN n < 10 THEN NULL WHEN slope > 0 THEN 'increasing' WHEN slope < 0 THEN 'decreasing' ELSE 'stable' END AS direction
 FROM (SELECT key, of, count(*) AS n, regr_slope(x, idx) AS slope, regr_r2(x, idx) AS r2 FROM {keyed_sql(k)} GROUP BY key, of)"""
             for k in KEYS
@@ -333,7 +390,7 @@ FROM (SELECT key, of, count(*) AS n, regr_slope(x, idx) AS slope, regr_r2(x, idx
     ),
 )
 def trend_by_key(spark, sf_dir):
-    return _both({k: keyed_series.trend_by_key(_keyed(spark, sf_dir, k), [k]).drop("p_value", "message") for k in KEYS})
+    return _both({k: keyed_series.trend_by_key(_keyed(spark, sf_dir, k), [k]).drop("message") for k in KEYS})
 
 
 @check(

@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datagauge.functions import columns as C
-from datagauge.functions.tails import kolmogorov_two_sided, shapiro_wilk
+from datagauge.functions.tails import kolmogorov_two_sided, normal_quantile_sql, shapiro_of_sums
 from datagauge.params import DEFAULT_PERCENTILES, DEFAULTS, Thresholds
 
-from .ordering import with_running_totals
+from .ordering import with_row_index, with_running_totals
 from .outliers import outlier_counts
 from .quantiles import column_quantiles
 
 SHAPIRO_ROWS = 5000
 MIN_VALUES = 10
+# Columns whose pairs share a scan.
+PAIRED_COLUMNS = 8
 
 
 def _unpivot(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -96,56 +97,35 @@ def string_length_analysis(df: DataFrame, column: str) -> DataFrame:
     return joined.select("*", *named)
 
 
-def _gram_rows(names: list[str], centres: list[float]):
-    """Pairwise sums of a partition, accumulated batch by batch; one row per pair of columns leaves the task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = len(names)
-        n = np.zeros((k, k))
-        s, q, p = np.zeros((k, k)), np.zeros((k, k)), np.zeros((k, k))
-        for batch in batches:
-            x = batch[names].to_numpy(dtype=float) - np.array(centres)
-            known = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x)
-            n += known.T @ known
-            s += x.T @ known
-            q += (x * x).T @ known
-            p += x.T @ x
-        i, j = np.triu_indices(k, 1)
-        yield pd.DataFrame(
-            {
-                "i": i, "j": j, "n": n[i, j], "sx": s[i, j], "sy": s[j, i],
-                "sxx": q[i, j], "syy": q[j, i], "sxy": p[i, j],
-            }
-        )
-
-    return run
-
-
 def correlation_pairs(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """``(attribute1, attribute2, correlation)`` of every pair of numeric columns, each pair over its complete rows.
 
-    Cross products are added up per partition and then per pair, so the shuffle holds one row per pair and task however
-    long the table is. Null where a column is constant.
+    Pairs are aggregated in the tasks, some hundred in a scan, so the shuffle holds one row per task however long the
+    table is. Null where a column is constant.
     """
     names = list(names or C.numeric_columns(df))
     if len(names) < 2:
         raise ValueError("at least two numeric columns are needed")
-    doubles = df.select(*[C.col(n).cast("double").alias(n) for n in names])
-    centres = doubles.agg(*[F.avg(C.col(n)).alias(n) for n in names]).first()
-    partial = doubles.mapInPandas(
-        _gram_rows(names, [v or 0.0 for v in centres]),
-        "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double",
-    )
-    sums = partial.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    cov = F.expr("sxy - sx * sy / nullif(n, 0)")
-    spread = F.expr("(sxx - sx * sx / nullif(n, 0)) * (syy - sy * sy / nullif(n, 0))")
-    labels = F.array(*[F.lit(n) for n in names])
-    return sums.select(
-        labels[F.col("i")].alias("attribute1"),
-        labels[F.col("j")].alias("attribute2"),
-        F.when(spread > 0, F.try_divide(cov, F.sqrt(spread))).alias("correlation"),
-    )
+    # Plain names inside, and columns in batches, so that the pairs of two batches make one scan.
+    doubles = df.select(*[C.col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
+    batches = [range(a, min(a + PAIRED_COLUMNS, len(names))) for a in range(0, len(names), PAIRED_COLUMNS)]
+    parts = []
+    for b, right in enumerate(batches):
+        for left in batches[: b + 1]:
+            pairs = [(i, j) for i in left for j in right if i < j]
+            if not pairs:
+                continue
+            found = doubles.agg(*[_correlation(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in pairs])
+            rows = [F.struct(F.lit(names[i]).alias("attribute1"), F.lit(names[j]).alias("attribute2"), F.col(f"r{i}_{j}").alias("correlation")) for i, j in pairs]
+            parts.append(found.select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _correlation(x: str, y: str) -> Column:
+    """Over the rows that have both; null where either is constant."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    return F.try_divide(F.covar_pop(x, y), spread)
 
 
 def high_correlations(pairs: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
@@ -197,6 +177,23 @@ def kolmogorov_distances(df: DataFrame, column: str) -> DataFrame:
     return ranked.agg(F.sum("n").alias("n"), *distances)
 
 
+def shapiro_sums(df: DataFrame, column: str) -> DataFrame:
+    """One row: ``(n, norm2, scored, spread, ends)``, the sums over global ranks that the Shapiro-Wilk test is made of.
+
+    Ranks come from a global order in which equal values may be cut anywhere; scores and sums are expressions.
+    """
+    x = F.col(column).cast("double")
+    values = df.select(x.alias("x"), F.monotonically_increasing_id().alias("nth")).where("x is not null")
+    stats = values.agg(F.count("x").alias("n"), F.avg("x").alias("mean")).first()
+    ranked = with_row_index(values, ["x", "nth"], "idx").select((F.col("x") - F.lit(stats.mean)).alias("d"), "idx", F.expr(f"(idx + 0.625D) / ({stats.n} + 0.25D)").alias("p"))
+    scored = ranked.select("d", "idx", F.expr(normal_quantile_sql("p")).alias("m"))
+    ends = [F.max(F.when(F.col("idx") == i, F.col("d"))) for i in (0, 1, stats.n - 2, stats.n - 1)]
+    return scored.agg(
+        F.count("*").alias("n"), F.sum(F.col("m") * F.col("m")).alias("norm2"), F.sum(F.col("m") * F.col("d")).alias("scored"),
+        F.sum(F.col("d") * F.col("d")).alias("spread"), F.array(*ends).alias("ends"),
+    )
+
+
 def distribution_type(df: DataFrame, column: str) -> DataFrame:
     """One row: p-values of normality and of the two reference distributions, the best one, and Shapiro-Wilk.
 
@@ -219,8 +216,8 @@ def distribution_type(df: DataFrame, column: str) -> DataFrame:
     }
     statistic = shapiro_p = None
     if moments.n <= SHAPIRO_ROWS:
-        values = df.select(x.alias("x")).where("x is not null").toPandas()["x"]
-        statistic, shapiro_p = shapiro_wilk(values.to_numpy())
+        sums = shapiro_sums(df, column).first()
+        statistic, shapiro_p = shapiro_of_sums(sums.n, sums.norm2, sums.scored, sums.spread, tuple(sums.ends))
     best = max(p, key=p.get)
     row = (
         moments.n, best, round(p[best], 4), round(p["normal"], 4), round(p["exponential"], 4),

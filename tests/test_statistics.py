@@ -1,5 +1,7 @@
 import math
 
+from statistics import NormalDist
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +221,40 @@ def test_change_points_against_brute_force(spark):
     found = sorted(r.idx for r in series.change_points(numbers(spark, values), "x", ["i"]).collect())
     assert found == expected and expected
     assert series.change_points(numbers(spark, range(19)), "x", ["i"]).count() == 0
+
+
+def test_normal_quantiles_as_an_expression(spark):
+    probabilities = [1e-300, 1e-12, 1e-5, 0.01, 0.07, 0.075, 0.2, 0.5, 0.6, 0.925, 0.93, 0.999, 1 - 1e-9]
+    df = spark.createDataFrame([(p,) for p in probabilities], "p double")
+    got = [r["x"] for r in df.selectExpr("p", f"{tails.normal_quantile_sql('p')} AS x").orderBy("p").collect()]
+    assert got == pytest.approx([NormalDist().inv_cdf(p) for p in sorted(probabilities)], rel=1e-12, abs=1e-14)
+
+
+@pytest.mark.parametrize("size", [4, 5, 6, 10, 11, 12, 400, 5000])
+def test_shapiro_sums_over_global_ranks(spark, size):
+    """Ties, a null, and many partitions give the statistic of the values at hand."""
+    values = np.random.default_rng(size).gamma(3, 2, size).round(1)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(5)
+    s = distribution.shapiro_sums(df, "x").first()
+    assert s["n"] == size
+    assert tails.shapiro_of_sums(s["n"], s["norm2"], s["scored"], s["spread"], tuple(s["ends"])) == pytest.approx(tails.shapiro_wilk(values), rel=1e-9)
+
+
+def test_correlation_of_many_columns(spark):
+    """Pairs inside and across batches of columns, with nulls and a constant column."""
+    random = np.random.default_rng(1)
+    x = random.normal(size=(300, 19))
+    x[:, 5] = x[:, 2] * 2 + random.normal(size=300) * 0.1
+    x[:, 18] = 7.0
+    x[random.random((300, 19)) < 0.05] = np.nan
+    names = [f"c.{i}" for i in range(19)]
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in row] for row in x], ", ".join(f"`{n}` double" for n in names))
+    got = {(r["attribute1"], r["attribute2"]): r["correlation"] for r in distribution.correlation_pairs(df).collect()}
+    assert len(got) == 19 * 18 // 2
+    for (a, b), r in got.items():
+        i, j = names.index(a), names.index(b)
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        if 18 in (i, j):
+            assert r is None
+        else:
+            assert r == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], rel=1e-9)
