@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datagauge.functions import columns as C
-from datagauge.operators.ordering import with_row_index
+from datagauge.operators.ordering import with_running_totals
 
 # Type names of the report, and the metrics of the scorecard.
 REPORT_TYPES = {
@@ -62,16 +62,16 @@ def sequential_columns(df: DataFrame, order_by: Sequence[str]) -> list[str]:
         *[F.struct(F.min(C.col(n)).alias("low"), F.max(C.col(n)).alias("high"), F.count(C.col(n)).alias("n")).alias(n) for n in names]
     ).first()
     possible = [n for n in names if shape[n].n and shape[n].high - shape[n].low == shape[n].n - 1]
-    found = []
-    for n in possible:
-        order = list(dict.fromkeys([*order_by, n]))
-        placed = with_row_index(df.select(*[C.col(c) for c in order]).where(C.col(n).isNotNull()), order)
-        steps = placed.agg(
-            F.min(C.col(n) - F.col("idx")).alias("low"), F.max(C.col(n) - F.col("idx")).alias("high")
-        ).first()
-        if steps.low == steps.high:
-            found.append(n)
-    return found
+    if not possible:
+        return []
+    # One order for all of them; a position counts the rows up to it that have a value.
+    order = list(dict.fromkeys([*order_by, *possible]))
+    rows = df.select(*[C.col(c).alias(f"c{i}") for i, c in enumerate(order)])
+    plain = {n: f"c{order.index(n)}" for n in possible}
+    placed = with_running_totals(rows, [f"c{i}" for i in range(len(order))], {f"{c}#at": F.col(c).isNotNull().cast("bigint") for c in plain.values()})
+    steps = {n: F.when(F.col(c).isNotNull(), F.col(c) - F.col(f"{c}#at")) for n, c in plain.items()}
+    ends = placed.agg(*[F.struct(F.min(x).alias("low"), F.max(x).alias("high")).alias(plain[n]) for n, x in steps.items()]).first()
+    return [n for n in possible if ends[plain[n]].low == ends[plain[n]].high]
 
 
 def email_domains_differ(df: DataFrame) -> DataFrame:
