@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from datagauge.operators.extract_json import extract_json
 from datagauge.session import scratch_path
-from datagauge.sources import files, nested
+from datagauge.sources import files, nested, xml_text
 
 from .registry import check, table, tables, union_all
 
@@ -90,6 +90,33 @@ def source_xml_tables(spark, sf_dir):
     return nested.extract_tables(files.read_table(spark, path))["area"].select("r_regionkey", "r_name")
 
 
+@check(
+    "source_xml_column",
+    """SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS id, p_brand AS brand, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS size,
+  CASE WHEN p_partkey % 4 = 0 THEN p_type ELSE p_type || ',' || p_name END AS names, CASE WHEN p_partkey % 2 = 0 THEN 'usd' END AS currency, CAST(p_size * 2 AS VARCHAR) AS price
+FROM part WHERE p_partkey % 10 <> 7""",
+)
+def source_xml_column(spark, sf_dir):
+    """Records written as XML text, some with elements missing, repeated or with attributes, some cut off."""
+    part = table(spark, sf_dir, "part")
+    names = F.concat(F.lit("<name>"), "p_type", F.lit("</name>"), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.concat(F.lit("<name>"), "p_name", F.lit("</name>"))))
+    size = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("<size>"), "p_size", F.lit("</size>")))
+    price = F.concat(F.lit("<price"), F.when(F.col("p_partkey") % 2 == 0, ' currency="usd"').otherwise(""), F.lit(">"), F.col("p_size") * 2, F.lit("</price>"))
+    whole = F.concat(F.lit('<part id="'), "p_partkey", F.lit('"><brand>'), "p_brand", F.lit("</brand>"), size, names, price, F.lit("</part>"))
+    text = F.when(F.col("p_partkey") % 10 == 7, F.substring(whole, 1, 40)).otherwise(whole)
+    rows = xml_text.read_xml_column(part.select("p_partkey", text.alias("x")), "x").where("record IS NOT NULL")
+    r = F.col("record")
+    return rows.select("p_partkey", r["@id"].alias("id"), r["brand"].alias("brand"), r["size"].alias("size"), F.array_join(r["name"], ",").alias("names"), r["price"]["@currency"].alias("currency"), r["price"]["#text"].alias("price"))
+
+
+@check("source_xml_malformed", "SELECT count(*) AS n, min(p_partkey) AS first FROM part WHERE p_partkey % 10 = 7")
+def source_xml_malformed(spark, sf_dir):
+    whole = F.concat(F.lit("<part><brand>"), "p_brand", F.lit("</brand></part>"))
+    text = F.when(F.col("p_partkey") % 10 == 7, F.substring(whole, 1, 20)).when(F.col("p_partkey") % 10 == 3, "").otherwise(whole)
+    bad = xml_text.malformed_xml(table(spark, sf_dir, "part").select("p_partkey", text.alias("x")), "x")
+    return bad.agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+
+
 @check(
     "source_tables",
     union_all(

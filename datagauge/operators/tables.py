@@ -84,13 +84,22 @@ def record_completeness(df: DataFrame) -> DataFrame:
 
 
 def duplicate_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row: duplicates, their share, and distinct records. Rows are compared by the SHA-256 of their JSON form."""
+    """One row: duplicates, their share, and distinct records. Rows are compared by their JSON form.
+
+    A count of 64-bit hashes tells which rows may repeat; a hash that occurs once is a record of its own. Only rows
+    of the other hashes are grouped by the SHA-256 of their form, and none where no hash repeats.
+    """
     names = sorted(columns or df.columns)
-    form = F.to_json(F.struct(*[C.col(n) for n in names]), {"ignoreNullFields": "false"})
-    groups = df.select(F.unhex(F.sha2(form, 256)).alias("row_key")).groupBy("row_key").agg(F.count("*").alias("n"))
-    return groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("unique_records")
-    ).select(
+    forms = df.select(F.to_json(F.struct(*[C.col(n) for n in names]), {"ignoreNullFields": "false"}).alias("form"))
+    hashed = forms.select(F.xxhash64("form").alias("h"), "form")
+    counts = hashed.groupBy("h").agg(F.count("*").alias("n"))
+    once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count_if(F.col("n") == 1).alias("single"))
+    repeated = counts.where("n > 1").select("h")
+    exact = hashed.join(repeated, "h", "left_semi").select(F.unhex(F.sha2("form", 256)).alias("row_key")).distinct().agg(F.count("*").alias("several"))
+    # Both sides are single rows of an aggregate without keys.
+    one = F.lit(1).alias("one")
+    both = once.select("*", one).join(exact.select("*", one), "one").select("total", (F.col("single") + F.col("several")).alias("unique_records"))
+    return both.select(
         (F.col("total") - F.col("unique_records")).alias("total_duplicates"),
         C.percent(F.col("total") - F.col("unique_records"), F.col("total")).alias("duplicate_percentage"),
         "unique_records",
