@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from datagauge.operators import frequency, grouped, outliers, profile, records
-from datagauge.params import PATTERNS, UUID_PATTERN
+from datagauge.params import PATTERNS, UUID_PATTERN, Thresholds
 
 from .registry import MIXED, ORDERS_WITH_NULLS, check, derived, rounded, table, tables, union_all
 
@@ -615,3 +615,44 @@ def profile_basic(spark, sf_dir):
     parts = [profile.basic_profile(df) for df in tables(spark, sf_dir, "part", "orders").values()]
     both = rounded(parts[0].unionByName(parts[1]), {"mean": 6, "median": 6, "std": 6, "avg_length": 6})
     return both.withColumns({c: F.col(c).cast("string") for c in ("min_date", "max_date")})
+
+
+# --- parameters in the caller's hands -------------------------------------------------------------------------------------
+
+OWN_PATTERNS = {"code": "^[A-Z]+#[0-9]+$", "words": "^[a-z]+ [a-z]+$"}
+OWN_LIMITS = Thresholds(high_null_pct=101.0, short_avg_length=20.0, long_avg_length=21.0, low_unique_ratio=1.1, iqr_multiplier=0.5, z_score=1.5, modified_z_score=2.0)
+
+
+@check(
+    "profile_own_patterns",
+    union_all(
+        [
+            f"""SELECT '{c}' AS attribute, count(*) FILTER (WHERE regexp_matches({c}, '{OWN_PATTERNS["code"]}')) AS code_matches,
+  count(*) FILTER (WHERE regexp_matches({c}, '{OWN_PATTERNS["words"]}')) AS words_matches FROM part"""
+            for c in ("p_name", "p_brand", "p_type")
+        ]
+    ),
+)
+def profile_own_patterns(spark, sf_dir):
+    df = profile.profile(table(spark, sf_dir, "part").select("p_name", "p_brand", "p_type"), patterns=OWN_PATTERNS)
+    return df.select("attribute", "code_matches", "words_matches")
+
+
+@check(
+    "outliers_own_limits",
+    f"""WITH {outlier_cte("orders", "o_totalprice").replace("> 3 AS z", "> 1.5 AS z").replace("1.5 * (q3 - q1)", "0.5 * (q3 - q1)").replace("> 3.5 AS mz", "> 2.0 AS mz")}
+SELECT 'o_totalprice' AS attribute, count(*) FILTER (WHERE z) AS z_score_count, count(*) FILTER (WHERE i) AS iqr_count, count(*) FILTER (WHERE mz) AS modified_z_count FROM flags""",
+)
+def outliers_own_limits(spark, sf_dir):
+    found = outliers.outlier_counts(table(spark, sf_dir, "orders"), {"o_totalprice": F.col("o_totalprice")}, OWN_LIMITS)
+    return found.select("attribute", "z_score_count", "iqr_count", "modified_z_count")
+
+
+@check(
+    "flags_own_limits",
+    """SELECT 'p_name' AS attribute, concat_ws(',', CASE WHEN avg(length(p_name)) < 20 THEN 'AVG_LENGTH_TOO_SHORT' END, CASE WHEN round(avg(length(p_name)), 2) > 21 THEN 'AVG_LENGTH_TOO_LONG' END, 'LOW_UNIQUENESS') AS flags FROM part
+UNION ALL SELECT 'p_brand', 'AVG_LENGTH_TOO_SHORT,LOW_UNIQUENESS'""",
+)
+def flags_own_limits(spark, sf_dir):
+    df = profile.profile(table(spark, sf_dir, "part").select("p_name", "p_brand"), patterns={}, limits=OWN_LIMITS)
+    return df.select("attribute", F.array_join("anomaly_flags", ",").alias("flags"))

@@ -457,3 +457,25 @@ FROM ({_invoices_sql()}) GROUP BY ALL""",
 def violation_details(spark, sf_dir):
     found = I.violation_details(_invoice_issues(spark, sf_dir), "invoices")
     return found.withColumns({c: F.array_join(c, ",") for c in ("sample_records", "current_values", "expected_values")})
+
+
+# --- a rule set of the caller's -------------------------------------------------------------------------------------------
+
+
+@check(
+    "rules_own_set",
+    """SELECT concat('Record_', c_custkey) AS record_id, 'V25' AS rule, 'INVALID CATEGORY' AS kind, 'c_mktsegment' AS field FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')
+UNION ALL SELECT concat('Record_', c_custkey), 'V26', 'STATISTICAL ANOMALY', 'c_acctbal' FROM customer WHERE c_acctbal < 0 OR c_acctbal > 5000
+UNION ALL SELECT concat('Record_', c_custkey), 'X01', 'OWN RULE', 'c_nationkey' FROM customer WHERE c_nationkey % 2 = 1""",
+)
+def rules_own_set(spark, sf_dir):
+    """Categories and bounds of other fields, and a rule that the caller writes as a condition."""
+
+    def odd_nation(k: rules.Checks) -> None:
+        nation = F.col("c_nationkey")
+        k.add((nation % 2 == 1, k.issue("X01", "OWN RULE", "business_logic_issues", "LOW", "c_nationkey", " has odd nation ", nation)))
+
+    own = rules.RuleSet(categories={"c_mktsegment": ("BUILDING", "MACHINERY")}, statistical_bounds={"c_acctbal": (0, 5000)}, extra=(odd_nation,))
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
+    found = rules.record_issues(df, AS_OF, own, row_index=F.col("c_custkey"))
+    return found.where("rule IN ('V25', 'V26', 'X01')").select("record_id", "rule", "kind", "field")

@@ -330,3 +330,61 @@ def extract_json_query(spark, sf_dir):
         .otherwise(F.col("text"))
     )
     return extract_json(answers.select("id", answer.alias("answer")), "id", "answer")
+
+
+# --- sinks read back, shapes of datasets ----------------------------------------------------------------------------------
+
+
+@check(
+    "sink_csv",
+    """SELECT doc_id::VARCHAR AS doc_id, text, lang, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE '"a", b' || chr(10) || ' c ' END AS odd,
+  '{"lang":"' || lang || '","n":' || n_chars || '}' AS meta FROM documents""",
+)
+def sink_csv(spark, sf_dir):
+    """Texts with line breaks and quotes, nulls beside empty strings, nested cells: written and read again."""
+    odd = F.when(F.col("doc_id") % 3 == 1, "").when(F.col("doc_id") % 3 == 2, '"a", b\n c ')
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", odd.alias("odd"), F.struct("lang", F.col("n_chars").alias("n")).alias("meta"))
+    path = scratch_path(spark, "documents") + ".csv"
+    files.write_csv(df, path)
+    return files.read_csv(spark, path, sep=",", infer=False)
+
+
+@check(
+    "sink_json",
+    """SELECT event_id, event_type, CASE WHEN event_id % 3 > 0 THEN value END AS value, user_id AS held, [event_type, NULL, ''] AS listed FROM events""",
+)
+def sink_json(spark, sf_dir):
+    """Nulls, nested values and lists: written and read again."""
+    value = F.when(F.col("event_id") % 3 > 0, F.col("value"))
+    df = table(spark, sf_dir, "events").select("event_id", "event_type", value.alias("value"), F.struct("user_id").alias("held"), F.array("event_type", F.lit(None), F.lit("")).alias("listed"))
+    path = scratch_path(spark, "events") + ".json"
+    files.write_json(df, path)
+    return files.read_table(spark, path).select("event_id", "event_type", "value", F.col("held.user_id").alias("held"), "listed")
+
+
+@check(
+    "preview_records",
+    """SELECT 'region' AS table_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS position, '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS record
+FROM region QUALIFY position < 3
+UNION ALL SELECT 'pieces', row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1,
+  '{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || ',"flag":' || CASE WHEN l_returnflag = 'N' THEN 'null' ELSE '"' || l_returnflag || '"' END || '}'
+FROM lineitem QUALIFY row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) <= 3""",
+)
+def preview_records(spark, sf_dir):
+    flag = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag")
+    found = {"region": table(spark, sf_dir, "region").select("r_regionkey", "r_name"), "pieces": table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", flag)}
+    ordered = {"region": ["r_regionkey"], "pieces": ["l_orderkey", "l_linenumber", "l_partkey"]}
+    return files.preview(found, ordered, 3).select("table_name", "position", "record")
+
+
+@check(
+    "multi_table",
+    """SELECT 'nested' AS name, true AS is_multi, count(*) AS n FROM documents UNION ALL SELECT 'flat', false, count(*) FROM orders UNION ALL SELECT 'one', false, count(*) FROM events""",
+)
+def multi_table(spark, sf_dir):
+    """Whether a frame holds several tables, told from its schema; counted next to its rows."""
+    two = table(spark, sf_dir, "documents").select(F.array(F.struct("lang")).alias("a"), F.array(F.struct("source")).alias("b"))
+    one = table(spark, sf_dir, "events").select(F.array(F.struct("event_type")).alias("a"), F.array("user_id").alias("b"))
+    found = {"nested": two, "flat": table(spark, sf_dir, "orders"), "one": one}
+    parts = [df.agg(F.lit(n).alias("name"), F.lit(nested.is_multi_table(df.schema)).alias("is_multi"), F.count("*").alias("n")) for n, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

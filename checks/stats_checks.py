@@ -478,3 +478,11 @@ def profile_state_top(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 10).cast("string").alias("day"), (F.col("event_id") % 2).alias("half"))
     merged = state.merge_states(state.profile_state(df, by=["half"], top=["event_type", "day"]))
     return state.state_profile(merged, k=100).select("attribute", F.inline("top_values"))
+
+
+@check(
+    "percentiles_own_list",
+    union_all([f"SELECT 'l_extendedprice' AS attribute, '{p:g}th' AS percentile, round(quantile_cont(l_extendedprice::DOUBLE, {p / 100}), 2) AS value FROM lineitem" for p in (0.1, 33, 66.6, 99.9)]),
+)
+def percentiles_own_list(spark, sf_dir):
+    return distribution.percentile_table(table(spark, sf_dir, "lineitem"), {"l_extendedprice": F.col("l_extendedprice")}, (0.1, 33, 66.6, 99.9), digits=2)

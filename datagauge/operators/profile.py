@@ -314,8 +314,8 @@ def raw_profile(
     else:
         keys = _literal_rows(df.sparkSession, [], "attribute string, unique_keys bigint")
     matched = pattern_counts(df, patterns).groupBy("attribute").agg(
-        *[F.expr(f"sum(IF(pattern = {C.sql_string(p)}, matches, 0)) AS {C.sql_name('match_' + p)}") for p in patterns]
-    )
+        F.count("*").alias("tried"), *[F.expr(f"sum(IF(pattern = {C.sql_string(p)}, matches, 0)) AS {C.sql_name('match_' + p)}") for p in patterns]
+    ).drop("tried")
     # Every side holds one row per column of the table.
     sides = (
         distinct_counts(df, approximate=approximate_distinct),
