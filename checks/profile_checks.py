@@ -399,6 +399,22 @@ def profile_variant_mixed(spark, sf_dir):
     return df.where(F.col("attribute").isin("code", "items", "late", "held")).select(*columns)
 
 
+TIED = """SELECT event_id, -event_id AS back, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE '5' END AS a, CASE WHEN event_id % 2 = 0 THEN '1.5' WHEN event_id % 2 = 1 THEN 'y' END AS b,
+  CASE WHEN event_id % 3 = 0 THEN '7' WHEN event_id % 3 = 1 THEN '' ELSE '2.5' END AS c FROM events"""
+
+
+def tied_sql(column: str, order: str) -> str:
+    votes = f"SELECT tag, count(*) AS votes, min({order}) AS first_at FROM (SELECT *, CASE WHEN NOT regexp_matches({column}, '{NUMBER}') THEN 'string' WHEN contains({column}, '.') THEN 'float' ELSE 'integer' END AS tag FROM ({TIED}) WHERE {column} <> '') GROUP BY tag"
+    return f"SELECT '{column}' AS attribute, '{order}' AS by, (SELECT tag FROM ({votes}) ORDER BY votes DESC, first_at LIMIT 1) AS data_type"
+
+
+@check("profile_type_ties", union_all([tied_sql(c, o) for c in "abc" for o in ("event_id", "back")]))
+def profile_type_ties(spark, sf_dir):
+    df = derived(spark, sf_dir, TIED)
+    parts = [profile.column_metrics(df, order_by=o).select("attribute", F.lit(o).alias("by"), F.expr(profile._VOTED_TYPE).alias("data_type")).where(F.col("attribute").isin("a", "b", "c")) for o in ("event_id", "back")]
+    return parts[0].unionByName(parts[1])
+
+
 # --- flags, scores, nulls ----------------------------------------------------------------------------------------------
 
 

@@ -28,6 +28,9 @@ from .quantiles import column_quantiles
 STRINGS_PER_SCAN = 2
 OTHERS_PER_SCAN = 8
 
+# Helper column of the row order.
+ORDER = "#order"
+
 # Metric columns of the wide aggregate; the struct of every column has them all, in this order.
 _LONGS = (
     "total_count", "present_count", "tag_integer", "tag_float", "tag_string", "min_length", "max_length",
@@ -35,7 +38,7 @@ _LONGS = (
     *("chars_" + c for c in CHAR_CLASSES),
 )
 _DOUBLES = ("min_value", "max_value", "mean", "std", "avg_length", "std_length", "avg_keys_per_object")
-_TEXTS = ("min_date", "max_date")
+_TEXTS = ("min_date", "max_date", "voted_tag")
 
 
 def _metric_struct(name: str, kind: str, metrics: dict[str, str]) -> Column:
@@ -112,6 +115,12 @@ def _column_metrics(df: DataFrame, name: str, kind: str) -> dict[str, str]:
         value, tag = f"nullif({c}, '')", helper("tag")
         metrics["present_count"] = f"count({value})"
         metrics |= {f"tag_{t}": f"count_if({tag} = '{t}')" for t in ("integer", "float", "string")}
+        if ORDER in df.columns:
+            votes = [
+                f"named_struct('votes', count_if({tag} = '{t}'), 'first', -min(IF({tag} = '{t}', {C.sql_name(ORDER)}, NULL)), 'tag', '{t}')"
+                for t in ("integer", "float", "string")
+            ]
+            metrics["voted_tag"] = f"array_max(array({', '.join(votes)})).tag"
         metrics |= _length_metrics(f"length({value})") | _numeric_metrics(helper("number"))
         metrics |= {"chars_" + cls: f"sum({helper(cls)})" for cls in CHAR_CLASSES}
     elif kind in ("integer", "float"):
@@ -183,23 +192,35 @@ def _batches(kinds: dict[str, str]) -> list[list[str]]:
     return cut + [others[i : i + OTHERS_PER_SCAN] for i in range(0, len(others), OTHERS_PER_SCAN)]
 
 
-def column_metrics(df: DataFrame, as_of_date: str | None = None) -> DataFrame:
-    """Additive metrics of every column: one scan and one result row, turned into one row per attribute."""
+def column_metrics(df: DataFrame, as_of_date: str | None = None, order_by: str | None = None) -> DataFrame:
+    """Additive metrics of every column: one scan and one result row, turned into one row per attribute.
+
+    ``order_by`` names a number or timestamp by which a tie of types goes to the one that appears first."""
     kinds = C.families(df)
     parts = []
     for batch in _batches(kinds):
         own = {n: kinds[n] for n in batch}
-        source = _with_helpers(df.select(*[C.col(n) for n in batch]), own, as_of_date)
+        order = [_order_number(df, order_by).alias(ORDER)] if order_by else []
+        source = _with_helpers(df.select(*[C.col(n) for n in batch], *order), own, as_of_date)
         structs = [_metric_struct(n, k, _column_metrics(source, n, k)) for n, k in own.items()]
         listed = ", ".join(C.sql_name(f"{n}#metrics") for n in batch)
         parts.append(source.agg(*structs).selectExpr(f"inline(array({listed}))"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _order_number(df: DataFrame, name: str) -> Column:
+    """The row order as a number that can be negated."""
+    kind = df.schema[name].dataType.typeName()
+    if kind == "timestamp":
+        return F.unix_micros(C.col(name))
+    return F.unix_date(C.col(name)) if kind == "date" else C.col(name)
+
+
 # Typed columns keep their family; strings go by majority of their tags (ties: integer, float, string).
 _VOTED_TYPE = """
 CASE WHEN present_count = 0 THEN 'unknown'
      WHEN family <> 'string' THEN family
+     WHEN voted_tag IS NOT NULL THEN voted_tag
      WHEN tag_integer >= tag_float AND tag_integer >= tag_string THEN 'integer'
      WHEN tag_float >= tag_string THEN 'float'
      ELSE 'string' END"""
@@ -255,9 +276,13 @@ def profile(
     limits: Thresholds = DEFAULTS,
     as_of_date: str | None = None,
     approximate_distinct: bool = False,
+    order_by: str | None = None,
 ) -> DataFrame:
-    """The full profile of a table: counts, type, per-type metrics, patterns, flags and score per attribute."""
-    raw = raw_profile(df, table_name, patterns, limits, as_of_date, approximate_distinct)
+    """The full profile of a table: counts, type, per-type metrics, patterns, flags and score per attribute.
+
+    A tie in the type vote of a string column goes to the type that appears first under ``order_by``, a number or
+    timestamp, else to integer, float, string in this order."""
+    raw = raw_profile(df, table_name, patterns, limits, as_of_date, approximate_distinct, order_by)
     return finish_profile(raw, patterns, limits)
 
 
@@ -301,10 +326,11 @@ def raw_profile(
     limits: Thresholds = DEFAULTS,
     as_of_date: str | None = None,
     approximate_distinct: bool = False,
+    order_by: str | None = None,
 ) -> DataFrame:
     """Metrics per attribute before types, shares, flags and scores are derived from them."""
     kinds = C.families(df)
-    base = column_metrics(df, as_of_date)
+    base = column_metrics(df, as_of_date, order_by)
     objects = [n for n, k in kinds.items() if k == "object"]
     if objects:
         keys = reduce(

@@ -111,7 +111,7 @@ def _metrics(values: DataFrame, patterns: dict[str, str]) -> DataFrame:
         *KEYS, kind.alias("family"), "present_count", nothing.cast("bigint").alias("tag_integer"), nothing.cast("bigint").alias("tag_float"), nothing.cast("bigint").alias("tag_string"),
         "min_value", "max_value", "mean", "std", *lengths, when("boolean", "true_values").alias("true_count"), when("boolean", "false_values").alias("false_count"),
         when("array", "no_items").alias("empty_arrays"), when("object", "mean_keys", "double").alias("avg_keys_per_object"),
-        F.when(F.col("has_email"), F.col("bad_emails")).alias("invalid_email_count"), nothing.cast("bigint").alias("future_date_count"), nothing.cast("string").alias("min_date"), nothing.cast("string").alias("max_date"),
+        F.when(F.col("has_email"), F.col("bad_emails")).alias("invalid_email_count"), nothing.cast("bigint").alias("future_date_count"), nothing.cast("string").alias("min_date"), nothing.cast("string").alias("voted_tag"), nothing.cast("string").alias("max_date"),
         *[f"chars_{c}" for c in CHAR_CLASSES], *["match_" + name for name in patterns],
     )
 

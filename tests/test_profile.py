@@ -203,3 +203,13 @@ def test_basic_profile_counts_blank_as_value(spark):
     assert rows["s"]["unique_count"] == 2 and rows["s"]["null_count"] == 1
     assert rows["n"]["std"] == pytest.approx(2**0.5)
     assert rows["n"]["quality_score"] == pytest.approx(100 - 100 / 3)
+
+
+def test_ties_of_types_go_by_the_row_order(spark):
+    df = spark.createDataFrame([(3, "x", "1"), (1, "5", "2.5"), (2, "y", "7"), (4, "6", "8.5")], "i int, a string, b string")
+    kinds = lambda **o: {r["attribute"]: r["data_type"] for r in profile.profile(df, **o).collect()}
+    assert kinds() == {"i": "integer", "a": "integer", "b": "integer"}
+    assert kinds(order_by="i") == {"i": "integer", "a": "integer", "b": "float"}
+    back = df.withColumn("back", F.to_timestamp(F.concat(F.lit("2024-01-0"), 5 - F.col("i"))))
+    found = {r["attribute"]: r["data_type"] for r in profile.profile(back, order_by="back").collect()}
+    assert (found["a"], found["b"]) == ("integer", "float") and found["back"] == "datetime"
