@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datagauge.operators.extract_json import extract_json
+from datagauge.plans import dataset
 from datagauge.session import scratch_path
 from datagauge.sources import files, nested, xml_text
 
@@ -388,3 +389,38 @@ def multi_table(spark, sf_dir):
     found = {"nested": two, "flat": table(spark, sf_dir, "orders"), "one": one}
     parts = [df.agg(F.lit(n).alias("name"), F.lit(nested.is_multi_table(df.schema)).alias("is_multi"), F.count("*").alias("n")) for n, df in found.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _listed(spark, sf_dir):
+    """Documents with lists of objects whose keys differ."""
+    lines = F.transform(
+        F.when(F.col("doc_id") % 3 > 0, F.sequence(F.lit(1), (F.col("doc_id") % 3).cast("int"))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.concat(F.lit('{"n": '), i, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(', "t": "x'), i, F.lit('"'))).otherwise(""), F.lit("}")),
+    )
+    lang = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit(', "lang": "'), "lang", F.lit('"')))
+    text = F.concat(F.lit('{"id": '), "doc_id", lang, F.lit(', "lines": ['), F.array_join(lines, ", "), F.lit('], "meta": {"size": '), "n_chars", F.lit("}}"))
+    return table(spark, sf_dir, "documents").select(F.parse_json(text).alias("v"))
+
+
+@check(
+    "assess_documents",
+    """WITH line AS (SELECT doc_id, unnest(range(1, doc_id % 3 + 1)) AS n FROM documents)
+SELECT 'main_table' AS table_name, 'id' AS attribute, 'integer' AS data_type, count(*) AS total_count, count(*) AS present_count, count(DISTINCT doc_id) AS unique_count FROM documents
+UNION ALL SELECT 'main_table', 'lang', 'string', count(*), count(*) FILTER (WHERE doc_id % 4 <> 0), count(DISTINCT lang) FILTER (WHERE doc_id % 4 <> 0) FROM documents
+UNION ALL SELECT 'main_table', 'lines', 'array', count(*), count(*), (SELECT count(DISTINCT (k, CASE WHEN k = 0 THEN 0 ELSE p END)) FROM (SELECT doc_id % 3 AS k, doc_id % 2 AS p FROM documents)) FROM documents
+UNION ALL SELECT 'main_table', 'meta', 'object', count(*), count(*), count(DISTINCT n_chars) FROM documents
+UNION ALL SELECT 'lines', 'n', 'integer', count(*), count(*), count(DISTINCT n) FROM line
+UNION ALL SELECT 'lines', 't', 'string', count(*), count(*) FILTER (WHERE doc_id % 2 = 0), count(DISTINCT n) FILTER (WHERE doc_id % 2 = 0) FROM line""",
+)
+def assess_documents(spark, sf_dir):
+    found = dataset.assess_documents(_listed(spark, sf_dir), "v").profiles
+    return found.select("table_name", "attribute", "data_type", "total_count", "present_count", "unique_count")
+
+
+@check(
+    "assess_documents_scores",
+    """SELECT 'main_table' AS table_name, count(*) AS total_records, 4::BIGINT AS total_attributes FROM documents
+UNION ALL SELECT 'lines', sum(doc_id % 3)::BIGINT, 2 FROM documents""",
+)
+def assess_documents_scores(spark, sf_dir):
+    return dataset.assess_documents(_listed(spark, sf_dir), "v").table_scores.select("table_name", "total_records", "total_attributes")

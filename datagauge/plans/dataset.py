@@ -12,6 +12,7 @@ from datagauge.operators import tables as tables_ops
 from datagauge.operators.issues import corrected_scores, issue_counts
 from datagauge.operators.ordering import with_row_index
 from datagauge.operators.profile import profile_all
+from datagauge.operators.records import profile_variant
 from datagauge.operators.rules import DEFAULT_RULES, RuleSet, record_issues
 from datagauge.params import DEFAULTS, Thresholds
 from datagauge.session import cut_lineage
@@ -69,6 +70,19 @@ def assess(
     )
 
 
+def assess_documents(df: DataFrame, column: str, limits: Thresholds = DEFAULTS) -> Assessment:
+    """Profiles and scores all tables nested in a variant column of documents whose keys differ.
+
+    Tables and attributes are data: one profile serves all of them, however many there are. Record rules look for named
+    typed fields and are left to ``assess``, so ``corrected`` is empty.
+    """
+    rows = cut_lineage(nested.extract_variant_tables(df, column))
+    profiles = cut_lineage(profile_variant(rows, "record", table_name="table_name", limits=limits))
+    return Assessment(
+        profiles, tables_ops.table_scores(profiles), tables_ops.dataset_summary(profiles), tables_ops.top_issues(profiles), scorecard_rows(scorecard(profiles)), {}
+    )
+
+
 def write_report(
     tables: dict[str, DataFrame], order_by: dict[str, Sequence[str]], out: str, as_of_date: str
 ) -> Assessment:
