@@ -102,10 +102,34 @@ def _windows(rows: DataFrame, row: str, ats: str, text: str, window: int) -> Dat
                 starts = starts[marked[anchors]]
                 doc = piece.doc[starts]
                 own_row = batch.column(at_row).take(pa.array(piece.rows[doc]))
-                both = [pa.array(piece.runs_at(hashes, starts, window, second).view(np.int64)) for second in (False, True)]
-                yield pa.RecordBatch.from_arrays([own_row, pa.array(starts - piece.first[:-1][doc], pa.int64()), *both], names=["row", "s", "a", "b"])
+                a, b = (piece.runs_at(hashes, starts, window, second) for second in (False, True))
+                columns = [own_row, pa.array(starts - piece.first[:-1][doc], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(_spread(a, b), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "s", "a", "b", "salt"])
 
-    return rows.mapInArrow(build, "row long, s long, a long, b long")
+    return rows.mapInArrow(build, "row long, s long, a long, b long, salt long")
+
+
+def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of windows with the same words in a piece, -1 for the first and 1, 2, .. for the others; 0 for single ones.
+
+    The first stands for all of them elsewhere, so a passage that many texts share is one row of its key for each piece.
+    The others repeat for certain and are dealt out by their salt.
+    """
+    salt = np.zeros(len(a), dtype=np.int64)
+    if len(a):
+        order = np.lexsort((b, a))
+        same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        salt[order[1:][same]] = np.arange(1, int(same.sum()) + 1)
+        first = np.append(same, False) & ~np.append(False, same)
+        salt[order[first]] = -1
+    return salt
+
+
+def _repeated_windows(windows: DataFrame) -> DataFrame:
+    """(row, s) of the windows whose words start anywhere else."""
+    key = F.greatest("salt", F.lit(0))
+    times = F.count("*").over(Window.partitionBy("a", "b", "key"))
+    return windows.withColumn("key", key).withColumn("times", times).where("times > 1 OR salt <> 0").select("row", "s")
 
 
 def _repeats(df: DataFrame, *keys: str) -> DataFrame:
@@ -176,7 +200,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Both joins below read the texts with the same columns and keys, so one shuffle of them serves both.
     wanted = survivors.select(F.col("row").alias(row), F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("ats").alias(ats))
-    found = _repeats(_windows(keyed.join(wanted, [k1, k2]), row, ats, text_col, window), "a", "b")
+    found = _repeated_windows(_windows(keyed.join(wanted, [k1, k2]), row, ats, text_col, window))
     covered = found.groupBy("row").agg(F.collect_set("s").alias("starts")).join(survivors.select("row", "k1", "k2"), "row").select("k1", "k2", "starts")
     plan = covered.join(copied.withColumn("whole", F.lit(True)), ["k1", "k2"], "full").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("starts").alias(starts), F.col("whole").alias(whole))
     done = keyed.join(plan, [k1, k2], "left").withColumn(cut, _cut(window)(text, F.col(starts), F.col(whole)))

@@ -16,7 +16,7 @@ from datagauge.llm.components import connected_components
 from datagauge.llm.decontaminate import Index, _near, _similarity, build_index, decontaminated, find_leaks
 from datagauge.llm.jaccard import jaccard_join, one_of_each
 from datagauge.llm.queries import QUERIES
-from datagauge.llm.substrings import remove_repeats
+from datagauge.llm.substrings import _spread, remove_repeats
 from datagauge.llm.tokens import Encoder, pack, read_tokens, token_files, unpack
 
 from .conftest import fold, prose, words_of
@@ -53,6 +53,25 @@ def test_hashes_of_words_alike():
     assert words.hash_words(buf, end[:1], end[:1], 0) != words.hash_words(buf, end[:1], end[:1], 1)
 
 
+def test_windows_alike_are_dealt_out():
+    a, b = np.array([5, 7, 5, 5, 9, 7, 5], dtype=np.uint64), np.array([1, 1, 1, 2, 1, 1, 1], dtype=np.uint64)
+    salt = _spread(a, b)
+    assert salt[[3, 4]].tolist() == [0, 0] and sorted(salt[[0, 2, 6]]) in ([-1, 1, 2], [-1, 1, 3], [-1, 2, 3]) and (salt == -1).sum() == 2
+    assert len(set(salt[salt > 0].tolist())) == 3 and _spread(a[:0], b[:0]).tolist() == []
+
+
+def test_a_passage_in_most_texts(spark):
+    """One passage in 400 texts, twice in some, in several partitions: gone everywhere, and no task gets all of it."""
+    passage = prose(11, 40)
+    rows = [(i, " ".join(prose(100 + i, 20) + passage + prose(1000 + i, 15) + (passage if i % 50 == 0 else []))) for i in range(400)] + [(900, " ".join(passage[:34])), (901, " ".join(prose(7, 90)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in remove_repeats(docs).collect()}
+    starts = {i: [tuple(t.split()[k : k + 35]) for k in range(len(t.split()) - 34)] for i, t in rows}
+    times = collections.Counter(w for found in starts.values() for w in found)
+    gone = {i: {k + j for k, w in enumerate(found) if times[w] > 1 for j in range(35)} for i, found in starts.items()}
+    assert got == {i: (len(t.split()), len(gone[i])) for i, t in rows} and got[50][1] >= 80 and got[900] == (34, 0)
+
+
 def test_words_alike_link_nothing(spark):
     a, b = thue_morse(1024, "ab"), thue_morse(1024, "ba")
     docs = spark.createDataFrame([(1, f"one two three four {a}"), (2, f"one two three four {b}")], "doc_id long, text string")
