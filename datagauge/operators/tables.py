@@ -96,9 +96,9 @@ def duplicate_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count_if(F.col("n") == 1).alias("single"))
     repeated = counts.where("n > 1").select("h")
     exact = hashed.join(repeated, "h", "left_semi").select(F.unhex(F.sha2("form", 256)).alias("row_key")).distinct().agg(F.count("*").alias("several"))
-    # Both sides are single rows of an aggregate without keys.
-    one = F.lit(1).alias("one")
-    both = once.select("*", one).join(exact.select("*", one), "one").select("total", (F.col("single") + F.col("several")).alias("unique_records"))
+    # Two rows, of which one has the single records and the other those that occur more often.
+    parts = once.select("total", F.col("single").alias("unique_records")).unionByName(exact.select(F.lit(0).alias("total"), F.col("several").alias("unique_records")))
+    both = parts.agg(F.sum("total").alias("total"), F.sum("unique_records").alias("unique_records"))
     return both.select(
         (F.col("total") - F.col("unique_records")).alias("total_duplicates"),
         C.percent(F.col("total") - F.col("unique_records"), F.col("total")).alias("duplicate_percentage"),
