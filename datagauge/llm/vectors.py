@@ -1,8 +1,9 @@
 """Embedding near-dedup by a pivot-permutation index.
 
 Reference points (pivots) are drawn from the vectors, about twice the square root of their number. A vector is described
-by its nearest pivots in order, and stands in the inverted list of each. Vectors that share enough pivots are candidates,
-counted in the list of the smallest pivot that they share, and verified by their cosine in double precision.
+by its nearest pivots in order, and stands in the inverted list of each. In a list, pairs are counted by the pivots that
+they share; those with enough of them are candidates, looked at in the list of the smallest pivot that they share, and
+verified by their cosine in double precision. Every verified link is kept.
 
 Equal vectors of a label are one entry with a number of copies. A long list is cut into blocks, and every pair of blocks
 is a group of its own, so no task holds more than two blocks. A group returns a row for each vector with links: how
@@ -20,7 +21,7 @@ from .components import connected_components, labels
 from .shared import quoted, stored
 
 NEAREST = 8
-SHARED = 2
+SHARED = 1
 BLOCK = 1024
 MOST_PIVOTS = 1 << 14
 
@@ -66,6 +67,18 @@ def _described(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int)
     return classes.mapInArrow(describe, ", ".join(f"{c} {kinds[c]}" for c in ("label", "dim", "rep", "copies", "embedding")) + ", near array<int>")
 
 
+def _candidates(left: np.ndarray, right: np.ndarray, pivot: int, shared: int) -> np.ndarray:
+    """Which pairs of rows of two tables of pivots share at least ``shared`` of them, ``pivot`` being the smallest."""
+    count, smaller = np.zeros((len(left), len(right)), dtype=np.uint8), np.zeros((len(left), len(right)), dtype=bool)
+    for i in range(left.shape[1]):
+        for j in range(right.shape[1]):
+            same = left[:, i, None] == right[None, :, j]
+            smaller |= same & (left[:, i, None] < pivot)
+            if shared > 1:
+                count += same
+    return ~smaller if shared <= 1 else ~smaller & (count >= shared)
+
+
 def _linker(threshold: float, shared: int):
     """The links of one group: block ``i`` against block ``j`` of one list."""
 
@@ -79,15 +92,11 @@ def _linker(threshold: float, shared: int):
             ids, copies = np.asarray(table.column("rep")), np.asarray(table.column("copies"))
             units = _units(_matrix(table.column("embedding").chunk(0), dim))
             near = np.asarray(table.column("near").chunk(0).flatten()).reshape(table.num_rows, -1)
-            close = units[left] @ units[right].T >= threshold
-            a, b = np.nonzero(close)
+            # Shared pivots of every pair, and the smallest of them; then cosines of the candidates alone count.
+            candidate = _candidates(near[left], near[right], pivot, min(shared, near.shape[1]))
+            candidate &= ids[left][:, None] < ids[right][None, :] if i == j else ids[left][:, None] != ids[right][None, :]
+            a, b = np.nonzero(candidate & (units[left] @ units[right].T >= threshold))
             a, b = left[a], right[b]
-            keep = ids[a] < ids[b] if i == j else ids[a] != ids[b]
-            a, b = a[keep], b[keep]
-            both = (near[a][:, :, None] == near[b][:, None, :]).any(axis=2)
-            least = np.where(both, near[a], np.iinfo(np.int32).max).min(axis=1, initial=np.iinfo(np.int32).max)
-            keep = (both.sum(axis=1) >= min(shared, near.shape[1])) & (least == pivot)
-            a, b = a[keep], b[keep]
             if len(a):
                 number = np.zeros(table.num_rows, dtype=np.int64)
                 np.add.at(number, a, copies[b])
