@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from datagauge.operators.ordering import with_row_index
+
 from .shared import own, quoted, stored
 
 WEIGHTS = (5, 2, 1)
 _WORD = r"[^\x20\x09-\x0D]+"
 _BINS = 1 << 12
+_ALIKE = 0.001  # share of its source above which rows alike get random numbers of their own
 
 
 def n_words(text: Column) -> Column:
@@ -111,7 +114,9 @@ def mix(
     taken as often as the factor of its source says. A null source is a source, the last. ``preference`` names a column
     of non-negative numbers: within its source a document is expected in copies in proportion to it, at most ``cap``
     (null counts as 1); without it all documents of a source have equal chances. Random numbers are hashes of id, text
-    and seed, so reruns agree; rows alike in both are drawn together at the cut. No document is taken more than ``cap``
+    and seed, so reruns agree. Rows alike in both are drawn together at the cut; where they hold over a thousandth of
+    their source, the table is put in order once and each of them drawn by its place among them, so that how many
+    are taken agrees, while which of them is open. No document is taken more than ``cap``
     times, rounded up. If share exceeds cap, every source stops at cap. An empty table gives an empty one. All columns
     are kept; new names get underscores if the table has them already.
     """
@@ -122,8 +127,20 @@ def mix(
     # 53 random bits: a double in (0, 1), never its ends.
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(quoted(id_col)), text), 11)
     marked = docs.withColumns({size: n_words(text), draw: (bits + 0.5) / F.lit(float(1 << 53)), liked: like})
-    narrow = marked.select(source.alias("source"), F.col(size).alias("size"), F.col(draw).alias("draw"), F.col(liked).alias("liked"))
-    narrow = stored(narrow.withColumn("size_class", _size_class(F.col("size"))), "mix-sizes")
+
+    def sizes(rows: DataFrame) -> DataFrame:
+        narrow = rows.select(source.alias("source"), F.col(size).alias("size"), F.col(draw).alias("draw"), F.col(liked).alias("liked"))
+        return stored(narrow.withColumn("size_class", _size_class(F.col("size"))), "mix-sizes")
+
+    narrow = sizes(marked)
+    alike = narrow.groupBy("source", "draw").agg(F.sum("size").alias("words"), F.count("*").alias("n")).where("n > 1")
+    whole = narrow.groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("all"))
+    if alike.join(whole, F.col("source").eqNullSafe(F.col("s"))).where(F.col("words") > F.lit(_ALIKE) * F.col("all")).take(1):
+        nth, at = own(marked, "nth", "at")
+        numbered = with_row_index(stored(marked.withColumn(nth, F.monotonically_increasing_id()), "mix-rows"), [draw, nth], at)
+        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(draw), F.col(at)), 11)
+        marked = numbered.withColumn(draw, (bits + 0.5) / F.lit(float(1 << 53))).drop(nth, at)
+        narrow = sizes(marked)
 
     totals = stored(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("liked")).alias("liked_size")), "mix-totals")
     targets = source_targets(totals.select("source", "source_size"), weights, share, cap)

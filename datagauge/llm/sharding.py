@@ -1,7 +1,8 @@
 """Shards of near-equal bytes by histogram sort: splitters from exact counts, then one exchange.
 
 Rows are ordered by a key of 63 bits: 40 bits of hash of the text, then 23 of the id. Copies of a text therefore stand
-side by side and stay in one shard, unless the copies alone are larger than the tolerance; then the id splits them.
+side by side and stay in one shard, unless the copies alone are larger than the tolerance; then the id splits them, and
+where rows alike in text and id are larger still, a number that every row gets.
 
 Each round counts exactly, over all rows, the bytes and rows below evenly spaced probe keys inside the intervals that
 are still open. A splitter is settled when the bytes below a probe are within the tolerance of its target, or its
@@ -37,9 +38,9 @@ def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
 
 
-def sort_key(id_col: Column, text: Column) -> Column:
+def sort_key(id_col: Column, text: Column, *more: Column) -> Column:
     high = F.shiftrightunsigned(F.xxhash64(text), 24)
-    low = F.shiftrightunsigned(F.xxhash64(id_col, F.lit("id")), 64 - _ID_BITS)
+    low = F.shiftrightunsigned(F.xxhash64(id_col, F.lit("id"), *more), 64 - _ID_BITS)
     return F.shiftleft(high, _ID_BITS).bitwiseOR(low)
 
 
@@ -92,13 +93,23 @@ def histogram_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Shards have near-equal bytes: each boundary is within ``tolerance`` of a shard's bytes of its ideal place, or as near
     as whole rows allow. Copies of a text are in one shard unless their bytes exceed that tolerance. A null text has
     eight bytes; a null id is a value like any other. Rows that agree in id and text are alike, and which of them gets
-    which of their slots is open; they stay together even when they exceed a shard. An empty table gives an empty one.
+    which of their slots is open; where they exceed the tolerance, the table is written once with a number for each row,
+    which splits them. Texts of any length are hashed whole. An empty table gives an empty one.
     All columns are kept; new names get underscores if the table has them already.
     """
     k, size, shard, slot, leaf, before = own(docs, "k", "size", "shard", "slot", "leaf", "before")
     ident, text = F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string")
-    keyed = docs.withColumns({k: sort_key(ident, text), size: text_size(text)})
-    sized = stored(keyed.select(F.col(k).alias("k"), F.col(size).alias("size")), "shard-keys")
+    (nth,) = own(docs, "nth")
+
+    def with_keys(rows: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+        keyed = rows.withColumns({k: sort_key(ident, text, *more), size: text_size(text)})
+        return keyed, stored(keyed.select(F.col(k).alias("k"), F.col(size).alias("size")), "shard-keys")
+
+    keyed, sized = with_keys(docs)
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    alike = sized.groupBy("k").agg(F.sum("size").alias("size"), F.count("*").alias("n")).where("n > 1")
+    if alike.where(F.col("size") > tolerance * total / n_shards).take(1):
+        keyed, sized = with_keys(stored(docs.withColumn(nth, F.monotonically_increasing_id()), "shard-rows"), F.col(nth))
     plan = find_splitters(sized, n_shards, tolerance)
 
     def place(key: Column) -> tuple[Column, Column]:

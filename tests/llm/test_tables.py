@@ -201,6 +201,20 @@ def test_vectors_against_brute_force(spark, sf_dir):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_vectors_of_a_table_with_links(spark, sf_dir):
+    """The given vectors, each with a few near copies beside it: nearly all links are found, and none is made up."""
+    given = [r for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect() if r["label"] is not None and r["embedding"]][:300]
+    random, rows = np.random.default_rng(8), []
+    for r in given:
+        base = np.array(r["embedding"], dtype=float)
+        rows += [(len(rows) + i, (base + random.normal(size=len(base)) * np.abs(base).mean() * noise).tolist(), r["label"]) for i, noise in enumerate((0.0, 0.02, 0.05, 0.1, 0.2))]
+    links, component = links_of(rows)
+    got = {r["vec_id"]: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(links.values()) > 1000 and all(got[i]["n_links"] <= links[i] for i in links)
+    assert sum(r["n_links"] for r in got.values()) >= 0.98 * sum(links.values())
+    assert sum(got[i]["component_id"] == component[i] for i in component) >= 0.98 * len(rows)
+
+
 def near_family(n, seed, noise):
     random = np.random.default_rng(seed)
     base = random.normal(size=32)
@@ -255,3 +269,54 @@ def test_pipeline_of_odd_rows(spark, sf_dir, odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), "stage")
         assert docs.where(F.col("slot").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_rows_alike_are_split(spark, partitions):
+    """A third of the rows are one row: shards stay even, and sources come near their targets, whatever the seed."""
+    rows = [(None, "one two three four five six seven eight nine ten " * 3, "a", "en", 1)] * 300 + [(i, " ".join(prose(i, 10 + i % 50)), "ab"[i % 2], "en", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars int").repartition(partitions)
+    placed = histogram_shards(docs).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    mean = sum(r["bytes"] for r in placed) / 24
+    assert len(placed) == 24 and max(r["bytes"] for r in placed) < 1.15 * mean and all(r["last"] == r["n"] - 1 for r in placed)
+    taken = set()
+    for seed in (3, 5, 3):
+        found = mix(docs, seed=seed).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target")).collect()
+        assert all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] for r in found)
+        taken.add((seed, tuple(sorted((r["source"], r["taken"]) for r in found))))
+    assert len(taken) == 2
+
+
+def test_pages_with_links_equal_sql(spark, sf_dir, tmp_path):
+    """The given pages hold no link; here a third of them name another page as their canonical one or refresh to it."""
+    given = spark.read.parquet(f"{sf_dir}/pages.parquet").orderBy("page_id").collect()
+    rows = []
+    for i, r in enumerate(given):
+        target, html = given[(i * 7 + 3) % len(given)]["url"] or "", r["html"] or ""
+        if i % 6 == 0:
+            html += f'<link rel="canonical" href="{target}">'
+        elif i % 6 == 3:
+            html += f'<meta http-equiv="refresh" content="0; url={target}">'
+        rows.append((r["page_id"], r["url"], html))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages")
+    db = duckdb.connect()
+    db.execute("SET lambda_syntax = 'ENABLE_SINGLE_ARROW'")
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages/*.parquet')")
+    expected = sorted((str(r) for r in db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLES['op4_alias_urls']})").fetchall()))
+    got = judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
+    assert sorted(str(tuple(r)) for r in got.collect()) == expected
+    plain = {r["page_id"]: r["verdict"] for r in judge_urls(pages.withColumn("html", F.lit("")), RULES).collect()}
+    assert sum(plain[r["page_id"]] != r["verdict"] for r in got.collect()) > 0.02 * len(rows)
+
+
+def test_quality_tells_both_labels_apart(spark):
+    """Held-out documents of either label: a constant answer would miss all of one."""
+    sf = "/root/testdata/sf0.01"
+    scored = {r["doc_id"]: r for r in QUERIES["op8_quality_gam"](spark, sf).where("held_out").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["doc_id"] in scored}
+    for label in (0, 1):
+        own = [scored[i] for i, q in labels.items() if q == label]
+        assert own and sum(r["predicted"] == label for r in own) >= 0.9 * len(own)
+    high, low = ([scored[i]["score"] for i, q in labels.items() if q == x] for x in (1, 0))
+    assert sum(a > b for a in high for b in low) >= 0.95 * len(high) * len(low)
