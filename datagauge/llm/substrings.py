@@ -110,9 +110,10 @@ def _windows(rows: DataFrame, row: str, ats: str, text: str, window: int) -> Dat
 
 
 def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of windows with the same words in a piece, -1 for the first and 1, 2, .. for the others; 0 for single ones.
+    """Of windows or anchors with the same two hashes, -1 for the first and 1, 2, .. for the others; 0 for single ones.
 
-    The first stands for all of them elsewhere, so a passage that many texts share is one row of its key for each piece.
+    They are those of one batch. The first stands for all of them elsewhere, so a passage that many texts share is one row
+    of its key for each batch.
     The others repeat for certain and are dealt out by their salt.
     """
     salt = np.zeros(len(a), dtype=np.int64)
@@ -125,16 +126,25 @@ def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return salt
 
 
-def _repeated_windows(windows: DataFrame) -> DataFrame:
-    """(row, s) of the windows whose words start anywhere else."""
-    key = F.greatest("salt", F.lit(0))
-    times = F.count("*").over(Window.partitionBy("a", "b", "key"))
-    return windows.withColumn("key", key).withColumn("times", times).where("times > 1 OR salt <> 0").select("row", "s")
+def _dealt(lists: DataFrame) -> DataFrame:
+    """(row, at, quarter, half, s1, s2): one row for each anchor, with salts for both levels, dealt in each batch."""
+
+    def deal(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            size = np.diff(np.asarray(batch.column(1).offsets))
+            at, quarter, half = (np.asarray(batch.column(i).flatten()) for i in (1, 2, 3))
+            salts = [pa.array(_spread(x.view(np.uint64), np.zeros(len(x), dtype=np.uint64)).astype(np.int32)) for x in (quarter, half)]
+            columns = [pa.array(np.repeat(np.asarray(batch.column(0)), size)), *map(pa.array, (at, quarter, half)), *salts]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "at", "quarter", "half", "s1", "s2"])
+
+    return lists.select("row", "at", "quarter", "half").mapInArrow(deal, "row long, at long, quarter long, half long, s1 int, s2 int")
 
 
-def _repeats(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows whose key another row has as well."""
-    return df.withColumn("times", F.count("*").over(Window.partitionBy(*keys))).where("times > 1").drop("times")
+def _repeats(df: DataFrame, salt: str, *keys: str) -> DataFrame:
+    """The rows whose key another row has as well, given the salt that ``_spread`` deals out."""
+    dealt = df.withColumn("key", F.greatest(F.col(salt), F.lit(0)))
+    times = F.count("*").over(Window.partitionBy(*keys, "key"))
+    return dealt.withColumn("times", times).where(f"times > 1 OR {salt} <> 0").drop("times", "key", salt, *keys)
 
 
 def _cut(window: int):
@@ -192,15 +202,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copied = scanned.join(classes.where("copies > 1").select("f1", "f2", "n"), ["f1", "f2", "n"], "left_semi").select("k1", "k2").distinct()
 
     lists = scanned.join(classes.select("row", "f1", "f2", "n", F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2")), ["f1", "f2", "n", "k1", "k2"])
-    anchors = lists.select("row", F.explode(F.arrays_zip("at", "quarter", "half")).alias("x")).select("row", "x.*")
-    level = _repeats(anchors, "quarter").drop("quarter")
-    survivors = _repeats(level, "half").groupBy("row").agg(F.collect_set("at").alias("ats"))
+    level = _repeats(_dealt(lists), "s1", "quarter")
+    survivors = _repeats(level, "s2", "half").groupBy("row").agg(F.collect_set("at").alias("ats"))
     survivors = survivors.join(classes.select("row", "least"), "row").select("row", F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"), "ats")
     survivors = stored(survivors, "substring-survivors")
 
     # Both joins below read the texts with the same columns and keys, so one shuffle of them serves both.
     wanted = survivors.select(F.col("row").alias(row), F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("ats").alias(ats))
-    found = _repeated_windows(_windows(keyed.join(wanted, [k1, k2]), row, ats, text_col, window))
+    found = _repeats(_windows(keyed.join(wanted, [k1, k2]), row, ats, text_col, window), "salt", "a", "b")
     covered = found.groupBy("row").agg(F.collect_set("s").alias("starts")).join(survivors.select("row", "k1", "k2"), "row").select("k1", "k2", "starts")
     plan = covered.join(copied.withColumn("whole", F.lit(True)), ["k1", "k2"], "full").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("starts").alias(starts), F.col("whole").alias(whole))
     done = keyed.join(plan, [k1, k2], "left").withColumn(cut, _cut(window)(text, F.col(starts), F.col(whole)))
