@@ -242,8 +242,9 @@ def find_leaks(
 
     Words are runs of bytes other than ASCII white space, A-Z folded; start counts words from 0. An item or text of
     fewer words than a shingle is one shingle; a text shorter than an item is one window. Null or blank texts and items
-    hold nothing. Ids are passed on as they are, null or repeated; every row of the documents is searched. Empty tables
-    give an empty one. Other columns are ignored.
+    hold nothing. Ids are passed on as they are, null or repeated; every row of the documents is searched,
+    in texts of any length: memory follows the words between a text's first and last window that may match, some 770
+    bytes each. Empty tables give an empty one. Other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string"))
@@ -305,7 +306,8 @@ def _scan(texts: DataFrame, index: Index, common, k: int, threshold: float, sche
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no item, with all their columns. Each row is judged by its own text, which the leaks are
-    joined by as SHA-256; ids, null or repeated, play no part."""
+    joined by as SHA-256; ids, null or repeated, play no part. Null, blank and clean rows stay as often as they occur; an empty table gives an
+    empty one; any column names are kept."""
     (gone,) = own(docs, "gone")
     digest = F.sha2(docs[quoted(text_col)].cast("string").cast("binary"), 256)
     texts = docs.select(digest.alias(gone), F.col(quoted(text_col)).alias(own(docs, "text")[0]))

@@ -204,7 +204,8 @@ def jaccard_join(
     Documents link when 100 * intersection >= percent * union. class_id is the smallest id with the same set,
     component_id the smallest id reachable by links. A null id gets its own null class and component and links with
     nothing; rows that repeat an id count as one document that has all their texts, and each is returned. An empty
-    table gives an empty one. Other columns are ignored.
+    table gives an empty one. Texts of any length are compared whole; a task's memory follows its longest one. Other
+    columns are ignored.
     """
     texts = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
     sets = stored(_sets(texts, k, percent, _crowded(texts.select("text"), k, counters)), "jaccard-sets")
@@ -293,7 +294,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one of the smallest id, null ids last.
 
     Rows are told apart by a 64-bit hash of id and text, so null ids link like others, and the texts of a repeated id are
-    documents of their own. Of rows alike in id and text one stays, which one is open. Rows without words all stay.
+    documents of their own. Of rows alike in id and text one stays, which one is open. Rows without words all stay. An
+    empty table gives an empty one, and no column name clashes.
     """
     (key,) = own(docs, "key")
     ident, text = F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string")

@@ -177,7 +177,10 @@ def mix(
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns."""
+    """The mix itself: each document as often as it is taken, with its own columns.
+
+    Nulls, ties, repeated rows and clashing names as in ``mix``; words of texts of any length are counted whole, and an
+    empty table gives an empty one."""
     taken = mix(docs, **options)
     n = F.col(quoted(taken.columns[-1]))
     (nth,) = own(taken, "nth")

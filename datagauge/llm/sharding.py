@@ -133,6 +133,7 @@ def histogram_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Writes the sharded documents as Parquet, one folder for each shard."""
+    """Writes the sharded documents as Parquet, one folder for each shard that has rows; nulls, copies and clashing names as
+    in ``histogram_shards``. Of an empty table, no folder is written."""
     placed = histogram_shards(docs, **options)
     placed.write.partitionBy(placed.columns[-2]).parquet(path)

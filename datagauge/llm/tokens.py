@@ -259,7 +259,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     (null: empty) is encoded whole, followed by ``end_id``. Null ids come first; rows of equal ids stand in the order of
     a hash of their texts. An empty table gives no file. Files get their names only when complete, and a repeated task
     writes the same files again. ``path`` is a URI that pyarrow can write and Spark can read; ``tokenizer`` is a file
-    that every executor has.
+    that every executor has. A task holds one file's ids and the longest text; other columns are ignored.
     """
     key, text = F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)).cast("string")
     narrow = docs.select(key.alias("doc_id"), text.alias("text"))
@@ -307,7 +307,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 def read_tokens(spark: SparkSession, path: str, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document in the files that the manifest lists.
 
-    Each file is read whole by one task, straight from the store, one at a time."""
+    Each file is read whole by one task, straight from the store, one at a time. Null ids come back null, repeated ones
+    as often as they were written; of an empty manifest nothing is read. A damaged file is an error."""
     listed = manifest.select("file", "start")
     listed = listed.repartition(max(1, listed.count()), "file")
 
