@@ -157,3 +157,30 @@ def merkle_manifest(
 
     found = _tree(rounds, tops, fan, "merkle-paths").join(groups.select("g", "lang"), "g")
     return found.select(F.col("row")["id"].alias("id"), F.col("lang").alias("group"), F.col("digest").alias("leaf"), "subroot", "root", "path", *[F.col("row")[k].alias(k) for k in kept])
+
+
+def write_manifest(docs: DataFrame, path: str, **options) -> None:
+    """Writes the manifest as Parquet: the leaves with their paths, subroots and the root."""
+    merkle_manifest(docs, **options).write.parquet(path)
+
+
+def compare_manifest(
+    docs: DataFrame, manifest: DataFrame, root: str | None = None, fields: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), id_col: str = "doc_id", group_col: str = "lang"
+) -> DataFrame:
+    """(id, leaf, state, n): what tells a table from the one that a manifest was made of; no rows if they are equal.
+
+    A leaf of the manifest that the table lacks is ``missing``, one that only the table has ``added``; a changed row gives
+    one of each, and a row that occurs more or less often than before counts by the difference, n. A leaf of the manifest
+    that does not fold to ``root`` (without it, to the root that most of the manifest states) is ``broken``: the
+    manifest itself was tampered with. Leaves are counted in the tasks before they are compared.
+    """
+    leaf = row_digest(*[F.col(quoted(c)) for c in fields])
+    now = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(group_col)).cast("string").alias("group"), leaf.alias("leaf"), F.lit(-1).alias("times"))
+    before = manifest.select("id", "group", "leaf", F.lit(1).alias("times"))
+    counted = before.unionByName(now).groupBy("id", "group", "leaf").agg(F.sum("times").alias("times")).where("times <> 0")
+    moved = counted.select("id", "leaf", F.when(F.col("times") > 0, "missing").otherwise("added").alias("state"), F.abs("times").alias("n"))
+    if root is None:
+        stated = manifest.groupBy("root").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "root").first()
+        root = stated["root"] if stated else ""
+    broken = manifest.where(~fold(F.col("leaf"), F.col("path")).eqNullSafe(F.lit(root)))
+    return moved.unionByName(broken.groupBy("id", "leaf").agg(F.lit("broken").alias("state"), F.count("*").alias("n")).select("id", "leaf", "state", "n"))

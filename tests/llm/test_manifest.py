@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from datagauge.llm.manifest import fold, merkle_manifest, row_digest, siblings_text
+from datagauge.llm.manifest import compare_manifest, fold, merkle_manifest, row_digest, siblings_text, write_manifest
 from datagauge.llm.queries import QUERIES
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -111,3 +111,20 @@ def test_query_equals_a_plain_tree(spark, sf_dir):
 def test_siblings_text(spark):
     row = spark.range(1).select(siblings_text(F.expr("array(named_struct('left', 'a', 'right', ''), named_struct('left', '', 'right', 'b'))")).alias("t")).first()
     assert row["t"] == "ab"
+
+
+def test_tables_that_differ_from_a_manifest(spark, odd_docs, tmp_path):
+    """A changed, a removed, an added and a repeated row, and a manifest with a digest exchanged."""
+    path = f"{tmp_path}/manifest"
+    write_manifest(odd_docs, path)
+    manifest = spark.read.parquet(path)
+    assert compare_manifest(odd_docs, manifest).count() == 0 and compare_manifest(odd_docs.repartition(3), manifest).count() == 0
+    changed = odd_docs.withColumn("text", F.when(F.col("doc_id") == 1, "other").otherwise(F.col("text"))).where("doc_id IS NULL OR doc_id NOT IN (8, 6)")
+    changed = changed.unionByName(odd_docs.where("doc_id = 7").limit(1)).unionByName(odd_docs.where("doc_id = 9").withColumn("doc_id", F.lit(99).cast("long")))
+    got = sorted((r["id"], r["state"], r["n"]) for r in compare_manifest(changed, manifest).collect())
+    assert got == [(1, "added", 1), (1, "missing", 1), (6, "missing", 1), (7, "added", 1), (8, "missing", 1), (99, "added", 1)]
+    forged = manifest.withColumn("leaf", F.when(F.col("id") == 9, h("forged")).otherwise(F.col("leaf")))
+    states = sorted((r["id"], r["state"]) for r in compare_manifest(odd_docs, forged).collect())
+    assert states == [(9, "added"), (9, "broken"), (9, "missing")]
+    assert compare_manifest(odd_docs, manifest, root=h("other")).where("state = 'broken'").agg(F.sum("n")).first()[0] == odd_docs.count()
+    assert compare_manifest(odd_docs.limit(0), manifest.limit(0)).count() == 0
