@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
-A source's factor is its target over its size. A document is expected in ``factor`` copies: the whole part is certain,
-the rest is its inclusion probability. Documents of a source are split into strata by size, four to every doubling. In
+A source's factor is its target over its size. A document is expected in ``factor`` copies, or with a preference in copies
+in proportion to it: the whole part is certain, the rest is its inclusion probability. Documents of a source are split into strata by size, four to every doubling. In
 each stratum a fixed number is drawn, those of least odds(random) / odds(inclusion), the Pareto order. The numbers are
 rounded from the largest sizes to the smallest, each stratum making up for the rounding of those before, so that a
 source's words come near its target although few documents hold many of them.
@@ -85,6 +85,26 @@ def _drawn(strata: DataFrame) -> DataFrame:
     return done.select("source", F.explode("cells").alias("c")).select("source", "c.*")
 
 
+def _capped_rates(narrow: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
+    """The targets (s, source_size, target, rate) with rates at which the expected words, no document above ``cap``, are
+    the target.
+
+    Documents at the cap leave what they cannot take to the others of their source, whose rate rises, until no more
+    reach the cap. Each round is one sum over the sizes; a round that moves no rate by a billionth is the last.
+    """
+    while True:
+        rates = targets.select("s", "rate")
+        rows = narrow.join(rates, F.col("source").eqNullSafe(F.col("s")))
+        full = F.col("rate") * F.col("liked") >= cap
+        sums = rows.groupBy(F.col("source").alias("of")).agg(F.sum(F.when(full, F.col("size")).otherwise(0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("size") * F.col("liked"))).alias("free"))
+        rate = F.when(F.col("free") > 0, F.greatest("rate", (F.col("target") - F.col("full") * cap) / F.col("free"))).otherwise(F.col("rate"))
+        raised = targets.join(sums, F.col("s").eqNullSafe(F.col("of"))).select("s", "source_size", "target", rate.alias("rate"), (rate > F.col("rate") * (1 + 1e-9)).alias("moved"))
+        raised = stored(raised, "mix-targets")
+        targets = raised.drop("moved")
+        if not raised.where("moved").take(1):
+            return targets
+
+
 def _cuts(rows: DataFrame) -> DataFrame:
     """(source, size_class, cut): the rank of the last document drawn, from (source, size_class, drawn, rank)."""
     binned = rows.withColumn("bin", F.floor(F.col("rank") * _BINS).cast("int"))
@@ -112,8 +132,8 @@ def mix(
 
     Size is the number of words, runs of characters other than ASCII white space; a null or blank text has none and is
     taken as often as the factor of its source says. A null source is a source, the last. ``preference`` names a column
-    of non-negative numbers: within its source a document is expected in copies in proportion to it, at most ``cap``
-    (null counts as 1); without it all documents of a source have equal chances. Random numbers are hashes of id, text
+    of non-negative numbers: within its source a document is expected in copies in proportion to it, at most ``cap``,
+    and what the capped ones leave goes to the others (null counts as 1; a source of zeros alone is not taken); without it all documents of a source have equal chances. Random numbers are hashes of id, text
     and seed, so reruns agree. Rows alike in both are drawn together at the cut; where they hold over a thousandth of
     their source, the table is put in order once and each of them drawn by its place among them, so that how many
     are taken agrees, while which of them is open. No document is taken more than ``cap``
@@ -147,6 +167,8 @@ def mix(
     targets = targets.join(totals.select(F.col("source").alias("s"), "liked_size"), F.col("source").eqNullSafe(F.col("s")))
     per = F.when(F.col("liked_size") > 0, F.col("target") / F.col("liked_size")).otherwise(F.lit(0.0))
     targets = stored(targets.select(F.col("source").alias("s"), "source_size", "target", per.alias("rate")), "mix-targets")
+    if preference is not None:
+        targets = _capped_rates(narrow, targets, cap)
 
     def expected(rate: Column, like: Column) -> Column:
         return F.least(rate * like, F.lit(float(cap)))

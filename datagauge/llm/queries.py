@@ -13,7 +13,7 @@ from .jaccard import jaccard_join
 from .language import label_languages
 from .language import train as train_languages
 from .manifest import fold, merkle_manifest, row_digest, siblings_text
-from .mixing import mix
+from .mixing import mix, n_words
 from .quality import quality_scores
 from .sharding import LAW, histogram_shards
 from .spelling import spelling_variants, word_counts
@@ -59,7 +59,9 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_pareto_mix")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = mix(_table(spark, sf_dir, "documents"))
+    # Chances grow with the square root of a text's length.
+    docs = _table(spark, sf_dir, "documents")
+    taken = mix(docs.withColumn("liking", F.sqrt(n_words(F.col("text")))), preference="liking")
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -320,3 +320,20 @@ def test_quality_tells_both_labels_apart(spark):
         assert own and sum(r["predicted"] == label for r in own) >= 0.9 * len(own)
     high, low = ([scored[i]["score"] for i, q in labels.items() if q == x] for x in (1, 0))
     assert sum(a > b for a in high for b in low) >= 0.95 * len(high) * len(low)
+
+
+def test_preferred_documents_are_capped_and_targets_kept(spark):
+    """Likings over three orders of magnitude: many documents reach the cap, and the sources still come near their targets."""
+    rows = [(i, " ".join(prose(i, 5 + i % 90)), "abc"[i % 3], float(10 ** (i % 4))) for i in range(3000)] + [(5000 + i, "one two", "d", 0.0) for i in range(20)] + [(6000, "three four", "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, likes double")
+    taken = mix(docs, preference="likes").collect()
+    by_source = collections.defaultdict(list)
+    for r in taken:
+        by_source[r["source"]].append(r)
+    assert len(taken) == len(rows) and all(0 <= r["copies"] <= 2 for r in taken)
+    for source in "abc":
+        own, target = by_source[source], by_source[source][0]["target"]
+        assert abs(sum(r["size"] * r["copies"] for r in own) - target) <= 0.01 * target, source
+        mean = {like: np.mean([r["copies"] for r in own if r["likes"] == like]) for like in (1.0, 10.0, 100.0, 1000.0)}
+        assert list(mean.values()) == sorted(mean.values()) and mean[1.0] < mean[1000.0] or target >= 1.99 * own[0]["source_size"]
+    assert sum(r["copies"] for r in by_source["d"]) == 0
