@@ -65,30 +65,45 @@ def extract_tables(df: DataFrame, lineage: bool = False) -> dict[str, DataFrame]
     return tables
 
 
+# Kinds of variants, as their schema spells them: lists of objects whose values are all scalars, and variants that hold
+# other containers, or values of mixed types, which may be containers.
+_FLAT_LIST = r"^ARRAY<OBJECT<(?:(?!VARIANT)[^<>])*>>$"
+_HOLDS_MORE = r"^.+(?:(?:ARRAY|OBJECT)<|VARIANT)"
+
+
 def extract_variant_tables(df: DataFrame, column: str) -> DataFrame:
     """``(table_name, record)`` of schema-free documents, found level by level until no container is left.
 
-    Every level is checkpointed, as it feeds both the result and the next level.
+    Every level is checkpointed, as it feeds both the result and the next level. The records of a list of flat objects,
+    which are most of the rows, hold no further level: they are read off their list and never stored.
     """
     spark = df.sparkSession
     no_keys = F.array().cast("array<string>")
-    level = df.select(no_keys.alias("path"), F.col(column).alias("v")).where("v is not null")
-    is_list = F.schema_of_variant("v").startswith("ARRAY")
-    found = level.where(F.schema_of_variant("v").startswith("OBJECT")).select("path", F.col("v").alias("record"))
+    root = df.select(no_keys.alias("path"), F.lit(False).alias("in_list"), F.col(column).alias("v"))
+    # The documents are parsed once, here; a null has no kind and goes no further.
+    level = cut_lineage(root.withColumn("kind", F.schema_of_variant("v")))
+    named = table_name_column(F.col("path")).alias("table_name")
+    found = level.where(F.col("kind").startswith("OBJECT")).select(named, F.col("v").alias("record"))
     while True:
-        children = level.withColumn("in_list", is_list).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        named = children.select(
+        # Named before the list is opened, not once for each record.
+        flat = level.where(F.col("kind").rlike(_FLAT_LIST)).select(named, "v")
+        items = flat.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).where(~F.is_variant_null("value"))
+        found = found.unionByName(items.select("table_name", F.col("value").alias("record")))
+        rest = level.where(F.col("kind").rlike(_HOLDS_MORE) & ~F.col("kind").rlike(_FLAT_LIST))
+        rest = rest.select("path", F.col("kind").startswith("ARRAY").alias("in_list"), "v")
+        children = rest.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        below = children.select(
             F.when(F.col("key").isNotNull(), F.concat("path", F.array("key"))).otherwise(F.col("path")).alias("path"),
             "in_list",
             F.col("value").alias("v"),
-        ).where(F.schema_of_variant("v").rlike("^(ARRAY|OBJECT)"))
-        level = cut_lineage(named)
+        )
+        kinds = below.withColumn("kind", F.schema_of_variant("v"))
+        level = cut_lineage(kinds.where(F.col("kind").rlike("^(ARRAY|OBJECT)")))
         if level.isEmpty():
             break
-        rows = level.where(F.col("in_list") & F.schema_of_variant("v").startswith("OBJECT"))
-        found = found.unionByName(rows.select("path", F.col("v").alias("record")))
-        level = level.select("path", "v")
-    return found.select(table_name_column(F.col("path")).alias("table_name"), "record")
+        rows = level.where(F.col("in_list") & F.col("kind").startswith("OBJECT"))
+        found = found.unionByName(rows.select(named, F.col("v").alias("record")))
+    return found
 
 
 def _is_scalar(data_type: T.DataType) -> bool:
