@@ -473,14 +473,28 @@ def type_vote(df: DataFrame, column: str, order_by: str | None = None) -> DataFr
 
 def variant_tag(v: Column) -> Column:
     """Type vote of one variant value; strings are sniffed for numbers."""
-    kind = F.schema_of_variant(v)
-    text = F.try_variant_get(v, "$", "string")
+    return _tag_of(F.schema_of_variant(v), F.try_variant_get(v, "$", "string"))
+
+
+VARIANT_TAGS = ("boolean", "integer", "float", "string", "array", "object", "other")
+
+
+def with_variant_tag(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the type vote of a variant column; kind, text and number test are found once for each value."""
+    kinds = df.select("*", F.schema_of_variant(C.col(column)).alias("#kind"))
+    texts = kinds.select("*", F.when(F.col("#kind") == "STRING", F.try_variant_get(C.col(column), "$", "string")).alias("#text"))
+    tested = texts.select("*", is_number(F.col("#text")).alias("#is"))
+    tag = _tag_of(F.col("#kind"), F.col("#text"), F.col("#is"))
+    return tested.withColumn(name, tag).drop("#kind", "#text", "#is")
+
+
+def _tag_of(kind: Column, text: Column, number: Column | None = None) -> Column:
     return (
         F.when(kind == "VOID", F.lit(None).cast("string"))
         .when(kind == "BOOLEAN", "boolean")
         .when(kind == "BIGINT", "integer")
         .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "float")
-        .when(kind == "STRING", value_tag(text))
+        .when(kind == "STRING", value_tag(text, number))
         .when(kind.startswith("ARRAY"), "array")
         .when(kind.startswith("OBJECT"), "object")
         .otherwise("other")
@@ -531,10 +545,16 @@ def element_types(df: DataFrame, column: str) -> DataFrame:
         tagged = elements.select(F.when(F.col("e").isNull(), "null").otherwise(F.typeof("e")).alias("element_type"))
     else:
         parsed = df.select(F.try_parse_json(C.col(column)).alias("v"))
-        tagged = parsed.lateralJoin(
-            parsed.sparkSession.tvf.variant_explode(F.col("v").outer())
-        ).select(variant_tag(F.col("value")).alias("element_type"))
-    return tagged.groupBy("element_type").agg(F.count("*").alias("n"))
+        elements = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("v").outer())).select("value")
+        tagged = with_variant_tag(elements, "value", "element_type").select("element_type")
+    if data_type.typeName() == "array":
+        return tagged.groupBy("element_type").agg(F.count("*").alias("n"))
+    # One row of counters: a caller's filter on the type cannot move below it and tag every element again.
+    tag = F.col("element_type")
+    counters = [F.count_if(tag.isNull()).alias("null"), *[F.count_if(tag == t).alias(t) for t in VARIANT_TAGS]]
+    listed = [F.struct(F.lit(None).cast("string").alias("element_type"), F.col("null").alias("n"))]
+    listed += [F.struct(F.lit(t).alias("element_type"), F.col(t).alias("n")) for t in VARIANT_TAGS]
+    return tagged.agg(*counters).select(F.inline(F.array(*listed))).where("n > 0")
 
 
 def basic_profile(df: DataFrame) -> DataFrame:
