@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from datagauge.functions.columns import col, families, present, text_form
 
 
-def _digest(value: Column) -> Column:
+def text_digest(value: Column) -> Column:
     return F.unhex(F.sha2(value.cast("binary"), 256))
 
 
@@ -38,7 +38,7 @@ def _by_family(df: DataFrame, columns: Sequence[str]) -> list[dict[str, Column]]
             groups["long"][name] = F.unix_date(col(name)).cast("bigint")
         else:
             value = present(df, name) if kinds[name] == "string" else text_form(df, name)
-            groups["text"][name] = _digest(value)
+            groups["text"][name] = text_digest(value)
     return [g for g in groups.values() if g]
 
 

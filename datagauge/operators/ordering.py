@@ -17,36 +17,42 @@ from datagauge.session import cut_lineage
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition above these bits and the row position below
 
 
-def _ranged(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+def partition_of(mid: str) -> Column:
+    """The partition of a row that ``ranged`` placed."""
+    return F.shiftright(mid, _LOCAL_BITS).cast("int")
+
+
+def ranged(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """The rows in stored partitions of ascending order; ``_mid`` numbers them."""
     ordered = df.repartitionByRange(*[F.col(c) for c in order_by]).sortWithinPartitions(*order_by)
     return cut_lineage(ordered.withColumn("_mid", F.monotonically_increasing_id()))
 
 
-def _with_offsets(ranged: DataFrame, totals: dict[str, Column]) -> DataFrame:
+def _with_offsets(rows: DataFrame, totals: dict[str, Column]) -> DataFrame:
     """Adds ``_pid`` and per total the sum over all earlier partitions, as ``name#before``."""
-    placed = ranged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS).cast("int"))
+    placed = rows.withColumn("_pid", partition_of("_mid"))
     sums = placed.groupBy("_pid").agg(*[F.sum(v).alias(n) for n, v in totals.items()]).orderBy("_pid")
-    before, rows = {n: 0 for n in totals}, []
+    before, offsets = {n: 0 for n in totals}, []
     for row in sums.collect():
-        rows.append((row["_pid"], *before.values()))
+        offsets.append((row["_pid"], *before.values()))
         before = {n: v + (row[n] or 0) for n, v in before.items()}
     kinds = {n: "bigint" if sums.schema[n].dataType.typeName() == "long" else "double" for n in totals}
     schema = "_pid int, " + ", ".join(f"`{n}#before` {k}" for n, k in kinds.items())
-    typed = [(r[0], *[v if k == "bigint" else float(v) for v, k in zip(r[1:], kinds.values())]) for r in rows]
+    typed = [(r[0], *[v if k == "bigint" else float(v) for v, k in zip(r[1:], kinds.values())]) for r in offsets]
     return placed.join(F.broadcast(placed.sparkSession.createDataFrame(typed, schema)), "_pid")
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "idx") -> DataFrame:
     """Adds the 0-based position of every row under ``order_by``, which must be a total order."""
     local = F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)
-    placed = _with_offsets(_ranged(df, order_by), {name: F.lit(1).cast("bigint")})
+    placed = _with_offsets(ranged(df, order_by), {name: F.lit(1).cast("bigint")})
     return placed.withColumn(name, F.col(f"`{name}#before`") + local).drop("_mid", "_pid", f"{name}#before")
 
 
 def with_running_totals(df: DataFrame, order_by: Sequence[str], totals: dict[str, Column]) -> DataFrame:
     """Adds inclusive running totals over the whole order, one column per entry of ``totals``."""
-    ranged = _ranged(df.withColumns(totals), order_by)
-    placed = _with_offsets(ranged, {n: F.col(n) for n in totals})
+    rows = ranged(df.withColumns(totals), order_by)
+    placed = _with_offsets(rows, {n: F.col(n) for n in totals})
     within = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
     running = {n: F.sum(n).over(within) + F.col(f"`{n}#before`") for n in totals}
     return placed.withColumns(running).drop("_mid", "_pid", *[f"{n}#before" for n in totals])
@@ -58,8 +64,8 @@ def with_group_totals(df: DataFrame, keys: Sequence[str], order_by: Sequence[str
     Rows are range-partitioned by key and order, so a hot key lies in as many tasks as its rows fill. Of the keys of a
     partition only the first can begin in an earlier one; what it brings along is one row for each partition.
     """
-    ranged = _ranged(df.withColumns(totals), [*keys, *order_by])
-    placed = ranged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS).cast("int"))
+    rows = ranged(df.withColumns(totals), [*keys, *order_by])
+    placed = rows.withColumn("_pid", partition_of("_mid"))
     per_key = placed.groupBy("_pid", *keys).agg(F.min("_mid").alias("_mid"), *[F.sum(n).alias(n) for n in totals])
     key = F.struct(*keys)
     ends = per_key.groupBy("_pid").agg(

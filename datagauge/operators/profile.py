@@ -1,8 +1,8 @@
 """Column profile: one row per attribute.
 
-One wide aggregate computes every additive metric of every column in a single scan with no shuffle of rows. Exact
-distinct counts add one shuffle per type family. Quantiles and outlier bounds are a few numbers per column and come
-back as literals.
+Values are folded first, one shuffle per type family; distinct counts, patterns, the metrics of strings and all quantiles
+are read off the folded values. A wide aggregate computes the additive metrics of the other columns with no shuffle of
+rows. Quantiles and outlier bounds are a few numbers per column and come back as literals.
 """
 
 from __future__ import annotations
@@ -20,16 +20,17 @@ from datagauge.functions.numbers import is_number, spelled_number, to_number, va
 from datagauge.functions.text import CHAR_CLASSES, CLASS_STEPS, matches, matches_sql, strip_sql
 from datagauge.params import DEFAULTS, LENGTH_PERCENTILES, NUMERIC_PERCENTILES, PATTERNS, Thresholds
 
+from .folds import Folds, fold_values, folded_column_quantiles, folded_distinct
 from .frequency import distinct_counts
-from .outliers import count_flagged, outlier_bounds
+from .outliers import OutlierBounds, outlier_tests
 from .quantiles import column_quantiles
 
 # Columns that share one aggregate; more would not compile to one method any more.
 STRINGS_PER_SCAN = 2
 OTHERS_PER_SCAN = 8
 
-# Helper column of the row order.
-ORDER = "#order"
+# Helper columns: the row order, and how many rows a folded value stands for.
+ORDER, WEIGHT = "#order", "#n"
 
 # Metric columns of the wide aggregate; the struct of every column has them all, in this order.
 _LONGS = (
@@ -73,25 +74,48 @@ def pattern_counts(df: DataFrame, patterns: dict[str, str] = PATTERNS, columns:
     schema = "attribute string, pattern string, matches bigint"
     if not names or not patterns:
         return df.sparkSession.createDataFrame([], schema)
-    joint = "(?:" + ")|(?:".join(patterns.values()) + ")"
     parts = []
     for batch in [names[i : i + STRINGS_PER_SCAN] for i in range(0, len(names), STRINGS_PER_SCAN)]:
         tried = []
         for n in batch:
-            value = f"CAST({C.sql_name(n)} AS STRING)"
-            each = ", ".join(
-                f"IF({matches_sql(value, regex)}, named_struct('attribute', {C.sql_string(n)}, "
-                f"'pattern', {C.sql_string(p)}), NULL)"
-                for p, regex in patterns.items()
-            )
-            # The empty string is a null, whatever a pattern says about it.
-            test = f"{value} <> '' AND {matches_sql(value, joint)}"
-            tried.append(f"IF({test}, array_compact(array({each})), NULL)")
+            hits = _pattern_hits(f"CAST({C.sql_name(n)} AS STRING)", patterns)
+            tried.append(f"transform({hits}, p -> named_struct('attribute', {C.sql_string(n)}, 'pattern', p))")
         parts.append(df.selectExpr(f"inline(flatten(array_compact(array({', '.join(tried)}))))"))
     found = reduce(DataFrame.unionByName, parts)
     return found.groupBy("attribute", "pattern").agg(F.count("*").alias("matches"))
 
 
+def _pattern_hits(value: str, patterns: dict[str, str]) -> str:
+    """SQL of the names of the patterns a text matches; null where the joint test already fails."""
+    joint = "(?:" + ")|(?:".join(patterns.values()) + ")"
+    each = ", ".join(f"IF({matches_sql(value, regex)}, {C.sql_string(p)}, NULL)" for p, regex in patterns.items())
+    # The empty string is a null, whatever a pattern says about it.
+    test = f"{value} <> '' AND {matches_sql(value, joint)}"
+    return f"IF({test}, array_compact(array({each})), NULL)"
+
+
+def _folded_pattern_counts(folds: Folds, patterns: dict[str, str]) -> DataFrame:
+    """The same counts from folded values."""
+    schema = "attribute string, pattern string, matches bigint"
+    df = folds.rows
+    tried = [n for n, k in folds.kinds.items() if k in ("string", "integer", "float")]
+    if not tried or not patterns:
+        return df.sparkSession.createDataFrame([], schema)
+    nth, value = F.col("nth"), F.col("value")
+    parts = [folds.long_texts()] if "string" in folds.kinds.values() else []
+    for frame in folds.family.values():
+        text = value.cast("string")
+        # A float is spelled in its own precision.
+        floats = [folds.nth(n) for n in tried if df.schema[n].dataType.typeName() == "float"]
+        if floats and frame.schema["value"].dataType.typeName() == "double":
+            text = F.when(nth.isin(floats), value.cast("float").cast("string")).otherwise(text)
+        parts.append(frame.where(nth.isin([folds.nth(n) for n in tried])).select("nth", text.alias("value"), "n"))
+    hits = [p.selectExpr("nth", "n", f"explode({_pattern_hits('value', patterns)}) AS pattern") for p in parts]
+    found = reduce(DataFrame.unionByName, hits).groupBy("nth", "pattern").agg(F.sum("n").alias("matches"))
+    names = F.array(*[F.lit(n) for n in df.columns])
+    return found.select(names[nth].alias("attribute"), "pattern", "matches")
+
+
 def _with_number_tags(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Adds the sniffed number and the type tag of string columns; the grammar is tried once per value."""
     tested = df.select("*", *[is_number(C.present(df, n)).alias(f"{n}#is") for n in names])
@@ -141,6 +165,35 @@ def _column_metrics(df: DataFrame, name: str, kind: str) -> dict[str, str]:
     return metrics
 
 
+def _folded_text_metrics(folds: Folds, name: str, total: int, as_of_date: str | None) -> DataFrame:
+    """The metrics of a string column from its folded values, each looked at once. The spread of numbers needs their
+    mean and is left to ``_folded_quantiles``."""
+    rows = folds.texts().where(F.col("nth") == folds.nth(name)).select(F.col("value").alias(name), F.col("n").alias(WEIGHT))
+    source = _with_helpers(rows, {name: "string"}, as_of_date)
+    n, length = C.sql_name(WEIGHT), f"length({C.sql_name(name)})"
+
+    def helper(suffix: str) -> str:
+        return C.sql_name(f"{name}#{suffix}")
+
+    def counted(test: str) -> str:
+        return f"coalesce(sum(IF({test}, {n}, 0L)), 0L)"
+
+    mean_length = f"try_divide(sum({length} * {n}), sum({n}))"
+    square = f"try_divide(sum(CAST({length} AS DOUBLE) * {length} * {n}), sum({n}))"
+    number = helper("number")
+    metrics = {"total_count": f"{total}L", "present_count": f"coalesce(sum({n}), 0L)"}
+    metrics |= {f"tag_{t}": counted(f"{helper('tag')} = '{t}'") for t in ("integer", "float", "string")}
+    metrics |= _length_metrics(length) | {"avg_length": mean_length, "std_length": f"sqrt(greatest({square} - {mean_length} * {mean_length}, IF({square} IS NULL, NULL, 0D)))"}
+    metrics |= {"min_value": f"min({number})", "max_value": f"max({number})"}
+    metrics["mean"] = f"try_divide(sum({number} * {n}), sum(IF({number} IS NULL, NULL, {n})))"
+    metrics |= {"chars_" + cls: f"sum({helper(cls)} * {n})" for cls in CHAR_CLASSES}
+    if f"{name}#future" in source.columns:
+        metrics["future_date_count"] = counted(helper("future"))
+    if f"{name}#bad_email" in source.columns:
+        metrics["invalid_email_count"] = counted(helper("bad_email"))
+    return source.agg(_metric_struct(name, "string", metrics)).selectExpr(f"inline(array({C.sql_name(f'{name}#metrics')}))")
+
+
 def _with_helpers(df: DataFrame, kinds: dict[str, str], as_of_date: str | None) -> DataFrame:
     """Adds per string column its tag, number and character counts; key counts; future and e-mail tests."""
     strings = [n for n, k in kinds.items() if k == "string"]
@@ -192,12 +245,17 @@ def _batches(kinds: dict[str, str]) -> list[list[str]]:
     return cut + [others[i : i + OTHERS_PER_SCAN] for i in range(0, len(others), OTHERS_PER_SCAN)]
 
 
-def column_metrics(df: DataFrame, as_of_date: str | None = None, order_by: str | None = None) -> DataFrame:
+def column_metrics(df: DataFrame, as_of_date: str | None = None, order_by: str | None = None, folds: Folds | None = None) -> DataFrame:
     """Additive metrics of every column: one scan and one result row, turned into one row per attribute.
 
-    ``order_by`` names a number or timestamp by which a tie of types goes to the one that appears first."""
+    ``order_by`` names a number or timestamp by which a tie of types goes to the one that appears first. Strings are read
+    off ``folds`` where no such order is asked for."""
     kinds = C.families(df)
     parts = []
+    if folds and not order_by and "string" in kinds.values():
+        total = df.count()
+        parts = [_folded_text_metrics(folds, n, total, as_of_date) for n, k in kinds.items() if k == "string"]
+        kinds = {n: k for n, k in kinds.items() if k != "string"}
     for batch in _batches(kinds):
         own = {n: kinds[n] for n in batch}
         order = [_order_number(df, order_by).alias(ORDER)] if order_by else []
@@ -230,38 +288,73 @@ def _literal_rows(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _quantile_frame(df: DataFrame, kinds: dict[str, str], limits: Thresholds) -> DataFrame:
-    """Medians, percentiles and outlier counts per attribute."""
-    numbers, lengths = {}, {}
-    for n, k in kinds.items():
-        if k in ("integer", "float"):
-            numbers[n] = C.col(n).cast("double")
-        elif k == "string":
-            numbers[n] = to_number(C.present(df, n))
-            lengths[n] = F.length(C.present(df, n)).cast("double")
-        elif k == "array":
-            lengths[n] = F.when(C.col(n).isNotNull(), F.size(C.col(n))).cast("double")
+def _folded_numbers(folds: Folds) -> DataFrame:
+    """``(nth, x, n)``: numbers of columns, and lengths of texts and arrays under ``nth`` beyond the columns'."""
+    df, kinds, nth = folds.rows, folds.kinds, F.col("nth")
+    width = len(df.columns)
+    parts = []
+    for frame in folds.family.values():
+        typed = [folds.nth(n) for n, k in kinds.items() if k in ("integer", "float")]
+        parts.append(frame.where(nth.isin(typed)).select("nth", F.col("value").cast("double").alias("x"), "n"))
+    lengths = []
+    if "string" in kinds.values():
+        texts = folds.texts()
+        parts.append(texts.select("nth", to_number(F.col("value")).alias("x"), "n").where("x IS NOT NULL"))
+        lengths.append(texts.select((nth + width).alias("nth"), F.length("value").cast("double").alias("x"), "n"))
+    sizes = [
+        F.struct(F.lit(folds.nth(n) + width).alias("nth"), F.size(C.col(n)).cast("double").alias("x"), C.col(n).isNotNull().alias("held"))
+        for n, k in kinds.items()
+        if k == "array"
+    ]
+    if sizes:
+        lengths.append(df.select(F.inline(F.array(*sizes))).where("held").select("nth", "x", F.lit(1).cast("bigint").alias("n")))
+    if lengths:
+        parts.append(reduce(DataFrame.unionByName, lengths).groupBy("nth", "x").agg(F.sum("n").alias("n")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "nth int, x double, n bigint")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _by_nth(values: dict[int, float]) -> Column:
+    """A number of the row's column; a few literals."""
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("nth")]
+
+
+def _folded_quantiles(folds: Folds, metrics: list[dict], limits: Thresholds) -> DataFrame:
+    """Medians, percentiles and outlier counts per attribute; fills in the spread of numbers in strings in ``metrics``."""
+    df, kinds = folds.rows, folds.kinds
+    width = len(df.columns)
     wanted = tuple(p / 100 for p in NUMERIC_PERCENTILES) + (0.5,)
-    keyed = {("n", n): c for n, c in numbers.items()} | {("l", n): c for n, c in lengths.items()}
-    rows = column_quantiles(df, {"|".join(k): c for k, c in keyed.items()}, wanted, moments=True)
-    found = {k: rows["|".join(k)].quantiles for k in keyed}
-    first_pass = {}
-    for n in numbers:
-        r = rows["n|" + n]
-        q = dict(zip((*NUMERIC_PERCENTILES, 50), r.quantiles or [None] * len(wanted)))
-        first_pass[n] = (r.n, r.mean, r.std, q[25], q[50], q[75])
-    # Strings without any number in them need no further pass.
-    numbers = {n: c for n, c in numbers.items() if first_pass[n][0]}
-    counts = {}
-    if numbers:
-        bounds = outlier_bounds(df, numbers, limits, {n: first_pass[n] for n in numbers})
-        counts = {r.attribute: r.outlier_count for r in count_flagged(df, numbers, bounds, limits).collect()}
+    counts = _folded_numbers(folds)
+    found = folded_column_quantiles(counts, wanted)
+    own = {folds.nth(m["attribute"]): m for m in metrics if folds.nth(m["attribute"]) in found and kinds[m["attribute"]] in ("string", "integer", "float")}
+    flagged = {}
+    if own:
+        medians = {nth: found[nth][1][-1] for nth in own}
+        numbers = counts.where(F.col("nth").isin(list(own)))
+        told = {nth: m["mean"] for nth, m in own.items() if kinds[m["attribute"]] == "string"}
+        if told:
+            square = F.pow(F.col("x") - _by_nth(told), 2) * F.col("n")
+            spread = numbers.where(F.col("nth").isin(list(told))).groupBy("nth").agg(F.sqrt(F.sum(square) / F.sum("n")).alias("std"))
+            for r in spread.collect():
+                own[r.nth]["std"] = r.std
+        mads = folded_column_quantiles(numbers.withColumn("x", F.abs(F.col("x") - _by_nth(medians))), (0.5,))
+        at = {p: i for i, p in enumerate(NUMERIC_PERCENTILES)}
+        tests = []
+        for nth, m in own.items():
+            q = found[nth][1]
+            spread = limits.iqr_multiplier * (q[at[75]] - q[at[25]])
+            bounds = OutlierBounds(found[nth][0], m["mean"], m["std"], q[-1], mads[nth][1][0], q[at[25]] - spread, q[at[75]] + spread)
+            t = outlier_tests("x", bounds, limits)
+            tests.append(f"sum(IF(nth = {nth} AND ({' OR '.join(t.values())}), n, 0L)) AS `{nth}`")
+        flagged = numbers.agg(*[F.expr(t) for t in tests]).first().asDict()
     result = []
     for n in kinds:
-        q = found.get(("n", n)) or [None] * len(wanted)
-        lq = found.get(("l", n)) or [None] * len(wanted)
+        nth = folds.nth(n)
+        q = found[nth][1] if nth in own else [None] * len(wanted)
+        lq = found[nth + width][1] if nth + width in found else [None] * len(wanted)
         by_p = dict(zip(NUMERIC_PERCENTILES, lq))
-        result.append((n, q[-1], *q[:-1], counts.get(n), lq[-1], *[by_p[p] for p in LENGTH_PERCENTILES]))
+        result.append((n, q[-1], *q[:-1], flagged.get(str(nth)), lq[-1], *[by_p[p] for p in LENGTH_PERCENTILES]))
     fields = ["median", *[f"p{p}" for p in NUMERIC_PERCENTILES]]
     length_fields = ["median_length", *[f"length_p{p}" for p in LENGTH_PERCENTILES]]
     schema = "attribute string, " + ", ".join(f"{f} double" for f in fields)
@@ -330,7 +423,12 @@ def raw_profile(
 ) -> DataFrame:
     """Metrics per attribute before types, shares, flags and scores are derived from them."""
     kinds = C.families(df)
-    base = column_metrics(df, as_of_date, order_by)
+    folds = fold_values(df)
+    measured = column_metrics(df, as_of_date, order_by, folds)
+    # One row for each column.
+    metrics = [r.asDict() for r in measured.collect()]
+    quantiles = _folded_quantiles(folds, metrics, limits)
+    base = _literal_rows(df.sparkSession, [tuple(m.values()) for m in metrics], measured.schema)
     objects = [n for n, k in kinds.items() if k == "object"]
     if objects:
         keys = reduce(
@@ -339,13 +437,13 @@ def raw_profile(
         )
     else:
         keys = _literal_rows(df.sparkSession, [], "attribute string, unique_keys bigint")
-    matched = pattern_counts(df, patterns).groupBy("attribute").agg(
+    matched = _folded_pattern_counts(folds, patterns).groupBy("attribute").agg(
         F.count("*").alias("tried"), *[F.expr(f"sum(IF(pattern = {C.sql_string(p)}, matches, 0)) AS {C.sql_name('match_' + p)}") for p in patterns]
     ).drop("tried")
     # Every side holds one row per column of the table.
     sides = (
-        distinct_counts(df, approximate=approximate_distinct),
-        _quantile_frame(df, kinds, limits),
+        distinct_counts(df, approximate=True) if approximate_distinct else folded_distinct(folds),
+        quantiles,
         matched,
         keys,
     )

@@ -18,7 +18,7 @@ from datagauge.functions.text import CHAR_CLASSES, CLASS_STEPS, matches, matches
 from datagauge.params import DEFAULTS, LENGTH_PERCENTILES, NUMERIC_PERCENTILES, PATTERNS, Thresholds
 from datagauge.session import cut_lineage
 
-from .frequency import _digest
+from .frequency import text_digest
 from .grouped import folded_bounds, folded_outlier_counts, folded_quantiles
 from .profile import finish_profile
 
@@ -133,7 +133,7 @@ def profile_variant(
     table = C.col(table_name) if table_name else F.lit("main_table")
     totals = df.where(F.schema_of_variant(C.col(column)).startswith("OBJECT")).groupBy(table.alias("table_name")).agg(F.count("*").alias("total_count"))
     present = values.where("text IS NOT NULL")
-    distinct = present.select(*KEYS, _digest(F.col("text")).alias("d")).distinct().groupBy(*KEYS).agg(F.count("*").alias("unique_count"))
+    distinct = present.select(*KEYS, text_digest(F.col("text")).alias("d")).distinct().groupBy(*KEYS).agg(F.count("*").alias("unique_count"))
     names = present.where("kind = 'OBJECT'").select(*KEYS, F.explode(F.json_object_keys("text")).alias("k")).distinct().groupBy(*KEYS).agg(F.count("*").alias("unique_keys"))
 
     # Numbers, text lengths and list lengths of an attribute, folded to one row for each value.
