@@ -167,6 +167,26 @@ def test_outliers_of_groups(spark):
     assert counts == {g: sum(i in expected for i, _ in own) for g, own in groups.items() if own}
 
 
+def test_large_groups_are_spread_with_the_same_results(spark):
+    """Groups on either side of the limit, null keys among both, in one table and apart."""
+    rows = [(i, g, x) for i, (g, x) in enumerate(grouped_rows())]
+    df = spark.createDataFrame(rows, "i int, g string, x double").repartition(16)
+    values = {"x": F.col("x"), "neg": -F.col("x")}
+    for make in (
+        lambda whole: group_quantiles(df, ["g"], values, (0.0, 0.3, 1.0), whole=whole),
+        lambda whole: outlier_counts_by_group(df, ["g"], values, whole=whole),
+        lambda whole: outlier_rows_by_group(df, ["g"], "x", whole=whole),
+    ):
+        at_once, spread = [sorted(map(repr, make(whole).collect())) for whole in (10_000, 400)]
+        assert at_once and spread == at_once
+
+
+def test_outliers_of_groups_take_one_shuffle(spark):
+    df = spark.createDataFrame([(i % 5, float(i)) for i in range(100)], "g int, x double")
+    counts = outlier_counts_by_group(df, ["g"], {"x": F.col("x"), "neg": -F.col("x")})
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
 def test_totals_inside_groups(spark):
     """A key that holds most rows lies in several partitions, and its totals go on from one to the next."""
     rows = [("b", i, 1) for i in range(5000)] + [("a", i, 2) for i in range(7)] + [(None, i, 1) for i in range(600)] + [(f"k{i}", 0, 5) for i in range(300)]
